@@ -15,41 +15,41 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, table
 
-WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+WINDOW = 8  # words; hashed by doubling: 1, 2, 4, 8
 MAX_LOST = 0.5
 
 # Line rules.
 NAVIGATION = r"(?i)^\W*(home|menu|next|previous|prev|back to top|log ?in|log ?out|sign ?in|sign ?up|register|search|share|tweet|sitemap|site map|skip to (main )?content|read more|contact( us)?|about( us)?|faq|rss)\W*$"
-BOILERPLATE = r"(?i)(all rights reserved|cookie policy|uses? cookies|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript|javascript is (disabled|required)|lorem ipsum|subscribe to (our|the) newsletter|click here|powered by \w+|©\s*\d{4})"
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "uses cookies", "use cookies", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
+    "enable javascript", "javascript is disabled", "javascript is required", "lorem ipsum", "subscribe to our newsletter", "subscribe to the newsletter", "click here",
+)
 
+WORDED = "[^\\\\x20\\\\x09-\\\\x0D]"
 
-def _without(text: str, chars: str) -> str:
-    """SQL for the number of characters of an expression that are in chars."""
-    quoted = "".join(f"\\u{ord(c):04x}" for c in chars)
-    return f"(length({text}) - length(translate({text}, '{quoted}', '')))"
 
+def _count(text: str, pattern: str) -> str:
+    """SQL for the number of matches; split and translate build strings character by character, a regex only where it hits."""
+    return f"size(regexp_extract_all({text}, '{pattern}', 0))"
 
-def _letters(text: str) -> str:
-    quoted = "".join(f"\\u{ord(c):04x}" for c in SPACES)
-    return f"length(translate({text}, '{quoted}', ''))"
 
+def _phrase(text: str) -> str:
+    return " OR ".join(f"contains({text}, '{phrase}')" for phrase in BOILERPLATE)
 
-def line_fails(x: str = "x") -> str:
-    """SQL condition on one line x (words and spaces as above).
 
-    punctuation: over one mark of SYMBOLS in 12 characters, or shouted marks (`!!`, `??`) after at least a third of the words;
+def line_fails(x: str = "x", phrased: str = "true") -> str:
+    """SQL condition on one line x; phrased: whether its text has any boilerplate phrase at all.
+
+    punctuation: over one mark of `#*$%&|<>` in 12 characters, or shouted marks (`!!`, `??`) after at least a third of the words;
     navigation: three separators or more, at least one for two words, or a menu word alone; boilerplate: a fixed phrase.
     """
-    words = rf"greatest(1, size(split({x}, ' ')))"
-    shouted = rf"size(regexp_extract_all({x}, '[!?]{{2,}}', 0))"
-    bars = rf"size(regexp_extract_all({x}, '[|\\u00bb\\u203a\\u2022\\u00b7]', 0))"
+    words = f"size(split({x}, ' '))"
     return (
-        f"({_without(x, SYMBOLS)} * 12 > {_letters(x)}"
-        f" OR ({_without(x, '!?')} >= 2 AND {shouted} * 3 >= {words})"
-        f" OR ({_without(x, '|»›•·')} >= 3 AND {bars} * 2 >= {words} - 1)"
+        f"({_count(x, '[#*$%&|<>]')} * 12 > length({x})"
+        f" OR ({x} RLIKE '[!?]{{2}}' AND {_count(x, '[!?]{2,}')} * 3 >= {words})"
+        f" OR ({x} RLIKE '[|»›•·].*[|»›•·].*[|»›•·]' AND {_count(x, '[|»›•·]')} * 2 >= {words} - 1)"
         f" OR (length({x}) < 40 AND {x} RLIKE '{_sql(NAVIGATION)}')"
-        f" OR {x} RLIKE '{_sql(BOILERPLATE)}')"
+        f" OR ({phrased} AND ({_phrase(f'lower({x})')})))"
     )
 
 
@@ -64,33 +64,37 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     body = "coalesce(text, '')"
     step = docs.withColumn(
         "__words",
-        F.expr(f"CASE WHEN {_letters(body)} = 0 THEN array() ELSE split(btrim({body}, '{ws}'), '[\\\\x20\\\\x09-\\\\x0D]+') END"),
-    ).withColumn("__lines", F.expr(f"split({body}, '\\n')"))
+        F.expr(f"CASE WHEN {body} RLIKE '{WORDED}' THEN split(btrim({body}, '{ws}'), '[\\\\x20\\\\x09-\\\\x0D]+') ELSE array() END"),
+    ).withColumns({"__lines": F.expr(f"split({body}, '\\n')"), "__low": F.expr(f"lower({body})")})
     step = (
-        step.withColumn("__n", F.expr("size(__words)"))
+        step.withColumn("__phrased", F.expr(_phrase("__low")))
+        .withColumn("__n", F.expr("size(__words)"))
         .withColumn("__hash", F.expr("transform(__words, w -> xxhash64(w))"))
-        .withColumn("__grams", F.expr(f"CASE WHEN __n >= {WINDOW} THEN transform(sequence(0, __n - {WINDOW}), i -> xxhash64(slice(__hash, i + 1, {WINDOW}))) ELSE array() END"))
+        .withColumn("__two", F.expr("transform(__hash, (h, i) -> xxhash64(h, get(__hash, i + 1)))"))
+        .withColumn("__four", F.expr("transform(__two, (h, i) -> xxhash64(h, get(__two, i + 2)))"))
+        .withColumn("__grams", F.expr(f"slice(transform(__four, (h, i) -> xxhash64(h, get(__four, i + 4))), 1, greatest(0, __n - {WINDOW - 1}))"))
         .withColumn("__order", F.expr("CASE WHEN size(array_distinct(__grams)) < size(__grams) THEN sort_array(transform(__grams, (g, i) -> struct(g AS g, i AS i))) ELSE array() END"))
         .withColumn("__starts", F.expr("sort_array(transform(filter(__order, (x, k) -> x.g = get(__order, k - 1).g OR x.g = get(__order, k + 1).g), x -> x.i))"))
-        .withColumn("__worded", F.expr(f"filter(__lines, x -> {_letters('x')} > 0)"))
-        .withColumn("__bad", F.expr(f"filter(__worded, x -> {line_fails('x')})"))
+        .withColumn("__worded", F.expr(f"filter(__lines, x -> x RLIKE '{WORDED}')"))
+        .withColumn("__bad", F.expr(f"filter(__worded, x -> {line_fails('x', '__phrased')})"))
     )
     step = step.withColumn(
         "__q",
         F.expr(
             f"""struct(
             CAST(__n AS bigint) AS n_words,
-            CAST({_letters(body)} AS bigint) AS word_chars,
-            CAST({_without(body, SYMBOLS)} AS bigint) AS n_symbols,
+            aggregate(__words, 0L, (a, w) -> a + length(w)) AS word_chars,
+            CAST({_count(body, '[#*$%&|<>]')} AS bigint) AS n_symbols,
             CAST(size(__worded) - size(array_distinct(__worded)) AS bigint) AS n_dup_lines,
             CAST(aggregate(transform(__starts, (s, k) -> least({WINDOW}, coalesce(get(__starts, k + 1), s + {WINDOW}) - s)), 0, (a, b) -> a + b) AS bigint) AS n_repeat_words,
-            CAST(aggregate(__bad, 0, (a, x) -> a + {_letters('x')}) AS bigint) AS lost_chars)"""
+            aggregate(__bad, 0L, (a, x) -> a + length(x)) AS lost_chars,
+            aggregate(__worded, 0L, (a, x) -> a + length(x)) AS line_chars)"""
         ),
     )
     verdict = F.expr(
         f"""struct(__q.*,
         (__q.n_words < 20 OR 100 * __q.n_repeat_words > 30 * __q.n_words) AS base_failed,
-        NOT (__q.n_words < 20 OR 100 * __q.n_repeat_words > 30 * __q.n_words) AND __q.lost_chars <= {max_lost} * __q.word_chars AS kept)"""
+        NOT (__q.n_words < 20 OR 100 * __q.n_repeat_words > 30 * __q.n_words) AND __q.lost_chars <= {max_lost}D * __q.line_chars AS kept)"""
     )
     return step.select(*[F.col(f"`{c}`") for c in held if c != "quality"], verdict.alias("quality"), "__lines")
 
@@ -98,7 +102,8 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 def clean_lines(docs: DataFrame) -> DataFrame:
     """docs with failing lines taken out of `text` (texts without a failing line stay byte for byte)."""
     lines = "split(text, '\\n')"
-    return docs.withColumn("text", F.expr(f"CASE WHEN exists({lines}, x -> {_letters('x')} > 0 AND {line_fails('x')}) THEN array_join(filter({lines}, x -> NOT ({_letters('x')} > 0 AND {line_fails('x')})), '\\n') ELSE text END"))
+    fails = f"x RLIKE '{WORDED}' AND {line_fails('x')}"
+    return docs.withColumn("text", F.expr(f"CASE WHEN exists({lines}, x -> {fails}) THEN array_join(filter({lines}, x -> NOT ({fails})), '\\n') ELSE text END"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
