@@ -6,9 +6,11 @@ import importlib
 
 _WHERE = {
     "op1_source_mix": "op1_mixing",
+    "op2_toxicity": "op2_toxicity",
     "op3_url_filter": "op3_urls",
     "op7_token_counts": "op7_tokens",
     "op8_quality_rules": "op8_quality",
+    "op10_near_duplicates": "op10_near",
 }
 
 
