@@ -8,6 +8,8 @@ _WHERE = {
     "op1_source_mix": "op1_mixing",
     "op2_toxicity": "op2_toxicity",
     "op3_url_filter": "op3_urls",
+    "op4_repeated_passages": "op4_repeats",
+    "op6_decontaminate": "op6_benchmark",
     "op7_token_counts": "op7_tokens",
     "op8_quality_rules": "op8_quality",
     "op10_near_duplicates": "op10_near",
