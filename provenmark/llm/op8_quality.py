@@ -5,7 +5,7 @@ Every line is judged by itself (punctuation, navigation, boilerplate); failing l
 
 Defined cases: a null text counts as empty; a text without words has only zeros, fails the base rule and is not kept; lines
 without a word never fail and never count as repeated; rows are judged one by one, so repeated rows give repeated results and
-further columns pass through untouched (`clean_lines` adds its own columns under one struct name).
+further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _sql(pattern: str) -> str:
 
 
 def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
-    """Adds the struct `quality` (n_words … kept, clean_text) to every row of docs; needs `text`."""
+    """Adds the struct `quality` (n_words … kept) and `clean_text`, without failing lines, to every row of docs; needs `text`."""
     held = [c for c in docs.columns]
     ws = "".join(f"\\u{ord(c):04x}" for c in SPACES)
     body = "coalesce(text, '')"
@@ -75,8 +75,8 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         .withColumn("__grams", F.expr(f"slice(transform(__four, (h, i) -> xxhash64(h, get(__four, i + 4))), 1, greatest(0, __n - {WINDOW - 1}))"))
         .withColumn("__order", F.expr("CASE WHEN size(array_distinct(__grams)) < size(__grams) THEN sort_array(transform(__grams, (g, i) -> struct(g AS g, i AS i))) ELSE array() END"))
         .withColumn("__starts", F.expr("sort_array(transform(filter(__order, (x, k) -> x.g = get(__order, k - 1).g OR x.g = get(__order, k + 1).g), x -> x.i))"))
-        .withColumn("__worded", F.expr(f"filter(__lines, x -> x RLIKE '{WORDED}')"))
-        .withColumn("__bad", F.expr(f"filter(__worded, x -> {line_fails('x', '__phrased')})"))
+        .withColumn("__judged", F.expr(f"transform(__lines, x -> struct(x AS x, x RLIKE '{WORDED}' AS worded, x RLIKE '{WORDED}' AND {line_fails('x', '__phrased')} AS bad))"))
+        .withColumn("__worded", F.expr("transform(filter(__judged, y -> y.worded), y -> y.x)"))
     )
     step = step.withColumn(
         "__q",
@@ -87,7 +87,7 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
             CAST({_count(body, '[#*$%&|<>]')} AS bigint) AS n_symbols,
             CAST(size(__worded) - size(array_distinct(__worded)) AS bigint) AS n_dup_lines,
             CAST(aggregate(transform(__starts, (s, k) -> least({WINDOW}, coalesce(get(__starts, k + 1), s + {WINDOW}) - s)), 0, (a, b) -> a + b) AS bigint) AS n_repeat_words,
-            aggregate(__bad, 0L, (a, x) -> a + length(x)) AS lost_chars,
+            aggregate(__judged, 0L, (a, y) -> a + CASE WHEN y.bad THEN length(y.x) ELSE 0 END) AS lost_chars,
             aggregate(__worded, 0L, (a, x) -> a + length(x)) AS line_chars)"""
         ),
     )
@@ -96,14 +96,15 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         (__q.n_words < 20 OR 100 * __q.n_repeat_words > 30 * __q.n_words) AS base_failed,
         NOT (__q.n_words < 20 OR 100 * __q.n_repeat_words > 30 * __q.n_words) AND __q.lost_chars <= {max_lost}D * __q.line_chars AS kept)"""
     )
-    return step.select(*[F.col(f"`{c}`") for c in held if c != "quality"], verdict.alias("quality"), "__lines")
+    clean = F.expr("CASE WHEN exists(__judged, y -> y.bad) THEN array_join(transform(filter(__judged, y -> NOT y.bad), y -> y.x), '\\n') ELSE text END")
+    return step.select(*[F.col(f"`{c}`") for c in held if c != "quality"], verdict.alias("quality"), clean.alias("clean_text"))
 
 
-def clean_lines(docs: DataFrame) -> DataFrame:
-    """docs with failing lines taken out of `text` (texts without a failing line stay byte for byte)."""
-    lines = "split(text, '\\n')"
-    fails = f"x RLIKE '{WORDED}' AND {line_fails('x')}"
-    return docs.withColumn("text", F.expr(f"CASE WHEN exists({lines}, x -> {fails}) THEN array_join(filter({lines}, x -> NOT ({fails})), '\\n') ELSE text END"))
+def keep_good(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+    """docs without rejected rows, and without failing lines in the others' text. Columns as given."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = judge(docs.select("text", row), max_lost).where("quality.kept")
+    return kept.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ _WHERE = {
     "op6_decontaminate": "op6_benchmark",
     "op7_token_counts": "op7_tokens",
     "op8_quality_rules": "op8_quality",
+    "op9_lm_scores": "op9_lm",
     "op10_near_duplicates": "op10_near",
 }
 

@@ -44,9 +44,13 @@ def test_given_documents(spark):
 
 
 def test_lines_go_and_columns_stay(spark):
-    df = frame(spark, [CASES[9]])
-    out = Q.clean_lines(df).first()
-    assert "Home" not in out.text and "rights" not in out.text and out.text.count("\n") == 1 and out.key is None
+    out = Q.judge(frame(spark, [CASES[9]]).select("text", "key")).first()
+    assert "Home" not in out.clean_text and "rights" not in out.clean_text and out.clean_text.count("\n") == 1 and out.key is None
+    df = frame(spark, CASES + MORE + [(60, MORE[4][1] + "\nall rights reserved here", "en", "q", 0)])
+    kept = Q.keep_good(df).collect()
+    assert kept[0].asDict().keys() == df.first().asDict().keys()
+    assert {r.doc_id: r.text for r in kept} == {54: MORE[4][1], 60: MORE[4][1], 8: None} or {54, 60} <= {r.doc_id for r in kept}
+    assert all("rights reserved" not in r.text for r in kept)
 
 
 def test_empty(spark, tmp_path):
