@@ -9,8 +9,8 @@ Texts are multisets of shingles of five words; two texts are linked if their wei
    stops as soon as its next point is later than the latest slot: about one point for each shingle of a longer text.
 3. 25 bands of 5 slots: a pair at 0.8 shares a band with probability 0.99995. Each bucket has a leader, its smallest key. Each
    member first is checked against the leader with which it shares most bands, then against its other leaders unless already
-   in the same class; last, members of different classes that still share a bucket are checked directly, so within buckets
-   no link between different classes is lost, and copies are never expanded into all pairs.
+   in the same class; last, all members of buckets that still hold several classes are held against each other by a prefix
+   filter, which is exact, so no link between different classes is lost there, and copies are never expanded into all pairs.
 4. Classes are the connected components of the verified links.
 
 Defined cases: null and empty texts are equal (one class); texts without words are linked only if equal; a text of under five
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -109,13 +109,41 @@ def _check(batches):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of pairs(a, b) whose texts(key, text) are similar enough; written."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    used = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    rows = pairs.select("a", "b").join(used.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    """Those of pairs(a, b) whose texts(key, text), one a key, are similar enough; written."""
+    rows = pairs.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return cut(rows.select("a", "b", "ta", "tb").mapInArrow(_check, "a binary, b binary, likeness double").where(F.col("likeness") >= similar - 1e-12).select("a", "b"))
 
 
+def _elements(batches):
+    """(key, text) to the multiset of shingles as a set: (key, n, element), the k-th copy of a shingle being an element of its own."""
+    for batch in batches:
+        offsets, data = buffers(batch.column(1))
+        for a, b in blocks(offsets, 2_000_000):
+            values, owners = windows(split(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), SHINGLE)
+            order = np.lexsort((values, owners))
+            values, owners = values[order], owners[order]
+            fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])])[: len(values)]
+            copy = np.arange(len(values)) - np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0))
+            sizes = np.bincount(owners, minlength=b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners + a)), pa.array(sizes[owners].astype(np.int64)), pa.array(mix(values + copy.astype(np.uint64) * _STEP).view(np.int64))], ["key", "n", "element"])
+
+
+def across_classes(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Candidate pairs (a, b) between different roots among members(key, root): all that can be similar enough, and few others.
+
+    Prefix filter: in one order of all elements (rarest first), two similar sets share an element within their first
+    n - similar * n + 1. Texts far from all others of a family have rare elements of their own there, and meet nobody.
+    """
+    elements = cut(texts.join(members.select("key"), "key", "left_semi").mapInArrow(_elements, "key binary, n long, element long"))
+    rare = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = elements.join(rare, "element", "left").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "element")))
+    first = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull()).join(members, "key").select("element", "key", "n", "root")
+    first = cut(first)
+    other = first.select("element", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    both = first.join(other, "element").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9))
+    return both.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs(doc_id, text) to one row a row: doc_id, key (of its text), class_key, class_id, class_size."""
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
@@ -124,6 +152,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = signed.where("n > 0").select("key", "n", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     shared = cut(members.join(leaders, "bucket"))
+    wanted = shared.select("key").distinct().hint("merge")  # grows with the corpus: never broadcast
+    texts = cut(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     sizes = signed.select(F.col("key").alias("leader"), F.col("n").alias("leader_n"))
     pairs = shared.where("leader != key").groupBy("leader", "key", "n").agg(F.count(F.lit(1)).alias("bands"))
     pairs = cut(pairs.join(sizes, "leader").where(F.least("n", "leader_n") >= similar * F.greatest("n", "leader_n") - 1e-9).select(F.col("leader").alias("a"), F.col("key").alias("b"), "bands"))
@@ -133,10 +163,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     placed = shared.join(of("key"), "key", "left").select("bucket", "key", "n", F.coalesce("rkey", "key").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    left = cut(placed.join(open_, "bucket", "left_semi"))
-    other = left.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = left.join(other, "bucket").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9))
-    across = across.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    left = cut(placed.join(open_, "bucket", "left_semi").select("key", "root").distinct())
+    across = across_classes(left, texts, similar).join(pairs, ["a", "b"], "left_anti")
     links, roots = _more(links, across, texts, similar, roots)
     rows = keyed.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"))
     rows = cut(rows)
