@@ -9,8 +9,8 @@ Texts are multisets of shingles of five words; two texts are linked if their wei
    stops as soon as its next point is later than the latest slot: about one point for each shingle of a longer text.
 3. 25 bands of 5 slots: a pair at 0.8 shares a band with probability 0.99995. Each bucket has a leader, its smallest key. Each
    member first is checked against the leader with which it shares most bands, then against its other leaders unless already
-   in the same class; last, all members of buckets that still hold several classes are held against each other by a prefix
-   filter, which is exact, so no link between different classes is lost there, and copies are never expanded into all pairs.
+   in the same class; last, members of buckets that still hold several classes: those outside the largest class are queries,
+   held against all of them block by block, so no link between different classes is lost there and no pair becomes a row.
 4. Classes are the connected components of the verified links.
 
 Defined cases: null and empty texts are equal (one class); texts without words are linked only if equal; a text of under five
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -114,34 +114,59 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return cut(rows.select("a", "b", "ta", "tb").mapInArrow(_check, "a binary, b binary, likeness double").where(F.col("likeness") >= similar - 1e-12).select("a", "b"))
 
 
-def _elements(batches):
-    """(key, text) to the multiset of shingles as a set: (key, n, element), the k-th copy of a shingle being an element of its own."""
-    for batch in batches:
-        offsets, data = buffers(batch.column(1))
-        for a, b in blocks(offsets, 2_000_000):
-            values, owners = windows(split(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), SHINGLE)
-            order = np.lexsort((values, owners))
-            values, owners = values[order], owners[order]
-            fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])])[: len(values)]
-            copy = np.arange(len(values)) - np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0))
-            sizes = np.bincount(owners, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners + a)), pa.array(sizes[owners].astype(np.int64)), pa.array(mix(values + copy.astype(np.uint64) * _STEP).view(np.int64))], ["key", "n", "element"])
-
-
-def across_classes(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Candidate pairs (a, b) between different roots among members(key, root): all that can be similar enough, and few others.
-
-    Prefix filter: in one order of all elements (rarest first), two similar sets share an element within their first
-    n - similar * n + 1. Texts far from all others of a family have rare elements of their own there, and meet nobody.
+def _elements(texts, names):
+    """Multisets of shingles as sets, the k-th copy of a shingle being an element of its own: (owner, element, sizes)."""
+    values, owners = windows(split(*buffers(texts)), SHINGLE)
+    order = np.lexsort((values, owners))
+    values, owners = values[order], owners[order]
+    fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])])[: len(values)]
+    copy = np.arange(len(values)) - np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0))
+    return owners, mix(values + copy.astype(np.uint64) * _STEP), np.bincount(owners, minlength=names)
+
+
+def _held(similar: float):
+    """Links between the queries and the members of one group whose roots differ."""
+
+    def held(part: pa.Table) -> pa.Table:
+        query = part["query"].to_numpy(zero_copy_only=False)
+        key, root, a, b = part["key"].to_pylist(), np.array(part["root"].to_pylist(), object), [], []
+        owner, element, sizes = _elements(part["text"], len(key))
+        mine = ~query[owner]
+        order = np.argsort(element[mine], kind="stable")
+        index, member = element[mine][order], owner[mine][order]
+        first = np.searchsorted(owner, np.arange(len(key) + 1))
+        for q in np.flatnonzero(query):
+            wanted = element[first[q] : first[q + 1]]
+            lo, hi = np.searchsorted(index, wanted), np.searchsorted(index, wanted, "right")
+            n = hi - lo
+            met = member[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            both = np.bincount(met, minlength=len(key))
+            for m in np.flatnonzero((both > 0) & (both >= similar * (sizes + sizes[q] - both) - 1e-9)):
+                if root[m] != root[q]:
+                    a.append(min(key[m], key[q]))
+                    b.append(max(key[m], key[q]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return held
+
+
+def across_classes(members: DataFrame, meetings: DataFrame, texts: DataFrame, similar: float, block: int = 500) -> DataFrame:
+    """All links between different roots among members(key, root) that meetings(a, b) connect.
+
+    Members fall into families (components of meetings). A family's members outside its largest class are queries, held against
+    all its members: both sides in blocks of about `block` texts, so a task has a block of each and no pair becomes a row.
     """
-    elements = cut(texts.join(members.select("key"), "key", "left_semi").mapInArrow(_elements, "key binary, n long, element long"))
-    rare = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = elements.join(rare, "element", "left").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "element")))
-    first = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull()).join(members, "key").select("element", "key", "n", "root")
-    first = cut(first)
-    other = first.select("element", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    both = first.join(other, "element").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9))
-    return both.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    families = cut(components(meetings)).select(F.col("node").alias("key"), F.col("root").alias("family"))
+    placed = cut(members.join(families, "key"))
+    counts = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("family").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("m > most")
+    sized = counts.select("family", "main", F.ceil(F.col("m") / block).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / block).alias("asks"))
+    rows = placed.join(sized, "family").join(texts, "key").withColumn("query", F.lit(False))
+    spot = F.xxhash64("key")
+    told = rows.withColumns({"block": F.pmod(spot, "blocks"), "ask": F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))})
+    asked = rows.where("root != main").withColumns({"query": F.lit(True), "ask": F.pmod(spot, "asks"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    names = ["family", "block", "ask", "query", "key", "root", "text"]
+    return cut(told.select(*names).unionByName(asked.select(*names)).groupBy("family", "block", "ask").applyInArrow(_held(similar), "a binary, b binary").distinct())
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -163,18 +188,21 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     placed = shared.join(of("key"), "key", "left").select("bucket", "key", "n", F.coalesce("rkey", "key").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    left = cut(placed.join(open_, "bucket", "left_semi").select("key", "root").distinct())
-    across = across_classes(left, texts, similar).join(pairs, ["a", "b"], "left_anti")
-    links, roots = _more(links, across, texts, similar, roots)
+    left = cut(placed.join(open_, "bucket", "left_semi").select("bucket", "key", "root"))
+    if not left.isEmpty():
+        meetings = left.join(leaders, "bucket").select(F.col("leader").alias("a"), F.col("key").alias("b"))
+        found = across_classes(left.select("key", "root").distinct(), meetings, texts, similar)
+        if not found.isEmpty():
+            roots = cut(components(links.unionByName(found)))
     rows = keyed.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"))
     rows = cut(rows)
     classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(classes, "class_key")
 
 
-def _more(links: DataFrame, candidates: DataFrame, texts: DataFrame, similar: float, roots: DataFrame | None = None):
+def _more(links: DataFrame, candidates: DataFrame, texts: DataFrame, similar: float):
     """Check candidates between different classes; the links and the classes after that."""
-    roots = cut(components(links)) if roots is None else roots
+    roots = cut(components(links))
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     apart = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     apart = cut(apart)

@@ -92,3 +92,23 @@ def test_components(spark):
     pairs = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 9), (10, 10)] + [(i, i + 1) for i in range(100, 130)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6} | {i: 100 for i in range(100, 131)}
+
+
+def test_families_in_blocks(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randint(0, 7)):
+            text[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), "en", "x", 0))
+    df = frame(spark, rows).select(N.text_key(N.F.col("text")).alias("key"), "text", "doc_id")
+    keys = {r.doc_id: bytes(r.key) for r in df.collect()}
+    hub = min(keys.values())
+    meetings = spark.createDataFrame([(hub, k) for k in keys.values()], "a binary, b binary")
+    found = N.across_classes(df.select("key", N.F.col("key").alias("root")), meetings, df.select("key", "text"), 0.8, block=7).collect()
+    bags = {keys[r[0]]: bag(r[1]) for r in rows}
+    want = {(a, b) for a in bags for b in bags if a < b and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()) - 1e-9}
+    main = max(bags)  # roots are all alone; the family's largest class is the greatest of them
+    assert {(bytes(r.a), bytes(r.b)) for r in found} == want and main and len(want) > 50
