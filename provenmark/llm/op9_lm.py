@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .words import buffers, mix, split
 
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 12_000_000
 FOLD = 7
 END = mix(np.array([77], np.uint64))
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -117,6 +117,8 @@ def _send(shards: int):
 
 def _merge_pairs(shards: int):
     def merged(part: pa.Table) -> pa.Table:
+        if part["kind"][0].as_py() == "words":  # merged later, with what the pair shards add
+            return part.cast(_FIELDS)
         got = part.select(["source", "a", "b", "c"]).to_pylist()
         contexts, sizes, counts = [], [], []
         for r in got:
@@ -242,9 +244,9 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, fold: int = FOL
         F.coalesce(rest == 2, F.lit(False)).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("chunk"),
     )
-    sent = cut(rows.groupBy("chunk").applyInArrow(_send(shards), BLOBS))
-    merged = cut(sent.where("kind = 'pairs'").groupBy("target").applyInArrow(_merge_pairs(shards), BLOBS))
-    words = cut(sent.where("kind = 'words'").unionByName(merged.where("kind = 'next'")).groupBy("target").applyInArrow(_merge_words, BLOBS))
+    sent = rows.groupBy("chunk").applyInArrow(_send(shards), BLOBS)
+    merged = cut(sent.groupBy("kind", "target").applyInArrow(_merge_pairs(shards), BLOBS))
+    words = cut(merged.where("kind IN ('words', 'next')").groupBy("target").applyInArrow(_merge_words, BLOBS))
 
     def sums(df, n):
         found = df.where("kind = 'sums'").agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in range(n)]).first()
