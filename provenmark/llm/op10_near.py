@@ -8,9 +8,9 @@ Texts are multisets of shingles of five words; two texts are linked if their wei
    by halving the interval, lies under the weight. Slots keep the earliest point. Points come in ascending order, so a shingle
    stops as soon as its next point is later than the latest slot: about one point for each shingle of a longer text.
 3. 25 bands of 5 slots: a pair at 0.8 shares a band with probability 0.99995. Each bucket has a leader, its smallest key. Each
-   member first is checked against the leader with which it shares most bands, then against its other leaders unless already
-   in the same class; last, members of buckets that still hold several classes: those outside the largest class are queries,
-   held against all of them block by block, so no link between different classes is lost there and no pair becomes a row.
+   member is checked against the leader with which it shares most bands. Then buckets that still hold several classes form
+   families: members outside a family's largest class are queries, held against all its members block by block, so no link
+   between different classes is lost there, copies are never expanded into all pairs, and no such pair becomes a row.
 4. Classes are the connected components of the verified links.
 
 Defined cases: null and empty texts are equal (one class); texts without words are linked only if equal; a text of under five
@@ -181,16 +181,19 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = cut(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     sizes = signed.select(F.col("key").alias("leader"), F.col("n").alias("leader_n"))
     pairs = shared.where("leader != key").groupBy("leader", "key", "n").agg(F.count(F.lit(1)).alias("bands"))
-    pairs = cut(pairs.join(sizes, "leader").where(F.least("n", "leader_n") >= similar * F.greatest("n", "leader_n") - 1e-9).select(F.col("leader").alias("a"), F.col("key").alias("b"), "bands"))
+    pairs = (pairs.join(sizes, "leader").where(F.least("n", "leader_n") >= similar * F.greatest("n", "leader_n") - 1e-9).select(F.col("leader").alias("a"), F.col("key").alias("b"), "bands"))
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
     links = verified(closest, texts, similar)
-    links, roots = _more(links, pairs.join(closest, ["a", "b"], "left_anti"), texts, similar)
+    roots = cut(components(links))
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     placed = shared.join(of("key"), "key", "left").select("bucket", "key", "n", F.coalesce("rkey", "key").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     left = cut(placed.join(open_, "bucket", "left_semi").select("bucket", "key", "root"))
     if not left.isEmpty():
-        meetings = left.join(leaders, "bucket").select(F.col("leader").alias("a"), F.col("key").alias("b"))
+        met = cut(left.join(leaders, "bucket").select("key", "leader").distinct())
+        nearest = met.groupBy("key").agg(F.min("leader").alias("first"))
+        also = met.join(nearest, "key").select(F.col("first").alias("a"), F.col("leader").alias("b")).distinct()  # few: leaders that share a member
+        meetings = nearest.select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(also)
         found = across_classes(left.select("key", "root").distinct(), meetings, texts, similar)
         if not found.isEmpty():
             roots = cut(components(links.unionByName(found)))
@@ -200,21 +203,6 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return rows.join(classes, "class_key")
 
 
-def _more(links: DataFrame, candidates: DataFrame, texts: DataFrame, similar: float):
-    """Check candidates between different classes; the links and the classes after that."""
-    roots = cut(components(links))
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    apart = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    apart = cut(apart)
-    if apart.isEmpty():
-        return links, roots
-    found = verified(apart, texts, similar)
-    if found.isEmpty():
-        return links, roots
-    links = links.unionByName(found)
-    return links, cut(components(links))
-
-
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each class: the smallest doc_id; of repeated rows one. Columns as given."""
     columns = docs.columns
