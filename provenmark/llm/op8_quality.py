@@ -103,7 +103,8 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 def keep_good(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """docs without rejected rows, and without failing lines in the others' text. Columns as given."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = judge(docs.select("text", row), max_lost).where("quality.kept")
+    # the id keeps the filter above the projections; below, it would repeat their expressions inside each other
+    kept = judge(docs.select("text", row), max_lost).withColumn("__id", F.monotonically_increasing_id()).where("quality.kept AND __id >= 0")
     return kept.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
