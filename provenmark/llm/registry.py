@@ -9,6 +9,7 @@ _WHERE = {
     "op2_toxicity": "op2_toxicity",
     "op3_url_filter": "op3_urls",
     "op4_repeated_passages": "op4_repeats",
+    "op5_licence_scan": "op5_licences",
     "op6_decontaminate": "op6_benchmark",
     "op7_token_counts": "op7_tokens",
     "op8_quality_rules": "op8_quality",
