@@ -161,7 +161,7 @@ class SuffixArray:
         return np.flatnonzero(near[1:] & ~near[:-1]), np.flatnonzero(near[:-1] & ~near[1:])
 
     def maximal(self):
-        """Maximal repeats: (length, places in the order) of intervals whose occurrences differ in the byte before."""
+        """Maximal repeats: (length, first, last place in the order) of intervals whose occurrences differ in the byte before."""
         for lo, hi in zip(*self.roots(), strict=True):
             left = self.left[lo : hi + 1]
             if left.min() == left.max():
@@ -174,7 +174,7 @@ class SuffixArray:
                     size, first, a, b = stack.pop()
                     low, high = min(low, a), max(high, b)
                     if low != high:
-                        yield size, np.arange(first, i + 1)
+                        yield size, first, i
                 if length and stack and stack[-1][0] == length:
                     _, first, a, b = stack.pop()
                     low, high = min(low, a), max(high, b)
@@ -215,21 +215,20 @@ def _scan(batches, least):
     def spans(rows):
         starts = np.array([r[3] % 512 for r in rows])
         tree = SuffixArray([r[5] for r in rows], starts, least)
-        found = tree.repeated()
-        covers = [(i, o, o + least) for i, o in zip(tree.owner[found].tolist(), tree.offset[found].tolist(), strict=True)]
-        for length, places in tree.maximal():
-            covers += [(int(tree.owner[p]), int(tree.offset[p]), int(tree.offset[p]) + length) for p in tree.order[places]]
-        out, last = [], None
-        for i, a, b in sorted(covers):
-            if not rows[i][4]:
-                continue
-            if last and last[0] == i and a <= last[2]:
-                last[2] = max(last[2], b)
-            else:
-                last = [i, a, b]
-                out.append(last)
-        base = [r[3] // 512 for r in rows]
-        cols = [[rows[i][1] for i, _, _ in out], [rows[i][2] for i, _, _ in out], [base[i] + a for i, a, _ in out], [base[i] + b for i, _, b in out]]
+        reach = np.where(tree.repeated(), least, 0)  # bytes repeated from each start on, in the order of contexts
+        for length, first, last in tree.maximal():
+            places = tree.order[first : last + 1]
+            reach[places] = np.maximum(reach[places], length)
+        own = np.array([r[4] for r in rows])
+        hit = np.flatnonzero((reach > 0) & own[tree.owner])
+        begin = tree.owner[hit] * 1024 + tree.offset[hit]  # contexts lie apart, so their spans never touch
+        end = np.maximum.accumulate(begin + reach[hit]) if len(hit) else begin
+        fresh = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(hit) else hit
+        close = np.append(fresh[1:], len(hit))[: len(fresh)] - 1
+        which = begin[fresh] // 1024
+        base = np.array([r[3] // 512 for r in rows])[which] - which * 1024
+        d, k = np.array([r[1] for r in rows], np.int64)[which], np.array([r[2] for r in rows], np.int64)[which]
+        cols = [d, k, base + begin[fresh], base + end[close]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "k", "a", "b"])
 
     for batch in batches:

@@ -83,8 +83,8 @@ def test_maximal_repeats():
     raws = [s.encode() + b"#%d" % i for i, s in enumerate(strings)]
     tree = R.SuffixArray(raws, np.array([len(r) - least + 1 for r in raws]), least)
     got = {}
-    for size, places in tree.maximal():
-        places = [(int(tree.owner[p]), int(tree.offset[p])) for p in tree.order[places]]
+    for size, first, last in tree.maximal():
+        places = [(int(tree.owner[p]), int(tree.offset[p])) for p in tree.order[first : last + 1]]
         i, o = places[0]
         got[raws[i][o : o + size]] = sorted(places)
     want = {}
