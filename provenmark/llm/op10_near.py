@@ -125,11 +125,13 @@ def _elements(texts, names):
 
 
 def _held(similar: float):
-    """Links between the queries and the members of one group whose roots differ."""
+    """Links between the queries and the members of one group: of those that join its roots, a spanning forest."""
 
     def held(part: pa.Table) -> pa.Table:
         query = part["query"].to_numpy(zero_copy_only=False)
-        key, root, a, b = part["key"].to_pylist(), np.array(part["root"].to_pylist(), object), [], []
+        key, a, b = part["key"].to_pylist(), [], []
+        _, root = np.unique(np.array(part["root"].to_pylist(), object), return_inverse=True)
+        joined = root.copy()  # what each text's root has been joined to
         owner, element, sizes = _elements(part["text"], len(key))
         mine = ~query[owner]
         order = np.argsort(element[mine], kind="stable")
@@ -142,7 +144,8 @@ def _held(similar: float):
             met = member[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
             both = np.bincount(met, minlength=len(key))
             for m in np.flatnonzero((both > 0) & (both >= similar * (sizes + sizes[q] - both) - 1e-9)):
-                if root[m] != root[q]:
+                if joined[m] != joined[q]:
+                    joined[joined == joined[m]] = joined[q]
                     a.append(min(key[m], key[q]))
                     b.append(max(key[m], key[q]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
