@@ -12,7 +12,7 @@ from .test_op8_quality import MORE
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    rows = CASES + MORE + T10.corpus()[11:40] + T4.corpus()[10:30] + DOCS
+    rows = CASES + MORE + T10.corpus()[11:40] + [(r[0] + 10_000, *r[1:]) for r in T4.corpus()[10:30]] + DOCS
     docs = frame(spark, rows, extra=False)
     folder = save(docs, tmp_path)
     save(spark.createDataFrame(ITEMS, "item_id long, text string"), tmp_path, "benchmark")
