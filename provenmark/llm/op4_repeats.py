@@ -4,7 +4,8 @@ A byte goes if a string of `least` (200) bytes that covers it also starts anywhe
 window belongs to the smallest hash among its 40-byte grams (its anchor), so equal windows have equal anchors wherever they stand.
 Neighbouring windows with one anchor make a run, about one for 80 bytes.
 
-1. Runs are counted by anchor. An anchor that occurs once holds no repeat; that ends the work for most of the text.
+1. Runs are counted by anchor. An anchor with one run, in whose bytes its gram stands once, holds no repeat; that ends the work for
+   most of the text. (A gram that stands twice in its run may be a short-period stretch, whose windows equal each other.)
 2. Runs whose anchor recurs: equal runs (by 128 bits of anchor and content) are repeats as a whole.
 3. The other runs of such anchors send their bytes to shards by anchor; equal runs send one copy as evidence. Each task builds
    an enhanced suffix array (ranks by prefix doubling, LCPs from the ranks) for blocks of whole anchors and scans the LCPs with a
@@ -38,7 +39,7 @@ HEAVY = 2_000
 BLOCK_BYTES, TEXT_BYTES = 300_000, 1_000_000
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _INVERSE = np.array([pow(0x9E3779B97F4A7C15, -1, 1 << 64)], np.uint64)
-RUNS = "d long, k long, at long, m long, rh long"
+RUNS = "d long, k long, at long, m long, rh long, again boolean"
 
 
 def _view(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
@@ -59,14 +60,20 @@ def _least_in(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor, content hash) of the runs of texts that end at `ends` in data."""
-    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return _flagged_runs(data, ends, least)[:4]
+
+
+def _flagged_runs(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, content hash, whether the anchor's gram stands twice in it) of the runs of texts that end at `ends` in data."""
+    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
     if len(data) < least:
         return none
     view = _view(data)
     gram = view[: len(data) - GRAM + 1] * _MUL
     for k in range(8, GRAM, 8):
         gram = (gram ^ (gram >> np.uint64(29))) * _MUL + view[k : len(data) - GRAM + 1 + k]
-    anchor = _least_in(mix(gram), least - GRAM + 1)
+    gram = mix(gram)
+    anchor = _least_in(gram, least - GRAM + 1)
     begins = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(anchor) + 1, np.int32)
     long = np.flatnonzero(ends - begins >= least)
@@ -89,7 +96,11 @@ def runs_of(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.
     back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.repeat(_INVERSE, len(data))]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(view) * power[: len(data)], dtype=np.uint64)])
     content = mix((sums[start + count + least - 1 - 7] - sums[start]) * back[start] + count.astype(np.uint64) * _INVERSE)
-    return start, count, anchor[start], content
+    grams = count + least - GRAM
+    opens = np.cumsum(grams) - grams
+    at = np.arange(int(grams.sum())) + np.repeat(start - opens, grams)
+    again = np.add.reduceat((gram[at] == np.repeat(anchor[start], grams)).astype(np.int32), opens) > 1
+    return start, count, anchor[start], content, again
 
 
 def _pieces(offsets: np.ndarray, least: int):
@@ -114,13 +125,13 @@ def _runs(batches, least):
         for parts in _pieces(offsets, least):
             joined = np.concatenate([data[offsets[i] + a : offsets[i] + b] for i, a, b in parts])
             ends = np.cumsum([b - a for _, a, b in parts])
-            start, count, anchor, content = runs_of(joined, ends, least)
+            start, count, anchor, content, again = _flagged_runs(joined, ends, least)
             which = np.searchsorted(ends, start, "right")
             base = np.array([a for _, a, _ in parts]) - np.concatenate([[0], ends[:-1]])
             keys = pa.array(np.array([i for i, _, _ in parts])[which]) if len(start) else pa.array([], pa.int64())
             at = (start + base[which]) * 512 + count
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keys), batch.column(1).take(keys), pa.array(at, pa.int64()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["d", "k", "at", "m", "rh"]
+                [batch.column(0).take(keys), batch.column(1).take(keys), pa.array(at, pa.int64()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(again)], ["d", "k", "at", "m", "rh", "again"]
             )
 
 
@@ -245,8 +256,9 @@ def _scan(batches, least):
 def repeated_spans(docs: DataFrame, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
     """docs(d, k, text) to spans (d, k, a, b) of bytes in repeated windows; spans may overlap."""
     runs = docs.select("d", "k", "text").mapInArrow(lambda x: _runs(x, least), RUNS)
-    anchors = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("c > 1").select("m", (F.col("lo") != F.col("hi")).alias("mixed"))
-    hits = cut(runs.join(anchors, "m"))
+    seen = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.max("again").alias("again"))
+    anchors = seen.where("c > 1 OR again").select("m", F.expr("c = 1 OR lo != hi").alias("mixed"))
+    hits = cut(runs.drop("again").join(anchors, "m"))
     counted = hits.where("mixed").groupBy("m", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "at")).alias("one"))
     counted = cut(counted)
     kinds = counted.groupBy("m").agg((F.count(F.lit(1)) > heavy).alias("is_heavy"))

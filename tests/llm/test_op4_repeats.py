@@ -53,6 +53,22 @@ def test_against_brute_force(spark, monkeypatch, heavy):
     assert sorted((r.doc_id if r.doc_id is not None else -1, *r[1:]) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("heavy", [20_000, 0])
+def test_short_periods_inside_one_run(spark, heavy):
+    rng = random.Random(31)
+    letters = iter("=-~+_^#@%&*/|<>§¶µ°ø")
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = []
+    for period in (1, 7, 100):
+        for n in (210, 260, 300, 301, 350, 400, 450):
+            unit = next(letters) if period == 1 else own(period)
+            part = (unit * n).encode()[:n].decode("utf-8", "ignore")
+            rows += [(len(rows), part, "en", "p", 0)] if n % 100 else [(len(rows), own(90) + part + own(150), "en", "p", 0)]
+    got = R.with_spans(R.keyed(frame(spark, rows)), heavy=heavy).select("doc_id", "text", "spans").mapInArrow(R._cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    want = brute(rows)
+    assert sorted(tuple(r) for r in got) == want and sum(r[2] > 0 for r in want) >= 18
+
+
 def test_query_and_empty(spark, tmp_path):
     rows = corpus()[:30]
     got = R.op4_repeated_passages(spark, save(frame(spark, rows), tmp_path)).collect()
