@@ -5,7 +5,9 @@ lower case without edge punctuation. Windows of `WINDOW` canonical words of ever
 windows of every text. Each hit keeps the true words, and for a (text, item) pair the slots must be filled consistently: an item's
 slot value always meets the same value in the text, and the other way round (so a question with new numbers or names is caught,
 but prose that merely has numbers in the same places is not). A pair counts if at least `COVER` of the item's windows are met in
-order along one alignment, that is with the same distance between places, give or take `SLIP` words.
+order along one alignment, that is with the same distance between places, give or take `SLIP` words. An alignment starts from one
+exact distance and takes what other distances add in order; slots are tested along it, not over all hits, since in a list of
+numbers every place meets its neighbours. Windows with the item's own words count without the slot test.
 
 The text side makes no row for a window without a hit: workers hold the benchmark's sorted window hashes, whose number is checked
 (`MAX_WINDOWS`); beyond that, windows are shuffled instead. Hits then meet the benchmark by a hash join, and are grouped by
@@ -17,6 +19,8 @@ their words; repeated rows and items each give their pairs once a row key (doc_i
 
 from __future__ import annotations
 
+from bisect import bisect, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,6 +124,57 @@ def _rows(batches, wanted=None):
             )
 
 
+def _one_to_one(chain) -> bool:
+    there, back = {}, {}
+    for node in chain:
+        for slot in node["slots"]:
+            kind, item, text = slot["kinds"], slot["item_words"], slot["words"]
+            if there.setdefault((kind, item), text) != text or back.setdefault((kind, text), item) != item:
+                return False
+    return True
+
+
+def longest(nodes: list[dict], least: float, most: int, slots: bool) -> int:
+    """Windows on the longest alignment of `least` or more that keeps the order of places (and fills slots one to one); 0 if none."""
+    lines: dict[int, list[dict]] = {}
+    for node in sorted(nodes, key=lambda x: x["item_place"]):
+        lines.setdefault(node["place"] - node["item_place"], []).append(node)
+    order, best = sorted(lines, key=lambda x: (-len(lines[x]), x)), 0
+    for seed in order:
+        chain, taken = {}, []
+        for line in [seed, *(x for x in order if x != seed)]:
+            held = dict(chain)
+            for node in lines[line]:
+                at = (node["item_place"], node["place"])
+                i = bisect(taken, at)
+                if (not i or taken[i - 1][0] < at[0] and taken[i - 1][1] < at[1]) and (i == len(taken) or at[0] < taken[i][0] and at[1] < taken[i][1]):
+                    insort(taken, at)
+                    chain[at] = node
+            if slots and len(chain) > len(held) and not _one_to_one(chain.values()):
+                if line == seed:
+                    break
+                chain, taken = held, sorted(held)  # a neighbour's hits, not this alignment's
+            if len(taken) >= least:
+                best = max(best, len(taken))
+        if best == most:
+            break
+    return best
+
+
+def _aligned(batches, cover):
+    """Bands of hits (k1, k2, item_id, item_windows, nodes) to those with an alignment that covers the item."""
+    for batch in batches:
+        rows = []
+        for k1, k2, item, most, nodes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            same = longest([x for x in nodes if x["same"]], cover * most, most, False)
+            n = same if same == most else max(same, longest(nodes, cover * most, most, True))
+            if n:
+                rows.append((k1, k2, item, most, n, same == n))
+        if rows:
+            kinds = [pa.int64()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "item_id", "item_windows", "n_windows", "exact"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) to pairs: doc_id, text_key, item_id, n_windows, item_windows, cover, exact."""
     spark = docs.sparkSession
@@ -134,20 +189,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ma
     else:
         hits = keyed.mapInArrow(_rows, SCHEMA).join(hashes, "hash", "left_semi").select("k1", "k2", "place", "hash", "words", "kinds")
     met = hits.dropDuplicates(["k1", "k2", "place", "hash"]).join(items, "hash").where("kinds = item_kinds")
-    # by alignment: places keep their distance; slot fillings must be one to one within it
+    # by alignment: places keep their distance; slot fillings must be one to one along it
     diagonal = F.floor((F.col("place") - F.col("item_place") + F.lit(0.0)) / SLIP)
     slots = F.expr("filter(arrays_zip(kinds, item_words, words), x -> x.kinds > 0)")
+    node = F.struct("item_place", "place", (F.col("words") == F.col("item_words")).alias("same"), slots.alias("slots"))
     both = met.withColumn("__side", F.explode(F.array(diagonal, diagonal + 1)))  # neighbours meet in one of two overlapping bands
-    pairs = both.groupBy("k1", "k2", "item_id", "item_key", "__side").agg(
-        F.count_distinct("item_place").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("__slots"),
-        F.min((F.col("words") == F.col("item_words")).cast("int")).alias("same"),
-    )
-    one_to_one = F.expr("size(array_distinct(transform(__slots, x -> struct(x.kinds, x.item_words)))) = size(__slots) AND size(array_distinct(transform(__slots, x -> struct(x.kinds, x.words)))) = size(__slots)")
-    totals = items.groupBy("item_id", "item_key").agg(F.count(F.lit(1)).alias("item_windows"))
-    told = pairs.withColumn("consistent", one_to_one).join(totals.withColumnRenamed("item_id", "i2"), "item_key").where(F.col("item_id").eqNullSafe(F.col("i2")))
-    good = told.where(F.col("consistent") & (F.col("n_windows") >= cover * F.col("item_windows")))
-    return good.groupBy("k1", "k2", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("same").cast("boolean").alias("exact")).select(
+    pairs = both.groupBy("k1", "k2", "item_id", "item_key", "__side").agg(F.collect_list(node).alias("nodes"), F.size(F.collect_set("item_place")).alias("__met"))
+    totals = items.groupBy("item_id", "item_key").agg(F.count_distinct("item_place").cast("long").alias("item_windows"))
+    told = pairs.join(totals.withColumnRenamed("item_id", "i2"), "item_key").where(F.col("item_id").eqNullSafe(F.col("i2")))
+    told = told.where(F.col("__met") >= cover * F.col("item_windows")).select("k1", "k2", "item_id", "item_windows", "nodes")
+    good = told.mapInArrow(lambda x: _aligned(x, cover), "k1 long, k2 long, item_id long, item_windows long, n_windows long, exact boolean")
+    return good.groupBy("k1", "k2", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("exact").alias("exact")).select(
         F.col("k1").alias("doc_id"), F.col("k2").alias("text_key"), "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("cover"), "exact"
     )
 

@@ -40,6 +40,23 @@ def test_planted(spark, tmp_path):
     assert sorted(r.doc_id for r in kept if (r.doc_id or 0) >= 10) == [12, 13, 15, 16] and len(kept) == len(CASES) + 4
 
 
+def test_lists_of_slots(spark):
+    """Places in a list meet their neighbours too; only the alignment counts."""
+    item = "Sort these: 12 7 3 9 15 4 8 22 1 6 and say which of them comes out in the middle"
+    other = "Sort these: 13 9 5 2 16 7 8 30 4 1 and say which of them comes out in the middle"
+    mixed = "Sort these: 13 13 5 2 16 13 8 30 4 1 and say which of them comes out in the middle"
+    docs = [(i, FILL + x + " " + FILL, "en", "s", 0) for i, x in enumerate([item, other, mixed])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: (r.n_windows == r.item_windows, r.exact) for r in B.contaminated(frame(spark, docs), bench).collect()}
+    assert found == {0: (True, True), 1: (True, False)}
+
+
+def test_alignment_over_an_insertion():
+    hit = lambda i, p, a, b: {"item_place": i, "place": p, "same": False, "slots": [{"kinds": 1, "item_words": a, "words": b}]}
+    nodes = [hit(i, i + 5, "1", "4") for i in range(4)] + [hit(i, i + 6, "2", "5") for i in range(6, 10)] + [hit(5, 9, "3", "5")]
+    assert B.longest(nodes, 6, 10, True) == 8 and B.longest(nodes, 9, 10, True) == 0
+
+
 def test_shuffled_way_agrees(spark, tmp_path):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, CASES + DOCS)
