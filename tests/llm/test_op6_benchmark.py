@@ -51,6 +51,20 @@ def test_lists_of_slots(spark):
     assert found == {0: (True, True), 1: (True, False)}
 
 
+def test_names_that_open_sentences(spark):
+    items = [(1, "Tom has 5 apples. Tom gives 2 to Ann. How many apples does Tom have?"), (2, "Yesterday the shop of Mary sold 14 red hats and 9 blue ones, so what did Mary earn in all?")]
+    docs = [
+        (0, FILL + "Bob has 7 apples. Bob gives 3 to Sue. How many apples does Bob have? " + FILL, "en", "s", 0),
+        (1, FILL + "Bob has 7 apples. Sue gives 3 to Bob. How many apples does Ann have? " + FILL, "en", "s", 0),
+        (2, FILL + "Yesterday the shop of Mary Ann Smith sold 11 red hats and 6 blue ones, so what did Mary Ann Smith earn in all? " + FILL, "en", "s", 0),
+        (3, FILL + "Yesterday the shop of Mary Ann Smith sold 11 red hats and 6 blue ones, so what did John earn in all? " + FILL, "en", "s", 0),
+        (4, items[0][1], "en", "s", 0),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.exact for r in B.contaminated(frame(spark, docs), bench).collect()}
+    assert {x for x in found if x != (3, 2)} == {(0, 1), (2, 2), (4, 1)} and found[4, 1] and not found[0, 1]
+
+
 def test_alignment_over_an_insertion():
     hit = lambda i, p, a, b: {"item_place": i, "place": p, "same": False, "slots": [{"kinds": 1, "item_words": a, "words": b}]}
     nodes = [hit(i, i + 5, "1", "4") for i in range(4)] + [hit(i, i + 6, "2", "5") for i in range(6, 10)] + [hit(5, 9, "3", "5")]
