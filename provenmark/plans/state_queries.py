@@ -284,12 +284,14 @@ def p45(spark, sf):
 def j16(spark, sf):
     """Pages that contain a ground text. The bank is small by nature; its size is Spark's to check before it broadcasts.
 
-    A page that contains a text has its longest word too, so words make an equi-join before the search. A first or last word
-    that goes on in the page is no whole word there; such texts are cut at blanks by the bank.
+    A page that contains a text has its words between the first and the last as whole words too, so the longest of those makes an
+    equi-join before the search. The first and the last may go on in the page; texts of one or two words are searched in every page.
     """
-    bank = X.table(spark, sf, "benchmark").select("item_id", text.audit_form("text").alias("ground"))
-    bank = bank.withColumn("word", F.element_at(F.array_sort(F.split("ground", " "), lambda a, b: F.length(b) - F.length(a)), 1))
-    pages = X.table(spark, sf, "documents").select("doc_id", text.audit_form("text").alias("page"))
-    inner = pages.select("doc_id", "page", F.explode(F.array_distinct(F.split("page", " "))).alias("word")).join(bank, "word")
-    found = inner.where(F.contains("page", F.col("ground"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
+    bank = X.table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", text.audit_form("text").alias("ground")).withColumn("words", F.split("ground", " "))
+    pages = X.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.audit_form("text").alias("page"))
+    within = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
+    long = bank.where("size(words) > 2").withColumn("word", F.element_at(F.array_sort(within, lambda a, b: F.length(b) - F.length(a)), 1))
+    held = pages.select("page", F.explode(F.array_distinct(F.split("page", " "))).alias("word")).join(long, "word").where(F.contains("page", F.col("ground"))).select("item_id")
+    short = pages.join(bank.where("size(words) <= 2"), F.contains("page", F.col("ground"))).select("item_id")
+    found = held.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
     return X.table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))
