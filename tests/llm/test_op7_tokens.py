@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from provenmark.llm import op7_tokens as K
@@ -35,5 +37,26 @@ def test_memory_bound_and_empty(spark, tmp_path):
     for i in range(50):
         text = f"zqxv{i} qqzzx{i * 7} vvkkj{i}"
         assert counter.count(text) == len(library.encode(text).ids)
-        assert len(counter.known) <= counter.room + 20
+        assert len(counter.spaced) <= counter.room + 20
     assert K.op7_token_counts(spark, save(spark.createDataFrame([], SCHEMA), tmp_path)).count() == 0
+
+
+def test_pieces_count_like_whole_texts():
+    path = str(public.path("byte_bpe_50k.json"))
+    counter, library = K.Counter(path, K.whole_tokens(path)), tokenizers.Tokenizer.from_file(path)
+    drawn = random.Random(5)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "12", "\u00e9", ".", "!?", "\u00a0", "\u200b", "\u3000", "\u4e2d", "\x85", "e\u0301", "\r\n", "\U0001f600", "_", " x", " \n", "\u00aa", "\u0345"]
+    for _ in range(5000):
+        text = "".join(drawn.choices(parts, k=drawn.randint(0, 12)))
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_merges_agree_with_the_library_on_strings_like_words():
+    path = str(public.path("byte_bpe_50k.json"))
+    singles, library, drawn = K.whole_tokens(path), tokenizers.Tokenizer.from_file(path), random.Random(6)
+    merge = K.merger(path, singles)
+    pool = sorted(singles)
+    for _ in range(5000):
+        word = "".join(drawn.choices(pool, k=drawn.randint(2, 4))).strip()
+        if len(K.regex.findall(K.PRE_TOKEN, word)) == 1:
+            assert list(merge(word)) == library.encode(word, add_special_tokens=False).ids
