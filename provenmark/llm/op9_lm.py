@@ -3,8 +3,9 @@
 Texts fall into chunks of about `chunk_bytes` by a hash, and n-grams into shards by the hash of their context. All tables are sorted
 arrays of hashes:
 
-1. Each chunk sends to each shard its distinct bigrams there, with the counts of its training texts: contexts as 64-bit hashes, next
-   words as 48 bits within their context, packed; words likewise go to word shards. That is the combining before the shuffle.
+1. Texts go to their chunks in compressed blocks. Each chunk sends to each shard its distinct bigrams there, with the counts of its
+   training texts: contexts and next words as 64-bit hashes, each once, and places in them; words likewise go to word shards. That is
+   the combining before the shuffle.
 2. A shard merges what chunks sent into counts and context statistics, and answers each chunk in the chunk's own order. It also
    sends the number of contexts of each next word to the word shards, which sum continuation counts and word counts likewise.
 3. Counts of counts (a dozen numbers) give the discounts.
@@ -20,18 +21,20 @@ without training texts every token has probability 1; other columns are not read
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .words import buffers, mix, split
 
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES, BLOCK_BYTES = 12_000_000, 24_000_000
 FOLD = 7
 END = mix(np.array([77], np.uint64))
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -39,14 +42,46 @@ BLOBS = "kind string, target int, source int, a binary, b binary, c binary, numb
 _FIELDS = pa.schema([("kind", pa.string()), ("target", pa.int32()), ("source", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("numbers", pa.list_(pa.int64()))])
 
 
-def pack(values: np.ndarray, size: int = 6) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+def pack(values: np.ndarray) -> bytes:
+    return values.astype("<u8").tobytes()
 
 
-def unpack(raw: bytes, size: int = 6) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return out.view("<u8").ravel()
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
+
+
+def _blocks(batches):
+    """Rows (doc_id, text, train, held_out, chunk) to (chunk, block), a compressed table of the rows of a chunk that stand near each other."""
+
+    def sent(held):
+        rows = pa.Table.from_batches(held)
+        order = pc.sort_indices(rows["chunk"])
+        rows = rows.take(order)
+        chunk = rows["chunk"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+        blocks = []
+        for a, b in itertools.pairwise(cuts):
+            sink = pa.BufferOutputStream()
+            part = rows.slice(a, b - a).drop_columns(["chunk"]).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            blocks.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]], pa.int32()), pa.array(blocks, pa.binary())], ["chunk", "block"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > BLOCK_BYTES:
+            yield sent(held)
+            held, size = [], 0
+    if held:
+        yield sent(held)
+
+
+def _opened(part: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in part["block"]])
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -80,7 +115,7 @@ class Chunk:
         self.pair_count = np.bincount(self.pair, weight, len(pairs)).astype(np.int64)
         self.word_count = np.bincount(self.index, weight, len(self.word)).astype(np.int64)
         self.context, self.next = pairs // len(self.word), pairs % len(self.word)
-        self.word_shard = shard_of(self.word >> np.uint64(16), shards)
+        self.word_shard = shard_of(self.word, shards)
         self.pair_shard = shard_of(self.word, shards)[self.context]
 
 
@@ -103,13 +138,15 @@ def _table(rows: list[tuple]) -> pa.Table:
 def _send(shards: int):
     def sent(part: pa.Table) -> pa.Table:
         me = part["chunk"][0].as_py()
+        part = _opened(part)
         chunk = Chunk(part["text"], part["train"].to_numpy(zero_copy_only=False), shards)
         rows = []
         for s, at in by_shard(chunk.pair_shard).items():
-            contexts, first, sizes = np.unique(chunk.context[at], return_index=True, return_counts=True)
-            rows.append(("pairs", s, me, pack(chunk.word[contexts], 8), pack(chunk.word[chunk.next[at]] >> np.uint64(16)), squeeze(np.concatenate([sizes, chunk.pair_count[at]])), None))
+            contexts, sizes = np.unique(chunk.context[at], return_counts=True)
+            nexts, place = np.unique(chunk.next[at], return_inverse=True)
+            rows.append(("pairs", s, me, pack(chunk.word[contexts]), pack(chunk.word[nexts]), squeeze(np.concatenate([sizes, place, chunk.pair_count[at]])), None))
         for s, at in by_shard(chunk.word_shard).items():
-            rows.append(("words", s, me, pack(chunk.word[at] >> np.uint64(16)), None, squeeze(chunk.word_count[at]), None))
+            rows.append(("words", s, me, pack(chunk.word[at]), None, squeeze(chunk.word_count[at]), None))
         return _table(rows)
 
     return sent
@@ -120,20 +157,22 @@ def _merge_pairs(shards: int):
         if part["kind"][0].as_py() == "words":  # merged later, with what the pair shards add
             return part.cast(_FIELDS)
         got = part.select(["source", "a", "b", "c"]).to_pylist()
-        contexts, sizes, counts = [], [], []
+        contexts, nexts, sizes, counts = [], [], [], []
         for r in got:
-            v, n = unpack(r["a"], 8), loosen(r["c"])
-            contexts.append(np.repeat(v, n[: len(v)]))
-            sizes.append(len(n) - len(v))
-            counts.append(n[len(v) :])
-        v, w, count = np.concatenate(contexts), np.concatenate([unpack(r["b"]) for r in got]), np.concatenate(counts)
+            v, n = unpack(r["a"]), loosen(r["c"])
+            of_context, place, count = np.split(n, [len(v), len(v) + (len(n) - len(v)) // 2])
+            contexts.append(np.repeat(v, of_context))
+            nexts.append(unpack(r["b"])[place])
+            sizes.append(len(place))
+            counts.append(count)
+        v, w, count = np.concatenate(contexts), np.concatenate(nexts), np.concatenate(counts)
         _, index, back = np.unique(mix(v * _MUL + w), return_index=True, return_inverse=True)
         total = np.bincount(back, count, len(index)).astype(np.int64)
         context, of = np.unique(v[index], return_inverse=True)
         stats = [np.bincount(of, total, len(context))] + [np.bincount(of, k, len(context)) for k in (total == 1, total == 2, total >= 3)]
         rows = [("sums", 0, 0, None, None, None, [int((total == k).sum()) for k in (1, 2, 3, 4)])]
         for r, entries, place in zip(got, np.split(total[back], np.cumsum(sizes)[:-1]), np.split(back, np.cumsum(sizes)[:-1]), strict=True):
-            mine = np.searchsorted(context, unpack(r["a"], 8))
+            mine = np.searchsorted(context, unpack(r["a"]))
             rows.append(("pairs", r["source"], part["target"][0].as_py(), squeeze(entries), squeeze(np.concatenate([s[mine] for s in stats]).astype(np.int64)), None, None))
         known = total > 0
         word, number = np.unique(w[index][known], return_counts=True)
@@ -187,8 +226,8 @@ class Slice:
 
 def _score(shards: int, known: dict):
     def scored(part: pa.Table, slices: pa.Table) -> pa.Table:
-        train = part["train"].to_numpy(zero_copy_only=False)
-        chunk = Chunk(part["text"], train, shards)
+        part = _opened(part)
+        chunk = Chunk(part["text"], part["train"].to_numpy(zero_copy_only=False), shards)
         counts, stats = np.zeros(len(chunk.next), np.int64), np.zeros((4, len(chunk.word)))
         nexts, total = np.zeros(len(chunk.word), np.int64), np.zeros(len(chunk.word), np.int64)
         pairs, words = by_shard(chunk.pair_shard), by_shard(chunk.word_shard)
@@ -244,6 +283,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, fold: int = FOL
         F.coalesce(rest == 2, F.lit(False)).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("chunk"),
     )
+    rows = rows.mapInArrow(_blocks, "chunk int, block binary")
     sent = rows.groupBy("chunk").applyInArrow(_send(shards), BLOBS)
     merged = cut(sent.groupBy("kind", "target").applyInArrow(_merge_pairs(shards), BLOBS))
     words = cut(merged.where("kind IN ('words', 'next')").groupBy("target").applyInArrow(_merge_words, BLOBS))
