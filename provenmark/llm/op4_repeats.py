@@ -6,16 +6,18 @@ Neighbouring windows with one anchor make a run, about one for 80 bytes.
 
 1. Runs are counted by anchor. An anchor with one run, in whose bytes its gram stands once, holds no repeat; that ends the work for
    most of the text. (A gram that stands twice in its run may be a short-period stretch, whose windows equal each other.)
-2. Runs whose anchor recurs: equal runs (by 128 bits of anchor and content) are repeats as a whole.
-3. The other runs of such anchors send their bytes to shards by anchor; equal runs send one copy as evidence. Each task builds
-   an enhanced suffix array (ranks by prefix doubling, LCPs from the ranks) for blocks of whole anchors and scans the LCPs with a
-   stack: intervals of the common-prefix tree with LCP of 200 or more hold the repeated starts, and those whose occurrences differ
-   in the byte before are the maximal repeats, with all their occurrences.
-4. An anchor with over `heavy` different runs is not sent to one task: its windows are counted by 128-bit digest, with partial
-   sums, and met again by a join; so a passage that a third of all texts share stays in small pieces.
-5. Spans are put together for each text, and the text is cut.
-
-Anchors, counts and joins are plain aggregates and joins, so hot anchors are summed before the shuffle or split by Spark.
+2. Runs whose anchor recurs are counted by 128 bits of anchor and content; equal runs go on as one string with its count. Where an
+   anchor has no other string, that string is a repeat with its count, and no tree is needed.
+3. The strings of other such anchors go to shards by anchor. Each task builds an enhanced suffix array (ranks by prefix doubling,
+   LCPs from the ranks) for blocks of whole anchors and scans the LCPs with a stack: intervals of the common-prefix tree with LCP of
+   200 or more whose occurrences differ in the byte before are the maximal repeats. Spans are their occurrences; a repeated start in
+   no such interval lies one byte or more behind one that is in a longer interval, so nothing is lost.
+4. An anchor with over `heavy` different strings is not sent to one task: its suffixes are cut at 200 bytes and counted by 128-bit
+   digest, with partial sums, and met again by a join; so a passage that a third of all texts share stays in small pieces.
+5. Spans are put together for each text, and the text is cut. `repeat_groups` returns the repeats themselves with all places.
+
+Anchors, counts and joins are plain aggregates and joins, so hot anchors are summed before the shuffle or split by Spark. The texts
+are shuffled once: the fetch of strings and the cut read the same exchange.
 
 Defined cases: null and empty texts have 0 bytes, nothing removed and the hash of no bytes; texts under 200 bytes lose nothing;
 repeated rows are texts that occur twice; a null doc_id is an ordinary row; other columns are not read.
@@ -35,7 +37,7 @@ from .common import cut, table
 from .words import buffers, mix
 
 LEAST, GRAM, PIECE = 200, 40, 256
-HEAVY = 2_000
+HEAVY = 8_000
 BLOCK_BYTES, TEXT_BYTES = 300_000, 1_000_000
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _INVERSE = np.array([pow(0x9E3779B97F4A7C15, -1, 1 << 64)], np.uint64)
@@ -143,11 +145,12 @@ class SuffixArray:
         data = np.frombuffer(b"".join(strings), np.uint8)
         begin = np.cumsum(sizes) - sizes
         self.least = least
-        rank = {8: np.unique(_view(data, ">u8"), return_inverse=True)[1].astype(np.int64)}
+        rank = {8: np.unique(_view(data, ">u8"), return_inverse=True)[1].astype(np.int32)}
         width, longest = 8, int(sizes.max(initial=0))
         while width < longest:
-            ahead = np.concatenate([rank[width][width:], np.zeros(min(width, len(data)), np.int64)])
-            rank[2 * width] = np.unique(rank[width] * (len(data) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+            key = rank[width].astype(np.int64) * (len(data) + 1)
+            key[: max(0, len(data) - width)] += rank[width][width:]
+            rank[2 * width] = np.unique(key, return_inverse=True)[1].astype(np.int32)
             width *= 2
         self.owner = np.repeat(np.arange(len(strings)), starts)
         self.offset = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
@@ -192,95 +195,145 @@ class SuffixArray:
                 if length:
                     stack.append((length, first, low, high))
 
-    def repeated(self) -> np.ndarray:
-        """Whether each valid start lies in an interval with LCP of `least` or more."""
-        out = np.zeros(len(self.order), bool)
-        near = self.lcp >= self.least
-        out[self.order[:-1][near]] = True
-        out[self.order[1:][near]] = True
-        return out
+LIGHT = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("rh", pa.int64()), ("own", pa.bool_()), ("bytes", pa.binary())])
+CUT = pa.schema([("digest", pa.binary()), ("d", pa.int64()), ("k", pa.int64()), ("s", pa.int64())])
+GROUPS = pa.schema([("group", pa.binary()), ("length", pa.int64()), ("m", pa.int64()), ("rh", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("own", pa.bool_())])
+SPANS = pa.schema([(c, pa.int64()) for c in "dkab"])
+
+
+def _batch(columns, schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _contexts(batches, least, heavy):
-    """Rows (d, k, text, wanted) to the bytes of wanted runs, or to window digests for heavy anchors."""
+    """Rows with text and wanted runs to the strings of those, or to digests of their windows for heavy anchors."""
+    schema = CUT if heavy else LIGHT
     for batch in batches:
         out = []
-        for d, k, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for d, k, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("d", "k", "text", "wanted")), strict=True):
             raw = text.encode()
             for run in wanted:
+                if run["is_heavy"] != heavy:
+                    continue
                 start, count = divmod(run["at"], 512)
                 if heavy:
-                    out += [(xxhash.xxh3_128_digest(raw[s : s + least]), d, k, s, run["own"]) for s in range(start, start + count)]
+                    out += [(xxhash.xxh3_128_digest(raw[s : s + least]), d, k, s) for s in range(start, start + count)]
                 else:
-                    out.append((run["m"], d, k, run["at"], run["own"], raw[start : start + count + least - 1]))
-        names = ["digest", "d", "k", "s", "own"] if heavy else ["m", "d", "k", "at", "own", "bytes"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()] if heavy else [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                    out.append((run["m"], d, k, run["at"], run["rh"], run["own"], raw[start : start + count + least - 1]))
         for i in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), kinds, strict=True)], names)
+            yield _batch(zip(*out[i : i + 20_000], strict=True), schema)
 
 
-def _scan(batches, least):
-    """Contexts sorted by anchor to spans (d, k, a, b) of repeated bytes."""
+def _trees(batches, least):
+    """(rows, tree) of blocks of whole anchors, from strings sorted by anchor."""
     held, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(LIGHT))), strict=True):
+            if size > BLOCK_BYTES and row[0] != held[-1][0]:
+                yield held, SuffixArray([r[6] for r in held], np.array([r[3] % 512 for r in held]), least)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[6])
+    if held:
+        yield held, SuffixArray([r[6] for r in held], np.array([r[3] % 512 for r in held]), least)
 
-    def spans(rows):
-        starts = np.array([r[3] % 512 for r in rows])
-        tree = SuffixArray([r[5] for r in rows], starts, least)
-        reach = np.where(tree.repeated(), least, 0)  # bytes repeated from each start on, in the order of contexts
+
+def _scan(batches, least):
+    """Strings to spans (d, k, a, b) of the occurrences of maximal repeats in those that stand alone."""
+    for rows, tree in _trees(batches, least):
+        reach = np.zeros(len(tree.order), np.int64)  # bytes repeated from each start on, in the order of strings
         for length, first, last in tree.maximal():
             places = tree.order[first : last + 1]
             reach[places] = np.maximum(reach[places], length)
-        own = np.array([r[4] for r in rows])
+        own = np.array([r[5] for r in rows])
         hit = np.flatnonzero((reach > 0) & own[tree.owner])
-        begin = tree.owner[hit] * 1024 + tree.offset[hit]  # contexts lie apart, so their spans never touch
+        begin = tree.owner[hit] * 1024 + tree.offset[hit]  # strings lie apart, so their spans never touch
         end = np.maximum.accumulate(begin + reach[hit]) if len(hit) else begin
         fresh = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(hit) else hit
         close = np.append(fresh[1:], len(hit))[: len(fresh)] - 1
         which = begin[fresh] // 1024
         base = np.array([r[3] // 512 for r in rows])[which] - which * 1024
         d, k = np.array([r[1] for r in rows], np.int64)[which], np.array([r[2] for r in rows], np.int64)[which]
-        cols = [d, k, base + begin[fresh], base + end[close]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "k", "a", "b"])
+        yield _batch([d, k, base + begin[fresh], base + end[close]], SPANS)
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if size > BLOCK_BYTES and row[0] != held[-1][0]:
-                yield spans(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[5])
-    if held:
-        yield spans(held)
+
+def _grouped(batches, least):
+    """Strings to a row for each occurrence of each maximal repeat."""
+    for rows, tree in _trees(batches, least):
+        out = []
+        for length, first, last in tree.maximal():
+            for place in tree.order[first : last + 1]:
+                m, d, k, at, rh, own, raw = rows[tree.owner[place]]
+                off = int(tree.offset[place])
+                out.append((xxhash.xxh3_128_digest(raw[off : off + length]), length, m, rh, d, k, at, off, own))
+            if len(out) > 20_000:
+                yield _batch(zip(*out, strict=True), GROUPS)
+                out = []
+        if out:
+            yield _batch(zip(*out, strict=True), GROUPS)
+
+
+def _sql(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+class Repeats:
+    """Runs of docs(doc_id, d, k, text) whose anchor recurs (`hits`), and their different strings with counts (`counted`)."""
+
+    def __init__(self, docs: DataFrame, least: int = LEAST, heavy: int = HEAVY):
+        self.docs, self.least = docs, least
+        runs = docs.select("d", "k", "text").mapInArrow(lambda x: _runs(x, least), RUNS)
+        anchors = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).where("c > 1 OR again").select("m")
+        self.hits = cut(runs.drop("again").join(anchors, "m", "left_semi"))
+        counted = self.hits.groupBy("m", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "at")).alias("one"))
+        self.counted = cut(counted)
+        kinds = self.counted.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).select("m", "kinds", (F.col("kinds") > heavy).alias("is_heavy"))
+        self.wanted = cut(self.counted.join(kinds, "m").where("kinds > 1 OR c = 1").select("m", "rh", "one.*", (F.col("c") == 1).alias("own"), "is_heavy"))
+        self.whole = self.hits.join(self.counted.where("c > 1").select("m", "rh"), ["m", "rh"], "left_semi")
+
+    def strings(self, is_heavy: bool) -> DataFrame:
+        by = self.wanted.groupBy("d", "k").agg(F.collect_list(F.struct("m", "rh", "at", "own", "is_heavy")).alias("wanted"))
+        once = self.docs.join(by, ["d", "k"]).select("doc_id", "d", "k", "text", "wanted")
+        least = self.least
+        found = once.mapInArrow(lambda x: _contexts(x, least, is_heavy), _sql(CUT if is_heavy else LIGHT))
+        return found if is_heavy else found.repartition("m").sortWithinPartitions("m", "d", "k", "at")
+
+    def twice(self, digests: DataFrame) -> DataFrame:
+        return digests.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
+
+    def spans(self) -> DataFrame:
+        """Spans (d, k, a, b) of bytes in repeats; spans may overlap."""
+        start, least = F.floor(F.col("at") / 512), self.least
+        spans = self.whole.select("d", "k", start.alias("a"), (start + F.col("at") % 512 + least - 1).alias("b"))
+        spans = spans.unionByName(self.strings(False).mapInArrow(lambda x: _scan(x, least), _sql(SPANS)))
+        if self.wanted.where("is_heavy").isEmpty():
+            return spans
+        digests = self.strings(True)
+        return spans.unionByName(digests.join(self.twice(digests), "digest", "left_semi").select("d", "k", F.col("s").alias("a"), (F.col("s") + least).alias("b")))
+
+    def groups(self) -> DataFrame:
+        """Every place (d, k, start) of each repeat (group, length): maximal ones of the trees, whole strings, cut suffixes of heavy anchors."""
+        start, least = F.floor(F.col("at") / 512), self.least
+        found = self.strings(False).mapInArrow(lambda x: _grouped(x, least), _sql(GROUPS))
+        alone = found.where("own").select("group", "length", "d", "k", (start + F.col("off")).alias("start"))
+        copies = self.hits.select("m", "rh", "d", "k", start.alias("from"))
+        counted = found.where("NOT own").select("group", "length", "m", "rh", "off").join(copies, ["m", "rh"]).select("group", "length", "d", "k", (F.col("from") + F.col("off")).alias("start"))
+        named = F.md5(F.concat(F.col("m").cast("binary"), F.col("rh").cast("binary"))).cast("binary")
+        whole = self.whole.select(named.alias("group"), (F.col("at") % 512 + least - 1).alias("length"), "d", "k", start.alias("start"))
+        digests = self.strings(True)
+        cut_ = digests.join(self.twice(digests), "digest", "left_semi").select(F.col("digest").alias("group"), F.lit(least).cast("long").alias("length"), "d", "k", F.col("s").alias("start"))
+        return alone.unionByName(counted).unionByName(whole).unionByName(cut_)
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
-    """docs(d, k, text) to spans (d, k, a, b) of bytes in repeated windows; spans may overlap."""
-    runs = docs.select("d", "k", "text").mapInArrow(lambda x: _runs(x, least), RUNS)
-    seen = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.max("again").alias("again"))
-    anchors = seen.where("c > 1 OR again").select("m", F.expr("c = 1 OR lo != hi").alias("mixed"))
-    hits = cut(runs.drop("again").join(anchors, "m"))
-    counted = hits.where("mixed").groupBy("m", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "at")).alias("one"))
-    counted = cut(counted)
-    kinds = counted.groupBy("m").agg((F.count(F.lit(1)) > heavy).alias("is_heavy"))
-    alone = counted.where("c = 1").select("m", "one.*", F.lit(True).alias("own"))
-    evidence = counted.where("c > 1").select("m", "one.*", F.lit(False).alias("own"))
-    wanted = cut(alone.unionByName(evidence).join(kinds, "m"))
-    whole = hits.where("NOT mixed").select("d", "k", "at").unionByName(hits.where("mixed").join(counted.where("c > 1").select("m", "rh"), ["m", "rh"], "left_semi").select("d", "k", "at"))
-    spans = whole.select("d", "k", F.floor(F.col("at") / 512).alias("a"), (F.floor(F.col("at") / 512) + F.col("at") % 512 + least - 1).alias("b"))
-
-    def bytes_of(rows, is_heavy, schema):
-        by = rows.groupBy("d", "k").agg(F.collect_list(F.struct("m", "at", "own")).alias("wanted"))
-        once = docs.select("d", "k", "text").join(by, ["d", "k"])
-        return once.select("d", "k", "text", "wanted").mapInArrow(lambda x: _contexts(x, least, is_heavy), schema)
-
-    light = bytes_of(wanted.where("NOT is_heavy"), False, "m long, d long, k long, at long, own boolean, bytes binary")
-    scanned = light.repartition("m").sortWithinPartitions("m", "d", "k", "at").mapInArrow(lambda x: _scan(x, least), "d long, k long, a long, b long")
-    spans = spans.unionByName(scanned)
-    if not wanted.where("is_heavy").isEmpty():
-        digests = cut(bytes_of(wanted.where("is_heavy"), True, "digest binary, d long, k long, s long, own boolean"))
-        twice = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
-        spans = spans.unionByName(digests.where("own").join(twice, "digest", "left_semi").select("d", "k", F.col("s").alias("a"), (F.col("s") + least).alias("b")))
-    return spans
+    return Repeats(docs, least, heavy).spans()
+
+
+def repeat_groups(docs: DataFrame, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
+    """docs(doc_id, text) to doc_id, k (a row's hash), group, length, start: each place of each repeated passage, in bytes."""
+    base = keyed(docs)
+    return Repeats(base, least, heavy).groups().join(base.select("doc_id", "d", "k").distinct(), ["d", "k"]).select("doc_id", "k", "group", "length", "start")
 
 
 def _merge(spans: list, size: int) -> list[tuple[int, int]]:
@@ -304,7 +357,7 @@ def _left(raw: bytes, spans) -> bytes:
 def _cut_texts(batches):
     for batch in batches:
         rows = []
-        for d, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for d, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
             raw = (text or "").encode()
             merged = _merge(spans, len(raw))
             rows.append((d, len(raw), sum(b - a for a, b in merged), len(merged), hashlib.sha256(_left(raw, merged)).hexdigest()))
@@ -327,7 +380,7 @@ def with_spans(docs: DataFrame, least: int = LEAST, heavy: int = HEAVY) -> DataF
 
 def op4_repeated_passages(spark, sf_dir: str) -> DataFrame:
     found = with_spans(keyed(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "text", "spans").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "d", "k", "text", "spans").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _strip(batches):

@@ -115,13 +115,34 @@ def test_maximal_repeats():
             if len(places) > 1 and len(ahead) > 1 and len(behind) > 1:
                 want[text] = sorted(places)
     assert got == want
-    flagged = {(int(i), int(o)) for i, o in zip(tree.owner[tree.repeated()], tree.offset[tree.repeated()], strict=True)}
-    assert flagged == {(i, o + k) for places_text, places in want.items() for i, o in places for k in range(len(places_text) - least + 1)}
+    covered = {(i, o + k) for text, places in got.items() for i, o in places for k in range(len(text) - least + 1)}
+    where = defaultdict(list)
+    for i, r in enumerate(raws):
+        for o in range(len(r) - least + 1):
+            where[r[o : o + least]].append((i, o))
+    assert covered == {p for places in where.values() if len(places) > 1 for p in places}
+
+
+@pytest.mark.parametrize("heavy", [20_000, 2])
+def test_groups(spark, heavy):
+    """Groups are equal bytes at two places or more, and together they cover what is removed."""
+    rows = [(i, *r[1:]) for i, r in enumerate(corpus())]
+    raws = {r[0]: (r[1] or "").encode() for r in rows}
+    groups = defaultdict(set)
+    for r in R.repeat_groups(frame(spark, rows), heavy=heavy).collect():
+        groups[bytes(r.group), r.length].add((r.doc_id, r.start))
+    gone = {i: bytearray(len(raw)) for i, raw in raws.items()}
+    for (_, n), places in groups.items():
+        assert n >= 200 and len(places) > 1 and len({raws[i][s : s + n] for i, s in places}) == 1
+        for i, s in places:
+            gone[i][s : s + n] = b"\x01" * n
+    assert {i: sum(g) for i, g in gone.items()} == {i: n for i, _, n, *_ in brute(rows)}
 
 
 def test_strip(spark):
     rows = corpus()
     out = {r.doc_id: r for r in R.strip_repeats(frame(spark, rows)).collect() if r.doc_id is not None}
     assert out[301].text == dict((r[0], r[1]) for r in rows)[301] and 300 in out and "7000" not in out and 7000 not in out
-    assert 303 in out or True
+    want = {i: removed < size for i, size, removed, *_ in brute(rows) if i >= 100}
+    assert {i for i in out if i >= 100} == {i for i, left in want.items() if left}
     assert list(R.strip_repeats(frame(spark, rows)).columns) == frame(spark, rows).columns
