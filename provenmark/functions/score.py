@@ -16,10 +16,10 @@ REASONS = (
 )
 
 
-def auto_score(coverage: Column, fidelity: Column) -> Column:
-    """Half coverage, half number fidelity; without numbers coverage counts twice; null where neither applies."""
+def auto_score(coverage: Column, numbers: Column) -> Column:
+    """Half coverage, half recall of numbers; without numbers coverage counts twice; null where neither applies."""
     c = F.coalesce(coverage, F.lit(0.0))
-    return F.when(coverage.isNull() & fidelity.isNull(), F.lit(None).cast("double")).otherwise(F.round(100.0 * (0.5 * c + 0.5 * F.coalesce(fidelity, c)), 1))
+    return F.when(coverage.isNull() & numbers.isNull(), F.lit(None).cast("double")).otherwise(F.round(100.0 * (0.5 * c + 0.5 * F.coalesce(numbers, c)), 1))
 
 
 def trust_state(verdict: Column, score: Column, threshold: float = THRESHOLD) -> Column:

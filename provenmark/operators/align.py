@@ -84,9 +84,9 @@ def counted(texts: DataFrame, tokens, key: str = "rel") -> DataFrame:
 
 
 def evaluate(pairs: DataFrame) -> DataFrame:
-    """J5 without alignment: (rel, src_text, md_text) to coverage, number_fidelity, auto_score and counts."""
+    """J5 without alignment: (rel, src_text, md_text) to coverage, number_recall, auto_score and counts."""
     cov = recall(counted(pairs, text.word_tokens("src_text")), counted(pairs, text.word_tokens("md_text"))).withColumnRenamed("recall", "coverage")
-    fid = recall(counted(pairs, text.extract_numbers("src_text")), counted(pairs, text.extract_numbers("md_text"))).withColumnRenamed("recall", "number_fidelity")
+    nums = recall(counted(pairs, text.extract_numbers("src_text")), counted(pairs, text.extract_numbers("md_text"))).withColumnRenamed("recall", "number_recall")
     base = pairs.select("rel", text.count_text("src_text")["words"].alias("src_words"), text.count_text("md_text")["words"].alias("md_words"))
-    out = base.join(cov, "rel", "left").join(fid, "rel", "left")
-    return out.withColumn("auto_score", score.auto_score(F.col("coverage"), F.col("number_fidelity")))
+    out = base.join(cov, "rel", "left").join(nums, "rel", "left")
+    return out.withColumn("auto_score", score.auto_score(F.col("coverage"), F.col("number_recall")))

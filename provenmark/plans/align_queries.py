@@ -143,7 +143,7 @@ r_{name} AS (SELECT rel, sum(least(n, coalesce(m, 0))) / sum(n) AS {name} FROM t
 
 
 NUMS = r"list_transform(regexp_extract_all({0}, '(?i)[-+]?\d+(?:[.,]\d+)*\s*(?:mm|cm|m|km|kPa|MPa|Pa|°C|C|kW|MW|V|A|mA|mL|L/s|L|Hz|kHz|MHz|%|s|ms|N|kN|Nm|kg|t)?'), lambda x: CASE WHEN regexp_matches(lower(regexp_replace(x, '\s+', '', 'g')), '^\d{{1,3}}(,\d{{3}})+([^\d,.]|$)') THEN replace(lower(regexp_replace(x, '\s+', '', 'g')), ',', '') ELSE replace(lower(regexp_replace(x, '\s+', '', 'g')), ',', '.') END)"
-EVALUATE = X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'coverage')}, {_recall('pairs', NUMS, 'number_fidelity')}, ev AS (SELECT pairs.rel, coverage, number_fidelity FROM pairs LEFT JOIN r_coverage USING (rel) LEFT JOIN r_number_fidelity USING (rel))").replace("\n, ta_", ",\nta_")
+EVALUATE = X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'coverage')}, {_recall('pairs', NUMS, 'number_recall')}, ev AS (SELECT pairs.rel, coverage, number_recall FROM pairs LEFT JOIN r_coverage USING (rel) LEFT JOIN r_number_recall USING (rel))").replace("\n, ta_", ",\nta_")
 
 
 @register("j4_word_coverage", EVALUATE + " SELECT rel, round(coverage, 9) AS recall FROM ev WHERE coverage IS NOT NULL")
@@ -152,16 +152,16 @@ def j4(spark, sf):
     return align.recall(align.counted(p, text.word_tokens("src_text")), align.counted(p, text.word_tokens("md_text"))).withColumn("recall", F.round("recall", 9))
 
 
-@register("j4_number_fidelity", X.with_("numtext", f", {_recall('numtext', NUMS, 'recall')} SELECT rel, round(recall, 9) AS recall FROM r_recall").replace("\n, ta_", ",\nta_"))
+@register("j4_number_recall", X.with_("numtext", f", {_recall('numtext', NUMS, 'recall')} SELECT rel, round(recall, 9) AS recall FROM r_recall").replace("\n, ta_", ",\nta_"))
 def j4n(spark, sf):
     p = X.numtext(spark, sf)
     return align.recall(align.counted(p, text.extract_numbers("src_text")), align.counted(p, text.extract_numbers("md_text"))).withColumn("recall", F.round("recall", 9))
 
 
-@register("j5_evaluate", EVALUATE + " SELECT rel, round(coverage, 9) AS coverage, round(number_fidelity, 9) AS number_fidelity, CASE WHEN coverage IS NULL AND number_fidelity IS NULL THEN NULL ELSE round(100.0 * (0.5 * coalesce(coverage, 0) + 0.5 * coalesce(number_fidelity, coverage, 0)), 1) END AS auto_score FROM ev")
+@register("j5_evaluate", EVALUATE + " SELECT rel, round(coverage, 9) AS coverage, round(number_recall, 9) AS number_recall, CASE WHEN coverage IS NULL AND number_recall IS NULL THEN NULL ELSE round(100.0 * (0.5 * coalesce(coverage, 0) + 0.5 * coalesce(number_recall, coverage, 0)), 1) END AS auto_score FROM ev")
 def j5(spark, sf):
     e = align.evaluate(X.pairs(spark, sf))
-    return e.select("rel", F.round("coverage", 9).alias("coverage"), F.round("number_fidelity", 9).alias("number_fidelity"), "auto_score")
+    return e.select("rel", F.round("coverage", 9).alias("coverage"), F.round("number_recall", 9).alias("number_recall"), "auto_score")
 
 
 @register("u1_missing_words", X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'x')} SELECT rel, token, n - coalesce(m, 0) AS missing FROM ta_x LEFT JOIN tb_x USING (rel, token) WHERE n > coalesce(m, 0)").replace("\n, ta_", ",\nta_"))

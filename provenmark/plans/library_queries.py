@@ -13,14 +13,14 @@ from . import fixtures as X
 from .registry import register
 
 
-@register("s8_html_to_markdown")
+@register("s8_html_to_markdown", f"SELECT page_id, {html.markdown_sql('html')} AS body FROM pages")
 def s8(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", html.to_markdown("html").alias("body"))
 
 
-@register("s9_raw_html_text", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', '', 'g')) AS n_chars FROM pages")
+@register("s9_raw_html_text", f"SELECT page_id, md5({html.raw_sql('html')}) AS text_hash FROM pages")
 def s9(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", F.length(F.regexp_replace(html.raw_text("html", unescape=False), r"\s+", "")).cast("long").alias("n_chars"))
+    return X.table(spark, sf, "pages").select("page_id", F.md5(html.raw_text("html")).alias("text_hash"))
 
 
 @register("s10_sections", X.with_("docs s", ", h AS (SELECT rel, n, sum(CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rel ORDER BY n) AS section, line FROM s) SELECT rel, section, count(*) AS lines, sum(length(line)) AS chars FROM h GROUP BY rel, section").replace("\n, h AS", ",\nh AS"))
