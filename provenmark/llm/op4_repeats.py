@@ -319,7 +319,7 @@ class Repeats:
         alone = found.where("own").select("group", "length", "d", "k", (start + F.col("off")).alias("start"))
         copies = self.hits.select("m", "rh", "d", "k", start.alias("from"))
         counted = found.where("NOT own").select("group", "length", "m", "rh", "off").join(copies, ["m", "rh"]).select("group", "length", "d", "k", (F.col("from") + F.col("off")).alias("start"))
-        named = F.md5(F.concat(F.col("m").cast("binary"), F.col("rh").cast("binary"))).cast("binary")
+        named = F.encode(F.md5(F.encode(F.concat_ws(" ", "m", "rh"), "UTF-8")), "UTF-8")
         whole = self.whole.select(named.alias("group"), (F.col("at") % 512 + least - 1).alias("length"), "d", "k", start.alias("start"))
         digests = self.strings(True)
         cut_ = digests.join(self.twice(digests), "digest", "left_semi").select(F.col("digest").alias("group"), F.lit(least).cast("long").alias("length"), "d", "k", F.col("s").alias("start"))
