@@ -1,19 +1,20 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character 3- to 5-grams (with edge marks, hashed to buckets) and of its own bucket; a
-passage of ten words is the mean of its words; a linear softmax gives two logits. Embeddings and softmax are trained together by
-Adam on passages, each with its text's label: passages without a telling word cancel out between the labels. A text is then
-scored by the highest logit of its words (bags of subwords under the same softmax), so one word decides in a text of any length;
-scale and shift of that logit are fitted on the sample's texts. A misspelt word shares most n-grams with the word it stands for.
+passage of five words is the mean of its words; a linear softmax gives two logits. Embeddings and softmax are trained together by
+Adam on passages, each with its text's label: passages without a telling word cancel out between the labels. A text is scored by
+the same passages: the difference of the two logits of each is what the softmax sees, and the highest of a text, scaled and shifted
+by two numbers fitted on the sample's texts, is its score; so one passage decides in a text of any length. A misspelt word shares
+most n-grams with the word it stands for.
 
 Training uses a bounded sample of labelled rows on the driver: at most `sample` rows of each label, with texts of at most
 `sample_bytes` bytes, chosen by a hash of the doc_id, so reruns agree. Because everything after the embedding is linear, the
-model that is broadcast is one float for each bucket. Words of under one
-in RARE of the sample's texts are left out of training, since they only name their text; in scoring each counts by its n-grams.
-Scoring covers every row and whole texts, without a shuffle.
+model that is broadcast is one float for each bucket. Words of fewer than RARE of the sample's texts are left out of training,
+since they only name their text; in scoring each counts by its n-grams. Scoring covers every row and whole texts, without a shuffle.
 
 Defined cases: null and empty texts, and texts of spaces, score 0; a null doc_id is not held out and never learned from; without
-labels of both kinds every score is 0; repeated rows score alike; only doc_id and text are read of documents.
+labels of both kinds every score is 0; a doc_id that is labelled both ways counts as toxic; repeated rows score alike; only doc_id
+and text are read of documents.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import LOWER, Words, blocks, buffers, hash_spans, mix, split
 
-BUCKETS, WIDTH, PASSAGE = 1 << 17, 8, 10
+BUCKETS, WIDTH, PASSAGE = 1 << 17, 8, 5
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
-ROUNDS, RARE, RATE, DECAY, FLOOR = 60, 150, 0.05, 1e-5, 1e-5
+ROUNDS, RARE, RATE, DECAY, FLOOR = 60, 3, 0.05, 1e-5, 1e-5
 THRESHOLD = 0.7
 _SALT = np.array([0x9E3779B97F4A7C15], np.uint64)
 
@@ -80,7 +81,6 @@ class Bags:
         self.text = text[self.passage]  # ascending
         self.n = len(counts)
         self.full = np.unique(self.text)  # texts with words
-        self.first = words.first[self.full]
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
         """Mean of the values of each distinct word's buckets."""
@@ -91,16 +91,16 @@ class Bags:
         return np.add.reduceat(means[self.word], self.passage, axis=0) / self.sizes[:, None]
 
     def peaks(self, model: np.ndarray) -> np.ndarray:
-        """The highest word logit of each text with words."""
-        means = np.add.reduceat(model[self.buckets].astype(float), self.at[:-1]) / np.diff(self.at)
-        return np.maximum.reduceat(means[self.word], self.first)
+        """The highest passage logit of each text with words."""
+        logits = self.passages(self.word_means(model[:, None].astype(float)))[:, 0]
+        return np.maximum.reduceat(logits, np.searchsorted(self.text, self.full))
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 7, rare: int = RARE) -> tuple[np.ndarray, float, float]:
     """One float a bucket and a bias, for pooled logits; zeros and -inf if a label is missing."""
     if len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0, float("-inf")
-    bags = Bags(*buffers(pa.array(texts, pa.large_string())), max(2, len(texts) // rare))
+    bags = Bags(*buffers(pa.array(texts, pa.large_string())), rare)
     y = labels[bags.text].astype(int)
     each = 0.5 / np.maximum(1, np.bincount(y, minlength=2))[y]
     drawn = np.random.default_rng(seed)
@@ -149,11 +149,12 @@ def score_batch(model: tuple[np.ndarray, float, float], offsets: np.ndarray, dat
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float, float]:
     """A model from rows whose crc32(doc_id) mod 3 is not 1."""
     marked = labels.where("toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 3 != 1").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    fit = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+    marked = marked.join(fit.select("doc_id"), "doc_id", "left_semi")  # ids alone
     chosen = None
     for label in (0, 1):
         part = marked.where(F.col("__toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    fit = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
     rows = fit.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).collect()  # both sides bounded by the sample
     return train([r.text for r in rows], np.array([r["__toxic"] for r in rows]))
 
