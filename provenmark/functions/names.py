@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Families of standards, codes without a number, and the kinds of file by extension.
+FAMILY = r"(?i)(?<![A-Za-z])(AS\s*[/_-]\s*NZS|AS|NZS|ISO|IEC|EN|BS|ASME|ANSI|NFPA)[\s_-]*(\d{2,5}(?:\.\d+)*)"
+CODE = r"(?i)(?<![A-Za-z])(NCC|BCA)(?![A-Za-z])"
 SERIES = r"(?i)\b((?:AS/NZS|AS|NZS|ISO|EN|IEC|BS|ASTM|NFPA)[ _-]?\d{2,5}(?:\.\d+)*)"
-KINDS = {"pdf": ("pdf",), "image": ("png", "jpg", "jpeg", "tif", "tiff", "bmp"), "cad": ("dwg", "dxf", "rfa", "rvt"), "archive": ("zip", "rar", "7z"), "office": ("docx", "xlsx", "pptx", "msg", "html", "htm", "txt", "md", "csv")}
+KINDS = {
+    "pdf": ("pdf",),
+    "image": ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp"),
+    "cad": ("dxf", "dwg"),
+    "archive": ("zip", "7z", "rar"),
+    "office": ("docx", "xlsx", "xlsm", "pptx", "msg", "txt", "md", "csv", "rtf"),
+    "unsupported": ("rfa", "rvt", "mp4", "avi", "mov", "bak", "exe", "dll", "bin"),
+}
 
 
 def file_name(rel: Column) -> Column:
@@ -18,17 +28,33 @@ def extension(rel: Column) -> Column:
 
 
 def route(rel: Column) -> Column:
-    """Kind of file by extension."""
+    """Kind of file by extension; what no list has is unknown."""
     out = F.when(extension(rel) == "", "unknown")
     for kind, known in KINDS.items():
         out = out.when(extension(rel).isin(*known), kind)
-    return out.otherwise("unsupported")
+    return out.otherwise("unknown")
+
+
+def route_reason(rel: Column) -> Column:
+    """Why a person has to decide, null where a reader exists."""
+    return F.when(route(rel) == "unsupported", F.concat(F.upper(extension(rel)), F.lit(" is a closed format without a reader"))).when(route(rel) == "unknown", F.concat(F.lit("no reader for extension "), F.when(extension(rel) == "", "(none)").otherwise(extension(rel))))
+
+
+def _series_in(part: Column) -> Column:
+    family = F.regexp_replace(F.upper(F.regexp_extract(part, FAMILY, 1)), r"[\s_/-]+", "/")
+    numbered = F.concat(F.when(family == "AS/NZS", "AS").otherwise(family), F.lit(" "), F.regexp_extract(part, FAMILY, 2))
+    return F.when(part.rlike(FAMILY), numbered).when(part.rlike(CODE), F.upper(F.regexp_extract(part, CODE, 1)))
 
 
 def series_of(rel: Column) -> Column:
-    """Standard series from the file name, else from the nearest folder; null if none."""
-    found = F.filter(F.transform(F.reverse(F.split(rel, "/")), lambda x: F.regexp_extract(x, SERIES, 1)), lambda x: x != "")
-    return F.upper(F.regexp_replace(F.get(found, F.lit(0)), r"[_-]", " "))
+    """The standard a file belongs to, without its year: the file name's, else that of the nearest folder; null if none."""
+    parts = F.reverse(F.split(F.replace(rel, F.lit("\\"), F.lit("/")), "/"))
+    return F.get(F.filter(F.transform(parts, _series_in), lambda x: x.isNotNull()), F.lit(0))
+
+
+def doc_key(rel: Column) -> Column:
+    """A document whatever room it is in: its file name in lower case."""
+    return F.lower(file_name(F.replace(rel, F.lit("\\"), F.lit("/"))))
 
 
 def parse_standard(title: Column) -> Column:
@@ -61,10 +87,26 @@ def body_of(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "")
 
 
+def front_lines(c: Column) -> Column:
+    """The lines of the front matter, null where a text has none."""
+    head = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
+    return F.when(c.rlike(head), F.split(F.regexp_extract(c, head, 1), "\r?\n"))
+
+
+# Fields of a title block.
+TITLE_FIELDS = {
+    "drawing_number": r"(?i)(?:drawing|dwg)\.?\s*(?:no|number|#)\.?\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/._]{1,30})",
+    "revision": r"(?i)\brev(?:ision)?\.?\s*[:\-]?\s*([A-Z0-9]{1,4})\b",
+    "scale": r"(?i)\bscale\s*[:\-]?\s*(1\s*:\s*\d+(?:\s*@\s*A\d)?|NTS|N\.T\.S\.?)",
+    "date": r"(?i)\bdate\s*[:\-]?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})",
+    "project": r"(?i)\bproject\s*(?:name)?\s*[:\-]\s*(.+)",
+    "title": r"(?i)\b(?:drawing\s+)?title\s*[:\-]\s*(.+)",
+}
+
+
 def title_block(text: Column) -> Column:
     """Six fields of a drawing's title block; empty where missing."""
-    fields = {"drawing": r"(?i)(?:drawing|dwg)\s*(?:no|number)?\.?\s*[:#]\s*([A-Z0-9-]+)", "revision": r"(?i)\brev(?:ision)?\.?\s*[:#]?\s*([A-Z0-9]{1,3})\b", "scale": r"(?i)\bscale\s*[:#]?\s*(1:\d+|nts)", "date": r"(?i)\bdate\s*[:#]?\s*([0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4})", "project": r"(?i)\bproject\s*[:#]\s*([^\n]+)", "title": r"(?i)\btitle\s*[:#]\s*([^\n]+)"}
-    return F.struct(*[F.trim(F.regexp_extract(text, p, 1)).alias(k) for k, p in fields.items()])
+    return F.struct(*[F.trim(F.regexp_extract(text, p, 1)).alias(k) for k, p in TITLE_FIELDS.items()])
 
 
 def is_under(rel: Column, folder: Column) -> Column:
@@ -75,3 +117,13 @@ def is_under(rel: Column, folder: Column) -> Column:
 def safe_name(c: Column) -> Column:
     """A file name without characters that file systems refuse."""
     return F.trim(F.regexp_replace(c, r'[<>:"/\\|?*\u0000-\u001f]+', "_"))
+
+
+def live_key(out_dir: Column) -> Column:
+    """A document's place in the output folder: its output path without the mark of what is pending."""
+    return F.regexp_replace(F.regexp_replace(F.replace(out_dir, F.lit("\\"), F.lit("/")), "^/+|/+$", ""), "^_pending/", "")
+
+
+def readable_title(rel: Column) -> Column:
+    """A file name without extension, marks as blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(file_name(rel), r"\.[^.]+$", ""), r"[_\s]+", " "))

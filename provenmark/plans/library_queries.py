@@ -131,12 +131,6 @@ def p23(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.size(names.clause_ids(F.col("text"))).cast("long").alias("clauses"))
 
 
-@register("p13_series", X.with_("docs", "SELECT rel, 'AS ' || (3500 + doc_id % 7) AS series FROM docs"))
-def p13(spark, sf):
-    path = F.concat(F.lit("/2003/AS "), (3500 + F.col("doc_id") % 7).cast("string"), F.lit("-2003 Water services.pdf"))
-    return X.docs(spark, sf).select("rel", names.series_of(path).alias("series"))
-
-
 @register("t3_stream_run_progress", "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY event_type")
 def t3(spark, sf):
     return jobs.drained(jobs.progress(jobs.follow(spark, f"{sf}/events.parquet", X.table(spark, sf, "events").schema)), "complete")

@@ -258,11 +258,6 @@ def p26(spark, sf):
     return X.table(spark, sf, "orders").select("o_orderkey", score.accuracy(parts).alias("accuracy"))
 
 
-@register("p32_route", X.with_("docs", "SELECT rel, 'pdf' AS kind FROM docs"))
-def p32(spark, sf):
-    return X.docs(spark, sf).select("rel", names.route(F.col("rel")).alias("kind"))
-
-
 @register("p19_reason_code", "SELECT event_id, CASE event_type WHEN 'error' THEN 'download' WHEN 'click' THEN 'unreadable' ELSE 'other' END AS reason FROM events")
 def p19(spark, sf):
     e = X.table(spark, sf, "events")

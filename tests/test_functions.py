@@ -57,7 +57,7 @@ def test_names(spark):
     assert one(spark, names.series_of, "/2003/AS 3500.1-2003 Water services.pdf") == "AS 3500.1" and one(spark, names.series_of, "/misc/notes.pdf") is None
     assert one(spark, names.prefixes, "a/b/c.pdf") == ["", "a", "a/b"]
     assert one(spark, names.front_matter, "---\na: 1\nb: x: y\n---\nbody") == {"a": "1", "b": "x: y"}
-    assert [one(spark, names.route, p) for p in ("a/b.PDF", "x.dwg", "x", "x.foo")] == ["pdf", "cad", "unknown", "unsupported"]
+    assert [one(spark, names.route, p) for p in ("a/b.PDF", "x.dwg", "x", "x.foo")] == ["pdf", "cad", "unknown", "unknown"]
 
 
 def test_alignment(spark):
