@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score, text
+from ..sources.tables import written
 
 
-def with_ordinal(lines: DataFrame) -> DataFrame:
-    """lines(rel, n, line) with text, numbered among equal lines: norm and k."""
-    named = lines.withColumn("norm", text.normalize_line("line")).where("norm != ''")
-    return named.withColumn("k", F.row_number().over(Window.partitionBy("rel", "norm").orderBy("n")))
+def exact_match(src: DataFrame, md: DataFrame, texts: bool = True) -> DataFrame:
+    """(rel, src_no, md_no, src, md): the k-th copy of a line meets the k-th; the other side is null where there is none.
 
-
-def exact_match(src: DataFrame, md: DataFrame) -> DataFrame:
-    """(rel, src_no, md_no, src, md): the k-th copy of a line meets the k-th; the other side is null where there is none."""
-    a = with_ordinal(src).select("rel", "norm", "k", F.col("n").alias("src_no"), F.col("line").alias("src"))
-    b = with_ordinal(md).select("rel", "norm", "k", F.col("n").alias("md_no"), F.col("line").alias("md"))
-    return a.join(b, ["rel", "norm", "k"], "full").select("rel", "src_no", "md_no", "src", "md")
+    Both sides go through one exchange by document and line digest; only numbers are sorted there, and texts come along only if
+    asked for. A group holds the equal lines of one document.
+    """
+    line = F.col("line") if texts else F.lit(None).cast("string")
+    sides = [d.select("rel", F.unhex(F.md5(F.encode(text.normalize_line("line"), "UTF-8"))).alias("key"), F.lit(i).alias("side"), F.struct(F.col("n").cast("long").alias("no"), line.alias("line")).alias("at"), text.normalize_line("line").alias("norm")) for i, d in enumerate((src, md))]
+    both = sides[0].unionByName(sides[1]).where("norm != ''")
+    met = both.groupBy("rel", "key").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("at")))).alias(name) for i, name in enumerate(("s", "m"))])
+    rows = met.select("rel", F.inline(F.arrays_zip("s", "m")))
+    return rows.select("rel", F.col("s.no").alias("src_no"), F.col("m.no").alias("md_no"), F.col("s.line").alias("src"), F.col("m.line").alias("md"))
 
 
 def candidates(matched: DataFrame, most: int = 30, dice: float = 0.5) -> DataFrame:
@@ -72,6 +74,28 @@ def segments(matched: DataFrame, changed: DataFrame) -> DataFrame:
     return both.withColumn("seq", F.row_number().over(seq) - 1).drop("anchor")
 
 
+def _found(src: DataFrame, md: DataFrame, texts: bool) -> DataFrame:
+    """The match, written once, since candidates and order both read it; without `texts` lines that match leave theirs out."""
+    found, kept = exact_match(src, md), F.lit(texts) | F.col("src_no").isNull() | F.col("md_no").isNull()
+    return written(found.select("rel", "src_no", "md_no", *[F.when(kept, F.col(c)).alias(c) for c in ("src", "md")]))
+
+
+def align(src: DataFrame, md: DataFrame, texts: bool = True) -> DataFrame:
+    """Segments of every document."""
+    found = _found(src, md, texts)
+    return segments(found, assign(candidates(found)))
+
+
+def segment_counts(src: DataFrame, md: DataFrame) -> DataFrame:
+    """A1 without an order: (rel, n_match, n_src_only, n_md_only, n_changed, line_match_ratio)."""
+    found = _found(src, md, False)
+    open_ = F.col("src_no").isNull() | F.col("md_no").isNull()
+    both = found.groupBy("rel").agg(F.count_if(~open_).alias("n_match"), F.count_if(F.col("md_no").isNull()).alias("s"), F.count_if(F.col("src_no").isNull()).alias("m"))
+    pairs = assign(candidates(found)).groupBy("rel").agg(F.count(F.lit(1)).alias("c"))
+    c = F.coalesce("c", F.lit(0))
+    return both.join(pairs, "rel", "left").select("rel", "n_match", (F.col("s") - c).alias("n_src_only"), (F.col("m") - c).alias("n_md_only"), c.alias("n_changed"), (F.col("n_match") / F.nullif(F.col("n_match") + F.col("s"), F.lit(0))).alias("line_match_ratio"))
+
+
 def recall(a: DataFrame, b: DataFrame, key: str = "rel") -> DataFrame:
     """Share of a's tokens (key, token, n) that b has too; keys without tokens in a are absent (does not apply)."""
     other = b.select(key, "token", F.col("n").alias("m"))

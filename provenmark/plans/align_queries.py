@@ -84,7 +84,7 @@ def p18(spark, sf):
 
 @register("j1_exact_match", X.with_("docs s m", f", {MATCH} SELECT rel, src_no, md_no FROM j").replace("\n, a AS", ",\na AS"))
 def j1(spark, sf):
-    return matched(spark, sf).select("rel", "src_no", "md_no")
+    return align.exact_match(*X.conv(spark, sf), texts=False).select("rel", "src_no", "md_no")
 
 
 CAND = MATCH + r""",
@@ -112,16 +112,12 @@ def j3(spark, sf):
 
 @register("o1_segments")
 def o1(spark, sf):
-    found = matched(spark, sf)
-    return align.segments(found, align.assign(align.candidates(found))).select("rel", "seq", "status", "src_no", "md_no")
+    return align.align(*X.conv(spark, sf), texts=False).select("rel", "seq", "status", "src_no", "md_no")
 
 
 @register("a1_segment_counts")
 def a1(spark, sf):
-    found = matched(spark, sf)
-    segs = align.segments(found, align.assign(align.candidates(found)))
-    counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("match", "src_only", "md_only", "changed")]
-    return segs.groupBy("rel").agg(*counts, (F.count_if(F.col("status") == "match") / F.nullif(F.count("src_no"), F.lit(0))).alias("line_match_ratio"))
+    return align.segment_counts(*X.conv(spark, sf))
 
 
 @register("w2_anchor", X.with_("docs s m", f", {MATCH}, w AS (SELECT *, coalesce(last_value(src_no IGNORE NULLS) OVER (PARTITION BY rel ORDER BY md_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM j WHERE md_no IS NOT NULL) SELECT rel, md_no, anchor FROM w WHERE src_no IS NULL").replace("\n, a AS", ",\na AS"))
@@ -129,7 +125,7 @@ def w2(spark, sf):
     from pyspark.sql import Window
 
     order = Window.partitionBy("rel").orderBy("md_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = matched(spark, sf).where("md_no IS NOT NULL").withColumn("anchor", F.coalesce(F.last("src_no", ignorenulls=True).over(order), F.lit(-1)).cast("long"))
+    rows = align.exact_match(*X.conv(spark, sf), texts=False).where("md_no IS NOT NULL").withColumn("anchor", F.coalesce(F.last("src_no", ignorenulls=True).over(order), F.lit(-1)).cast("long"))
     return rows.where("src_no IS NULL").select("rel", "md_no", "anchor")
 
 
