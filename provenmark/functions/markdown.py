@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .names import body_of, front_lines
 
@@ -124,7 +125,7 @@ def grounding_form(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"[*_|`]", " "), r"\s+", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts):  # noqa: ANN001, ANN201  pandas types come from Spark
     """Compatibility form; only Python's tables have it."""
     import unicodedata

@@ -93,13 +93,6 @@ def p11(spark, sf):
     return X.docs(spark, sf).select("rel", readings.correct_numbers("text").alias("fixed"))
 
 
-@register("v3_apply_rules")
-def v3(spark, sf):
-    d = X.docs(spark, sf).select("rel", F.col("source").alias("series"), "text")
-    book = spark.createDataFrame([(1, "the", "THE", "all", None), (2, "THE of", "THE OF", "all", None), (3, "and", "AND", "series", "src1")], "num int, find string, replace string, scope string, series string")
-    return rules.apply_rules(d, book, "text").select("rel", "series", "hits", F.md5("text").alias("text_hash"))
-
-
 @register("j15_rule_places", r"SELECT source || '/' || lang || '/doc_' || doc_id || '.pdf' AS rel, len(string_split(text, 'with')) - 1 AS places FROM documents WHERE contains(text, 'with')")
 def j15(spark, sf):
     return rules.places(X.docs(spark, sf), "text", F.lit("with")).select("rel", "places")

@@ -73,10 +73,23 @@ def test_state(spark):
     assert [tuple(r) for r in state.verdicts(log).collect()] == [("a", "rejected", "y", 1)]
 
 
-def test_rules_and_readings(spark):
-    docs = spark.createDataFrame([("AS 1", "Watre and watres, $5"), (None, "Watre")], "series string, text string")
-    book = spark.createDataFrame([(2, "Water and", "W$1\\ &", "all", None), (1, "Watre", "Water", "all", None), (3, "$5", "five", "series", "AS 1")], "num int, find string, replace string, scope string, series string")
-    assert {(r.text, r.hits) for r in rules.apply_rules(docs, book, "text").collect()} == {("W$1\\ & watres, five", 3), ("Water", 1)}
+def corrected(spark, text, *book, series=None, doc=None):
+    docs = spark.createDataFrame([("r", series, doc, text)], "rel string, series string, doc string, text string")
+    rows = [(i + 1, kind, find, new, before, after, scope, s, d, True) for i, (kind, find, new, before, after, scope, s, d) in enumerate(book)]
+    row = rules.apply_rules(docs, spark.createDataFrame(rows, rules.RULE), "text").first()
+    return row.text, {x.num: x.n for x in row.done}
+
+
+def test_rules(spark):
+    everywhere = (None, None, "all", None, None)
+    assert corrected(spark, "Watre and watres, $5", ("text", "Watre", "Water", *everywhere), ("text", "Water and", "W$1\\ &", *everywhere), ("text", "$5", "five", None, None, "series", "AS 1", None), series="AS 1") == ("W$1\\ & watres, five", {1: 1, 2: 1, 3: 1})
+    assert corrected(spark, "---\nwas: Watre\n---\nWatre", ("text", "Watre", "Water", *everywhere)) == ("---\nwas: Watre\n---\nWater", {1: 1})
+    assert corrected(spark, "bore l50 mm, weight l50 kg", ("number", "l50", "150", "bore ", " mm", "all", None, None)) == ("bore 150 mm, weight l50 kg", {1: 1})
+    assert corrected(spark, "fittcd and connectcd, x2cd", ("pattern", r"(\w+)cd", r"\1ed", *everywhere)) == ("fitted and connected, x2cd", {1: 2})
+    assert corrected(spark, "a b", ("text", "a", "x", None, None, "document", None, "one.pdf"), doc="two.pdf") == ("a b", {})
+
+
+def test_readings(spark):
     got = spark.createDataFrame([("l50 mm and 1O0 kPa, ISO 9001, 3D model, Class 2S building, 2S mm",)], "t string").select(readings.correct_numbers("t").alias("x")).first().x
     assert got.text == "150 mm and 100 kPa, ISO 9001, 3D model, Class 2S building, 25 mm" and len(got.log) == 3
 
