@@ -37,7 +37,7 @@ from .common import cut, table
 from .words import buffers, mix
 
 LEAST, GRAM, PIECE = 200, 40, 256
-HEAVY = 8_000
+HEAVY = 4_000
 BLOCK_BYTES, TEXT_BYTES = 300_000, 1_000_000
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _INVERSE = np.array([pow(0x9E3779B97F4A7C15, -1, 1 << 64)], np.uint64)
