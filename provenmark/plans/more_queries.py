@@ -50,14 +50,6 @@ def p31(spark, sf):
     return X.table(spark, sf, "documents").groupBy("source").agg(F.when(mean < 1500, "scan").when(mean < 2000, "drawing").otherwise("text").alias("class"))
 
 
-@register("p35_table_cells", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents), c AS (SELECT doc_id, row, string_split(line, ' | ') AS cells FROM l WHERE contains(line, ' | '))
-SELECT doc_id, row, len(cells) AS n_cells, sum(len(regexp_replace(lower(x), '[^0-9a-z]', '', 'g'))) AS key_chars FROM (SELECT doc_id, row, cells, unnest(cells) AS x FROM c) GROUP BY doc_id, row, len(cells)""")
-def p35(spark, sf):
-    lines = X.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).where(F.contains("line", F.lit(" | ")))
-    cells = lines.select("doc_id", F.col("row").cast("long").alias("row"), F.split("line", r" (?<!\\)\| ").alias("cells"))
-    return cells.select("doc_id", "row", F.size("cells").cast("long").alias("n_cells"), F.aggregate(F.transform("cells", lambda x: F.length(text.cell_key(x)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b).alias("key_chars"))
-
-
 @register("j12_promotion_plan", X.with_("snap", "SELECT rel % 10 AS document, bool_and(size % 7 <> 0) AS promote, count(*) AS files FROM new GROUP BY 1"))
 def j12(spark, sf):
     """A document goes only if all its staged files hold."""
