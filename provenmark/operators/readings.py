@@ -1,18 +1,28 @@
-"""Independent readings of the same page: corrections, votes, summaries."""
+"""Independent readings of the same page: corrections, votes, choices by a glossary, summaries."""
 
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCEPT, CONFIDENT = 0.995, 0.90
-# Characters mistaken for digits, and units that may follow a number.
-_DIGITS = str.maketrans("SOIlo", "50110")
-_NUMBER = re.compile(r"\b(?=[\dSOIlo.]*\d)(?=[\dSOIlo.]*[SOIlo])[\dSOIlo]+(?:\.[\dSOIlo]+)?(?=\s?(?:mm|cm|m|km|kPa|MPa|Pa|kW|L/s|L|Hz|kg|kN)\b)")
+ACCEPT, CONFIDENT, SURE, MOST_EDITS, CONTEXT_WORDS = 0.995, 0.90, 0.9, 2, 8
+# Letters mistaken for digits, units that may follow a number, ligatures, marks that compare equal.
+LETTERS, DIGITS = "OolISBZ", "0011582"
+UNIT = r"(?:mm|cm|km|kg|kN|kPa|MPa|Pa|kW|Hz|mL|m|N|W|V|L|%)"
+LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+TYPED, PLAIN = "“”„‘’–", "\"\"\"''—"
+LOG = "array<struct<rule:string,from:string,to:string>>"
+#: Corrections in their order: (rule, pattern, what a match becomes).
+CORRECTIONS = (
+    ("confusable_in_number", rf"(?<=\d)[{LETTERS}]+(?=\d)", lambda m: F.translate(m, LETTERS, DIGITS)),
+    ("confusable_in_number", rf"(?<![A-Za-z\d])(?:[{LETTERS}]?\d[\d.,]*[{LETTERS}]?|[{LETTERS}]\d*)(?=\s?{UNIT}\b)", lambda m: F.when(m.rlike(r"\d"), F.translate(m, LETTERS, DIGITS)).otherwise(m)),
+    ("si_prefix_case", r"\d\s?K(?:N|Pa|g|m|W|Hz|J|V)\b", lambda m: F.replace(m, F.lit("K"), F.lit("k"))),
+    ("clause_id_dollar", r"\$\d{1,2}[A-Z]\d+[a-z]?\b", lambda m: F.concat(F.lit("S"), F.substring(m, 2, 1000))),
+    ("line_break_hyphen", r"[a-z]{2,}-\n[a-z]{2,}", lambda m: F.replace(m, F.lit("-\n"), F.lit(""))),
+)
 
 
 def engine_summary(rows: DataFrame, engine: str, conf: str, size: str) -> DataFrame:
@@ -20,32 +30,134 @@ def engine_summary(rows: DataFrame, engine: str, conf: str, size: str) -> DataFr
     return rows.groupBy(engine).agg(F.round(F.avg(conf), 9).alias("mean_conf"), F.min(conf).alias("worst"), F.round(F.sum(F.col(conf) * F.col(size)) / F.sum(size), 9).alias("weighted"))
 
 
-def correct_numbers(c: str) -> Column:
-    """Letters inside numbers before a unit put right; struct of text and log of (from, to)."""
+def page_confidence(lines: DataFrame) -> DataFrame:
+    """lines(rel, page, text, conf) to documents: length-weighted confidence, pages in doubt, and whether some pages have no text."""
+    size = F.length("text")
+    page = lines.groupBy("rel", "page").agg(F.round(F.sum(F.col("conf") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("conf"), F.sum(size).alias("size"))
+    return page.groupBy("rel").agg(F.round(F.sum(F.col("conf") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("conf"), F.count_if(F.col("conf") < CONFIDENT).alias("low_pages"), (F.count_if(F.col("size") == 0) > 0).alias("partial"))
 
-    @F.pandas_udf("text string, log array<struct<from:string,to:string>>")
-    def fix(texts: pd.Series) -> pd.DataFrame:
-        out, logs = [], []
-        for t in texts:
-            log = []
 
-            def put(m, log=log):
-                log.append({"from": m[0], "to": m[0].translate(_DIGITS)})
-                return log[-1]["to"]
+def correct_text(c: str) -> Column:
+    """Struct of text and log(rule, from, to): letters inside numbers and at the edge of numbers before a unit, ligatures, the
+    case of SI prefixes, clause ids with a dollar, words broken over a line. Everything else stays."""
+    log = F.array().cast(LOG)
+    now = F.coalesce(F.col(c), F.lit(""))
+    for one, two in LIGATURES:
+        log = F.concat(log, F.when(F.contains(now, F.lit(one)), F.array(F.struct(F.lit("ligature").alias("rule"), F.lit(one).alias("from"), F.lit(two).alias("to")))).otherwise(F.array().cast(LOG)))
+        now = F.replace(now, F.lit(one), F.lit(two))
+    state = F.struct(now.alias("text"), log.alias("log"))
+    for rule, pattern, change in CORRECTIONS:
+        state = F.get(F.transform(F.array(state), _correction(rule, pattern, change)), F.lit(0))  # a one-row array computes what stands above once
+    return state
 
-            out.append(_NUMBER.sub(put, t or ""))
-            logs.append(log)
-        return pd.DataFrame({"text": out, "log": logs})
 
-    return fix(F.col(c))
+def _correction(rule: str, pattern: str, change):
+    def step(s: Column) -> Column:
+        was = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
+        pairs = F.transform(was, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("from"), change(m).alias("to")))
+        text = F.array_join(F.zip_with(F.split(s["text"], pattern, -1), pairs, lambda p, x: F.concat(p, F.coalesce(x["to"], F.lit("")))), "")
+        return F.struct(F.when(F.size(was) == 0, s["text"]).otherwise(text).alias("text"), F.concat(s["log"], F.filter(pairs, lambda x: x["from"] != x["to"])).alias("log"))
 
+    return step
 
-def vote(pairs: DataFrame) -> DataFrame:
-    """V1: (rel, a, b, conf) to the share of equal words and the decision; word lists are compared only where the texts differ."""
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, (x or "").split(), (y or "").split(), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def typed(c: Column) -> Column:
+    """Typographic variants of a mark compare equal."""
+    return F.replace(F.translate(c, TYPED, PLAIN), F.lit("--"), F.lit("—"))
+
+
+def words(c: Column) -> Column:
+    return F.regexp_extract_all(typed(F.coalesce(c, F.lit(""))), F.lit(r"\S+"), F.lit(0))
+
+
+def _blocks(a: list[str], b: list[str]):
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
 
-    rated = pairs.withColumn("agreement", agreement("a", "b"))
-    return rated.select("rel", F.round("agreement", 9).alias("agreement"), F.when((F.col("agreement") >= ACCEPT) & (F.col("conf") >= CONFIDENT) & (F.trim("a") != ""), "ok").otherwise("review").alias("decision"))
+def agreement(a: Column, b: Column) -> Column:
+    """V1: struct(same, diffs) of two word lists: words read alike, where spans that differ in spacing only are alike, and the other
+    spans. Lists that are equal never leave the JVM."""
+
+    @F.pandas_udf("same long, diffs array<struct<a:string,b:string>>")
+    def compared(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        same, diffs = [], []
+        for x, y in zip(left, right, strict=True):
+            x, y, alike, other = list(x), list(y), 0, []
+            for op, i, j, k, m in _blocks(x, y):
+                if op == "equal" or "".join(x[i:j]) == "".join(y[k:m]):
+                    alike += max(j - i, m - k)
+                else:
+                    other.append({"a": " ".join(x[i:j]), "b": " ".join(y[k:m])})
+            same.append(alike)
+            diffs.append(other)
+        return pd.DataFrame({"same": same, "diffs": diffs})
+
+    return F.when(a == b, F.struct(F.size(a).cast("long").alias("same"), F.array().cast("array<struct<a:string,b:string>>").alias("diffs"))).otherwise(compared(a, b))
+
+
+def vote(pairs: DataFrame) -> DataFrame:
+    """V1: (rel, page, a, b, conf), null for a reading that is missing, to the share of equal words of the longer reading, how many spans
+    differ, and the decision."""
+    rated = pairs.withColumns({"__a": words(F.col("a")), "__b": words(F.col("b"))})
+    rated = rated.withColumn("__r", agreement(F.col("__a"), F.col("__b")))
+    share = F.when((F.size("__a") == 0) & (F.size("__b") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("__r.same") / F.greatest(F.size("__a"), F.size("__b"))))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    good = both & (share >= ACCEPT) & (F.col("conf") >= CONFIDENT) & (F.size("__a") > 0)
+    return rated.select("rel", "page", F.when(both, F.round(share, 4)).alias("agreement"), F.size("__r.diffs").alias("spans"), F.when(good, "ok").otherwise("review").alias("decision"))
+
+
+def core(c: Column) -> Column:
+    """A word without the marks around it."""
+    return F.regexp_replace(c, r"(?U)^\W+|\W+$", "")
+
+
+def replaced_words(pairs: DataFrame) -> DataFrame:
+    """Words that stand against one another in spans of equal length: (rel, page, at_a, at_b, a, b). Only rows whose readings differ leave the JVM."""
+
+    @F.pandas_udf("array<struct<at_a:int,at_b:int,a:string,b:string>>")
+    def swapped(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x, y):
+            return [{"at_a": i + d, "at_b": k + d, "a": x[i + d], "b": y[k + d]} for op, i, j, k, m in _blocks(list(x), list(y)) if op == "replace" and j - i == m - k for d in range(j - i)]
+
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="object")
+
+    split = pairs.select("rel", "page", F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0)).alias("x"), F.regexp_extract_all("b", F.lit(r"\S+"), F.lit(0)).alias("y"))
+    return split.where("x <> y").select("rel", "page", F.inline(swapped("x", "y")))
+
+
+def by_glossary(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """V2: pairs(rel, page, a, b) and known(word) to the words that change: (rel, page, engine, at, was, now).
+
+    A word changes only where its counterpart is known and it is not, both have three letters or more and no digit, and they are
+    two edits apart at most. The glossary is a table: words meet it by a join, whatever its size.
+    """
+    met = replaced_words(pairs).withColumns({"ca": core(F.col("a")), "cb": core(F.col("b"))})
+    near = (F.col("ca") != F.col("cb")) & (F.least(F.length("ca"), F.length("cb")) >= 3) & ~F.concat("ca", "cb").rlike(r"\d") & (F.levenshtein("ca", "cb") <= MOST_EDITS)
+    one = lambda c, name: known.select(F.col("word").alias(c), F.lit(True).alias(name))
+    told = met.where(near).join(one("ca", "ka"), "ca", "left").join(one("cb", "kb"), "cb", "left")
+    ka, kb = F.coalesce("ka", F.lit(False)), F.coalesce("kb", F.lit(False))
+    put = lambda word, old, new: F.concat(F.substring(word, F.lit(1), F.instr(word, old) - 1), new, F.substring(word, F.instr(word, old) + F.length(old), F.length(word)))
+    b = F.struct(F.lit("b").alias("engine"), F.col("at_b").alias("at"), F.col("b").alias("was"), put(F.col("b"), F.col("cb"), F.col("ca")).alias("now"))
+    a = F.struct(F.lit("a").alias("engine"), F.col("at_a").alias("at"), F.col("a").alias("was"), put(F.col("a"), F.col("ca"), F.col("cb")).alias("now"))
+    return told.where(ka != kb).select("rel", "page", F.when(ka, b).otherwise(a).alias("x")).select("rel", "page", "x.*")
+
+
+def adoptable(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """V5: answers(…, candidates, in_text, choice, confidence, needs_human) that may be taken over without a person: two readings of plain
+    text, a sure choice, and the glossary knows the chosen word and not the other one."""
+    two = answers.where((F.size("candidates") == 2) & F.col("choice").isin(0, 1) & ~F.coalesce("needs_human", F.lit(False)) & (F.col("confidence") >= SURE) & F.col("in_text").isNotNull() & ~F.array_join("candidates", "").rlike(r"\d"))
+    words_ = two.withColumns({"chosen": core(F.get("candidates", F.col("choice"))), "other": core(F.get("candidates", 1 - F.col("choice")))})
+    return words_.join(known.select(F.col("word").alias("chosen")), "chosen", "left_semi").join(known.select(F.col("word").alias("other")), "other", "left_anti").drop("other")
+
+
+def context_of(text: Column, candidates: list[Column]) -> Column:
+    """struct(found, before, after): the first candidate that a text holds as a word, with eight words on each side."""
+    found = F.lit(None).cast("struct<found:string,before:string,after:string>")
+    for c in reversed(candidates):
+        pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), c, F.lit(r"\E(?!\w)"))
+        at = F.regexp_instr(text, pattern)
+        left, right = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(c), F.length(text))
+        before = F.array_join(F.reverse(F.slice(F.reverse(F.filter(F.split(left, r"\s+"), lambda x: x != "")), 1, CONTEXT_WORDS)), " ")
+        after = F.array_join(F.slice(F.filter(F.split(right, r"\s+"), lambda x: x != ""), 1, CONTEXT_WORDS), " ")
+        found = F.when(at > 0, F.struct(c.alias("found"), before.alias("before"), after.alias("after"))).otherwise(found)
+    return found

@@ -77,22 +77,6 @@ def a21(spark, sf):
     return readings.engine_summary(r, "engine", "conf", "n_chars")
 
 
-def two_readings(spark, sf):
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 30)
-    b = F.transform(words, lambda w, i: F.when((F.col("doc_id") + i) % 13 == 0, F.replace(w, F.lit("l"), F.lit("I"))).otherwise(w))
-    return X.docs(spark, sf).select("rel", F.array_join(words, " ").alias("a"), F.array_join(b, " ").alias("b"), (F.lit(0.85) + (F.col("doc_id") % 15) / 100.0).alias("conf"))
-
-
-@register("v1_reading_vote")
-def v1(spark, sf):
-    return readings.vote(two_readings(spark, sf))
-
-
-@register("p11_number_corrections")
-def p11(spark, sf):
-    return X.docs(spark, sf).select("rel", readings.correct_numbers("text").alias("fixed"))
-
-
 @register("j15_rule_places", r"SELECT source || '/' || lang || '/doc_' || doc_id || '.pdf' AS rel, len(string_split(text, 'with')) - 1 AS places FROM documents WHERE contains(text, 'with')")
 def j15(spark, sf):
     return rules.places(X.docs(spark, sf), "text", F.lit("with")).select("rel", "places")

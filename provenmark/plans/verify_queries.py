@@ -115,8 +115,8 @@ def j24(spark, sf):
     """Numbers wrapped in a cell, parts of a decimal, a number that is really gone, and none."""
     li = X.table(spark, sf, "lineitem")
     ln, ok = F.col("l_linenumber") % 4, F.col("l_orderkey").cast("string")
-    a = F.when(ln == 0, F.concat(ok, F.lit("/1 20"))).when(ln == 1, F.concat(F.lit("0 "), ok)).when(ln == 2, ok).otherwise("25 mm")
-    b = F.when(ln == 0, F.concat(ok, F.lit("/120"))).when(ln == 1, F.concat(F.lit("0."), ok)).when(ln == 2, "none").otherwise("25 mm")
+    a = F.when(ln == 0, F.concat(ok, F.lit("/1 20"))).when(ln == 1, F.concat(F.lit("000 "), ok)).when(ln == 2, ok).otherwise("25 mm")
+    b = F.when(ln == 0, F.concat(ok, F.lit("/120"))).when(ln == 1, F.concat(F.lit("000."), ok)).when(ln == 2, "none").otherwise("25 mm")
     rel = F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("rel")
     # the slash keeps both parts of the first case apart as numbers of their own
     gone = F.when(ln == 0, F.array(F.concat(F.lit("1"), ok), F.lit("20"))).otherwise(F.array_except(text.plain_numbers(a), text.plain_numbers(b)))

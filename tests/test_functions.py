@@ -90,7 +90,7 @@ def test_rules(spark):
 
 
 def test_readings(spark):
-    got = spark.createDataFrame([("l50 mm and 1O0 kPa, ISO 9001, 3D model, Class 2S building, 2S mm",)], "t string").select(readings.correct_numbers("t").alias("x")).first().x
+    got = spark.createDataFrame([("l50 mm and 1O0 kPa, ISO 9001, 3D model, Class 2S building, 2S mm",)], "t string").select(readings.correct_text("t").alias("x")).first().x
     assert got.text == "150 mm and 100 kPa, ISO 9001, 3D model, Class 2S building, 25 mm" and len(got.log) == 3
 
 
