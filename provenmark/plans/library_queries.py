@@ -113,12 +113,6 @@ def t3(spark, sf):
     return jobs.drained(jobs.progress(jobs.follow(spark, f"{sf}/events.parquet", X.table(spark, sf, "events").schema)), "complete")
 
 
-@register("t7_stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
-def t7(spark, sf):
-    rows = jobs.follow(spark, f"{sf}/events.parquet", X.table(spark, sf, "events").schema)
-    return jobs.drained(rows.select("user_id", "event_type").dropDuplicates(), "append")
-
-
 @register("t6_stream_month_totals", "SELECT strftime(ts, '%Y-%m') AS month, user_id % 4 AS skill, count(*) AS calls FROM events GROUP BY ALL")
 def t6(spark, sf):
     rows = jobs.follow(spark, f"{sf}/events.parquet", X.table(spark, sf, "events").schema)

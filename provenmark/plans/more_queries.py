@@ -159,12 +159,6 @@ def m4(spark, sf):
     return state.verdicts(log).select("rel", F.col("trust_state").alias("decision"))
 
 
-@register("m5_events_to_files", "SELECT user_id AS rel, arg_max(event_type, event_id) AS outcome, max(event_id) FILTER (event_type = 'purchase') AS published FROM events GROUP BY user_id")
-def m5(spark, sf):
-    e = X.table(spark, sf, "events")
-    return e.groupBy(F.col("user_id").alias("rel")).agg(F.max_by("event_type", "event_id").alias("outcome"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("published"))
-
-
 @register("m9_rollback", X.with_("snap", "SELECT rel, content_hash, CAST(1 AS INTEGER) AS run FROM old WHERE rel IN (SELECT rel FROM new) OR rel % 17 = 0"))
 def m9(spark, sf):
     """Without run 2 the latest version of each file is that of run 1."""

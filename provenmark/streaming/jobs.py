@@ -1,15 +1,16 @@
-"""Streams over growing tables: followed by schema, folded by key, drained for a look at their state."""
+"""Streams over growing tables: followed by schema, folded by key into tables under the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import latest
+from ..sources.tables import new_folder
+
 
 def follow(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A parquet folder (or one file by its name in the folder) as a stream."""
+    """A parquet folder (or one file by its name in the folder) as a stream; the checkpoint of its sink says where it goes on."""
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
 
@@ -20,26 +21,57 @@ def progress(rows: DataFrame) -> DataFrame:
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now; its result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there now; its result as a table.
+
+    Appended rows go to a parquet sink. A complete result is written anew by each batch; the last one stands. Nothing comes to the driver.
+    """
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "streams")
+    out, state = f"{folder}/rows", f"{folder}/checkpoint"
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def latest_state(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key, kept in a state table: a batch's last rows are merged into a new version of it; the last version is
+    returned. A batch that runs again writes the same version from the same one before."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "streams")
+    versions = []
 
+    def merge(df: DataFrame, epoch: int) -> None:
+        path = f"{folder}/state/{epoch}"
+        before = [p for e, p in versions if e < epoch]
+        both = df if not before else df.unionByName(df.sparkSession.read.schema(rows.schema).parquet(before[-1]))
+        latest(both, keys, [F.col(order)]).write.mode("overwrite").parquet(path)
+        versions.append((epoch, path))
 
-def latest_state(rows: DataFrame, keys: list[str], order: str, write) -> DataFrame:
-    """foreachBatch fold: each batch's last row by key goes to write(df, epoch), which merges it into the state table."""
-    from ..operators.state import latest
+    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(versions[-1][1]) if versions else spark.createDataFrame([], rows.schema)
 
-    return rows.writeStream.foreachBatch(lambda df, epoch: write(latest(df, keys, [F.col(order)]), epoch))
+
+def distinct(rows: DataFrame, keys: list[str], at: str, delay: str = "40 days") -> DataFrame:
+    """The first arrival of each key. State is kept for `delay` behind the newest row, so it does not grow for ever; the delay says
+    how far apart copies may come."""
+    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def bursts(rows: DataFrame, limit: int = 5) -> DataFrame:
     """T5: addresses with so many failures in a sliding five minutes; late rows up to ten minutes count."""
     failed = rows.where("type = 'login_failed'").withWatermark("ts", "10 minutes")
-    return failed.groupBy(F.window("ts", "300 seconds", "60 seconds"), "address").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    return failed.groupBy(F.window("ts", "300 seconds", "60 seconds").alias("w"), "address").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
 
 
 def stale(beats: DataFrame, gap: str = "10 minutes") -> DataFrame:
-    """T4: closed sessions of heartbeats: a run whose session has ended is interrupted."""
-    return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap), "run").agg(F.max("ts").alias("last_beat"))
+    """T4: sessions of heartbeats(run, ts) that have ended: the run was interrupted after its last beat."""
+    return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("s"), "run").agg(F.max("ts").alias("last_beat"), F.count(F.lit(1)).alias("beats"))
+
+
+def corrected(results: DataFrame, apply, folder: str) -> DataFrame:
+    """Each batch of new results goes through apply(df), the rules as they are then, to the table of corrected ones."""
+    spark = results.sparkSession
+    results.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, epoch: apply(df).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
