@@ -50,22 +50,23 @@ def strip_markup(line: Column) -> Column:
 def strip_md_artifacts(c) -> Column:
     """Markdown without front matter, comments, standard-id lines, table rules and fences; fenced lines stay verbatim.
 
-    Fence state is folded along the lines of one text in the row, so no window and no shuffle is needed.
+    A line lies in a fence if an odd number of fences stands before it; that is told inside the row, without window or shuffle.
     """
     t = F.regexp_replace(_text(c), r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?m)^>\s*标准标识.*$", "")
 
-    def step(acc, raw):
-        s = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-        fence = s.rlike(r"^(`{3,}|~{3,})")
-        rule = s.rlike(r"^\|?[\s:\-|]+\|[\s:\-|]*$")
+    lines = split_lines(t)
+    bare = lambda raw: F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    fences = F.array_compact(F.transform(lines, lambda raw, i: F.when(bare(raw).rlike(r"^(`{3,}|~{3,})"), i)))
+
+    def line(raw, i):
+        s = bare(raw)
+        inside = F.size(F.filter(fences, lambda p: p < i)) % 2 == 1
         clean = strip_markup(s)
-        out = F.when(fence, acc["out"]).when(acc["on"], F.array_append(acc["out"], raw)).when(rule | (clean == ""), acc["out"]).otherwise(F.array_append(acc["out"], clean))
-        return F.struct(F.when(fence, ~acc["on"]).otherwise(acc["on"]).alias("on"), out.alias("out"))
+        return F.when(F.array_contains(fences, i), None).when(inside, raw).when(s.rlike(r"^\|?[\s:\-|]+\|[\s:\-|]*$") | (clean == ""), None).otherwise(clean)
 
-    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
-    return F.when(_text(c) == "", F.lit("")).otherwise(F.array_join(F.aggregate(split_lines(t), start, step)["out"], "\n"))
+    return F.when(_text(c) == "", F.lit("")).otherwise(F.array_join(F.array_compact(F.transform(lines, line)), "\n"))
 
 
 def md_is_salvage(c) -> Column:
@@ -137,12 +138,19 @@ def clean_text(c) -> Column:
 
 
 def audit_form(c) -> Column:
-    """White space folded, lower case, only what a reader compares."""
-    return F.trim(F.regexp_replace(F.lower(_text(c)), r"(?U)\s+", " "))
+    """A line without white space and the marks of tables, lists and headings, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(_text(c), r"[|`*_>#-]+", " "), r"(?U)\s+", ""))
+
+
+def is_noise(c, least: int = 12) -> Column:
+    """Lines that say nothing: short ones, numbers and rules, leaders of a contents list, page numbers."""
+    t = F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
+    leaders = F.regexp_count(t, F.lit(r"[.·•]\s{2,}")) > 2
+    return (F.length(t) < least) | t.rlike(r"^[\d\s.\-–—_/·•…]*$") | leaders | t.rlike(r"(?i)^(?:page\s*)?\d+(?:\s*/\s*\d+)?页?$")
 
 
 def audit_variants(c) -> Column:
     """`Label: value` also counts as the value or the label alone."""
-    whole = audit_form(c)
-    label, value = F.trim(F.regexp_extract(whole, r"^([^:]{1,60}):\s*(.+)$", 1)), F.trim(F.regexp_extract(whole, r"^([^:]{1,60}):\s*(.+)$", 2))
-    return F.array_distinct(F.filter(F.array(whole, value, label), lambda x: x != ""))
+    label = r"^([A-Za-z][A-Za-z\- ]{0,20}):\s*(.+)$"
+    t = F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
+    return F.array_distinct(F.filter(F.array(audit_form(c), audit_form(F.regexp_extract(t, label, 2)), audit_form(F.regexp_extract(t, label, 1))), lambda x: x != ""))

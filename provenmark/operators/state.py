@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key, by max_by so that copies combine before the shuffle."""
@@ -13,6 +15,32 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*keys, "__row.*")
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], to: str = "position") -> DataFrame:
+    """Rows with their number in their group by order (which must tell rows apart), however large a group is.
+
+    Rows go to ranges of (group, order), so a hot group lies in many tasks; each task numbers its own and adds the counts of the tasks
+    before, a table of one row a task and group.
+    """
+    placed = written(rows.repartitionByRange(*group, *order).withColumn("__task", F.spark_partition_id()))
+    counts = placed.groupBy("__task", *group).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__task", *group).orderBy(*order)))
+    return own.join(offsets, ["__task", *group]).withColumn(to, (F.col("__i") + F.col("__before")).cast("long")).drop("__task", "__i", "__before")
+
+
+def exclusive_quantiles(rows: DataFrame, group: str, value: str, at: list[float]) -> DataFrame:
+    """Quantiles at p * (n + 1) between neighbours, from counts of each value: only those are ordered, not the rows."""
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(group).orderBy(value)))
+    total = counts.groupBy(group).agg(F.sum("c").alias("n"))
+    q = upto.join(total, group).withColumn("p", F.explode(F.array(*map(F.lit, at)))).withColumn("pos", F.col("p") * (F.col("n") + 1))
+    q = q.withColumn("lo", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor("pos"))))
+    holds = lambda rank: (F.col("cum") - F.col("c") < rank) & (rank <= F.col("cum"))
+    part = F.when(holds(F.col("lo")), F.col(value) * (1 - (F.col("pos") - F.col("lo")))).otherwise(0) + F.when(holds(F.col("lo") + 1), F.col(value) * (F.col("pos") - F.col("lo"))).otherwise(0)
+    return q.groupBy(group, "p").agg(F.round(F.sum(part), 6).alias(value))
+
+
 def verdicts(log: DataFrame) -> DataFrame:
     """M2: log(rel, seq, to_state, reviewer) to the standing verdicts: none after an undo; rev_no counts rows since the last undo."""
     undo = log.groupBy("rel").agg(F.max(F.when(F.col("to_state").isNull(), F.col("seq"))).alias("undone"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .state import numbered
 
 
 def sections(lines: DataFrame, is_heading: Column) -> DataFrame:
@@ -33,21 +34,37 @@ def running_lines(lines: DataFrame, least: int) -> DataFrame:
 
 def even_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """Every (n // k)-th row of a group, the first k of them."""
-    w = Window.partitionBy(group)
-    numbered = rows.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__step": F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / k))})
-    return numbered.where("__i % __step = 0 AND __i < __step * " + str(k)).drop("__i", "__step")
+    size = rows.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / k)).alias("__step"))
+    placed = numbered(rows, [group], [order], "__no").join(size, group)
+    return placed.where("(__no - 1) % __step = 0 AND __no - 1 < __step * " + str(k)).drop("__no", "__step")
+
+
+def back_steps(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Entries of a list and how often a value falls below the one before; neighbours meet by their number."""
+    placed = numbered(rows, [group], [order], "__no").select(group, value, "__no")
+    before = placed.select(group, (F.col("__no") + 1).alias("__no"), F.col(value).alias("__before"))
+    met = placed.join(before, [group, "__no"], "left")
+    return met.groupBy(group).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col(value) < F.col("__before")).alias("back_steps"))
 
 
 def pack(units: Column, limit: int) -> Column:
-    """Runs of consecutive units (n, size) up to a size limit; a unit over it stands alone. Folded in the row."""
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<first:int,last:int,size:bigint>>").alias("parts"))
+    """Runs of consecutive units (n, size) up to a size limit; a unit over it stands alone.
+
+    The fold keeps the size of the open run and grows a list only where a new one begins; sums come afterwards.
+    """
+    begin = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("starts"))
+    numbered_units = F.transform(units, lambda u, i: F.struct(i.alias("i"), u["size"].cast("long").alias("size")))
 
     def step(acc, u):
-        size = u["size"].cast("long")
-        fits = (F.size(acc["parts"]) > 0) & (acc["size"] + size <= limit)
-        last = F.element_at(acc["parts"], -1)
-        grown = F.concat(F.slice(acc["parts"], 1, F.size(acc["parts"]) - 1), F.array(F.struct(last["first"].alias("first"), u["n"].alias("last"), (last["size"] + size).alias("size"))))
-        fresh = F.concat(acc["parts"], F.array(F.struct(u["n"].alias("first"), u["n"].alias("last"), size.alias("size"))))
-        return F.struct(F.when(fits, acc["size"] + size).otherwise(size).alias("size"), F.when(fits, grown).otherwise(fresh).alias("parts"))
-
-    return F.aggregate(units, start, step)["parts"]
+        fits = (F.size(acc["starts"]) > 0) & (acc["size"] + u["size"] <= limit)
+        return F.struct(F.when(fits, acc["size"] + u["size"]).otherwise(u["size"]).alias("size"), F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], u["i"])).alias("starts"))
+
+    starts = F.aggregate(numbered_units, begin, step)["starts"]
+
+    def part(s, i):
+        end = F.coalesce(F.get(starts, i + 1), F.size(units))
+        own = F.slice(units, s + 1, end - s)
+        total = F.aggregate(F.transform(own, lambda u: u["size"].cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.struct(F.get(own, F.lit(0))["n"].alias("first"), F.element_at(own, -1)["n"].alias("last"), total.alias("size"))
+
+    return F.transform(starts, part)

@@ -71,10 +71,16 @@ def p9(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.round(text.dup_ratio("text"), 9).alias("dup"))
 
 
-@register("p16_audit_variants")
+AUDIT = r"lower(regexp_replace(regexp_replace({0}, '[|`*_>#-]+', ' ', 'g'), '\s+', '', 'g'))"
+LABELLED = "CASE WHEN n % 3 = 0 THEN 'Sub-ject: ' || line ELSE line END"
+
+
+@register("p16_audit_variants", X.with_("docs s", f", l AS (SELECT rel, n, trim({LABELLED}) AS t, {LABELLED} AS raw FROM s) SELECT rel, n, array_to_string(list_filter([{AUDIT.format('raw')}, CASE WHEN n % 3 = 0 AND length(t) > 9 THEN {AUDIT.format('substr(t, 10)')} ELSE '' END, CASE WHEN n % 3 = 0 AND length(t) > 9 THEN 'subject' ELSE '' END], lambda x: x <> ''), chr(10)) AS variants, length(t) < 12 OR regexp_matches(t, '^[0-9 .-]*$') AS noise FROM l").replace("\n, l AS", ",\nl AS"))
 def p16(spark, sf):
+    """Every third line has a label in front."""
     src, _ = X.conv(spark, sf)
-    return src.select("rel", "n", text.audit_variants("line").alias("variants"))
+    line = F.when(F.col("n") % 3 == 0, F.concat(F.lit("Sub-ject: "), "line")).otherwise(F.col("line"))
+    return src.select("rel", "n", F.array_join(text.audit_variants(line), "\n").alias("variants"), text.is_noise(line).alias("noise"))
 
 
 @register("p18_cell_key", "SELECT p_partkey, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS k FROM part")

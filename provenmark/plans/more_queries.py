@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import state
+from ..operators import state, verify
 from . import fixtures as X
 from .registry import register
 
@@ -140,9 +140,7 @@ def a30(spark, sf):
 
 @register("w13_contents_usable", X.with_("docs", "SELECT source, count(*) AS entries, count(*) FILTER (back) AS back_steps FROM (SELECT source, n_chars < lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS back FROM docs) GROUP BY source"))
 def w13(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = X.docs(spark, sf).select("source", (F.col("n_chars") < F.lag("n_chars").over(w)).alias("back"))
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.count_if("back").alias("back_steps"))
+    return verify.back_steps(X.docs(spark, sf).select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
 @register("u5_notifications", X.with_("docs evals calls", "SELECT kind, k FROM (SELECT 'review' AS kind, rel AS k FROM evals WHERE status = 'human_decide' UNION ALL SELECT 'budget', CAST(skill AS VARCHAR) FROM calls GROUP BY skill HAVING sum(cost) >= 0.8) WHERE NOT k LIKE '%0.pdf'"))

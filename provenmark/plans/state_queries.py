@@ -111,8 +111,8 @@ def p33(spark, sf):
 
 @register("w5_queue_position", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS position FROM orders")
 def w5(spark, sf):
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority", "o_orderdate", "o_orderkey")
-    return X.table(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("position"))
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return state.numbered(o, ["o_orderstatus"], ["o_orderpriority", "o_orderdate", "o_orderkey"]).select("o_orderkey", "position")
 
 
 @register("w6_recent_adoption", X.with_("calls", "SELECT skill, round(avg(CASE WHEN decision = 'adopted' THEN 1.0 ELSE 0.0 END), 9) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY t DESC, event_id DESC) AS r FROM calls WHERE decision IS NOT NULL) WHERE r <= 50 GROUP BY skill"))
@@ -204,15 +204,14 @@ SELECT lang, CAST(p AS DOUBLE) AS p, round(sum(CASE WHEN i = lo THEN tokens * (1
 def a20(spark, sf):
     """Exclusive quantiles, position p * (n + 1), from ranked rows of each language."""
     t = X.table(spark, sf, "documents").select("lang", F.floor(F.octet_length("text") / 4).alias("tokens"))
-    r = t.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("tokens"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    q = r.withColumn("p", F.explode(F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))).withColumn("at", F.col("p") * (F.col("n") + 1)).withColumn("lo", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor("at"))))
-    part = F.when(F.col("i") == F.col("lo"), F.col("tokens") * (1 - (F.col("at") - F.col("lo")))).when(F.col("i") == F.col("lo") + 1, F.col("tokens") * (F.col("at") - F.col("lo")))
-    return q.where("i IN (lo, lo + 1)").groupBy("lang", "p").agg(F.round(F.sum(part), 6).alias("tokens"))
+    return state.exclusive_quantiles(t, "lang", "tokens", [0.05, 0.5, 0.95])
 
 
-@register("o2_smallest_first", X.with_("docs", "SELECT rel, n_chars FROM docs ORDER BY n_chars, rel LIMIT 50"))
+@register("o2_smallest_first", X.with_("docs", "SELECT rel, n_chars, row_number() OVER (ORDER BY n_chars, rel) AS position FROM docs"))
 def o2(spark, sf):
-    return X.docs(spark, sf).select("rel", "n_chars").orderBy("n_chars", "rel").limit(50)
+    """All work in its order: each row has its place, so that no table has to be sorted whole."""
+    d = X.docs(spark, sf).select("rel", "n_chars", F.lit("work").alias("queue"))
+    return state.numbered(d, ["queue"], ["n_chars", "rel"]).select("rel", "n_chars", "position")
 
 
 @register("o3_file_page", X.with_(BADGES, "SELECT rel, state FROM badges WHERE state = 'unreviewed' AND contains(lower(rel), 'en') ORDER BY lower(rel), rel LIMIT 20 OFFSET 20"))
@@ -282,8 +281,8 @@ def j16(spark, sf):
     A page that contains a text has its words between the first and the last as whole words too, so the longest of those makes an
     equi-join before the search. The first and the last may go on in the page; texts of one or two words are searched in every page.
     """
-    bank = X.table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", text.audit_form("text").alias("ground")).withColumn("words", F.split("ground", " "))
-    pages = X.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.audit_form("text").alias("page"))
+    bank = X.table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", text.normalize_line("text").alias("ground")).withColumn("words", F.split("ground", " "))
+    pages = X.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.normalize_line("text").alias("page"))
     within = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
     long = bank.where("size(words) > 2").withColumn("word", F.element_at(F.array_sort(within, lambda a, b: F.length(b) - F.length(a)), 1))
     held = pages.select("page", F.explode(F.array_distinct(F.split("page", " "))).alias("word")).join(long, "word").where(F.contains("page", F.col("ground"))).select("item_id")
