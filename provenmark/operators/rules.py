@@ -188,3 +188,9 @@ def pattern_suggestions(fixes: DataFrame, least: int = 3) -> DataFrame:
     """fixes(find, replace) to signatures that at least so many different fixes share."""
     each = fixes.distinct().withColumn("signature", change_signature("find", "replace")).where("signature <> ''")
     return each.groupBy("signature").agg(F.count(F.lit(1)).alias("fixes"), F.min("find").alias("example")).where(F.col("fixes") >= least)
+
+
+def library(done: DataFrame, log: DataFrame, share: float = 0.2) -> DataFrame:
+    """A10: results of apply_rules (done) and log(num, undone, acts) to a row a rule: documents, hits, and whether it is often taken back."""
+    hits = done.select(F.explode("done").alias("x")).groupBy(F.col("x.num").alias("num")).agg(F.count(F.lit(1)).alias("documents"), F.sum("x.n").alias("hits"))
+    return hits.join(log, "num", "left").select("num", "documents", "hits", F.coalesce(F.col("undone") > share * F.col("acts"), F.lit(False)).alias("often_undone"))

@@ -146,3 +146,45 @@ def accept_plan(files: DataFrame, asked: DataFrame) -> DataFrame:
 def layout(size: Column, limit: int = 100_000) -> Column:
     """One file, or a folder of chapters beyond the limit."""
     return F.when(size <= limit, "file").otherwise("folder")
+
+
+def titled_sections(texts: DataFrame) -> DataFrame:
+    """texts(rel, text) to (rel, section, title, body): a section begins at a heading of level one or two once it has a word; titles
+    are `section N: heading`, `Start` before the first. One pass over lines with a running number, no look at the whole text."""
+    w = Window.partitionBy("rel").orderBy("n")
+    lines = texts.select("rel", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    title = F.when(F.col("line").rlike(r"^#{1,2}\s+\S"), F.trim(F.regexp_replace("line", r"^#{1,2}\s+", "")))
+    marked = lines.withColumn("head", title).withColumn("block", F.count("head").over(w))
+    blocks = marked.groupBy("rel", "block").agg(F.max("head").alias("head"), F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("body")).where("body <> ''")
+    number = F.row_number().over(Window.partitionBy("rel").orderBy("block"))
+    return blocks.select("rel", number.alias("section"), F.concat(F.lit("section "), number, F.lit(": "), F.substring(F.coalesce("head", F.lit("Start")), 1, 60)).alias("title"), "body")
+
+
+def pages_of_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines(rel, n) take the page of pages(rel, page, lines) whose cumulative count first exceeds their number; null behind the last.
+
+    Both kinds of rows are sorted together by document, so no line is held against more than one page.
+    """
+    ends = pages.select("rel", (F.col("lines") - 1).alias("n"), F.lit(1).alias("__kind"), "page")
+    both = lines.select("rel", F.col("n").cast("long").alias("n"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("page")).unionByName(ends.withColumn("page", F.col("page").cast("long")))
+    later = Window.partitionBy("rel").orderBy("n", "__kind", "page").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("page", F.first("page", ignorenulls=True).over(later)).where("__kind = 0").select("rel", "n", "page")
+
+
+def promotion_plan(wanted: DataFrame, staged: DataFrame, live: DataFrame) -> DataFrame:
+    """wanted(document, path, size) and staged(path, size) to documents: promoted only if every file is there in its size; `archived` is
+    how many live(path) keys give way: the same path, or its twin as a folder of chapters or as one file."""
+    there = wanted.join(staged.select("path", F.col("size").alias("got")), "path", "left").withColumn("good", F.coalesce(F.col("got") == F.col("size"), F.lit(False)))
+    plan = there.groupBy("document").agg(F.bool_and("good").alias("promote"), F.count(F.lit(1)).alias("files"))
+    twins = wanted.select("document", F.explode(F.array_distinct(F.array(F.col("path"), F.regexp_replace("path", r"\.md$", "/index.md"), F.regexp_replace("path", r"/index\.md$", ".md")))).alias("path")).distinct()
+    gone = twins.join(live.select("path").distinct(), "path").groupBy("document").agg(F.count_distinct("path").alias("archived"))
+    return plan.join(gone, "document", "left").select("document", "promote", "files", F.when(F.col("promote"), F.coalesce("archived", F.lit(0))).otherwise(0).cast("long").alias("archived"))
+
+
+def accept_preview(files: DataFrame, running: DataFrame) -> DataFrame:
+    """files(room, state, rule_checks, out_dir) to a row a room: what would go, what needs a person, and the reasons why a room may
+    not be archived."""
+    per = files.groupBy("room").agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "below").alias("below"), F.count_if(F.col("state").isin("pending", "processing")).alias("open"), F.count_if(F.col("state") == "publishing").alias("sending"), F.sum(F.coalesce("rule_checks", F.lit(0))).alias("checks"))
+    busy = per.join(running.select("room", F.lit(True).alias("busy")).distinct(), "room", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("busy"), "running"), F.when(F.col("sending") > 0, "sending"), F.when(F.col("ok") > 0, "not accepted yet"), F.when(F.col("checks") > 0, "checks open")))
+    return busy.select("room", "ok", "below", "open", F.array_join(reasons, ", ").alias("blockers"))

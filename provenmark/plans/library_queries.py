@@ -23,13 +23,6 @@ def s9(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", F.md5(html.raw_text("html")).alias("text_hash"))
 
 
-@register("s10_sections", X.with_("docs s", ", h AS (SELECT rel, n, sum(CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rel ORDER BY n) AS section, line FROM s) SELECT rel, section, count(*) AS lines, sum(length(line)) AS chars FROM h GROUP BY rel, section").replace("\n, h AS", ",\nh AS"))
-def s10(spark, sf):
-    src, _ = X.conv(spark, sf)
-    sections = verify.sections(src, F.col("n") % 10 == 0)
-    return sections.groupBy("rel", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
-
-
 CELLS = """src AS (SELECT p_partkey // 20 AS t, p_partkey % 20 AS r, 0 AS c, p_name AS v FROM part UNION ALL SELECT p_partkey // 20, p_partkey % 20, 1, p_brand FROM part),
 md AS (SELECT p_partkey // 20 AS t, p_partkey % 20 AS r, CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 0 END AS c, p_name AS v FROM part UNION ALL SELECT p_partkey // 20, p_partkey % 20, CASE WHEN p_partkey % 97 = 0 THEN 0 ELSE 1 END, p_brand FROM part)"""
 
@@ -88,14 +81,6 @@ def a22(spark, sf):
     return src.groupBy("rel", F.floor(F.col("n") / 10).alias("page")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.trim("line") == "").alias("empty"))
 
 
-@register("j20_line_to_page", X.with_("docs s", "SELECT rel, n, n // 25 AS page FROM s"))
-def j20(spark, sf):
-    """Lines to pages by cumulative counts: pages open at known lines, and the last one opened holds."""
-    src, _ = X.conv(spark, sf)
-    opened = src.withColumn("opens", F.when(F.col("n") % 25 == 0, F.floor(F.col("n") / 25)))
-    return opened.select("rel", "n", F.last("opens", ignorenulls=True).over(Window.partitionBy("rel").orderBy("n")).alias("page"))
-
-
 @register("w12_packing", None)
 def w12(spark, sf):
     src, _ = X.conv(spark, sf)

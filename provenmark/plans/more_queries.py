@@ -50,13 +50,6 @@ def p31(spark, sf):
     return X.table(spark, sf, "documents").groupBy("source").agg(F.when(mean < 1500, "scan").when(mean < 2000, "drawing").otherwise("text").alias("class"))
 
 
-@register("j12_promotion_plan", X.with_("snap", "SELECT rel % 10 AS document, bool_and(size % 7 <> 0) AS promote, count(*) AS files FROM new GROUP BY 1"))
-def j12(spark, sf):
-    """A document goes only if all its staged files hold."""
-    _, new = X.snapshots(spark, sf)
-    return new.groupBy((F.col("rel") % 10).alias("document")).agg(F.bool_and(F.col("size") % 7 != 0).alias("promote"), F.count(F.lit(1)).alias("files"))
-
-
 @register("j13_impact", X.with_("snap", "SELECT new.rel, old.rel IS NOT NULL AS replaces FROM new LEFT JOIN old ON old.rel = new.rel"))
 def j13(spark, sf):
     old, new = X.snapshots(spark, sf)
@@ -89,22 +82,11 @@ def j31(spark, sf):
     return X.calls(spark, sf).where("decision = 'adopted'").groupBy("skill").agg(F.count(F.lit(1)).alias("adopted"), F.count_if(F.col("event_id") % 10 == 0).alias("waiting"))
 
 
-@register("a3_unit_verification", "SELECT doc_id, n_chars > 0 AS has_unit, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits FROM documents")
-def a3(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 0).alias("has_unit"), F.length(F.regexp_replace("text", "[^0-9]", "")).cast("long").alias("digits"))
-
-
 @register("a7_room_counts", X.with_("docs evals", "SELECT source AS room, count(*) AS files, count(*) FILTER (status = 'evaluated') AS finished, round(avg(auto_score), 6) AS mean_accuracy FROM evals GROUP BY source"))
 def a7(spark, sf):
     return X.evals(spark, sf).groupBy(F.col("source").alias("room")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "evaluated").alias("finished"), F.round(F.avg("auto_score"), 6).alias("mean_accuracy"))
 
 
-@register("a10_rule_library", X.with_("docs", "SELECT rule, count(*) AS documents, sum(hits) AS hits, count(*) FILTER (undone) * 2 > count(*) AS often_undone FROM (SELECT doc_id % 12 AS rule, n_chars % 5 AS hits, doc_id % 5 = 0 AS undone FROM docs) GROUP BY rule"))
-def a10(spark, sf):
-    d = X.docs(spark, sf).select((F.col("doc_id") % 12).alias("rule"), (F.col("n_chars") % 5).alias("hits"), (F.col("doc_id") % 5 == 0).alias("undone"))
-    return d.groupBy("rule").agg(F.count(F.lit(1)).alias("documents"), F.sum("hits").alias("hits"), (F.count_if("undone") * 2 > F.count(F.lit(1))).alias("often_undone"))
-
-
 @register("a13_model_score", X.with_("calls", "SELECT skill, round(100 * avg(CASE WHEN decision = 'adopted' THEN 1.0 ELSE 0.0 END), 6) AS score FROM calls WHERE decision IS NOT NULL GROUP BY skill"))
 def a13(spark, sf):
     return X.calls(spark, sf).where("decision IS NOT NULL").groupBy("skill").agg(F.round(100 * F.avg((F.col("decision") == "adopted").cast("double")), 6).alias("score"))
@@ -132,12 +114,6 @@ def a28(spark, sf):
     return o.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((F.col("o_orderkey") % 4 != 0).cast("double")), 9).alias("pass_rate"), F.percentile((F.col("o_orderkey") % 157).cast("double"), F.lit(0.5)).alias("median_s"))
 
 
-@register("a30_accept_preview", X.with_("docs evals", "SELECT source AS room, count(*) FILTER (auto_score >= 70) AS accept, count(*) FILTER (auto_score < 70) AS below, count(*) FILTER (status = 'deferred') > 0 AS blocked FROM evals GROUP BY source"))
-def a30(spark, sf):
-    e = X.evals(spark, sf)
-    return e.groupBy(F.col("source").alias("room")).agg(F.count_if(F.col("auto_score") >= 70).alias("accept"), F.count_if(F.col("auto_score") < 70).alias("below"), (F.count_if(F.col("status") == "deferred") > 0).alias("blocked"))
-
-
 @register("w13_contents_usable", X.with_("docs", "SELECT source, count(*) AS entries, count(*) FILTER (back) AS back_steps FROM (SELECT source, n_chars < lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS back FROM docs) GROUP BY source"))
 def w13(spark, sf):
     return verify.back_steps(X.docs(spark, sf).select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
@@ -169,8 +145,3 @@ def m9(spark, sf):
 def m10(spark, sf):
     d = X.docs(spark, sf).withColumn("known", F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")))
     return d.select("rel", F.coalesce("known", F.length("text").cast("long")).alias("chars"))
-
-
-@register("v7_visual_check", X.with_("docs", "SELECT source, count(*) FILTER (doc_id % 13 = 0) AS low_pages, count(*) AS pages FROM docs GROUP BY source"))
-def v7(spark, sf):
-    return X.docs(spark, sf).groupBy("source").agg(F.count_if(F.col("doc_id") % 13 == 0).alias("low_pages"), F.count(F.lit(1)).alias("pages"))
