@@ -136,3 +136,27 @@ def nfkc(texts):  # noqa: ANN001, ANN201  pandas types come from Spark
 def grounding(c: Column) -> Column:
     """ASCII texts never leave the JVM."""
     return grounding_form(F.when(c.rlike(r"[^\x00-\x7f]"), nfkc(c)).otherwise(c))
+
+
+def grid(rows: Column, note_chars: int = 60) -> Column:
+    """struct(grid, notes) of a table's rows of cells (null where a cell is merged into the one before).
+
+    Empty rows go, full-width texts become notes, slash numbers that wrapped in a cell are joined, a head of two rows is merged with its
+    spans filled, and what is left of null is empty.
+    """
+    wrapped = r"(\d+(?:/\d+)+)\n(\d{1,3})(?=\s|$)"
+    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, wrapped, "$1$2"), wrapped, "$1$2"), r"\n", " "))
+    filled = lambda r: F.filter(r, lambda c: F.coalesce(c, F.lit("")) != "")
+    clean = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.size(filled(r)) > 0)
+    width = F.array_max(F.transform(clean, lambda r: F.size(r)))
+    padded = F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r))))
+    is_note = lambda r: (F.size(F.filter(r, lambda c: c.isNotNull())) == 1) & (F.length(F.coalesce(F.get(r, F.lit(0)), F.lit(""))) > note_chars)
+    notes, body = F.transform(F.filter(padded, is_note), lambda r: F.get(r, F.lit(0))), F.filter(padded, lambda r: ~is_note(r))
+    two = (F.size(body) > 2) & F.exists(F.slice(F.get(body, F.lit(0)), 2, 10_000), lambda c: c.isNull())
+    # a merged head cell reads as the last one before it
+    spread = lambda r: F.transform(r, lambda c, j: F.coalesce(c, F.element_at(F.concat(F.array(F.lit("")), F.filter(F.slice(r, F.lit(1), j), lambda x: x.isNotNull())), -1)))
+    first, second = spread(F.get(body, F.lit(0))), F.when(two, spread(F.get(body, F.lit(1))))
+    join = lambda a, b: F.array_join(F.array_distinct(F.filter(F.array(a, b), lambda x: F.coalesce(x, F.lit("")) != "")), " — ")
+    head = F.when(two, F.zip_with(first, second, join)).otherwise(first)
+    rest = F.transform(F.slice(body, F.when(two, 3).otherwise(2), F.lit(1_000_000)), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
+    return F.struct(F.when(F.size(body) > 0, F.concat(F.array(head), rest)).otherwise(F.array().cast("array<array<string>>")).alias("grid"), notes.alias("notes"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,3 +191,40 @@ def accept_preview(files: DataFrame, running: DataFrame) -> DataFrame:
     busy = per.join(running.select("room", F.lit(True).alias("busy")).distinct(), "room", "left")
     reasons = F.array_compact(F.array(F.when(F.col("busy"), "running"), F.when(F.col("sending") > 0, "sending"), F.when(F.col("ok") > 0, "not accepted yet"), F.when(F.col("checks") > 0, "checks open")))
     return busy.select("room", "ok", "below", "open", F.array_join(reasons, ", ").alias("blockers"))
+
+
+MOST_DIFF_LINES = 800
+
+
+def line_diff(pairs: DataFrame, before: str = "old", after: str = "new") -> DataFrame:
+    """V6: a unified line diff with two lines of context for each row whose texts differ: (…, diff array of (op, text), added, removed,
+    truncated). At most 800 lines are shown, which the feature says; counts are of all. Equal rows never leave the JVM."""
+    @F.pandas_udf("diff array<struct<op:string,text:string>>, added long, removed long, truncated boolean")
+    def compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(old, new, strict=True):
+            said = list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), lineterm="", n=2))[2:]
+            ops = [{"op": "@" if s[:2] == "@@" else s[:1], "text": s if s[:2] == "@@" else s[1:]} for s in said]
+            rows.append((ops[:MOST_DIFF_LINES], sum(o["op"] == "+" for o in ops), sum(o["op"] == "-" for o in ops), len(ops) > MOST_DIFF_LINES))
+        return pd.DataFrame(rows, columns=["diff", "added", "removed", "truncated"])
+
+    changed = pairs.where(~F.col(before).eqNullSafe(F.col(after)))
+    return changed.withColumn("__d", compared(before, after)).select(*[c for c in pairs.columns if c not in (before, after)], "__d.*")
+
+
+LATEST_EXAMPLES, NEAR, SHOWN = 300, 0.5, 3
+
+
+def similar_examples(questions: DataFrame, examples: DataFrame) -> DataFrame:
+    """questions(skill, id, text) and examples(skill, example, at, text) to the three most similar examples of each question, at least
+    half alike and not the question itself. Only the latest 300 examples of a skill are looked at, which the feature says, so a question
+    meets a bounded number of rows."""
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    newest = Window.partitionBy("skill").orderBy(F.desc("at"), "example")
+    kept = examples.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= LATEST_EXAMPLES).select("skill", "example", F.col("text").alias("__text"), "__r")
+    met = questions.join(kept, "skill").where(F.col("text") != F.col("__text")).withColumn("similarity", ratio("text", "__text")).where(F.col("similarity") >= NEAR)
+    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "__r")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHOWN).select("id", "example", "rank", F.round("similarity", 6).alias("similarity"))

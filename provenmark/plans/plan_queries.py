@@ -88,3 +88,32 @@ def v8(spark, sf):
     folder = new_folder(spark, "reports")
     report.write.partitionBy("report").json(folder)
     return spark.read.schema("subject string, n long, report string").json(folder)
+
+
+@register("p37_table_grid", "SELECT p_partkey // 20 AS t, 'Part — Name;Part — Brand;Size — Brand' AS head, count(*) + 1 AS rows, min(CASE WHEN p_partkey % 2 = 0 THEN p_name || ';' || p_brand || ';120/120/120' ELSE p_name || ';' || p_brand || ';50 40 40' END) AS first, 1 AS notes FROM part GROUP BY 1 HAVING count(*) > 1")
+def p37(spark, sf):
+    """Grids with a head of two rows, a note over the whole width, empty rows, and cells in which numbers wrap or stack."""
+    from ..functions import markdown as M
+
+    none = F.lit(None).cast("string")
+    p = X.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("t"), F.array("p_name", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "120/120/1\n20").otherwise("50\n40\n40")).alias("cells"))
+    body = p.groupBy("t").agg(F.collect_list("cells").alias("body")).where("size(body) > 1")
+    head = F.array(F.array(F.lit("Part"), none, F.lit("Size")), F.array(F.lit("Name"), F.lit("Brand"), none))
+    extra = F.array(F.array(F.lit(" "), none, none), F.array(F.lit("A note that runs over the whole width of the table and says a lot."), none, none))
+    grid = body.select("t", M.grid(F.concat(head, "body", extra)).alias("g"))
+    row = lambda i: F.array_join(F.get("g.grid", F.lit(i)), ";")
+    return grid.select("t", row(0).alias("head"), F.size("g.grid").alias("rows"), F.array_min(F.transform(F.slice("g.grid", 2, 10_000), lambda r: F.array_join(r, ";"))).alias("first"), F.size("g.notes").alias("notes"))
+
+
+@register("v6_line_diff")
+def v6(spark, sf):
+    d = structure.line_diff(X.pairs(spark, sf), "src_text", "md_text")
+    return d.select("rel", "added", "removed", "truncated", F.md5(F.to_json("diff")).alias("diff_hash"))
+
+
+@register("j25_similar_examples")
+def j25(spark, sf):
+    """Names of parts as questions, the latest parts of the same brand as examples."""
+    p = X.table(spark, sf, "part")
+    examples = p.select(F.col("p_brand").alias("skill"), F.col("p_partkey").alias("example"), F.col("p_partkey").alias("at"), F.col("p_name").alias("text"))
+    return structure.similar_examples(p.select(F.col("p_brand").alias("skill"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), examples)

@@ -147,6 +147,27 @@ def test_sampled_checks(spark, sides):
     assert {(r.rule, r.rel): r.sampled for r in registry.queries()["w14_sampled_checks"](spark, FOLDER).collect()} == want
 
 
+def test_line_diff(spark, sides):
+    want = {}
+    for rel, (src, md) in sides.items():
+        if src != md:
+            ops = [x for x in difflib.unified_diff(src, md, lineterm="", n=2)][2:]
+            want[rel] = (sum(x[0] == "+" for x in ops), sum(x[0] == "-" for x in ops), len(ops) > 800)
+    assert {r.rel: (r.added, r.removed, r.truncated) for r in registry.queries()["v6_line_diff"](spark, FOLDER).collect()} == want
+
+
+def test_similar_examples(spark):
+    parts, want = defaultdict(list), set()
+    for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect():
+        parts[r.p_brand].append((-r.p_partkey, r.p_name))
+    for rows in parts.values():
+        latest = sorted(rows)[:300]
+        for k, name in rows:
+            near = sorted((-difflib.SequenceMatcher(None, name, x).ratio(), i, -e) for i, (e, x) in enumerate(latest) if x != name)
+            want |= {(-k, e, i + 1) for i, (s, _, e) in enumerate([x for x in near if x[0] <= -0.5][:3])}
+    assert {(r.id, r.example, r["rank"]) for r in registry.queries()["j25_similar_examples"](spark, FOLDER).collect()} == want
+
+
 def test_every_query_without_sql_is_tested_here():
     bare = set(registry.queries()) - set(registry.oracle_sql())
-    assert bare == {"p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w14_sampled_checks", "v2_glossary_choice"}
+    assert bare == {"p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w14_sampled_checks", "v2_glossary_choice", "v6_line_diff", "j25_similar_examples"}
