@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset: a folder in the warehouse, which a cluster shares as well."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/provenmark"
+    """spark.checkpoint.dir. Where it is unset: a temporary folder of a local session; on a cluster nobody else could read one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = getattr(spark.sparkContext, "_provenmark_tables", None) or tempfile.mkdtemp(prefix="provenmark-")
+        spark.sparkContext._provenmark_tables = found
     return found.rstrip("/")
 
 

@@ -151,7 +151,7 @@ def test_line_diff(spark, sides):
     want = {}
     for rel, (src, md) in sides.items():
         if src != md:
-            ops = [x for x in difflib.unified_diff(src, md, lineterm="", n=2)][2:]
+            ops = list(difflib.unified_diff(src, "\n".join(md).split("\n"), lineterm="", n=2))[2:]
             want[rel] = (sum(x[0] == "+" for x in ops), sum(x[0] == "-" for x in ops), len(ops) > 800)
     assert {r.rel: (r.added, r.removed, r.truncated) for r in registry.queries()["v6_line_diff"](spark, FOLDER).collect()} == want
 
