@@ -40,7 +40,13 @@ def text_key(text: Column) -> Column:
 
 
 def weighted(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles to (owner, element of 48 bits, weight), owners ascending (under 65,536 of them)."""
+    """Shingles to (owner, element of 48 bits, weight), owners ascending."""
+    if len(owners) and owners.max() >= 1 << 16:  # owner and element do not fit one number
+        element = values >> np.uint64(16)
+        order = np.lexsort((element, owners))
+        owner, element = owners[order].astype(int), element[order]
+        at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (element[1:] != element[:-1])]))
+        return owner[at], element[at], np.diff(np.append(at, len(owner)))
     keys = np.sort((owners.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16)))
     if not len(keys):
         return np.zeros(0, int), keys, np.zeros(0, int)

@@ -120,3 +120,11 @@ def test_families_in_blocks(spark):
         return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
 
     assert links <= want and classes(links) == classes(want) and len(want) > 50
+
+
+def test_weights_of_very_many_texts():
+    drawn = np.random.default_rng(5)
+    values, owners = drawn.integers(0, 1 << 63, 500).astype(np.uint64)[drawn.integers(0, 500, 3000)], np.sort(drawn.integers(0, 40, 3000))
+    few = N.weighted(values, owners)
+    many = N.weighted(values, owners + 70_000)
+    assert all((a == b).all() for a, b in zip(few, (many[0] - 70_000, *many[1:]), strict=True))
