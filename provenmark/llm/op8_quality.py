@@ -18,12 +18,24 @@ from .common import SPACES, table
 WINDOW = 8  # words; hashed by doubling: 1, 2, 4, 8
 MAX_LOST = 0.5
 
-# Line rules.
-NAVIGATION = r"(?i)^\W*(home|menu|next|previous|prev|back to top|log ?in|log ?out|sign ?in|sign ?up|register|search|share|tweet|sitemap|site map|skip to (main )?content|read more|contact( us)?|about( us)?|faq|rss)\W*$"
-BOILERPLATE = (
-    "all rights reserved", "cookie policy", "uses cookies", "use cookies", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
-    "enable javascript", "javascript is disabled", "javascript is required", "lorem ipsum", "subscribe to our newsletter", "subscribe to the newsletter", "click here",
-)
+# Menu words that stand alone in a line, and phrases of boilerplate, by language. A further language is a further row.
+MENU = {
+    "en": "home|menu|next|previous|prev|back to top|log ?in|log ?out|sign ?in|sign ?up|register|search|share|tweet|sitemap|site map|skip to (?:main )?content|read more|contact(?: us)?|about(?: us)?|faq|rss",
+    "de": "startseite|menü|weiter|zurück|nach oben|anmelden|abmelden|registrieren|suche|teilen|mehr lesen|weiterlesen|kontakt|über uns|impressum|zum inhalt springen",
+    "fr": "accueil|suivant|précédent|haut de page|connexion|déconnexion|s'inscrire|rechercher|partager|lire la suite|contactez-nous|à propos|plan du site|aller au contenu",
+    "es": "inicio|menú|siguiente|anterior|volver arriba|iniciar sesión|cerrar sesión|registrarse|buscar|compartir|leer más|contacto|sobre nosotros|mapa del sitio|saltar al contenido",
+}
+PHRASES = {
+    "en": (
+        "all rights reserved", "cookie policy", "uses cookies", "use cookies", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
+        "enable javascript", "javascript is disabled", "javascript is required", "lorem ipsum", "subscribe to our newsletter", "subscribe to the newsletter", "click here",
+    ),
+    "de": ("alle rechte vorbehalten", "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "newsletter abonnieren", "hier klicken"),
+    "fr": ("tous droits réservés", "utilise des cookies", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript", "abonnez-vous à notre newsletter", "cliquez ici"),
+    "es": ("todos los derechos reservados", "utiliza cookies", "aceptar cookies", "política de privacidad", "términos de uso", "condiciones de uso", "aviso legal", "activar javascript", "suscríbete a nuestro boletín", "haz clic aquí"),
+}
+NAVIGATION = rf"(?iU)^\W*(?:{'|'.join(MENU.values())})\W*$"
+BOILERPLATE = tuple(phrase for phrases in PHRASES.values() for phrase in phrases)
 
 WORDED = "[^\\\\x20\\\\x09-\\\\x0D]"
 
@@ -34,7 +46,7 @@ def _count(text: str, pattern: str) -> str:
 
 
 def _phrase(text: str) -> str:
-    return " OR ".join(f"contains({text}, '{phrase}')" for phrase in BOILERPLATE)
+    return " OR ".join(f"contains({text}, '{_sql(phrase)}')" for phrase in BOILERPLATE)
 
 
 def line_fails(x: str = "x", phrased: str = "true") -> str:
