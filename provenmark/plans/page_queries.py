@@ -144,11 +144,11 @@ def p43(spark, sf):
     return X.docs(spark, sf).select("rel", M.may_be_sent(F.concat(F.upper("source"), F.lit("/")), body, ["src1", "src2"]).alias("refused"))
 
 
-@register("p42_checked_answers", "SELECT event_id, CASE WHEN user_id % 5 < 2 THEN CASE user_id % 5 WHEN 0 THEN 'aft' ELSE CAST(user_id AS VARCHAR) END END AS picked, CASE WHEN user_id % 5 < 4 THEN round(CASE WHEN value / 100 > 1 THEN 1.0 ELSE value / 100 END, 2) END AS confidence, CASE WHEN user_id % 5 < 4 THEN true END AS needs_human, user_id % 5 < 4 AS valid FROM events")
+@register("p42_checked_answers", "SELECT event_id, CASE WHEN user_id % 5 < 2 THEN CASE user_id % 5 WHEN 0 THEN 'aft' ELSE CAST(user_id AS VARCHAR) END END AS picked, CASE WHEN user_id % 5 < 4 THEN round(CASE WHEN floor(value) / 100 > 1 THEN 1.0 ELSE floor(value) / 100 END, 2) END AS confidence, CASE WHEN user_id % 5 < 4 THEN true END AS needs_human, user_id % 5 < 4 AS valid FROM events")
 def p42(spark, sf):
     """Answers outside the candidates and broken JSON are refused; confidence is clamped; candidates with digits need a person."""
     u = F.col("user_id") % 5
     choice = F.when(u == 0, 0).when(u == 1, 1).when(u == 4, 7).otherwise(-1)
-    raw = F.concat(F.lit('{"choice": '), choice, F.lit(', "confidence": '), F.col("value") / 100, F.lit(', "needs_human": false}'))
+    raw = F.concat(F.lit('{"choice": '), choice, F.lit(', "confidence": '), F.floor("value") / 100, F.lit(', "needs_human": false}'))
     d = X.table(spark, sf, "events").withColumn("answer", M.checked_answer(raw, F.array(F.lit("aft"), F.col("user_id").cast("string"))))
     return d.select("event_id", F.col("answer.text").alias("picked"), "answer.confidence", "answer.needs_human", F.col("answer").isNotNull().alias("valid"))
