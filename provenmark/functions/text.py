@@ -30,7 +30,10 @@ def split_lines(c) -> Column:
 
 def normalize_line(c) -> Column:
     """White space folded, trimmed, lower case; null is empty."""
-    return F.lower(F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " ")))
+    t = _text(c)
+    # most lines have single blanks only; a search without a hit is far cheaper than replacing each of them by itself
+    folded = F.when(t.rlike(r"(?U)[\s&&[^ ]]|  "), F.regexp_replace(t, r"(?U)\s+", " ")).otherwise(t)
+    return F.lower(F.trim(folded))
 
 
 def strip_lead(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +17,8 @@ def exact_match(src: DataFrame, md: DataFrame, texts: bool = True) -> DataFrame:
     asked for. A group holds the equal lines of one document.
     """
     line = F.col("line") if texts else F.lit(None).cast("string")
-    sides = [d.select("rel", F.unhex(F.md5(F.encode(text.normalize_line("line"), "UTF-8"))).alias("key"), F.lit(i).alias("side"), F.struct(F.col("n").cast("long").alias("no"), line.alias("line")).alias("at"), text.normalize_line("line").alias("norm")) for i, d in enumerate((src, md))]
-    both = sides[0].unionByName(sides[1]).where("norm != ''")
+    sides = [d.select("rel", F.unhex(F.md5(F.encode(text.normalize_line("line"), "UTF-8"))).alias("key"), F.lit(i).alias("side"), F.struct(F.col("n").cast("long").alias("no"), line.alias("line")).alias("at")) for i, d in enumerate(x.where(F.col("line").rlike(r"(?U)\S")) for x in (src, md))]
+    both = sides[0].unionByName(sides[1])
     met = both.groupBy("rel", "key").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("at")))).alias(name) for i, name in enumerate(("s", "m"))])
     rows = met.select("rel", F.inline(F.arrays_zip("s", "m")))
     return rows.select("rel", F.col("s.no").alias("src_no"), F.col("m.no").alias("md_no"), F.col("s.line").alias("src"), F.col("m.line").alias("md"))
@@ -46,18 +46,26 @@ def candidates(matched: DataFrame, most: int = 30, dice: float = 0.5) -> DataFra
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """One-to-one, greedily from the highest (dice, src_no, md_no) down; sees only surviving candidates of one document."""
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for row in rows.sort_values(["dice", "src_no", "md_no"], ascending=False).itertuples():
-            if row.src_no not in left and row.md_no not in right:
-                left.add(row.src_no)
-                right.add(row.md_no)
-                keep.append(row.Index)
-        return rows.loc[keep, ["rel", "src_no", "md_no"]]
-
-    return pairs.groupBy("rel").applyInPandas(greedy, "rel string, src_no long, md_no long")
+    """One-to-one, greedily from the highest (dice, src_no, md_no) down; sees only surviving candidates.
+
+    Candidates come sorted by document; a task walks through many documents and holds the lines that one of them has used up.
+    """
+
+    def greedy(batches):
+        rel, left, right = None, set(), set()
+        for batch in batches:
+            kept = []
+            for k, (doc, i, j) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rel", "src_no", "md_no")), strict=True)):
+                if doc != rel:
+                    rel, left, right = doc, set(), set()
+                if i not in left and j not in right:
+                    left.add(i)
+                    right.add(j)
+                    kept.append(k)
+            yield batch.select(["rel", "src_no", "md_no"]).take(pa.array(kept, pa.int64()))
+
+    by_rank = pairs.repartition("rel").sortWithinPartitions("rel", F.desc("dice"), F.desc("src_no"), F.desc("md_no"))
+    return by_rank.select("rel", "src_no", "md_no", "dice").mapInArrow(greedy, "rel string, src_no long, md_no long")
 
 
 def segments(matched: DataFrame, changed: DataFrame) -> DataFrame:
