@@ -15,6 +15,7 @@ _WHERE = {
     "op8_quality_rules": "op8_quality",
     "op9_lm_scores": "op9_lm",
     "op10_near_duplicates": "op10_near",
+    "op11_phrases": "op11_phrases",
 }
 
 
