@@ -20,16 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .words import LOWER, buffers, hash_spans, mix
+from .words import LOWER, blocks, buffers, hash_spans, mix
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 1_000_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP = _BREAK.copy()
@@ -40,7 +39,7 @@ FOUND = STATE + ", gid int, w1 long, c long, lang string, word string"
 
 
 def _tight(values: np.ndarray) -> bytes:
-    """Numbers below 2**32, their bytes by significance, compressed."""
+    """Numbers below 2**32: their bytes by significance, compressed."""
     return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
 
@@ -56,27 +55,31 @@ def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data[at])).cast(pa.string())
 
 
-def _relation(langs: pa.Array, texts: pa.Array):
-    """(places, groups, word hashes of groups, counts, a row that holds each, its word) of the words of some texts."""
-    offsets, data = buffers(texts)
-    data = LOWER[data]
-    solid = ~_GAP[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    opens, closes = solid.copy(), solid.copy()
-    opens[1:] &= ~solid[:-1] | edge[1:-1]
-    closes[:-1] &= ~solid[1:] | edge[1:-1]
-    starts = np.flatnonzero(opens)
-    lengths = np.flatnonzero(closes) + 1 - starts
-    row = np.searchsorted(offsets, starts, "right") - 1
-    parts = np.cumsum(_BREAK[data], dtype=np.int64)[starts] if len(starts) else starts
-    fresh = np.concatenate([[0], (parts[1:] != parts[:-1]) | (row[1:] != row[:-1])])[: len(starts)]
-    names = langs.dictionary_encode()
-    at, named = buffers(names.dictionary)
-    lang = hash_spans(named, at[:-1], np.diff(at))[names.indices.to_numpy()]
-    keys = mix(hash_spans(data, starts, lengths) * _MUL + lang[row])
-    words, first, groups, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return np.arange(len(starts)) + np.cumsum(fresh), groups, words, counts, row[first], _texts(data, starts[first], lengths[first])
+class Block:
+    """Words of some texts: places and groups (numbers of different words) in order, and of each different word its hash, count, language and text."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        offsets, data = buffers(texts)
+        data = LOWER[data]
+        solid = ~_GAP[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        opens, closes = solid.copy(), solid.copy()
+        opens[1:] &= ~solid[:-1] | edge[1:-1]
+        closes[:-1] &= ~solid[1:] | edge[1:-1]
+        starts = np.flatnonzero(opens)
+        lengths = np.flatnonzero(closes) + 1 - starts
+        row = np.searchsorted(offsets, starts, "right") - 1
+        parts = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
+        fresh = np.concatenate([[True], (parts[1:] != parts[:-1]) | (row[1:] != row[:-1])])[: len(starts)]
+        names = langs.dictionary_encode()
+        at, named = buffers(names.dictionary)
+        lang = hash_spans(named, at[:-1], np.diff(at))[names.indices.to_numpy()]
+        keys = mix(hash_spans(data, starts, lengths) * _MUL + lang[row])
+        self.words, first, groups, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        self.groups = groups.astype(np.int32)
+        self.places = (np.arange(len(starts)) + np.cumsum(fresh)).astype(np.int32)
+        self.langs, self.texts = langs.take(pa.array(row[first])), _texts(data, starts[first], lengths[first])
 
 
 def _read(chunk_bytes: int):
@@ -86,23 +89,29 @@ def _read(chunk_bytes: int):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
 
     def sent(held, chunk):
-        rows = pa.Table.from_batches(held)
-        langs = rows["lang"].combine_chunks()
-        places, groups, words, counts, row, text = _relation(langs, rows["text"])
+        words, first, number = np.unique(np.concatenate([b.words for b in held]), return_index=True, return_inverse=True)
+        numbers = np.split(number, np.cumsum([len(b.words) for b in held])[:-1])
+        counts = np.bincount(number, np.concatenate([b.counts for b in held]), len(words)).astype(np.int64)
+        groups = np.concatenate([n[b.groups].astype(np.int32) for n, b in zip(numbers, held, strict=True)])
+        last = np.cumsum([0, *[int(b.places[-1]) + 1 if len(b.places) else 0 for b in held]])
+        places = np.concatenate([b.places + at for b, at in zip(held, last[:-1], strict=True)])
         yield batch(1, chunk=pa.array([chunk], pa.int64()), size=pa.array([len(places)], pa.int32()), places=pa.array([_tight(places)]), groups=pa.array([_tight(groups)]), phrases=pa.array([words.tobytes()]))
-        lang = langs.take(pa.array(row))
-        for a in range(0, len(words), 50_000):
-            b = min(len(words), a + 50_000)
-            yield batch(b - a, chunk=pa.array(np.full(b - a, chunk)), gid=pa.array(np.arange(a, b), pa.int32()), w1=pa.array(words[a:b].view(np.int64)), c=pa.array(counts[a:b]), lang=lang.slice(a, b - a), word=text.slice(a, b - a))
+        take = pa.array(first)
+        langs, texts = (pa.chunked_array([getattr(b, c) for b in held], pa.string()).combine_chunks().take(take) for c in ("langs", "texts"))
+        for a in range(0, len(words), 20_000):
+            b = min(len(words), a + 20_000)
+            yield batch(b - a, chunk=pa.array(np.full(b - a, chunk)), gid=pa.array(np.arange(a, b), pa.int32()), w1=pa.array(words[a:b].view(np.int64)), c=pa.array(counts[a:b]), lang=langs.slice(a, b - a), word=texts.slice(a, b - a))
 
     def chunks(batches):
         held, size, chunk = [], 0, TaskContext.get().partitionId() << 24
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > chunk_bytes:
-                yield from sent(held, chunk)
-                held, size, chunk = [], 0, chunk + 1
+        for rows in batches:
+            for a, b in blocks(buffers(rows.column(1))[0], BLOCK_BYTES):
+                some = rows.slice(a, b - a)
+                held.append(Block(some.column(0), some.column(1)))
+                size += some.nbytes
+                if size > chunk_bytes:
+                    yield from sent(held, chunk)
+                    held, size, chunk = [], 0, chunk + 1
         if held:
             yield from sent(held, chunk)
 
@@ -161,8 +170,8 @@ def _count(words: int):
             for row in batch.to_pylist():
                 found = Relation.stored(row, words - 1).longer()
                 counts = np.bincount(found.groups, minlength=len(found.phrases))
-                for a in range(0, len(counts), 50_000):
-                    some = found.phrases[a : a + 50_000].view(np.int64)
+                for a in range(0, len(counts), 20_000):
+                    some = found.phrases[a : a + 20_000].view(np.int64)
                     n = len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(a, a + n), pa.int32()), *[pa.array(np.ascontiguousarray(some[:, k])) for k in range(words)], pa.array(counts[a : a + n])], names)
 
