@@ -28,7 +28,7 @@ from .common import cut, table
 from .words import LOWER, blocks, buffers, hash_spans, mix
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
-CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 1_000_000
+CHUNK_BYTES, BLOCK_BYTES = 8_000_000, 1_000_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP = _BREAK.copy()
@@ -45,7 +45,7 @@ def _tight(values: np.ndarray) -> bytes:
 
 def _loose(raw: bytes, n: int) -> np.ndarray:
     flat = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view("<i4").ravel()
 
 
 def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -130,7 +130,7 @@ class Relation:
 
     def keep(self, gids: np.ndarray) -> Relation:
         """Semi-join with the groups of these numbers."""
-        number = np.full(len(self.phrases), -1)
+        number = np.full(len(self.phrases), -1, np.int32)
         number[gids] = np.arange(len(gids))
         groups = number[self.groups]
         return Relation(self.places[groups >= 0], groups[groups >= 0], self.phrases[gids])
@@ -138,9 +138,9 @@ class Relation:
     def longer(self) -> Relation:
         """Merge-join with itself at the next place: phrases of one word more."""
         at = np.flatnonzero(self.places[1:] == self.places[:-1] + 1)
-        many = max(1, len(self.phrases))
+        many = np.int64(max(1, len(self.phrases)))
         both, groups = np.unique(self.groups[at] * many + self.groups[at + 1], return_inverse=True)
-        return Relation(self.places[at], groups, np.hstack([self.phrases[both // many], self.phrases[both % many][:, -1:]]))
+        return Relation(self.places[at], groups.astype(np.int32), np.hstack([self.phrases[both // many], self.phrases[both % many][:, -1:]]))
 
     def row(self, chunk: int) -> pa.Table:
         values = [[chunk], [len(self.places)], [_tight(self.places)], [_tight(self.groups)], [np.ascontiguousarray(self.phrases).tobytes()]]
