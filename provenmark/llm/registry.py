@@ -16,6 +16,8 @@ _WHERE = {
     "op9_lm_scores": "op9_lm",
     "op10_near_duplicates": "op10_near",
     "op11_phrases": "op11_phrases",
+    "op12_nearest": "op12_nearest",
+    "op13_hard_negatives": "op13_negatives",
 }
 
 
