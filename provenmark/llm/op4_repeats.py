@@ -41,6 +41,7 @@ HEAVY = 4_000
 BLOCK_BYTES, TEXT_BYTES = 300_000, 1_000_000
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _INVERSE = np.array([pow(0x9E3779B97F4A7C15, -1, 1 << 64)], np.uint64)
+_HEADS = np.array([0] + [2**64 - 2 ** (64 - 8 * k) for k in range(1, 9)], np.uint64)  # the first k of eight bytes
 RUNS = "d long, k long, at long, m long, rh long, again boolean"
 
 
@@ -145,11 +146,16 @@ class SuffixArray:
         data = np.frombuffer(b"".join(strings), np.uint8)
         begin = np.cumsum(sizes) - sizes
         self.least = least
-        rank = {8: np.unique(_view(data, ">u8"), return_inverse=True)[1].astype(np.int32)}
+        # bytes from each place to its string's end, which ranks below every byte: nothing is compared past it
+        left = np.repeat(begin + sizes, sizes) - np.arange(len(data))
+        first = _view(data, ">u8").astype(np.uint64) & _HEADS[np.minimum(left, 8)]
+        first = np.unique(first, return_inverse=True)[1].astype(np.int64) * 9 + np.minimum(left, 8)
+        rank = {8: np.unique(first, return_inverse=True)[1].astype(np.int32)}
         width, longest = 8, int(sizes.max(initial=0))
         while width < longest:
             key = rank[width].astype(np.int64) * (len(data) + 1)
-            key[: max(0, len(data) - width)] += rank[width][width:]
+            on = np.flatnonzero(left > width)
+            key[on] += rank[width][on + width].astype(np.int64) + 1
             rank[2 * width] = np.unique(key, return_inverse=True)[1].astype(np.int32)
             width *= 2
         self.owner = np.repeat(np.arange(len(strings)), starts)

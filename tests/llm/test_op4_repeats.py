@@ -146,3 +146,50 @@ def test_strip(spark):
     want = {i: removed < size for i, size, removed, *_ in brute(rows) if i >= 100}
     assert {i for i in out if i >= 100} == {i for i, left in want.items() if left}
     assert list(R.strip_repeats(frame(spark, rows)).columns) == frame(spark, rows).columns
+
+
+def shared_passages(rng, texts=30):
+    """Short texts that take stretches of a few passages, which begin and end anywhere, so that texts end inside repeats of others."""
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(230, 420))) for _ in range(3)]
+    out = []
+    for _ in range(texts):
+        p = rng.choice(passages)
+        a = rng.choice([0, 0, rng.randrange(30)])
+        b = min(len(p), a + rng.randrange(196, 330))
+        out.append(rng.choice(["", "x", "yz", "".join(rng.choice("uvw") for _ in range(rng.randrange(9)))]) + p[a:b] + rng.choice(["", "", "q", "qr", "".join(rng.choice("stu") for _ in range(rng.randrange(9)))]))
+    return out
+
+
+def plain_spans(texts, least=200):
+    """What the Spark jobs put together, for a handful of texts: runs, counts, and the trees of all strings at once."""
+    runs, count = [], defaultdict(int)
+    for d, text in enumerate(texts):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for s, n, m, h in zip(*(v.tolist() for v in R.runs_of(raw, np.array([len(raw)]), least)), strict=True):
+            runs.append((m, d, s, n, h))
+            count[m, h] += 1
+    spans, strings = defaultdict(list), {}
+    for m, d, s, n, h in runs:
+        if count[m, h] > 1:
+            spans[d].append({"a": s, "b": s + n + least - 1})
+        strings.setdefault((m, h), (m - 2**63, d, 0, s * 512 + n, h - 2**63, count[m, h] == 1, texts[d].encode()[s : s + n + least - 1]))
+    batch = R._batch(list(zip(*sorted(strings.values()), strict=True)), R.LIGHT) if strings else None
+    for found in R._scan([batch] if batch else [], least):
+        for r in found.to_pylist():
+            spans[r["d"]].append(r)
+    return [R._merge(spans[d], 0) for d in range(len(texts))]
+
+
+def test_no_byte_is_lost_where_texts_end_inside_repeats():
+    """A suffix that ends must sort before those that go on, or it splits their interval."""
+    for seed in range(1000):
+        texts = shared_passages(random.Random(seed), 30 if seed < 300 else 12)
+        got = [(i, len(t.encode()), sum(b - a for a, b in spans), len(spans)) for i, (t, spans) in enumerate(zip(texts, plain_spans(texts), strict=True))]
+        assert got == [r[:4] for r in brute(list(enumerate(texts)))], seed
+
+
+def test_texts_that_end_inside_repeats_through_spark(spark):
+    texts = [t for seed in range(20) for t in shared_passages(random.Random(seed))]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = R.with_spans(R.keyed(frame(spark, rows))).select("doc_id", "text", "spans").mapInArrow(R._cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
