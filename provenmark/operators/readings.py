@@ -31,10 +31,15 @@ def engine_summary(rows: DataFrame, engine: str, conf: str, size: str) -> DataFr
 
 
 def page_confidence(lines: DataFrame) -> DataFrame:
-    """lines(rel, page, text, conf) to documents: length-weighted confidence, pages in doubt, and whether some pages have no text."""
-    size = F.length("text")
-    page = lines.groupBy("rel", "page").agg(F.round(F.sum(F.col("conf") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("conf"), F.sum(size).alias("size"))
-    return page.groupBy("rel").agg(F.round(F.sum(F.col("conf") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), 6).alias("conf"), F.count_if(F.col("conf") < CONFIDENT).alias("low_pages"), (F.count_if(F.col("size") == 0) > 0).alias("partial"))
+    """lines(rel, page, text, conf) to documents: length-weighted confidence, pages in doubt, and whether some pages have no text.
+
+    Confidences count in whole millionths and are rounded once, half up, so their mean does not hang on the order of the sums."""
+    size = F.length("text").cast("decimal(18,0)")
+    page = lines.groupBy("rel", "page").agg(F.sum(F.round(F.col("conf") * 1_000_000).cast("decimal(9,0)") * size).alias("sum"), F.sum(size).alias("size"))
+    mean = lambda total, n: F.expr(f"CASE WHEN {n} > 0 THEN ((2 * {total} + {n}) DIV (2 * {n})) / 1e6D END")
+    page = page.select("rel", "sum", "size", mean("sum", "size").alias("conf"))
+    low, none = F.count_if(F.col("conf") < CONFIDENT).alias("low_pages"), (F.count_if(F.col("size") == 0) > 0).alias("partial")
+    return page.groupBy("rel").agg(F.sum("sum").alias("sum"), F.sum("size").alias("size"), low, none).select("rel", mean("sum", "size").alias("conf"), "low_pages", "partial")
 
 
 def correct_text(c: str) -> Column:

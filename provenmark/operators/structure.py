@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from .containment import contained
 
 EVENT = "t double, type string, rel string, kind string, size bigint, outcome string, accuracy double, diffs bigint, number_diffs bigint, out_dir string, content_hash string, files array<struct<rel:string,kind:string,size:bigint>>"
 TYPES = ("listing", "start", "file", "unchanged", "published", "publish_failed")
@@ -18,8 +19,8 @@ TOTAL, ITEM, SCAN_PAGE, VERDICT = r"^(\d+) documents", r"^\[(\d+)\] (.+)$", r"^O
 
 def pages_with(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """pages(rel, page, text) and wanted(rel, ask, find) to (rel, ask, page) of the pages that hold the text in its normal form."""
-    asks = wanted.select("rel", "ask", text.normalize_line("find").alias("__find"))
-    return pages.join(asks, "rel").where(F.contains(text.normalize_line("text"), F.col("__find"))).select("rel", "ask", "page")
+    norm = lambda df, c, *keep: df.select("rel", *keep, text.normalize_line(c).alias(c))
+    return contained(norm(pages, "text", "page"), norm(wanted, "find", "ask"), ["page"], ["ask"], ("rel",))
 
 
 def cross_references(chunks: DataFrame) -> DataFrame:
@@ -49,9 +50,11 @@ def unmatched_headings(entries: DataFrame, rows: DataFrame) -> DataFrame:
     near = near.withColumn("k3", F.concat("k2", F.coalesce(F.lead("k1", 2).over(w), F.lit("")))).where("k1 <> ''")
     asked = entries.withColumn("key", key("title"))
     spread = asked.where("key <> ''").select("rel", "seq", "key", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page"))
-    # rows meet entries by page and by the first letters of their keys
-    met = spread.withColumn("head", F.substring("key", 1, 4)).join(near.withColumn("head", F.substring("k1", 1, 4)), ["rel", "page", "head"])
-    found = met.where(F.startswith("k1", F.col("key")) | (F.col("k2") == F.col("key")) | (F.col("k3") == F.col("key"))).select("rel", "seq").distinct()
+    # a row begins with an entry if its first letters, as many as the entry has, equal it; few lengths are asked for on a page
+    lengths = spread.groupBy("rel", "page").agg(F.collect_set(F.length("key")).alias("lengths"))
+    heads = near.join(lengths, ["rel", "page"]).select("rel", "page", "k1", "k2", "k3", F.explode("lengths").alias("n"))
+    heads = heads.select("rel", "page", F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(F.length(k) >= F.col("n") if k == "k1" else F.length(k) == F.col("n"), F.substring(k, F.lit(1), F.col("n"))) for k in ("k1", "k2", "k3")])))).alias("key"))
+    found = spread.join(heads, ["rel", "page", "key"]).select("rel", "seq").distinct()
     return asked.join(found, ["rel", "seq"], "left_anti").select("rel", "seq", "title", "page")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages, rules, structure, verify
+from ..operators.containment import contained
 from . import fixtures as X
 from . import rule_queries, verify_queries
 from .registry import register
@@ -78,11 +79,8 @@ def v8(spark, sf):
     from ..sources.tables import new_folder
 
     lost = pages.check_pages(*verify_queries.sides(spark, sf)).groupBy("rel").agg(F.sum("lost").alias("n")).where("n > 0")
-    # a text that holds an item holds its second word between blanks or line breaks
-    bank = X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("find"), F.get(F.split("text", r"[ \n]"), F.lit(1)).alias("key"))
-    words = X.table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("key"))
-    ids = bank.join(words, "key").select("item_id", "doc_id", "find")
-    hold = ids.join(X.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("find"))).select("item_id").distinct()
+    bank = X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("find"))
+    hold = contained(X.table(spark, sf, "documents").select("doc_id", "text"), bank, ["doc_id"], ["item_id"]).select("item_id").distinct()
     bare = bank.join(hold, "item_id", "left_anti")
     report = lost.select(F.lit("lost content").alias("report"), F.col("rel").alias("subject"), F.col("n").cast("long").alias("n")).unionByName(bare.select(F.lit("not grounded").alias("report"), F.col("item_id").cast("string").alias("subject"), F.lit(0).cast("long").alias("n")))
     folder = new_folder(spark, "reports")

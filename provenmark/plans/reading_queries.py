@@ -65,7 +65,7 @@ def j29(spark, sf):
     return d.where("c IS NOT NULL").select("rel", "c.*")
 
 
-@register("a27_page_confidence", X.with_("docs s", ", c AS (SELECT rel, n, length(line) AS size, 0.85 + (doc_id + n) % 15 / 100.0 AS conf FROM s) SELECT rel, round(sum(conf * size) / nullif(sum(size), 0), 6) AS conf, count(*) FILTER (size > 0 AND conf < 0.9) AS low_pages, count(*) FILTER (size = 0) > 0 AS partial FROM c GROUP BY rel").replace("\n, c AS", ",\nc AS"))
+@register("a27_page_confidence", X.with_("docs s", ", c AS (SELECT rel, n, length(line) AS size, 850000 + (doc_id + n) % 15 * 10000 AS conf FROM s) SELECT rel, CASE WHEN sum(size) > 0 THEN ((2 * sum(conf * size) + sum(size)) // (2 * sum(size))) / 1e6 END AS conf, count(*) FILTER (size > 0 AND conf < 900000) AS low_pages, count(*) FILTER (size = 0) > 0 AS partial FROM c GROUP BY rel").replace("\n, c AS", ",\nc AS"))
 def a27(spark, sf):
     r = two_readings(spark, sf).select("rel", "page", F.col("a").alias("text"), F.round("conf", 6).alias("conf"))
     return readings.page_confidence(r)

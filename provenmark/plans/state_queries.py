@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, score, text
 from ..operators import state
+from ..operators.containment import check_grounds, contained
 from . import fixtures as X
 from .registry import register
 
@@ -276,16 +277,48 @@ def p45(spark, sf):
 
 @register("j16_grounding", "SELECT item_id, count(doc_id) AS pages FROM benchmark b LEFT JOIN documents d ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY item_id")
 def j16(spark, sf):
-    """Pages that contain a ground text. The bank is small by nature; its size is Spark's to check before it broadcasts.
-
-    A page that contains a text has its words between the first and the last as whole words too, so the longest of those makes an
-    equi-join before the search. The first and the last may go on in the page; texts of one or two words are searched in every page.
-    """
-    bank = X.table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", text.normalize_line("text").alias("ground")).withColumn("words", F.split("ground", " "))
-    pages = X.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.normalize_line("text").alias("page"))
-    within = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
-    long = bank.where("size(words) > 2").withColumn("word", F.element_at(F.array_sort(within, lambda a, b: F.length(b) - F.length(a)), 1))
-    held = pages.select("page", F.explode(F.array_distinct(F.split("page", " "))).alias("word")).join(long, "word").where(F.contains("page", F.col("ground"))).select("item_id")
-    short = pages.join(bank.where("size(words) <= 2"), F.contains("page", F.col("ground"))).select("item_id")
-    found = held.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
+    """Pages that contain a ground text, in the normal form of lines."""
+    bank = X.table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", text.normalize_line("text").alias("find"))
+    pages = X.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.normalize_line("text").alias("text"))
+    found = contained(pages, bank, ["doc_id"], ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
     return X.table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))
+
+
+BANK = r"""
+sp AS (SELECT rel, doc_id, n // 5 + 1 AS page, string_agg(line, ' ' ORDER BY n) AS text FROM s GROUP BY ALL),
+pu AS (SELECT rel, doc_id, n // 5 + 1 AS page, string_agg('**' || line || '** |', ' ' ORDER BY n) AS text FROM s WHERE (doc_id * 31 + n) % 10 <> 0 AND NOT (doc_id % 5 = 4 AND n // 5 = 1) GROUP BY ALL),
+q AS (SELECT rel AS question, rel AS doc, doc_id, array_to_string(string_split(line, ' ')[1:3], ' ') AS find, n // 5 + 1 AS page, n FROM s WHERE n IN (0, 6)),
+src AS (SELECT rel, page, NORM AS text FROM sp), pub AS (SELECT rel, page, doc_id, NORM AS text FROM pu),
+met AS (SELECT q.*, src.text AS source, coalesce(pub.text, '') AS published, lower(trim(regexp_replace(regexp_replace(find, '[*_|`]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm FROM q LEFT JOIN src ON src.rel = doc AND src.page = q.page LEFT JOIN pub ON pub.rel = doc AND pub.page = q.page)
+SELECT question, 'no unit' AS problem, doc, page, NULL AS subject FROM met WHERE published = ''
+UNION ALL SELECT question, 'not on the source page', doc, page, find FROM met WHERE NOT contains(source, norm)
+UNION ALL SELECT question, 'not in the published text', doc, page, find FROM met WHERE published <> '' AND NOT contains(published, norm)
+UNION ALL SELECT question, 'no marker', doc, page, NULL FROM met WHERE n = 6 AND doc_id % 7 = 0 AND NOT contains(published, 'not readable')
+UNION ALL SELECT question, 'clause not listed', doc, page, 'C' || page FROM met WHERE n = 6 AND doc_id % 3 = 0
+UNION ALL SELECT rel, 'edition not found', rel, NULL, 'published' FROM docs WHERE doc_id % 9 = 0
+UNION ALL SELECT d.rel, 'is in the library', NULL, NULL, min(x.rel) FROM docs d JOIN docs x ON contains(lower(x.rel), 'oc_' || (d.doc_id * 3) || '.p') GROUP BY d.rel
+UNION ALL SELECT 'bare ' || rel, 'no ground', NULL, NULL, NULL FROM docs WHERE doc_id % 10 = 0
+""".replace("NORM", r"lower(trim(regexp_replace(regexp_replace(text, '[*_|`]', ' ', 'g'), '\s+', ' ', 'g')))")
+
+
+@register("j16_bank_check", X.with_("docs s", ", " + BANK.strip()).replace("\n, sp AS", ",\nsp AS"))
+def j16_bank(spark, sf):
+    """A question a document: the first words of two lines on their pages, the clause of the second page (documents divisible by three do not
+    list it), the edition, and a document that must not be in the library. The published text has lost a tenth of the lines, every
+    fifth document its second page; no published page says that it is not readable."""
+    src, _ = X.conv(spark, sf)
+    d = X.docs(spark, sf).select("rel", "doc_id")
+    rows, n, i = src.join(d, "rel"), F.col("n"), F.col("doc_id")
+    page = (F.floor(n / 5) + 1).cast("long").alias("page")
+    joined = lambda df: df.groupBy(F.col("rel").alias("doc"), page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("text"))
+    lost = ((i * 31 + n) % 10 == 0) | ((i % 5 == 4) & (F.floor(n / 5) == 1))
+    units = joined(rows.where(~lost).withColumn("line", F.concat(F.lit("**"), "line", F.lit("** |"))))
+    files = d.select(F.col("rel").alias("path"), F.col("rel").alias("doc"), F.when(i % 3 == 0, F.array(F.lit("C1"))).otherwise(F.array(F.lit("C1"), F.lit("C2"))).alias("clauses"), F.when(i % 9 == 0, "draft").otherwise("published").alias("edition"))
+    none = lambda kind: F.lit(None).cast(kind)
+    first = F.array(F.array_join(F.slice(F.split("line", " "), 1, 3), " "))
+    shape = lambda df, page, has, clause, marker, absent, edition, doc="rel": df.select(F.col("rel").alias("question"), (F.col(doc) if doc else none("string")).alias("doc"), page.alias("page"), has.alias("contains"), clause.alias("clause"), marker.alias("unreadable"), absent.alias("absent"), edition.alias("edition"))
+    on_page = shape(rows.where("n IN (0, 6)"), page, first, F.when(n == 6, F.lit("C2")), (n == 6) & (i % 7 == 0), none("string"), none("string"))
+    edition = shape(d, none("long"), none("array<string>"), none("string"), none("boolean"), none("string"), F.lit("published"))
+    absent = shape(d, none("long"), none("array<string>"), none("string"), none("boolean"), F.concat(F.lit("oc_"), i * 3, F.lit(".P")), none("string"), None)
+    questions = d.select(F.col("rel").alias("question")).unionByName(d.where("doc_id % 10 = 0").select(F.concat(F.lit("bare "), "rel").alias("question")))
+    return check_grounds(questions, on_page.unionByName(edition).unionByName(absent), joined(rows), units, files)

@@ -56,7 +56,7 @@ KEY = "regexp_replace(lower({0}), '[^0-9a-z]', '', 'g')"
 
 @register("j23_unmatched_headings", X.with_("docs s", f""", rw AS (SELECT rel, n // 5 + 1 AS page, n AS y, {KEY.format('line')} AS k1 FROM s), rk AS (SELECT *, k1 || coalesce(lead(k1, 1) OVER w, '') AS k2, k1 || coalesce(lead(k1, 1) OVER w, '') || coalesce(lead(k1, 2) OVER w, '') AS k3 FROM rw WINDOW w AS (PARTITION BY rel, page ORDER BY y)),
 en AS (SELECT rel, n AS seq, array_to_string(string_split(line, ' ')[1:3], ' ') AS title, n // 5 + 1 + CASE WHEN n % 3 = 0 THEN 1 WHEN n % 8 = 4 THEN 3 ELSE 0 END AS page FROM s WHERE n % 4 = 0), ek AS (SELECT *, {KEY.format('title')} AS key FROM en)
-SELECT rel, seq, title, page FROM ek WHERE key = '' OR NOT EXISTS (SELECT 1 FROM rk WHERE rk.rel = ek.rel AND rk.page BETWEEN ek.page - 1 AND ek.page + 1 AND k1 <> '' AND left(k1, 4) = left(key, 4) AND (starts_with(k1, key) OR k2 = key OR k3 = key))""").replace("\n, rw AS", ",\nrw AS"))
+SELECT rel, seq, title, page FROM ek WHERE key = '' OR NOT EXISTS (SELECT 1 FROM rk WHERE rk.rel = ek.rel AND rk.page BETWEEN ek.page - 1 AND ek.page + 1 AND k1 <> '' AND (starts_with(k1, key) OR k2 = key OR k3 = key))""").replace("\n, rw AS", ",\nrw AS"))
 def j23(spark, sf):
     """Every fourth line begins with a heading; some contents entries name a page too far away."""
     src, _ = X.conv(spark, sf)
