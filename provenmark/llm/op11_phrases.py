@@ -10,7 +10,7 @@ r"""Phrases of two to four words, mined level by level over sorted occurrence re
 4. Candidates meet the counts of their parts by equi-joins. Ranks within a language are taken in slices before the last sort.
 
 A task holds one chunk; a shuffled group has a row for each chunk that holds the key, so a word that is in every text costs no more
-than one in every chunk. Words are known by 64 bits of language and word, phrases by those of all their words.
+than one in every chunk. Words are told apart by 64 bits of language and word, phrases by the numbers of all their words.
 
 Defined cases: null and empty texts hold no words; a null language is `und`, as is the language of that name; repeated rows count
 again; punctuation alone holds no words; doc_id and further columns are not read; without candidates there are no rows.
@@ -28,7 +28,7 @@ from .common import cut, table
 from .words import LOWER, blocks, buffers, hash_spans, mix
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
-CHUNK_BYTES, BLOCK_BYTES = 8_000_000, 1_000_000
+CHUNK_BYTES, BLOCK_BYTES = 16_000_000, 1_000_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP = _BREAK.copy()
@@ -155,8 +155,13 @@ def _semi_join(words: int):
         if not left.num_rows or not right.num_rows:
             return Relation(np.zeros(0, int), np.zeros(0, int), np.zeros((0, words), np.uint64)).row(0).slice(0, 0)
         row = left.to_pylist()[0]
-        relation = Relation.stored(row, 1) if words == 1 else Relation.stored(row, words - 1).longer()
-        return relation.keep(np.sort(right["gid"].to_numpy())).row(row["chunk"])
+        right = right.sort_by("gid")
+        gids = right["gid"].to_numpy()
+        if words > 1:
+            return Relation.stored(row, words - 1).longer().keep(gids).row(row["chunk"])
+        kept = Relation.stored(row, 1).keep(gids)
+        kept.phrases = right["id"].to_numpy().view(np.uint64).reshape(-1, 1)  # ids stand for the words' hashes from here on
+        return kept.row(row["chunk"])
 
     return kept
 
@@ -186,29 +191,32 @@ def _frequent(counts: DataFrame, words: int, least: int) -> DataFrame:
     return cut(counts.where(F.col("f") >= least).drop("c"))
 
 
+def _frequent_words(counts: DataFrame, least: int) -> DataFrame:
+    """(w1, id, f, lang, phrase) of frequent words; ids are small and follow the order of hashes, so rows of phrases stay short."""
+    words = counts.groupBy("w1").agg(F.sum("c").alias("f"), F.min("lang").alias("lang"), F.min("word").alias("phrase")).where(F.col("f") >= least)
+    return cut(words.orderBy("w1").withColumn("id", F.monotonically_increasing_id()))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """docs(lang, text) to frequent phrases (ws array of word keys, k words, f, lang, phrase), single words too, and words by language (lang, n)."""
+    """docs(lang, text) to frequent phrases (ws array of word ids, k words, f, lang, phrase), single words too, and words by language (lang, n)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     read = cut(texts.mapInArrow(_read(chunk_bytes), FOUND))
     counts = read.where("gid IS NOT NULL")
     totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
+    words = _frequent_words(counts.select("w1", "c", "lang", "word"), least)
+    found = [words.select(F.array("id").alias("ws"), F.lit(1).alias("k"), "f", "lang", "phrase")]
     relation = read.where("gid IS NULL").select("chunk", "size", "places", "groups", "phrases")
-    counts = counts.select("chunk", "gid", "w1", "c", "lang", "word")
-    found: list[DataFrame] = []
-    for k in range(1, longest + 1):
+    back = counts.select("chunk", "gid", "w1").join(words.select("w1", "id"), "w1").select(F.col("chunk").alias("of"), "gid", "id")
+    for k in range(2, longest + 1):
+        relation = cut(relation.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_semi_join(k - 1), STATE))
         keys = [f"w{i}" for i in range(1, k + 1)]
-        if k > 1:
-            counts = relation.mapInArrow(_count(k), f"chunk long, gid int, {', '.join(f'{w} long' for w in keys)}, c long")
-        rows = _frequent(counts, k, least)
-        own = rows.where("one").select(F.array(*keys).alias("ws"), F.lit(k).alias("k"), "f", *(["lang", F.col("word").alias("phrase")] if k == 1 else []))
-        if k > 1:
-            head = found[0].select(F.col("ws").alias("head"), "lang", F.col("phrase").alias("a"))
-            tail = found[-1].select(F.col("ws").alias("tail"), F.col("phrase").alias("b"))
-            own = own.withColumns({"head": F.slice("ws", 1, 1), "tail": F.slice("ws", 2, k - 1)}).join(head, "head").join(tail, "tail")
-            own = own.select("ws", "k", "f", "lang", F.concat_ws(" ", "a", "b").alias("phrase"))
-        found.append(cut(own) if k > 1 else own)
-        if k < longest:
-            relation = cut(relation.groupBy("chunk").cogroup(rows.select("chunk", "gid").groupBy("chunk")).applyInArrow(_semi_join(k), STATE))
+        rows = _frequent(relation.mapInArrow(_count(k), f"chunk long, gid int, {', '.join(f'{w} long' for w in keys)}, c long"), k, least)
+        own = rows.where("one").select(F.array(*keys).alias("ws"), F.lit(k).alias("k"), "f")
+        head = found[0].select(F.col("ws").alias("head"), "lang", F.col("phrase").alias("a"))
+        tail = found[-1].select(F.col("ws").alias("tail"), F.col("phrase").alias("b"))
+        own = own.withColumns({"head": F.slice("ws", 1, 1), "tail": F.slice("ws", 2, k - 1)}).join(head, "head").join(tail, "tail")
+        found.append(cut(own.select("ws", "k", "f", "lang", F.concat_ws(" ", "a", "b").alias("phrase"))))
+        back = rows.select(F.col("chunk").alias("of"), "gid", F.lit(None).cast("long").alias("id"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
