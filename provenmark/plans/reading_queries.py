@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import readings
+from ..operators import picks, readings
 from . import fixtures as X
 from .registry import register
 
@@ -86,3 +86,21 @@ def p11(spark, sf):
     d = X.table(spark, sf, "lineitem").select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("ps_key"), F.concat(F.lit("Pipe "), said).alias("t"))
     fixed = d.withColumn("x", readings.correct_text("t"))
     return fixed.select("ps_key", F.md5("x.text").alias("text_hash"), F.size("x.log").cast("long").alias("n"))
+
+
+def picked(spark, sf):
+    """Words that two engines read apart with glossary candidates, and answers to them: most take a candidate, some invent one, some fail."""
+    pairs = two_readings(spark, sf).select("rel", "page", "a", "b")
+    asked = picks.questions(pairs, known(spark, sf))
+    k = F.pmod(F.col("page") + F.col("at_a"), F.lit(7))
+    answers = asked.select("rel", "page", "at_a", F.when(k == 5, F.concat("a", F.lit("x"))).when(k < 5, F.element_at("candidates", (F.pmod(k, F.size("candidates")) + 1).cast("int"))).alias("pick"), F.when(k == 6, "no answer").alias("error"))
+    return pairs, asked, answers
+
+
+@register("v4_constrained_pick")
+def v4(spark, sf):
+    """What became of each disputed word, with its candidates; a picked word stands in both texts afterwards."""
+    pairs, asked, answers = picked(spark, sf)
+    log = picks.picks(asked, answers)
+    texts = picks.picked_texts(pairs, log).select("rel", "page", F.md5("a").alias("a_hash"), F.md5("b").alias("b_hash"))
+    return log.join(asked.select("rel", "page", "at_a", F.array_join("candidates", " ").alias("candidates")), ["rel", "page", "at_a"]).join(texts, ["rel", "page"])
