@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..operators import rules, structure
 from ..sources.tables import new_folder, written
-from ..streaming import jobs
+from ..streaming import jobs, logs
 from . import fixtures as X
 from . import rule_queries
 from .registry import register
@@ -89,7 +89,8 @@ def w9(spark, sf):
 
 
 def run_log(spark, sf):
-    """Events of documents by source as JSON lines: two listings, results, publications, and lines that no reader can use."""
+    """Events of documents by source as JSON lines: two listings in parts of a thousand files, results, publications, and lines that no
+    reader can use."""
     d, i = X.docs(spark, sf), F.col("doc_id")
     one = lambda kind, seq, **more: F.struct(F.lit(kind).alias("type"), seq.cast("double").alias("t"), F.col("rel"), *[v.alias(k) for k, v in more.items()])
     said = F.array(
@@ -98,16 +99,20 @@ def run_log(spark, sf):
         F.when(i % 4 == 0, F.to_json(one("published", i * 10 + 4))).otherwise(F.to_json(one("noise", i * 10 + 4))),
     )
     events = d.select(F.col("source").alias("room"), F.explode(said).alias("value"))
-    listing = lambda cond, t: d.where(cond).groupBy(F.col("source").alias("room")).agg(F.to_json(F.struct(F.lit("listing").alias("type"), F.lit(t).cast("double").alias("t"), F.collect_list(F.struct("rel", F.col("n_chars").alias("size"))).alias("files"))).alias("value"))
+    part = F.floor(i / 1000).alias("part")
+    listing = lambda cond, t: d.where(cond).groupBy(F.col("source").alias("room"), part).agg(F.to_json(F.struct(F.lit("listing").alias("type"), F.lit(t).cast("double").alias("t"), F.collect_list(F.struct("rel", F.col("n_chars").alias("size"))).alias("files"))).alias("value")).drop("part")
     return events.unionByName(listing(F.lit(True), 1)).unionByName(listing(i % 5 != 0, 1e12)).where("value IS NOT NULL")
 
 
-@register("s5_run_events", X.with_("docs", "SELECT source AS room, type, count(*) AS n FROM (SELECT source, unnest([CASE WHEN true THEN 'start' END, CASE WHEN doc_id % 3 <> 0 THEN 'file' END, CASE WHEN doc_id % 4 = 0 THEN 'published' END]) AS type FROM docs UNION ALL SELECT DISTINCT source, unnest(['listing', 'listing']) FROM docs UNION ALL SELECT DISTINCT source, 'listing' FROM docs WHERE false) WHERE type IS NOT NULL GROUP BY ALL").replace("SELECT DISTINCT source, unnest(['listing', 'listing']) FROM docs", "SELECT source, 'listing' FROM (SELECT DISTINCT source FROM docs) UNION ALL SELECT source, 'listing' FROM (SELECT DISTINCT source FROM docs WHERE doc_id % 5 <> 0)"))
+@register("s5_run_events", X.with_("docs", "SELECT source AS room, type, count(*) AS n FROM (SELECT source, unnest([CASE WHEN true THEN 'start' END, CASE WHEN doc_id % 3 <> 0 THEN 'file' END, CASE WHEN doc_id % 4 = 0 THEN 'published' END]) AS type FROM docs UNION ALL SELECT DISTINCT source, unnest(['listing', 'listing']) FROM docs UNION ALL SELECT DISTINCT source, 'listing' FROM docs WHERE false) WHERE type IS NOT NULL GROUP BY ALL").replace("SELECT DISTINCT source, unnest(['listing', 'listing']) FROM docs", "SELECT source, 'listing' FROM (SELECT DISTINCT source, doc_id // 1000 FROM docs) UNION ALL SELECT source, 'listing' FROM (SELECT DISTINCT source, doc_id // 1000 FROM docs WHERE doc_id % 5 <> 0)"))
 def s5(spark, sf):
     return structure.events(run_log(spark, sf)).groupBy("room", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("m5_events_to_files", X.with_("docs", "SELECT source AS room, rel, n_chars AS size, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 'processing' END AS activity, CASE WHEN doc_id % 3 <> 0 THEN 'result' END AS outcome, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) END AS accuracy, doc_id % 4 = 0 AS confirmed FROM docs WHERE doc_id % 3 <> 0 OR doc_id % 5 <> 0 OR source NOT IN (SELECT source FROM docs WHERE doc_id % 5 <> 0)"))
+FILES_OF_LOG = X.with_("docs", "SELECT source AS room, rel, n_chars AS size, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 'processing' END AS activity, CASE WHEN doc_id % 3 <> 0 THEN 'result' END AS outcome, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) END AS accuracy, doc_id % 4 = 0 AS confirmed FROM docs WHERE doc_id % 3 <> 0 OR doc_id % 5 <> 0 OR source NOT IN (SELECT source FROM docs WHERE doc_id % 5 <> 0)")
+
+
+@register("m5_events_to_files", FILES_OF_LOG)
 def m5(spark, sf):
     log = structure.events(run_log(spark, sf)).withColumn("seq", F.col("t"))
     return structure.files_from_events(log.select("room", "seq", "type", "rel", "outcome", "accuracy", "files"))
@@ -220,3 +225,14 @@ def t8(spark, sf):
         return rules.apply_rules(df, rule_queries.book(spark), "text", df.where("doc_id % 4 = 0").select("rel", F.lit(1).alias("num"))).select("rel", F.md5("text").alias("text_hash"))
 
     return jobs.corrected(results, apply, new_folder(spark, "streams")).select("rel", "text_hash")
+
+
+@register("t1_followed_logs", FILES_OF_LOG)
+def t1(spark, sf):
+    """Logs that grow between two polls, each by a driver of its own: the table is that of the whole log."""
+    folder = new_folder(spark, "followed")
+    rows = run_log(spark, sf)
+    for wave in (0, 1):
+        rows.where(F.pmod(F.xxhash64("value"), F.lit(2)) == wave).write.mode("append").partitionBy("room").text(f"{folder}/logs")
+        logs.Follower(spark, f"{folder}/logs", f"{folder}/state", room=r"room=([^/]+)/").poll()
+    return logs.Follower(spark, f"{folder}/logs", f"{folder}/state").files()

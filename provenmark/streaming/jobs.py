@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import latest
-from ..sources.tables import new_folder
+from ..sources.tables import new_folder, shared_folder
+from .versions import Versions
 
 
 def follow(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,37 +21,38 @@ def progress(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
-def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now; its result as a table.
+def _folder(spark: SparkSession, name: str | None) -> str:
+    """A stream's folder: by its name, so that a driver that starts anew goes on there, or a new one."""
+    return f"{shared_folder(spark)}/streams/{name}" if name else new_folder(spark, "streams")
 
-    Appended rows go to a parquet sink. A complete result is written anew by each batch; the last one stands. Nothing comes to the driver.
+
+def drained(rows: DataFrame, mode: str, name: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now; its result as a table. With a name, the next call goes on where this one ended.
+
+    Appended rows go to a parquet sink. A complete result is a new version that takes the place of the one before in one step. Nothing
+    comes to the driver.
     """
-    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "streams")
+    spark = rows.sparkSession
+    folder = _folder(spark, name)
     out, state = f"{folder}/rows", f"{folder}/checkpoint"
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
-
-
-def latest_state(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key, kept in a state table: a batch's last rows are merged into a new version of it; the last version is
-    returned. A batch that runs again writes the same version from the same one before."""
-    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "streams")
-    versions = []
-
-    def merge(df: DataFrame, epoch: int) -> None:
-        path = f"{folder}/state/{epoch}"
-        before = [p for e, p in versions if e < epoch]
-        both = df if not before else df.unionByName(df.sparkSession.read.schema(rows.schema).parquet(before[-1]))
-        latest(both, keys, [F.col(order)]).write.mode("overwrite").parquet(path)
-        versions.append((epoch, path))
-
-    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(versions[-1][1]) if versions else spark.createDataFrame([], rows.schema)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(rows.schema).parquet(out)
+    versions = Versions(spark, out)
+    writer.foreachBatch(lambda df, epoch: versions.replace(epoch, "rows", df)).start().awaitTermination()
+    return versions.read("rows", rows.schema)
+
+
+def latest_state(rows: DataFrame, keys: list[str], order: str, name: str | None = None) -> DataFrame:
+    """The last row of each key. A batch rewrites the buckets of the keys it holds and makes a new version; a batch that runs again finds
+    its version there. With a name, the next call goes on where this one ended."""
+    spark = rows.sparkSession
+    folder = _folder(spark, name)
+    versions = Versions(spark, f"{folder}/state")
+    last = lambda both: latest(both, keys, [F.col(order)])
+    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, epoch: versions.advance(epoch, {"rows": (df, keys, last)})).start().awaitTermination()
+    return versions.read("rows", rows.schema)
 
 
 def distinct(rows: DataFrame, keys: list[str], at: str, delay: str = "40 days") -> DataFrame:
