@@ -22,6 +22,11 @@ def _text(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def once(value: Column, then) -> Column:
+    """then(value), where the value is computed once however often `then` names it: Spark shares nothing inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def split_lines(c) -> Column:
     """P-lines: as splitlines(): no empty item after a final break."""
     parts = F.split(_text(c), LINE_BREAK)

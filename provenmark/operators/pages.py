@@ -16,14 +16,20 @@ RECALL, EXTRA_CHARS, EXTRA_SHARE, LISTED, ITEMS = 0.995, 40, 0.03, 30, 8
 BLIND_CHARS, BLIND_RECALL, AGREE_PAGE, AGREE = 50, 0.5, 0.98, 0.99
 
 
-def _both(src: DataFrame, md: DataFrame, tokens) -> DataFrame:
-    """(rel, page, token, a, b): how often a token stands on each side; counted before the shuffle."""
-    sides = [d.select("rel", "page", F.explode(tokens("text")).alias("token"), F.lit(int(i == 0)).alias("x"), F.lit(int(i == 1)).alias("y")) for i, d in enumerate((src, md))]
+def _both(src: DataFrame, md: DataFrame, counted) -> DataFrame:
+    """(rel, page, token, a, b): how often a token stands on each side; counted in each text, then before the shuffle."""
+    sides = [d.select("rel", "page", F.inline(counted("text"))).select("rel", "page", "token", *[(F.col("times") if i == k else F.lit(0).cast("long")).alias(c) for k, c in enumerate("xy")]) for i, d in enumerate((src, md))]
     return sides[0].unionByName(sides[1]).groupBy("rel", "page", "token").agg(F.sum("x").alias("a"), F.sum("y").alias("b"))
 
 
 def characters(c: str) -> Column:
-    return F.split(text.letters(c), "")
+    """The different letters of a text, each with how often it stands there: a row a letter of the alphabet, not of the text."""
+    times = lambda t, x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("long")
+    return text.once(text.letters(c), lambda t: F.transform(F.array_distinct(F.split(t, "")), lambda x: F.struct(x.alias("token"), times(t, x).alias("times"))))
+
+
+def numbers(c: str) -> Column:
+    return F.transform(text.plain_numbers(c), lambda x: F.struct(x.alias("token"), F.lit(1).cast("long").alias("times")))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -60,7 +66,7 @@ def check_pages(src: DataFrame, md: DataFrame) -> DataFrame:
     chars = _both(src, md, characters).groupBy("rel", "page").agg(F.sum("a").alias("n"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra"))
     gap = F.col("a") - F.col("b")
     repeated = lambda n: F.array_repeat(F.col("token"), F.greatest(n, F.lit(0)).cast("int"))
-    nums = _both(src, md, text.plain_numbers).groupBy("rel", "page").agg(F.sum("a").alias("numbers"), F.flatten(F.collect_list(repeated(gap))).alias("gone"), F.flatten(F.collect_list(repeated(-gap))).alias("spare"))
+    nums = _both(src, md, numbers).groupBy("rel", "page").agg(F.sum("a").alias("numbers"), F.flatten(F.collect_list(repeated(gap))).alias("gone"), F.flatten(F.collect_list(repeated(-gap))).alias("spare"))
     told = nums.withColumn("missing", F.when(F.size("gone") > 0, unexplained("gone", "spare")).otherwise(F.array().cast("array<string>"))).select("rel", "page", "numbers", "missing")
     there = md.select("rel", "page", F.lit(True).alias("in_md"))
     pages = src.select("rel", "page").join(there, ["rel", "page"], "left").join(chars, ["rel", "page"], "left").join(told, ["rel", "page"], "left")

@@ -139,7 +139,9 @@ def w8(spark, sf):
 def w14(spark, sf):
     e = X.evals(spark, sf).withColumn("rule", F.col("doc_id") % 12)
     nth = F.row_number().over(Window.partitionBy("rule").orderBy("rel"))
-    return e.select("rule", "rel", ((nth <= 3) | (F.crc32(F.concat_ws("|", F.col("rule").cast("string"), F.lit("room"), "rel")) % 5 == 0)).alias("sampled"))
+    first = e.select("rule", "rel").withColumn("nth", nth).where("nth <= 3").select("rule", "rel", F.lit(True).alias("early"))  # three rows of each task
+    drawn = F.crc32(F.concat_ws("|", F.col("rule").cast("string"), F.lit("room"), "rel")) % 5 == 0
+    return e.join(first, ["rule", "rel"], "left").select("rule", "rel", (F.coalesce("early", F.lit(False)) | drawn).alias("sampled"))
 
 
 @register("m2_verdict_log", X.with_("calls", """, l AS (SELECT user_id AS rel, event_id AS seq, CASE WHEN status = 'error' THEN NULL WHEN status = 'ok' THEN 'ok' ELSE 'diff_big' END AS to_state, skill AS reviewer FROM calls),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # Elements whose content is no text, elements that stand on lines of their own, named characters.
 UNSEEN = ("script", "style", "noscript", "template")
 OWN_LINE = (
@@ -30,12 +32,20 @@ ANY_TAG = rf"(?is)<!--.*?-->|{_UNSEEN}|<[^>]*>"
 
 def unescape(c: Column) -> Column:
     """Named characters of NAMED and decimal numbers; anything else stays as it is."""
-    pieces, codes = F.split(c, r"&#\d{1,6};"), F.regexp_extract_all(c, F.lit(r"&#(\d{1,6});"), F.lit(1))
-    chars = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"))
-    t = F.when(F.size(codes) == 0, c).otherwise(F.array_join(F.zip_with(pieces, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), ""))
-    for name, char in NAMED.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    return t
+
+    def numbers(t: Column) -> Column:
+        codes = F.regexp_extract_all(t, F.lit(r"&#(\d{1,6});"), F.lit(1))
+        chars = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"))
+        spelt = F.array_join(F.zip_with(F.split(t, r"&#\d{1,6};"), chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&#")), spelt).otherwise(t)
+
+    def named(t: Column) -> Column:
+        out = t
+        for name, char in NAMED.items():
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return text.once(text.once(c, numbers), named)
 
 
 def to_markdown(c: str) -> Column:
@@ -45,11 +55,16 @@ def to_markdown(c: str) -> Column:
         t = F.regexp_replace(t, pattern, put.replace(r"\1", "$1"))
 
     def line(x: Column) -> Column:
-        cells = F.trim(F.regexp_replace(F.regexp_replace(x, rf"^[ {CELL}]+", ""), rf" *{CELL} *", " | "))
+        rowed = F.regexp_replace(F.regexp_replace(x, rf"^[ {CELL}]+", ""), rf" *{CELL} *", " | ")
+        return F.trim(F.when(F.contains(x, F.lit(CELL)), rowed).otherwise(x))
+
+    def marked(cells: Column) -> Column:
         rest = F.trim(F.substring(cells, 3, 1_000_000_000))
-        return F.when(F.startswith(cells, F.lit(HEADING)), F.when(rest == "", "").otherwise(F.concat(F.repeat(F.lit("#"), F.substring(cells, 2, 1).cast("int")), F.lit(" "), rest))).when(cells == "-", "").otherwise(cells)
+        head = F.when(F.length(rest) > 0, F.concat(F.repeat(F.lit("#"), F.substring(cells, 2, 1).cast("int")), F.lit(" "), rest)).otherwise("")
+        return F.when(F.startswith(cells, F.lit(HEADING)), head).when(cells == "-", "").otherwise(cells)
 
-    return unescape(F.array_join(F.filter(F.transform(F.split(t, "\n"), line), lambda x: x != ""), "\n"))
+    lines = F.transform(F.transform(F.split(t, "\n"), line), marked)
+    return unescape(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
 def raw_text(c: str) -> Column:

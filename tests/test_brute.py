@@ -170,4 +170,4 @@ def test_similar_examples(spark):
 
 def test_every_query_without_sql_is_tested_here():
     bare = set(registry.queries()) - set(registry.oracle_sql())
-    assert bare == {"p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w14_sampled_checks", "v2_glossary_choice", "v6_line_diff", "j25_similar_examples"}
+    assert bare == {"p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w12_cut_sections", "w14_sampled_checks", "v2_glossary_choice", "v4_constrained_pick", "v6_line_diff", "j25_similar_examples"}
