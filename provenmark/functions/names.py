@@ -47,13 +47,13 @@ def _series_in(part: Column) -> Column:
 
 
 def series_of(rel: Column) -> Column:
-    """The standard a file belongs to, without its year: the file name's, else that of the nearest folder; null if none."""
+    """Which standard a path names, years left aside. The last part that names one counts, so a file name goes before its folders."""
     parts = F.reverse(F.split(F.replace(rel, F.lit("\\"), F.lit("/")), "/"))
     return F.get(F.filter(F.transform(parts, _series_in), lambda x: x.isNotNull()), F.lit(0))
 
 
 def doc_key(rel: Column) -> Column:
-    """A document whatever room it is in: its file name in lower case."""
+    """What files of several rooms have in common if they are one document: the lower-cased name without folders."""
     return F.lower(file_name(F.replace(rel, F.lit("\\"), F.lit("/"))))
 
 
@@ -62,6 +62,35 @@ def parse_standard(title: Column) -> Column:
     return F.struct(F.upper(F.regexp_extract(title, SERIES, 1)).alias("id"), F.regexp_extract(title, r"\b((?:19|20)\d{2})\b", 1).cast("int").alias("year"), title.rlike(r"(?i)\bdraft\b").alias("draft"))
 
 
+# Who issues a standard by how its name begins, codes among these, and clause ids of the national code with states before them.
+ISSUERS = {"AU": r"^(?:NCC|AS[ /\-1-5])", "NZ": r"^NZS", "US": r"^(?:IBC|ICC|NFPA|ASCE|ACI)"}
+A_CODE, A_STANDARD = r"^(?:NCC|IBC)", r"^(?:AS|NZS|NFPA|ASCE|ACI|ISO|BS|EN)"
+NATIONAL_CLAUSE = r"(?:[A-J]\d{1,2}[GPDVOF]\d{1,2}|S\d{1,2}C\d{1,2}[a-z]?|H\d{1,2}[GPDVOF]\d{1,2})"
+STATE = r"(?:ACT|NSW|NT|QLD|SA|TAS|VIC|WA)"
+YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+
+
+def standard_of(name: Column) -> Column:
+    """Struct of std_id (the name without years), std_year, std_kind and jurisdiction, as the name of a document tells them."""
+    year, upper = F.regexp_extract(name, YEAR, 1), F.upper(name)
+    issuer = F.coalesce(*[F.when(upper.rlike(pattern), F.lit(land)) for land, pattern in ISSUERS.items()], F.lit("unknown"))
+    kind = F.when(upper.rlike(A_CODE), "code").when(upper.rlike(A_STANDARD), "standard").otherwise("document")
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?U)\s*(?:19|20)\d{2}\s*", " "), r"(?U)^\s+|\s+$", "")
+    return F.struct(F.when(year != "", bare).otherwise(name).alias("std_id"), year.alias("std_year"), kind.alias("std_kind"), issuer.alias("jurisdiction"))
+
+
+def edition_of(name: Column) -> Column:
+    """Draft where the name speaks of a draft, preview or public comment, superseded where it says so, else published."""
+    n = F.lower(name)
+    return F.when(n.rlike("draft|preview|pcd|public comment"), "draft").when(F.contains(n, F.lit("superseded")), "superseded").otherwise("published")
+
+
+def national_clause(title: Column) -> Column:
+    """struct(state, clause) of a title that begins with a clause of the national code, a state's variation of it too; null otherwise."""
+    pattern = rf"^(?:({STATE}) )?({NATIONAL_CLAUSE})\b"
+    return F.when(title.rlike(pattern), F.struct(F.nullif(F.regexp_extract(title, pattern, 1), F.lit("")).alias("state"), F.regexp_extract(title, pattern, 2).alias("clause")))
+
+
 def clause_ids(c: Column) -> Column:
     """P23."""
     return F.regexp_extract_all(c, F.lit(r"\b[A-Z]?\d+(?:\.\d+)+\b"), F.lit(0))

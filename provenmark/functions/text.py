@@ -15,6 +15,8 @@ LEAD_MARKS = r"^(?:(?:#{1,6}\s)|(?:>\s)|(?:[-*+]\s)|(?:\d{1,3}\.\s))+"
 PAIRED_MARKS = r"(\*\*|~~|\*)(?=\S)(.+?)(?<=\S)\1"
 SALVAGE_MARKS = ("parser: salvage", "salvage:001", "字符串打捞", "low_confidence,salvage")
 CJK = r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af]"
+NOISE = r"^[\d\s.\-–—_/·•…]*$", r"(?i)^(?:page\s*)?\d+(?:\s*/\s*\d+)?页?$"
+LEADER, LABELLED = r"[.·•]\s{2,}", r"^([A-Za-z][A-Za-z\- ]{0,20}):\s*(.+)$"
 LATIN_WORD = r"[A-Za-z0-9]+(?:[.,'\-][A-Za-z0-9]+)*"
 
 
@@ -153,12 +155,11 @@ def audit_form(c) -> Column:
 def is_noise(c, least: int = 12) -> Column:
     """Lines that say nothing: short ones, numbers and rules, leaders of a contents list, page numbers."""
     t = F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
-    leaders = F.regexp_count(t, F.lit(r"[.·•]\s{2,}")) > 2
-    return (F.length(t) < least) | t.rlike(r"^[\d\s.\-–—_/·•…]*$") | leaders | t.rlike(r"(?i)^(?:page\s*)?\d+(?:\s*/\s*\d+)?页?$")
+    leaders = F.regexp_count(t, F.lit(LEADER)) > 2
+    return (F.length(t) < least) | t.rlike(NOISE[0]) | leaders | t.rlike(NOISE[1])
 
 
 def audit_variants(c) -> Column:
     """`Label: value` also counts as the value or the label alone."""
-    label = r"^([A-Za-z][A-Za-z\- ]{0,20}):\s*(.+)$"
     t = F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
-    return F.array_distinct(F.filter(F.array(audit_form(c), audit_form(F.regexp_extract(t, label, 2)), audit_form(F.regexp_extract(t, label, 1))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.array(audit_form(c), audit_form(F.regexp_extract(t, LABELLED, 2)), audit_form(F.regexp_extract(t, LABELLED, 1))), lambda x: x != ""))

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import align_queries, desk_queries, library_queries, more_queries, page_queries, plan_queries, reading_queries, rule_queries, state_queries, structure_queries, tree_queries, verify_queries  # noqa: F401
+    from . import align_queries, desk_queries, library_queries, more_queries, page_queries, plan_queries, reading_queries, record_queries, rule_queries, state_queries, structure_queries, tree_queries, verify_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
