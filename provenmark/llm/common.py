@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+def cut_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """cut(), and a function that removes the table: for tables that nothing reads once the next ones are written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/provenmark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    return cut_for_now(df)[0]
 
 
 def with_digest_key(df: DataFrame, text: str = "text") -> Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, cut_for_now, table
 from .words import LOWER, blocks, buffers, hash_spans, mix
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
@@ -188,7 +188,7 @@ def _frequent(counts: DataFrame, words: int, least: int) -> DataFrame:
     keys = [f"w{k}" for k in range(1, words + 1)]
     same = Window.partitionBy(*keys)
     counts = counts.withColumns({"f": F.sum("c").over(same), "one": F.col("chunk") == F.min("chunk").over(same)})
-    return cut(counts.where(F.col("f") >= least).drop("c"))
+    return counts.where(F.col("f") >= least).drop("c")
 
 
 def _frequent_words(counts: DataFrame, least: int) -> DataFrame:
@@ -200,23 +200,30 @@ def _frequent_words(counts: DataFrame, least: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs(lang, text) to frequent phrases (ws array of word ids, k words, f, lang, phrase), single words too, and words by language (lang, n)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    read = cut(texts.mapInArrow(_read(chunk_bytes), FOUND))
+    read, drop = cut_for_now(texts.mapInArrow(_read(chunk_bytes), FOUND))
     counts = read.where("gid IS NOT NULL")
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
+    totals = cut(counts.groupBy("lang").agg(F.sum("c").alias("n")))
+    done = [drop]  # tables that go once the next relation is written
     words = _frequent_words(counts.select("w1", "c", "lang", "word"), least)
     found = [words.select(F.array("id").alias("ws"), F.lit(1).alias("k"), "f", "lang", "phrase")]
     relation = read.where("gid IS NULL").select("chunk", "size", "places", "groups", "phrases")
     back = counts.select("chunk", "gid", "w1").join(words.select("w1", "id"), "w1").select(F.col("chunk").alias("of"), "gid", "id")
     for k in range(2, longest + 1):
-        relation = cut(relation.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_semi_join(k - 1), STATE))
+        relation, drop = cut_for_now(relation.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_semi_join(k - 1), STATE))
+        for before in done:
+            before()
         keys = [f"w{i}" for i in range(1, k + 1)]
-        rows = _frequent(relation.mapInArrow(_count(k), f"chunk long, gid int, {', '.join(f'{w} long' for w in keys)}, c long"), k, least)
+        counts = relation.mapInArrow(_count(k), f"chunk long, gid int, {', '.join(f'{w} long' for w in keys)}, c long")
+        rows, drop_rows = cut_for_now(_frequent(counts, k, least))
+        done = [drop, drop_rows]
         own = rows.where("one").select(F.array(*keys).alias("ws"), F.lit(k).alias("k"), "f")
         head = found[0].select(F.col("ws").alias("head"), "lang", F.col("phrase").alias("a"))
         tail = found[-1].select(F.col("ws").alias("tail"), F.col("phrase").alias("b"))
         own = own.withColumns({"head": F.slice("ws", 1, 1), "tail": F.slice("ws", 2, k - 1)}).join(head, "head").join(tail, "tail")
         found.append(cut(own.select("ws", "k", "f", "lang", F.concat_ws(" ", "a", "b").alias("phrase"))))
         back = rows.select(F.col("chunk").alias("of"), "gid", F.lit(None).cast("long").alias("id"))
+    for before in done:
+        before()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
