@@ -50,5 +50,5 @@ def test_empty(spark, tmp_path):
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     found = entry.queries()
-    assert "pipeline" in found and {int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in found and {int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= set(found)
