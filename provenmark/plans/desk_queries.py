@@ -67,7 +67,7 @@ l AS (SELECT r.* FROM r JOIN m USING (room) WHERE r."at" >= {NOW} - 30 * 86400 Q
 a AS (SELECT CASE WHEN status = 'done' THEN 'done:' ELSE 'fail:' END || id AS key, CASE WHEN status = 'done' AND publish THEN 'published' WHEN status = 'done' THEN 'done' WHEN status = 'interrupted' THEN 'interrupted' ELSE 'failed' END AS type, CASE WHEN status = 'done' THEN 'ok' ELSE 'bad' END AS tone, "at", NULL::BIGINT AS n FROM l
 UNION ALL SELECT 'bad:' || room || ':' || bad, 'unprocessable', 'bad', "at", bad FROM m WHERE NOT archived AND bad > 0 UNION ALL SELECT 'review:' || room || ':' || below, 'review', 'warn', "at", below FROM m WHERE NOT archived AND below > 0
 UNION ALL SELECT 'ai:2023-11:' || skill, 'ai_budget', 'ai', {NOW}, round(100.0 * count(*) / 640) FROM calls GROUP BY skill HAVING count(*) >= 0.8 * 640 UNION ALL SELECT 'rule:' || p_partkey || ':' || p_size, 'rule_undone', 'warn', {NOW} - p_partkey * 40, p_size FROM part WHERE p_size > 45 AND p_partkey % 2 = 0)
-SELECT key, type, tone, "at"::DOUBLE AS "at", n, key LIKE 'review%' OR key LIKE 'done%' AS read FROM a ORDER BY "at" DESC, key LIMIT 30""").replace("\n, r AS", ",\nr AS"))
+SELECT key, type, tone, "at"::DOUBLE AS "at", coalesce(n, 0)::BIGINT AS n, key LIKE 'review%' OR key LIKE 'done%' AS read FROM a ORDER BY "at" DESC, key LIMIT 30""").replace("\n, r AS", ",\nr AS"))
 def u5(spark, sf):
     o, d, i, k = X.table(spark, sf, "orders"), X.docs(spark, sf), F.col("doc_id"), F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "error").otherwise("interrupted")
@@ -76,17 +76,17 @@ def u5(spark, sf):
     budgets = X.calls(spark, sf).groupBy("skill").agg(F.count(F.lit(1)).alias("spent")).select("skill", "spent", F.lit(640).alias("budget"), F.lit("2023-11").alias("month"))
     rules = X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("reverts"), (F.col("p_size") > 45).alias("often_undone"), (F.col("p_partkey") % 2 == 0).alias("enabled"), (F.lit(NOW) - F.col("p_partkey") * 40).alias("at"))
     read = rooms.select(F.concat_ws(":", F.lit("review"), "room", "below").alias("key")).unionByName(runs.select(F.concat(F.lit("done:"), "id").alias("key")))
-    return desk.notices(runs, rooms, budgets, rules, read, NOW)
+    return desk.notices(runs, rooms, budgets, rules, read, NOW).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @register("a12_promotion_record", X.with_("calls", rf""", d AS (SELECT skill, count(*) AS decided, count(*) FILTER (decision = 'adopted') AS adopted FROM calls WHERE decision IS NOT NULL AND event_id % 50 <> 0 GROUP BY skill), w AS (SELECT p_partkey % 4 AS skill, count(*) AS wrong, max({NOW} - (p_partkey % 200) * 86400) AS last_wrong FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 31 = 0 AND p_partkey % 200 <= 90 AND p_partkey % 4 <> 2 GROUP BY 1),
 j AS (SELECT s.skill, coalesce(decided, 0) AS decided, coalesce(adopted, 0) AS adopted, round(100.0 * adopted / decided, 1) AS adoption, coalesce(wrong, 0) AS wrong, last_wrong FROM (SELECT DISTINCT skill FROM calls) s LEFT JOIN d USING (skill) LEFT JOIN w USING (skill))
-SELECT skill, decided, adopted, adoption, wrong, last_wrong, concat_ws(',', CASE WHEN decided < 300 THEN 'decided' END, CASE WHEN adoption IS NULL OR adoption < 98 THEN 'adoption' END, CASE WHEN wrong > 0 THEN 'wrong' END) AS missing, decided >= 300 AND coalesce(adoption >= 98, false) AND wrong = 0 AS eligible FROM j""").replace("\n, d AS", ",\nd AS"))
+SELECT skill, decided, adopted, adoption, wrong, coalesce(last_wrong, 0) AS last_wrong, concat_ws(',', CASE WHEN decided < 300 THEN 'decided' END, CASE WHEN adoption IS NULL OR adoption < 98 THEN 'adoption' END, CASE WHEN wrong > 0 THEN 'wrong' END) AS missing, decided >= 300 AND coalesce(adoption >= 98, false) AND wrong = 0 AS eligible FROM j""").replace("\n, d AS", ",\nd AS"))
 def a12(spark, sf):
     c = X.calls(spark, sf).withColumn("by", F.when(F.col("event_id") % 50 == 0, "evaluation"))
     k = F.col("p_partkey")
     rules = X.table(spark, sf, "part").select((k % 4).alias("skill"), (k % 3 == 0).alias("auto"), F.when((k % 31 == 0) & (k % 4 != 2), "wrong").otherwise("right").alias("check"), (F.lit(NOW) - (k % 200) * 86_400).alias("checked_at"))
-    return desk.eligibility(c, rules, X.table(spark, sf, "nation").select(F.col("n_name").alias("word")), NOW).withColumn("missing", F.array_join("missing", ","))
+    return desk.eligibility(c, rules, X.table(spark, sf, "nation").select(F.col("n_name").alias("word")), NOW).withColumns({"missing": F.array_join("missing", ","), "last_wrong": F.coalesce("last_wrong", F.lit(0))})
 
 
 @register("a18_folders_by_clause", X.with_("docs", r""", f AS (SELECT source AS doc, doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang || '/' END AS folder, CASE doc_id % 3 WHEN 0 THEN 'A' || doc_id WHEN 1 THEN 'C' || doc_id END AS first, CASE doc_id % 3 WHEN 0 THEN 'B' || doc_id WHEN 1 THEN 'C' || doc_id END AS last, CASE WHEN doc_id % 2 = 0 THEN doc_id + 3 ELSE doc_id END AS p1 FROM docs)

@@ -109,11 +109,11 @@ COUNTED = r"length(regexp_replace({0}, '^\s+|\s+$', '', 'g')), len(regexp_extrac
 
 
 @register("m10_backfilled_counts", X.with_("docs s m pairs", rf""", c AS (SELECT p.rel, doc_id, {COUNTED.format('src_text').replace(', len', ' AS sc, len')} AS sw, {COUNTED.format('md_text').replace(', len', ' AS mc, len')} AS mw FROM pairs p JOIN docs USING (rel))
-SELECT rel, CASE WHEN doc_id % 2 = 0 THEN -1 WHEN doc_id % 6 = 5 THEN NULL ELSE sc END AS src_chars, CASE WHEN doc_id % 3 = 0 THEN -2 WHEN doc_id % 6 = 5 THEN NULL ELSE mc END AS md_chars, CASE WHEN doc_id % 2 = 0 THEN -3 WHEN doc_id % 6 = 5 THEN NULL ELSE sw END AS src_words, CASE WHEN doc_id % 3 = 0 THEN -4 WHEN doc_id % 6 = 5 THEN NULL ELSE mw END AS md_words FROM c""").replace("\n, c AS", ",\nc AS"))
+SELECT rel, CASE WHEN doc_id % 2 = 0 THEN -1 WHEN doc_id % 6 = 5 THEN 0 ELSE sc END AS src_chars, CASE WHEN doc_id % 3 = 0 THEN -2 WHEN doc_id % 6 = 5 THEN 0 ELSE mc END AS md_chars, CASE WHEN doc_id % 2 = 0 THEN -3 WHEN doc_id % 6 = 5 THEN 0 ELSE sw END AS src_words, CASE WHEN doc_id % 3 = 0 THEN -4 WHEN doc_id % 6 = 5 THEN 0 ELSE mw END AS md_words FROM c""").replace("\n, c AS", ",\nc AS"))
 def m10(spark, sf):
     """Some numbers are there (marked by negative ones), some are missing, and some texts cannot be read."""
     d, i = X.docs(spark, sf), F.col("doc_id")
     known = lambda cond, n: F.when(cond, F.lit(n).cast("long"))
     counts = d.select("rel", known(i % 2 == 0, -1).alias("src_chars"), known(i % 3 == 0, -2).alias("md_chars"), known(i % 2 == 0, -3).alias("src_words"), known(i % 3 == 0, -4).alias("md_words"))
     texts = X.pairs(spark, sf).join(d.select("rel", "doc_id"), "rel").where("doc_id % 6 <> 5").select("rel", F.col("src_text").alias("src"), F.col("md_text").alias("md"))
-    return records.backfill(counts, texts)
+    return records.backfill(counts, texts).fillna(0)

@@ -297,9 +297,9 @@ UNION ALL SELECT question, 'not on the source page', doc, page, find FROM met WH
 UNION ALL SELECT question, 'not in the published text', doc, page, find FROM met WHERE published <> '' AND NOT contains(published, norm)
 UNION ALL SELECT question, 'no marker', doc, page, NULL FROM met WHERE n = 6 AND doc_id % 7 = 0 AND NOT contains(published, 'not readable')
 UNION ALL SELECT question, 'clause not listed', doc, page, 'C' || page FROM met WHERE n = 6 AND doc_id % 3 = 0
-UNION ALL SELECT rel, 'edition not found', rel, NULL, 'published' FROM docs WHERE doc_id % 9 = 0
-UNION ALL SELECT d.rel, 'is in the library', NULL, NULL, min(x.rel) FROM docs d JOIN docs x ON contains(lower(x.rel), 'oc_' || (d.doc_id * 3) || '.p') GROUP BY d.rel
-UNION ALL SELECT 'bare ' || rel, 'no ground', NULL, NULL, NULL FROM docs WHERE doc_id % 10 = 0
+UNION ALL SELECT rel, 'edition not found', rel, 0, 'published' FROM docs WHERE doc_id % 9 = 0
+UNION ALL SELECT d.rel, 'is in the library', NULL, 0, min(x.rel) FROM docs d JOIN docs x ON contains(lower(x.rel), 'oc_' || (d.doc_id * 3) || '.p') GROUP BY d.rel
+UNION ALL SELECT 'bare ' || rel, 'no ground', NULL, 0, NULL FROM docs WHERE doc_id % 10 = 0
 """.replace("NORM", r"lower(trim(regexp_replace(regexp_replace(text, '[*_|`]', ' ', 'g'), '\s+', ' ', 'g')))")
 
 
@@ -323,4 +323,4 @@ def j16_bank(spark, sf):
     edition = shape(d, none("long"), none("array<string>"), none("string"), none("boolean"), none("string"), F.lit("published"))
     absent = shape(d, none("long"), none("array<string>"), none("string"), none("boolean"), F.concat(F.lit("oc_"), i * 3, F.lit(".P")), none("string"), None)
     questions = d.select(F.col("rel").alias("question")).unionByName(d.where("doc_id % 10 = 0").select(F.concat(F.lit("bare "), "rel").alias("question")))
-    return check_grounds(questions, on_page.unionByName(edition).unionByName(absent), joined(rows), units, files)
+    return check_grounds(questions, on_page.unionByName(edition).unionByName(absent), joined(rows), units, files).fillna(0, ["page"])

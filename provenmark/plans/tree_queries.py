@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import located
 from ..operators import layout, outline, published
 from ..sources import files
-from ..sources.tables import new_folder
+from ..sources.tables import new_folder, written
 from . import fixtures as X
 from .registry import register
 
@@ -87,7 +87,7 @@ def w12(spark, sf):
 
 
 @register("s13_files_by_size", sql(ITEMS + r""", tx AS (SELECT doc, doc_id, seq, l1, l2, string_agg(line, chr(10) ORDER BY n) AS text, sum(length(line)) AS size FROM ca GROUP BY ALL), to_ AS (SELECT doc, sum(size) AS total FROM tx GROUP BY doc),
-pa AS (SELECT doc_id % 4 <> 0 AS trusted, CASE WHEN doc_id % 4 = 0 THEN '_pending/' ELSE '' END || split_part(doc, '/', 1) || '/' || split_part(doc, '/', -1) || CASE WHEN total <= 1500 THEN '.md' ELSE '/' || regexp_replace(replace(coalesce(l1, 'Front'), '/', ' '), ' +', ' ', 'g') || '/' || CASE WHEN seq < 10 THEN '0' ELSE '' END || seq || ' ' || regexp_replace(replace(coalesce(l2, l1, 'Front'), '/', ' '), ' +', ' ', 'g') || '.md' END AS path, seq, text FROM tx JOIN to_ USING (doc))
+pa AS (SELECT doc_id % 4 <> 0 AS trusted, CASE WHEN doc_id % 4 = 0 THEN '_pending/' ELSE '' END || split_part(doc, '/', 1) || '/' || split_part(doc, '/', -1) || CASE WHEN total <= 4000 THEN '.md' ELSE '/' || regexp_replace(replace(coalesce(l1, 'Front'), '/', ' '), ' +', ' ', 'g') || '/' || CASE WHEN seq < 10 THEN '0' ELSE '' END || seq || ' ' || regexp_replace(replace(coalesce(l2, l1, 'Front'), '/', ' '), ' +', ' ', 'g') || '.md' END AS path, seq, text FROM tx JOIN to_ USING (doc))
 SELECT CASE WHEN trusted THEN 'auto_verified' ELSE 'pending_review' END AS status, path, md5(string_agg(text, chr(10) ORDER BY seq)) AS text_hash, NULL AS problem FROM pa GROUP BY trusted, path"""))
 def s13(spark, sf):
     """Sections as files by size, written, and the listing compared with what was meant."""
@@ -96,7 +96,7 @@ def s13(spark, sf):
     name = F.element_at(F.split("doc", "/"), -1)
     parts = items.groupBy(name.alias("doc"), "source", "doc_id", "seq", "l1", "l2").agg(text.alias("text"), F.sum("size").alias("size")).withColumns({"part": F.lit(1), "parts": F.lit(1)})
     documents = X.docs(spark, sf).select(F.element_at(F.split("rel", "/"), -1).alias("doc"), F.col("source").alias("folder"), (F.col("doc_id") % 4 != 0).alias("trusted"))
-    tree = outline.tree_of(parts.drop("source", "doc_id"), documents, 1500)
+    tree = written(outline.tree_of(parts.drop("source", "doc_id"), documents, 4000))
     wrong = outline.write_tree(tree, new_folder(spark, "trees"))
     return tree.select("status", "path", F.md5("text").alias("text_hash")).join(wrong, "path", "left")
 
@@ -175,13 +175,13 @@ def publications(spark, sf):
 
 
 @register("m9_rolled_back_run", X.with_("docs", r"""SELECT rel || '.md' AS path, 'restore' AS action, 1 AS run, md5(text) AS hash, doc_id % 5 = 0 AS done_again FROM docs WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0
-UNION ALL SELECT rel || '.new.md', 'remove', NULL, NULL, doc_id % 5 = 0 FROM docs WHERE doc_id % 7 = 0"""))
+UNION ALL SELECT rel || '.new.md', 'remove', 0, NULL, doc_id % 5 = 0 FROM docs WHERE doc_id % 7 = 0"""))
 def m9(spark, sf):
     """The second run taken out: what it replaced or removed comes back, what it brought goes, what the third run wrote stays."""
     p = publications(spark, sf)
     ledger = p.groupBy("document").agg(F.max("run").alias("run"))
     moved, kept = published.rollback(p, ledger, 2)
-    return moved.join(kept.select("document", F.lit(True).alias("k")), "document", "left").select("path", "action", "run", "hash", F.coalesce("k", F.lit(False)).alias("done_again"))
+    return moved.join(kept.select("document", F.lit(True).alias("k")), "document", "left").select("path", "action", F.coalesce("run", F.lit(0)).alias("run"), "hash", F.coalesce("k", F.lit(False)).alias("done_again"))
 
 
 @register("j13_live_impact", X.with_("docs", r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id % 2 = 0 WHEN 1 THEN EXISTS (SELECT 1 FROM docs x WHERE x.doc_id % 2 = 0 AND x.source = docs.source AND x.lang = docs.lang) ELSE false END AS replaces FROM docs"""))
