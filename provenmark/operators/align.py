@@ -28,21 +28,38 @@ def candidates(matched: DataFrame, most: int = 30, dice: float = 0.5) -> DataFra
     """(rel, src_no, md_no, dice) of unmatched lines that share tokens.
 
     Tokens on more than max(500, half) or 5000 of a document's unmatched Markdown lines do not make candidates, which bounds the
-    join by the stop rule; overlaps count the other tokens, sizes count all.
+    join by the stop rule; overlaps count the other tokens, sizes count all. The `most` highest overlaps of a source line count,
+    those under `dice` included, ties to the smaller md_no.
+
+    A pair of this dice shares at least need = dice * n_src / (2 - dice) tokens, since n_md is no less than what is shared; so does
+    every pair that ranks before it. Lines therefore meet by the rarest tokens of a source line only, all but need - 1 of them
+    (two lines that share `need` tokens share one of those), and overlaps are counted on pairs that met. Nothing is lost by it.
     """
 
-    def tokens(side, no):
+    def lines(side, no):
         rows = matched.where(F.col("src_no" if side == "md" else "md_no").isNull() & F.col(no).isNotNull())
-        return rows.select("rel", no, F.array_distinct(text.word_tokens(side)).alias("toks")).withColumn(f"n_{side}", F.size("toks"))
-
-    md, src = tokens("md", "md_no"), tokens("src", "src_no")
-    lines = md.groupBy("rel").agg(F.count(F.lit(1)).alias("n_lines"))
-    md_tok = md.select("rel", "md_no", "n_md", F.explode("toks").alias("tok"))
-    stop = md_tok.groupBy("rel", "tok").agg(F.count(F.lit(1)).alias("df")).join(lines, "rel").where((F.col("df") <= F.greatest(F.lit(500), F.floor(F.col("n_lines") / 2))) & (F.col("df") <= 5000))
-    kept = md_tok.join(stop.select("rel", "tok"), ["rel", "tok"], "left_semi")
-    met = src.select("rel", "src_no", "n_src", F.explode("toks").alias("tok")).join(kept, ["rel", "tok"]).groupBy("rel", "src_no", "md_no", "n_src", "n_md").agg(F.count(F.lit(1)).alias("overlap"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("rel", "src_no").orderBy(F.desc("overlap"), "md_no"))).where(F.col("rank") <= most)
-    return ranked.withColumn("dice", 2.0 * F.col("overlap") / (F.col("n_src") + F.col("n_md"))).where(F.col("dice") >= dice).select("rel", "src_no", "md_no", "dice")
+        return rows.select("rel", no, F.array_distinct(text.word_tokens(side)).alias(f"{side}_toks"))
+
+    md, src = lines("md", "md_no"), lines("src", "src_no")
+    md_tok = md.select("rel", "md_no", F.explode("md_toks").alias("tok"))
+    counts = md_tok.groupBy("rel", "tok").agg(F.count(F.lit(1)).alias("df"))
+    n_lines = md.groupBy("rel").agg(F.count(F.lit(1)).alias("n_lines"))
+    most_lines = F.least(F.greatest(F.lit(500), F.floor(F.col("n_lines") / 2)), F.lit(5000))
+    rarity = counts.join(n_lines, "rel").where(F.col("df") <= most_lines).select("rel", "tok", "df")
+
+    need = F.greatest(F.lit(1), F.ceil(dice * F.col("n_src") / (2 - dice) - 1e-9)).cast("int")
+    src_tok = src.select("rel", "src_no", F.size("src_toks").alias("n_src"), F.explode("src_toks").alias("tok")).join(rarity, ["rel", "tok"])
+    asked = src_tok.groupBy("rel", "src_no", "n_src").agg(F.sort_array(F.collect_list(F.struct("df", "tok")))["tok"].alias("toks"))
+    asked = asked.withColumn("need", need).where(F.size("toks") >= F.col("need"))
+    rarest = F.slice("toks", F.lit(1), F.size("toks") - F.col("need") + 1)
+    probes = asked.select("rel", "src_no", F.explode(rarest).alias("tok"))
+    met = probes.join(md_tok, ["rel", "tok"]).select("rel", "src_no", "md_no").distinct()
+
+    both = met.join(md, ["rel", "md_no"]).join(asked, ["rel", "src_no"])
+    overlaps = both.select("rel", "src_no", "md_no", "need", (F.col("n_src") + F.size("md_toks")).alias("sizes"), F.size(F.array_intersect("toks", "md_toks")).alias("overlap"))
+    by_overlap = Window.partitionBy("rel", "src_no").orderBy(F.desc("overlap"), "md_no")
+    ranked = overlaps.where("overlap >= need").withColumn("rank", F.row_number().over(by_overlap)).where(F.col("rank") <= most)
+    return ranked.withColumn("dice", 2.0 * F.col("overlap") / F.col("sizes")).where(F.col("dice") >= dice).select("rel", "src_no", "md_no", "dice")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
