@@ -41,6 +41,11 @@ def located(c: str, patterns: tuple[str, ...] = INSTRUCTIONS, around: int = AROU
     def told(m):
         first = F.greatest(m["at"] - around, F.lit(0))
         snippet = F.substring(text, first + 1, m["at"] + F.length(m["found"]) + around - first)
-        return F.struct(which(m["found"]).alias("pattern"), m["at"].alias("at"), m["found"].alias("found"), F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")).alias("snippet"))
+        return F.struct(
+            which(m["found"]).alias("pattern"),
+            m["at"].alias("at"),
+            m["found"].alias("found"),
+            F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")).alias("snippet"),
+        )
 
     return F.when(text.rlike(any_of), F.transform(placed, told)).otherwise(F.array().cast("array<struct<pattern:int,at:int,found:string,snippet:string>>"))

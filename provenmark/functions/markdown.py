@@ -26,7 +26,10 @@ def unit_flags(body: Column) -> Column:
 def unit(page: Column, body: Column, printed: Column | None = None) -> Column:
     """A page's text between its markers."""
     shown = F.lit("") if printed is None else F.when(printed.isNotNull(), F.concat(F.lit(" | printed: "), printed)).otherwise("")
-    head = F.concat(F.lit("<!-- unit: p"), F.lpad(page.cast("string"), 4, "0"), F.lit(" | src: p."), page.cast("string"), shown, F.lit(" | chars: "), F.length(body).cast("string"), F.lit(" | flags: "), unit_flags(body), F.lit(" -->"))
+    head = F.concat(
+        F.lit("<!-- unit: p"), F.lpad(page.cast("string"), 4, "0"), F.lit(" | src: p."), page.cast("string"), shown,
+        F.lit(" | chars: "), F.length(body).cast("string"), F.lit(" | flags: "), unit_flags(body), F.lit(" -->"),
+    )
     return F.concat(head, F.lit("\n\n"), body, F.lit(f"\n\n{UNIT_CLOSE}"))
 
 
@@ -56,10 +59,35 @@ def accepted(text: Column, who: Column, when: Column, accuracy: Column, forced:
     """The front matter after a person's acceptance; a forced one says so. Texts without front matter stay as they are."""
     lines = F.filter(front_lines(text), lambda x: ~_key(x).isin("accepted_by", "accepted_at", "accuracy"))
     shown = F.coalesce(accuracy.cast("string"), F.lit("None"))
-    said = F.concat(F.lit("verified: "), quoted(F.concat(F.lit("accepted by "), who, F.lit(" on "), when, F.lit(" at "), shown, F.lit("% accuracy (did not pass the automatic checks)"))))
-    lines = F.transform(lines, lambda x: F.when(forced & (_key(x) == "audit_status"), "audit_status: human_accepted").when(forced & (_key(x) == "verified"), said).otherwise(x))
-    added = F.array(F.concat(F.lit("accuracy: "), F.coalesce(accuracy.cast("string"), F.lit("null"))), F.concat(F.lit("accepted_by: "), quoted(who)), F.concat(F.lit("accepted_at: "), quoted(when)))
-    return F.when(front_lines(text).isNull(), text).otherwise(F.concat(F.lit("---\n"), F.array_join(F.concat(lines, added), "\n"), F.lit("\n---\n"), body_of(text)))
+    said = F.concat(
+        F.lit("verified: "),
+        quoted(
+            F.concat(
+                F.lit("accepted by "),
+                who,
+                F.lit(" on "),
+                when,
+                F.lit(" at "),
+                shown,
+                F.lit("% accuracy (did not pass the automatic checks)"),
+            )
+        ),
+    )
+    lines = F.transform(
+        lines,
+        lambda x: F.when(
+            forced & (_key(x) == "audit_status"),
+            "audit_status: human_accepted",
+        ).when(forced & (_key(x) == "verified"), said).otherwise(x),
+    )
+    added = F.array(
+        F.concat(F.lit("accuracy: "), F.coalesce(accuracy.cast("string"), F.lit("null"))),
+        F.concat(F.lit("accepted_by: "), quoted(who)),
+        F.concat(F.lit("accepted_at: "), quoted(when)),
+    )
+    return F.when(front_lines(text).isNull(), text).otherwise(
+        F.concat(F.lit("---\n"), F.array_join(F.concat(lines, added), "\n"), F.lit("\n---\n"), body_of(text))
+    )
 
 
 def without_acceptance(text: Column) -> Column:
@@ -71,15 +99,35 @@ def without_acceptance(text: Column) -> Column:
 def reconverted(text: Column, engine: Column, name: Column, raw: Column) -> Column:
     """New body as a list of at most 5,000 lines under the kept front matter, whose parser, flags and status start anew."""
     kept = F.filter(F.coalesce(front_lines(raw), F.array().cast("array<string>")), lambda x: ~_key(x).isin("parser", "flags", "audit_status", "risk_score"))
-    head = F.concat(kept, F.array(F.concat(F.lit("parser: "), engine), F.lit("flags: []"), F.lit("audit_status: pending_review"), F.lit("risk_score: 0"), F.concat(F.lit("reconvert_engine: "), engine)))
+    head = F.concat(
+        kept,
+        F.array(
+            F.concat(F.lit("parser: "), engine),
+            F.lit("flags: []"),
+            F.lit("audit_status: pending_review"),
+            F.lit("risk_score: 0"),
+            F.concat(F.lit("reconvert_engine: "), engine),
+        ),
+    )
     lines = F.slice(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1, 5000)
-    return F.concat(F.lit("---\n"), F.array_join(head, "\n"), F.lit("\n---\n\n# "), name, F.lit("\n\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))
+    return F.concat(
+        F.lit("---\n"),
+        F.array_join(head, "\n"),
+        F.lit("\n---\n\n# "),
+        name,
+        F.lit("\n\n"),
+        F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"),
+        F.lit("\n"),
+    )
 
 
 def with_formulas(body: Column, approved: Column) -> Column:
     """The k-th unreadable mark becomes the k-th entry of approved (array of LaTeX, null where none); others stay."""
     parts = F.split(body, "\\Q" + UNREADABLE + "\\E")
-    put = F.transform(F.slice(parts, 2, 1_000_000_000), lambda rest, i: F.concat(F.coalesce(F.concat(F.lit("$$"), F.get(approved, i), F.lit("$$")), F.lit(UNREADABLE)), rest))
+    put = F.transform(
+        F.slice(parts, 2, 1_000_000_000),
+        lambda rest, i: F.concat(F.coalesce(F.concat(F.lit("$$"), F.get(approved, i), F.lit("$$")), F.lit(UNREADABLE)), rest),
+    )
     return F.concat(F.get(parts, F.lit(0)), F.array_join(put, ""))
 
 
@@ -116,7 +164,15 @@ def checked_answer(raw: Column, candidates: Column) -> Column:
     digits = F.array_join(candidates, "").rlike(r"\d")
     confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(d["confidence"], F.lit(0.0)))), 2)
     picked = F.when(choice >= 0, F.get(candidates, choice))
-    return F.when(valid, F.struct(F.when(choice >= 0, choice).alias("choice"), picked.alias("text"), confidence.alias("confidence"), (digits | F.coalesce(d["needs_human"], F.lit(False))).alias("needs_human")))
+    return F.when(
+        valid,
+        F.struct(
+            F.when(choice >= 0, choice).alias("choice"),
+            picked.alias("text"),
+            confidence.alias("confidence"),
+            (digits | F.coalesce(d["needs_human"], F.lit(False))).alias("needs_human"),
+        ),
+    )
 
 
 def grounding_form(c: Column) -> Column:
@@ -159,4 +215,7 @@ def grid(rows: Column, note_chars: int = 60) -> Column:
     join = lambda a, b: F.array_join(F.array_distinct(F.filter(F.array(a, b), lambda x: F.coalesce(x, F.lit("")) != "")), " — ")
     head = F.when(two, F.zip_with(first, second, join)).otherwise(first)
     rest = F.transform(F.slice(body, F.when(two, 3).otherwise(2), F.lit(1_000_000)), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
-    return F.struct(F.when(F.size(body) > 0, F.concat(F.array(head), rest)).otherwise(F.array().cast("array<array<string>>")).alias("grid"), notes.alias("notes"))
+    return F.struct(
+        F.when(F.size(body) > 0, F.concat(F.array(head), rest)).otherwise(F.array().cast("array<array<string>>")).alias("grid"),
+        notes.alias("notes"),
+    )

@@ -37,7 +37,13 @@ def route(rel: Column) -> Column:
 
 def route_reason(rel: Column) -> Column:
     """Why a person has to decide, null where a reader exists."""
-    return F.when(route(rel) == "unsupported", F.concat(F.upper(extension(rel)), F.lit(" is a closed format without a reader"))).when(route(rel) == "unknown", F.concat(F.lit("no reader for extension "), F.when(extension(rel) == "", "(none)").otherwise(extension(rel))))
+    return F.when(
+        route(rel) == "unsupported",
+        F.concat(F.upper(extension(rel)), F.lit(" is a closed format without a reader")),
+    ).when(
+        route(rel) == "unknown",
+        F.concat(F.lit("no reader for extension "), F.when(extension(rel) == "", "(none)").otherwise(extension(rel))),
+    )
 
 
 def _series_in(part: Column) -> Column:
@@ -59,7 +65,11 @@ def doc_key(rel: Column) -> Column:
 
 def parse_standard(title: Column) -> Column:
     """Struct of id, year, draft."""
-    return F.struct(F.upper(F.regexp_extract(title, SERIES, 1)).alias("id"), F.regexp_extract(title, r"\b((?:19|20)\d{2})\b", 1).cast("int").alias("year"), title.rlike(r"(?i)\bdraft\b").alias("draft"))
+    return F.struct(
+        F.upper(F.regexp_extract(title, SERIES, 1)).alias("id"),
+        F.regexp_extract(title, r"\b((?:19|20)\d{2})\b", 1).cast("int").alias("year"),
+        title.rlike(r"(?i)\bdraft\b").alias("draft"),
+    )
 
 
 # Who issues a standard by how its name begins, codes among these, and clause ids of the national code with states before them.
@@ -88,7 +98,13 @@ def edition_of(name: Column) -> Column:
 def national_clause(title: Column) -> Column:
     """struct(state, clause) of a title that begins with a clause of the national code, a state's variation of it too; null otherwise."""
     pattern = rf"^(?:({STATE}) )?({NATIONAL_CLAUSE})\b"
-    return F.when(title.rlike(pattern), F.struct(F.nullif(F.regexp_extract(title, pattern, 1), F.lit("")).alias("state"), F.regexp_extract(title, pattern, 2).alias("clause")))
+    return F.when(
+        title.rlike(pattern),
+        F.struct(
+            F.nullif(F.regexp_extract(title, pattern, 1), F.lit("")).alias("state"),
+            F.regexp_extract(title, pattern, 2).alias("clause"),
+        ),
+    )
 
 
 def clause_ids(c: Column) -> Column:
@@ -106,9 +122,20 @@ def front_matter(c: Column) -> Column:
     """S3: `key: value` header as a map; empty where there is none."""
     head = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
-    entries = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    entries = F.transform(
+        pairs,
+        lambda x: F.struct(
+            F.trim(F.substring_index(x, ":", 1)).alias("key"),
+            F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"),
+        ),
+    )
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
+    return F.map_from_entries(
+        F.transform(
+            keys,
+            lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")),
+        )
+    )
 
 
 def body_of(c: Column) -> Column:

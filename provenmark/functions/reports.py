@@ -35,12 +35,24 @@ def findings(r: Column) -> Column:
     """The places that cost accuracy, in the order of the checks, at most 200."""
 
     def row(kind, page, detail, a=None, b=None):
-        return F.struct(F.lit(kind).alias("kind"), page.alias("page"), detail.alias("detail"), (F.lit(None).cast("string") if a is None else a).alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            page.alias("page"),
+            detail.alias("detail"),
+            (F.lit(None).cast("string") if a is None else a).alias("a"),
+            (F.lit(None).cast("string") if b is None else b).alias("b"),
+        )
 
     def of(items, make):
         return F.coalesce(F.transform(items, make), F.array().cast(FINDING))
 
-    read = F.transform(F.when(r["route"] == "ocr", r["readings"]), lambda p: F.transform(F.filter(F.slice(p["pairs"], 1, PAIRS_SHOWN), lambda x: (x["a"] != "") | (x["b"] != "")), lambda x: row("reading", p["page"], F.concat(x["a"], F.lit(" / "), x["b"]), x["a"], x["b"])))
+    read = F.transform(
+        F.when(r["route"] == "ocr", r["readings"]),
+        lambda p: F.transform(
+            F.filter(F.slice(p["pairs"], 1, PAIRS_SHOWN), lambda x: (x["a"] != "") | (x["b"] != "")),
+            lambda x: row("reading", p["page"], F.concat(x["a"], F.lit(" / "), x["b"]), x["a"], x["b"]),
+        ),
+    )
     reading = F.coalesce(F.flatten(read), F.array().cast(FINDING))
     seen = F.transform(reading, lambda x: x["page"])
     every = F.concat(
@@ -61,13 +73,28 @@ def outcome(r: Column, verdict: Column, triage: Column, error: Column) -> Column
     failed, skipped, moved = error.isNotNull() | r.isNull(), verdict == "SKIP", r["source_ok"] == F.lit(False)
     has = ~failed & ~F.coalesce(skipped, F.lit(False)) & ~F.coalesce(moved, F.lit(False))
     found = findings(r)
-    state = F.when(failed, "unprocessable").when(skipped & (triage == "protected"), "unprocessable").when(skipped, "skipped").when(moved, "unprocessable").otherwise("result")
-    reason = F.when(failed, score.reason_code(error)).when(skipped & (triage == "protected"), "protected").when(skipped, "unsupported").when(moved, "source_changed").otherwise("")
+    state = F.when(failed, "unprocessable").when(
+        skipped & (triage == "protected"),
+        "unprocessable",
+    ).when(skipped, "skipped").when(moved, "unprocessable").otherwise("result")
+    reason = F.when(failed, score.reason_code(error)).when(
+        skipped & (triage == "protected"),
+        "protected",
+    ).when(skipped, "unsupported").when(moved, "source_changed").otherwise("")
     count = lambda c: F.when(has, c).otherwise(0).cast("long")
-    return F.struct(state.alias("outcome"), reason.alias("reason"), F.when(has, score.accuracy(parts(r))).alias("accuracy"), count(F.size(found)).alias("diffs"), count(F.size(F.filter(found, lambda x: x["kind"] == "numbers"))).alias("number_diffs"))
+    return F.struct(
+        state.alias("outcome"),
+        reason.alias("reason"),
+        F.when(has, score.accuracy(parts(r))).alias("accuracy"),
+        count(F.size(found)).alias("diffs"),
+        count(F.size(F.filter(found, lambda x: x["kind"] == "numbers"))).alias("number_diffs"),
+    )
 
 
-def file_state(activity: Column, result: Column, confirmed: Column, acc: Column, number_diffs: Column, checks: Column, threshold: Column, guard: Column) -> Column:
+def file_state(
+    activity: Column, result: Column, confirmed: Column, acc: Column, number_diffs: Column, checks: Column, threshold: Column,
+    guard: Column,
+) -> Column:
     """What a person sees of a file. Numbers that a rule changed count as differences until somebody has checked them."""
     open_ = F.coalesce(number_diffs, F.lit(0)) + F.coalesce(checks, F.lit(0))
     return (

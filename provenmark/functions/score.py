@@ -59,7 +59,10 @@ def reason_code(error: Column) -> Column:
 def size_verdict(src_chars: Column, md_chars: Column, dup: Column) -> Column:
     """P20: what a size ratio says in plain words."""
     ratio = md_chars / F.when(src_chars > 0, src_chars)
-    return F.when(src_chars < 60, "source has almost no text").when(ratio < 0.2, "most content missing").when((ratio > 1.8) & (dup > 0), "content repeated").when(ratio > 1.8, "content added").otherwise("sizes agree")
+    return F.when(src_chars < 60, "source has almost no text").when(ratio < 0.2, "most content missing").when(
+        (ratio > 1.8) & (dup > 0),
+        "content repeated",
+    ).when(ratio > 1.8, "content added").otherwise("sizes agree")
 
 
 def call_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -94,7 +94,10 @@ def extract_numbers(c) -> Column:
     def token(raw):
         tok = F.lower(F.regexp_replace(raw, r"(?U)\s+", ""))
         head = F.regexp_extract(tok, r"(?U)^[+-]?\d+(?:[.,]\d+)*", 0)
-        whole = F.when(F.contains(head, F.lit(",")) & head.rlike(THOUSANDS), F.replace(head, F.lit(","), F.lit(""))).otherwise(F.replace(head, F.lit(","), F.lit(".")))
+        whole = F.when(
+            F.contains(head, F.lit(",")) & head.rlike(THOUSANDS),
+            F.replace(head, F.lit(","), F.lit("")),
+        ).otherwise(F.replace(head, F.lit(","), F.lit(".")))
         return F.concat(whole, F.substring(tok, F.length(head) + 1, F.length(tok)))
 
     return F.transform(F.regexp_extract_all(_text(c), F.lit(NUMBER_UNIT), F.lit(0)), token)
@@ -162,4 +165,9 @@ def is_noise(c, least: int = 12) -> Column:
 def audit_variants(c) -> Column:
     """`Label: value` also counts as the value or the label alone."""
     t = F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
-    return F.array_distinct(F.filter(F.array(audit_form(c), audit_form(F.regexp_extract(t, LABELLED, 2)), audit_form(F.regexp_extract(t, LABELLED, 1))), lambda x: x != ""))
+    return F.array_distinct(
+        F.filter(
+            F.array(audit_form(c), audit_form(F.regexp_extract(t, LABELLED, 2)), audit_form(F.regexp_extract(t, LABELLED, 1))),
+            lambda x: x != "",
+        )
+    )

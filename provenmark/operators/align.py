@@ -17,9 +17,18 @@ def exact_match(src: DataFrame, md: DataFrame, texts: bool = True) -> DataFrame:
     asked for. A group holds the equal lines of one document.
     """
     line = F.col("line") if texts else F.lit(None).cast("string")
-    sides = [d.select("rel", F.unhex(F.md5(F.encode(text.normalize_line("line"), "UTF-8"))).alias("key"), F.lit(i).alias("side"), F.struct(F.col("n").cast("long").alias("no"), line.alias("line")).alias("at")) for i, d in enumerate(x.where(F.col("line").rlike(r"(?U)\S")) for x in (src, md))]
+    sides = [
+        d.select(
+            "rel",
+            F.unhex(F.md5(F.encode(text.normalize_line("line"), "UTF-8"))).alias("key"),
+            F.lit(i).alias("side"),
+            F.struct(F.col("n").cast("long").alias("no"), line.alias("line")).alias("at"),
+        ) for i, d in enumerate(x.where(F.col("line").rlike(r"(?U)\S")) for x in (src, md))
+    ]
     both = sides[0].unionByName(sides[1])
-    met = both.groupBy("rel", "key").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("at")))).alias(name) for i, name in enumerate(("s", "m"))])
+    met = both.groupBy("rel", "key").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("at")))).alias(name) for i, name in enumerate(("s", "m"))]
+    )
     rows = met.select("rel", F.inline(F.arrays_zip("s", "m")))
     return rows.select("rel", F.col("s.no").alias("src_no"), F.col("m.no").alias("md_no"), F.col("s.line").alias("src"), F.col("m.line").alias("md"))
 
@@ -56,7 +65,14 @@ def candidates(matched: DataFrame, most: int = 30, dice: float = 0.5) -> DataFra
     met = probes.join(md_tok, ["rel", "tok"]).select("rel", "src_no", "md_no").distinct()
 
     both = met.join(md, ["rel", "md_no"]).join(asked, ["rel", "src_no"])
-    overlaps = both.select("rel", "src_no", "md_no", "need", (F.col("n_src") + F.size("md_toks")).alias("sizes"), F.size(F.array_intersect("toks", "md_toks")).alias("overlap"))
+    overlaps = both.select(
+        "rel",
+        "src_no",
+        "md_no",
+        "need",
+        (F.col("n_src") + F.size("md_toks")).alias("sizes"),
+        F.size(F.array_intersect("toks", "md_toks")).alias("overlap"),
+    )
     by_overlap = Window.partitionBy("rel", "src_no").orderBy(F.desc("overlap"), "md_no")
     ranked = overlaps.where("overlap >= need").withColumn("rank", F.row_number().over(by_overlap)).where(F.col("rank") <= most)
     return ranked.withColumn("dice", 2.0 * F.col("overlap") / F.col("sizes")).where(F.col("dice") >= dice).select("rel", "src_no", "md_no", "dice")
@@ -90,11 +106,24 @@ def segments(matched: DataFrame, changed: DataFrame) -> DataFrame:
     c = changed.select("rel", "src_no", F.col("md_no").alias("pair"))
     src = matched.where("src_no IS NOT NULL").join(c, ["rel", "src_no"], "left")
     md_text = matched.where("md_no IS NOT NULL AND src_no IS NULL").select("rel", F.col("md_no").alias("pair"), F.col("md").alias("pair_md"))
-    src = src.join(md_text, ["rel", "pair"], "left").select("rel", "src_no", F.coalesce("md_no", "pair").alias("md_no"), "src", F.coalesce("md", "pair_md").alias("md"), F.when(F.col("md_no").isNotNull(), "match").when(F.col("pair").isNotNull(), "changed").otherwise("src_only").alias("status"), F.lit(None).cast("long").alias("anchor"))
+    src = src.join(md_text, ["rel", "pair"], "left").select(
+        "rel",
+        "src_no",
+        F.coalesce("md_no", "pair").alias("md_no"),
+        "src",
+        F.coalesce("md", "pair_md").alias("md"),
+        F.when(F.col("md_no").isNotNull(), "match").when(F.col("pair").isNotNull(), "changed").otherwise("src_only").alias("status"),
+        F.lit(None).cast("long").alias("anchor"),
+    )
     order = Window.partitionBy("rel").orderBy("md_no").rowsBetween(Window.unboundedPreceding, -1)
     md = matched.where("md_no IS NOT NULL").withColumn("anchor", F.coalesce(F.last("src_no", ignorenulls=True).over(order), F.lit(-1)).cast("long"))
     md = md.where("src_no IS NULL").join(c.select("rel", F.col("pair").alias("md_no")), ["rel", "md_no"], "left_anti")
-    both = src.unionByName(md.select("rel", F.lit(None).cast("long").alias("src_no"), F.col("md_no").cast("long").alias("md_no"), "src", "md", F.lit("md_only").alias("status"), "anchor"))
+    both = src.unionByName(
+        md.select(
+            "rel", F.lit(None).cast("long").alias("src_no"), F.col("md_no").cast("long").alias("md_no"), "src", "md",
+            F.lit("md_only").alias("status"), "anchor",
+        )
+    )
     seq = Window.partitionBy("rel").orderBy(F.col("status") != "md_only", F.coalesce("anchor", "src_no"), "md_no")
     return both.withColumn("seq", F.row_number().over(seq) - 1).drop("anchor")
 
@@ -115,10 +144,21 @@ def segment_counts(src: DataFrame, md: DataFrame) -> DataFrame:
     """A1 without an order: (rel, n_match, n_src_only, n_md_only, n_changed, line_match_ratio)."""
     found = _found(src, md, False)
     open_ = F.col("src_no").isNull() | F.col("md_no").isNull()
-    both = found.groupBy("rel").agg(F.count_if(~open_).alias("n_match"), F.count_if(F.col("md_no").isNull()).alias("s"), F.count_if(F.col("src_no").isNull()).alias("m"))
+    both = found.groupBy("rel").agg(
+        F.count_if(~open_).alias("n_match"),
+        F.count_if(F.col("md_no").isNull()).alias("s"),
+        F.count_if(F.col("src_no").isNull()).alias("m"),
+    )
     pairs = assign(candidates(found)).groupBy("rel").agg(F.count(F.lit(1)).alias("c"))
     c = F.coalesce("c", F.lit(0))
-    return both.join(pairs, "rel", "left").select("rel", "n_match", (F.col("s") - c).alias("n_src_only"), (F.col("m") - c).alias("n_md_only"), c.alias("n_changed"), (F.col("n_match") / F.nullif(F.col("n_match") + F.col("s"), F.lit(0))).alias("line_match_ratio"))
+    return both.join(pairs, "rel", "left").select(
+        "rel",
+        "n_match",
+        (F.col("s") - c).alias("n_src_only"),
+        (F.col("m") - c).alias("n_md_only"),
+        c.alias("n_changed"),
+        (F.col("n_match") / F.nullif(F.col("n_match") + F.col("s"), F.lit(0))).alias("line_match_ratio"),
+    )
 
 
 def recall(a: DataFrame, b: DataFrame, key: str = "rel") -> DataFrame:
@@ -135,7 +175,10 @@ def counted(texts: DataFrame, tokens, key: str = "rel") -> DataFrame:
 def evaluate(pairs: DataFrame) -> DataFrame:
     """J5 without alignment: (rel, src_text, md_text) to coverage, number_recall, auto_score and counts."""
     cov = recall(counted(pairs, text.word_tokens("src_text")), counted(pairs, text.word_tokens("md_text"))).withColumnRenamed("recall", "coverage")
-    nums = recall(counted(pairs, text.extract_numbers("src_text")), counted(pairs, text.extract_numbers("md_text"))).withColumnRenamed("recall", "number_recall")
+    nums = recall(
+        counted(pairs, text.extract_numbers("src_text")),
+        counted(pairs, text.extract_numbers("md_text")),
+    ).withColumnRenamed("recall", "number_recall")
     base = pairs.select("rel", text.count_text("src_text")["words"].alias("src_words"), text.count_text("md_text")["words"].alias("md_words"))
     out = base.join(cov, "rel", "left").join(nums, "rel", "left")
     return out.withColumn("auto_score", score.auto_score(F.col("coverage"), F.col("number_recall")))

@@ -15,7 +15,10 @@ def _grams(c: Column, sizes) -> Column:
     """The different stretches of these lengths in a word."""
 
     def some(g: int) -> Column:
-        return F.when(F.length(c) >= g, F.transform(F.sequence(F.lit(1), F.length(c) - g + 1), lambda i: F.substring(c, i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
+        return F.when(
+            F.length(c) >= g,
+            F.transform(F.sequence(F.lit(1), F.length(c) - g + 1), lambda i: F.substring(c, i, F.lit(g))),
+        ).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.concat(*map(some, sizes)))
 
@@ -24,7 +27,9 @@ def _through_inner_words(words: DataFrame, wants: DataFrame, scope: list[str], a
     """Wants of three words or more, each with the rarest of its inner words: a text that contains it has those as words too."""
     asked = wants.select(*scope, *ask, "find", F.explode(F.array_distinct("__inner")).alias("__word"))
     held = words.join(asked.select(*scope, "__word").distinct(), [*scope, "__word"], "left_semi").groupBy(*scope, "__word").agg(F.count(F.lit(1)).alias("__n"))
-    rated = asked.join(held, [*scope, "__word"], "left").groupBy(*scope, *ask, "find").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__word").alias("word"))).alias("__least"))
+    rated = asked.join(held, [*scope, "__word"], "left").groupBy(*scope, *ask, "find").agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__word").alias("word"))).alias("__least")
+    )
     return rated.where("__least.n > 0").select(*scope, *ask, "find", F.col("__least.word").alias("__word"))
 
 
@@ -32,15 +37,28 @@ def _through_ends(words: DataFrame, wants: DataFrame, scope: list[str], ask: lis
     """Wants without an inner word, each with all words of the texts that can hold its longer end, found by the rarest of its stretches."""
     first, last, one = F.get("__parts", F.lit(0)), F.element_at("__parts", -1), F.size("__parts") == 1
     longer = F.length(first) >= F.length(last)
-    ends = wants.select(*scope, *ask, "find", F.when(longer, first).otherwise(last).alias("__part"), F.when(one, "anywhere").when(longer, "end").otherwise("start").alias("__place"))
+    ends = wants.select(
+        *scope,
+        *ask,
+        "find",
+        F.when(longer, first).otherwise(last).alias("__part"),
+        F.when(one, "anywhere").when(longer, "end").otherwise("start").alias("__place"),
+    )
     nothing = ends.where("__part = ''").select(*scope, *ask, "find", F.lit("").alias("__word"))
     parts = ends.where("__part <> ''").select("__part").distinct()
-    asked = parts.select("__part", F.explode(_grams(F.col("__part"), (3,))).alias("__gram")).unionByName(parts.where("length(__part) < 3").select("__part", F.col("__part").alias("__gram")))
+    asked = parts.select("__part", F.explode(_grams(F.col("__part"), (3,))).alias("__gram")).unionByName(
+        parts.where("length(__part) < 3").select("__part", F.col("__part").alias("__gram"))
+    )
     vocabulary = words.select("__word").distinct().select("__word", F.explode(_grams(F.col("__word"), (1, 2, 3))).alias("__gram"))
     vocabulary = vocabulary.join(asked.select("__gram").distinct(), "__gram", "left_semi")
-    rare = asked.join(vocabulary.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n")), "__gram").groupBy("__part").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
+    rare = asked.join(
+        vocabulary.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n")),
+        "__gram",
+    ).groupBy("__part").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
     met = rare.join(vocabulary, "__gram").where(F.contains("__word", F.col("__part"))).select("__part", "__word")
-    fits = (F.col("__place") == "anywhere") | ((F.col("__place") == "end") & F.endswith("__word", F.col("__part"))) | ((F.col("__place") == "start") & F.startswith("__word", F.col("__part")))
+    fits = (F.col("__place") == "anywhere") | ((F.col("__place") == "end") & F.endswith("__word", F.col("__part"))) | (
+        (F.col("__place") == "start") & F.startswith("__word", F.col("__part"))
+    )
     return ends.join(met, "__part").where(fits).select(*scope, *ask, "find", "__word").unionByName(nothing)
 
 
@@ -84,11 +102,20 @@ def check_grounds(questions: DataFrame, grounds: DataFrame, pages: DataFrame, un
     they are asked for. files(path, doc, clauses array, edition) is the library.
     """
     told = lambda df, problem, subject: df.select("question", F.lit(problem).alias("problem"), "doc", F.col("page").cast("long").alias("page"), subject.cast("string").alias("subject"))
-    bare = questions.join(grounds.select("question").distinct(), "question", "left_anti").select("question", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("long").alias("page"))
+    bare = questions.join(grounds.select("question").distinct(), "question", "left_anti").select(
+        "question",
+        F.lit(None).cast("string").alias("doc"),
+        F.lit(None).cast("long").alias("page"),
+    )
     out = told(bare, NO_GROUND, F.lit(None))
 
     absent = grounds.where("absent IS NOT NULL")
-    hits = contained(files.select("path", F.lower("path").alias("text")), absent.select("absent", F.lower("absent").alias("find")).distinct(), ["path"], ["absent"])
+    hits = contained(
+        files.select("path", F.lower("path").alias("text")),
+        absent.select("absent", F.lower("absent").alias("find")).distinct(),
+        ["path"],
+        ["absent"],
+    )
     out = out.unionByName(told(absent.join(hits.groupBy("absent").agg(F.min("path").alias("path")), "absent"), PRESENT, F.col("path")))
 
     rest = grounds.where("absent IS NULL")
@@ -98,8 +125,12 @@ def check_grounds(questions: DataFrame, grounds: DataFrame, pages: DataFrame, un
     paged = rest.where("page IS NOT NULL")
     asked = paged.select("doc", "page").distinct()
     source = pages.join(asked, ["doc", "page"], "left_semi").select("doc", "page", ground_form("text").alias("source"))
-    published = units.join(asked, ["doc", "page"], "left_semi").groupBy("doc", "page").agg(F.array_join(F.array_sort(F.collect_list(ground_form("text"))), " ").alias("published"))
-    met = paged.join(source, ["doc", "page"], "left").join(published, ["doc", "page"], "left").withColumns({"source": F.coalesce("source", F.lit("")), "published": F.coalesce("published", F.lit(""))})
+    published = units.join(asked, ["doc", "page"], "left_semi").groupBy("doc", "page").agg(
+        F.array_join(F.array_sort(F.collect_list(ground_form("text"))), " ").alias("published")
+    )
+    met = paged.join(source, ["doc", "page"], "left").join(published, ["doc", "page"], "left").withColumns(
+        {"source": F.coalesce("source", F.lit("")), "published": F.coalesce("published", F.lit(""))}
+    )
     out = out.unionByName(told(met.where("published = ''"), NO_UNIT, F.lit(None)))
     strings = met.withColumn("subject", F.explode("contains")).withColumn("find", ground_form("subject"))
     out = out.unionByName(told(strings.where(~F.contains("source", F.col("find"))), NOT_IN_SOURCE, F.col("subject")))

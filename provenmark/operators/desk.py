@@ -11,7 +11,17 @@ STATES = ("trusted", "need_review", "diff_big", "rejected", "unreviewed")
 # How the lines of a run's output begin, what each says, and the marks of clause and page ranges in file names.
 TOTAL, ITEM, SCAN_PAGE, VERDICT = r"^files to check: (\d+)", r"^\[(\d+)\] (.+)$", r"^OCR page (\d+)/(\d+|\?)", r"^verification: (\w+)"
 SKIPPED = r"^(?:unchanged since last run|skip duplicate|skip \(format)"
-STAGES = ((TOTAL, "listing"), (ITEM, "preparing"), (r"^download", "downloading"), (r"^scanned document", "ocr"), (SCAN_PAGE, "ocr"), (r"^extracted", "verifying"), (r"^verification: (?:PASS|METADATA)\b", "uploading"), (r"^verification: \w", "next"), (r"^promoted", "publishing"))
+STAGES = (
+    (TOTAL, "listing"),
+    (ITEM, "preparing"),
+    (r"^download", "downloading"),
+    (r"^scanned document", "ocr"),
+    (SCAN_PAGE, "ocr"),
+    (r"^extracted", "verifying"),
+    (r"^verification: (?:PASS|METADATA)\b", "uploading"),
+    (r"^verification: \w", "next"),
+    (r"^promoted", "publishing"),
+)
 CLAUSES, PAGES = r"\[([A-Z][A-Z0-9]*)(?:–([A-Z][A-Z0-9]*))?\]", r" p(\d+)(?:-(\d+))?\.md$"
 PROMOTE, ADOPTED, WRONG_DAYS = 300, 98.0, 90
 LATEST, NOTICES, DAYS, BUDGET = 200, 30, 30, 0.8
@@ -23,9 +33,20 @@ def overview(badges: DataFrame, evaluations: DataFrame, decisions: DataFrame) ->
     states = [F.count_if(F.col("state") == s).alias(s) for s in STATES]
     reviewed, files = F.count("verdict"), F.count(F.lit(1))
     share = F.round(100 * reviewed / F.greatest(files, F.lit(1)), 1)
-    a = badges.agg(files.alias("files"), *states, F.round(F.avg("auto_score"), 1).alias("mean_score"), F.count("auto_score").alias("evaluated"), reviewed.alias("reviewed"), share.alias("reviewed_pct"))
+    a = badges.agg(
+        files.alias("files"),
+        *states,
+        F.round(F.avg("auto_score"), 1).alias("mean_score"),
+        F.count("auto_score").alias("evaluated"),
+        reviewed.alias("reviewed"),
+        share.alias("reviewed_pct"),
+    )
     b = evaluations.agg(F.count_if(F.col("status") == "deferred").alias("deferred"), F.count_if("salvage").alias("salvage"))
-    c = decisions.agg(F.count_if(F.col("decision").isNull()).alias("pending"), F.count_if(F.col("decision") == "include").alias("included"), F.count_if(F.col("decision") == "exclude").alias("excluded"))
+    c = decisions.agg(
+        F.count_if(F.col("decision").isNull()).alias("pending"),
+        F.count_if(F.col("decision") == "include").alias("included"),
+        F.count_if(F.col("decision") == "exclude").alias("excluded"),
+    )
     one = [x.withColumn("__one", F.lit(1)) for x in (a, b, c)]  # a row each
     return reduce(lambda x, y: x.join(y, "__one"), one).drop("__one")
 
@@ -56,7 +77,10 @@ def run_status(log: DataFrame) -> DataFrame:
     within = F.when(pages > 0, page / pages).otherwise(0.0)
     done = F.greatest(F.col("index") - 1, F.lit(0)) + within + F.col("skipped")
     percent = F.when(F.col("total") == 0, 3.0).otherwise(F.round(F.least(5 + 90 * done / F.col("total"), F.lit(98.0)), 1))
-    return rolled.select("run", "total", "index", "file", "stage", since(F.col("scanned")).alias("scan"), page.alias("page"), pages.alias("pages"), "passed", "failed", "metadata", "skipped", percent.alias("percent"))
+    return rolled.select(
+        "run", "total", "index", "file", "stage", since(F.col("scanned")).alias("scan"), page.alias("page"), pages.alias("pages"),
+        "passed", "failed", "metadata", "skipped", percent.alias("percent"),
+    )
 
 
 def audit_feed(rules: DataFrame, undone: DataFrame, calls: DataFrame, files: DataFrame, rooms: DataFrame, most: int = LATEST) -> DataFrame:
@@ -83,7 +107,9 @@ def notices(runs: DataFrame, rooms: DataFrame, budgets: DataFrame, rules: DataFr
     unprocessable, below, at); budgets(skill, spent, budget, month) of which 80 % or more are spent; rules(id, reverts, often_undone,
     enabled, at); and read(key), what this person has seen.
     """
-    ended = runs.where(F.col("status").isin("done", "error", "interrupted") & (F.col("at") >= now - DAYS * 86_400)).join(rooms.select("room"), "room", "left_semi")
+    ended = runs.where(
+        F.col("status").isin("done", "error", "interrupted") & (F.col("at") >= now - DAYS * 86_400)
+    ).join(rooms.select("room"), "room", "left_semi")
     latest = ended.groupBy("room").agg(F.max(F.struct("at", "id", "status", "publish")).alias("r")).select("r.*")
     good = F.col("status") == "done"
     kind = F.when(good & F.col("publish"), "published").when(good, "done").when(F.col("status") == "interrupted", "interrupted").otherwise("failed")
@@ -106,12 +132,27 @@ def eligibility(calls: DataFrame, rules: DataFrame, glossary: DataFrame, now: fl
     90 days, and what is missing for the next level: 300 decided, 98 % adopted, nothing wrong, a glossary. Evaluations do not count."""
     real = calls.where(F.col("decision").isin("adopted", "modified", "rejected") & (F.coalesce("by", F.lit("")) != "evaluation"))
     record = real.groupBy("skill").agg(F.count(F.lit(1)).alias("decided"), F.count_if(F.col("decision") == "adopted").alias("adopted"))
-    wrong = rules.where((F.col("auto")) & (F.col("check") == "wrong") & (F.col("checked_at") >= now - WRONG_DAYS * 86_400)).groupBy("skill").agg(F.count(F.lit(1)).alias("wrong"), F.max("checked_at").alias("last_wrong"))
+    wrong = rules.where(
+        (F.col("auto")) & (F.col("check") == "wrong") & (F.col("checked_at") >= now - WRONG_DAYS * 86_400)
+    ).groupBy("skill").agg(F.count(F.lit(1)).alias("wrong"), F.max("checked_at").alias("last_wrong"))
     known = glossary.limit(1).agg((F.count(F.lit(1)) > 0).alias("known")).withColumn("__one", F.lit(1))
-    met = calls.select("skill").distinct().join(record, "skill", "left").join(wrong, "skill", "left").fillna(0, ["decided", "adopted", "wrong"]).withColumn("__one", F.lit(1)).join(known, "__one")
+    met = calls.select("skill").distinct().join(record, "skill", "left").join(wrong, "skill", "left").fillna(
+        0,
+        ["decided", "adopted", "wrong"],
+    ).withColumn("__one", F.lit(1)).join(known, "__one")
     rate = F.when(F.col("decided") > 0, F.round(100 * F.col("adopted") / F.col("decided"), 1))
-    lacks = F.array_compact(F.array(F.when(F.col("decided") < PROMOTE, "decided"), F.when(rate.isNull() | (rate < ADOPTED), "adoption"), F.when(F.col("wrong") > 0, "wrong"), F.when(~F.col("known"), "glossary")))
-    return met.select("skill", "decided", "adopted", rate.alias("adoption"), "wrong", "last_wrong", lacks.alias("missing"), (F.size(lacks) == 0).alias("eligible"))
+    lacks = F.array_compact(
+        F.array(
+            F.when(F.col("decided") < PROMOTE, "decided"),
+            F.when(rate.isNull() | (rate < ADOPTED), "adoption"),
+            F.when(F.col("wrong") > 0, "wrong"),
+            F.when(~F.col("known"), "glossary"),
+        )
+    )
+    return met.select(
+        "skill", "decided", "adopted", rate.alias("adoption"), "wrong", "last_wrong", lacks.alias("missing"),
+        (F.size(lacks) == 0).alias("eligible"),
+    )
 
 
 def folder_map(files: DataFrame) -> DataFrame:
@@ -120,9 +161,20 @@ def folder_map(files: DataFrame) -> DataFrame:
     rest, name = F.col("path"), F.element_at(F.split("path", "/"), -1)
     number = lambda g: F.nullif(F.regexp_extract(name, PAGES, g), F.lit("")).cast("int")
     first, end = (F.nullif(F.regexp_extract(name, CLAUSES, g), F.lit("")) for g in (1, 2))
-    seen = files.select("doc", F.when(F.contains(rest, F.lit("/")), F.concat(F.substring_index(rest, "/", 1), F.lit("/"))).otherwise("").alias("folder"), rest.alias("path"), first.alias("first"), F.coalesce(end, first).alias("last"), number(1).alias("p0"), F.coalesce(number(2), number(1)).alias("p1"))
+    seen = files.select(
+        "doc",
+        F.when(F.contains(rest, F.lit("/")), F.concat(F.substring_index(rest, "/", 1), F.lit("/"))).otherwise("").alias("folder"),
+        rest.alias("path"),
+        first.alias("first"),
+        F.coalesce(end, first).alias("last"),
+        number(1).alias("p0"),
+        F.coalesce(number(2), number(1)).alias("p1"),
+    )
     ranged = F.when(F.col("first").isNotNull(), F.col("path"))
-    return seen.groupBy("doc", "folder").agg(F.min_by("first", ranged).alias("first"), F.max_by("last", ranged).alias("last"), F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.count(F.lit(1)).alias("n"))
+    return seen.groupBy("doc", "folder").agg(
+        F.min_by("first", ranged).alias("first"), F.max_by("last", ranged).alias("last"), F.min("p0").alias("p0"),
+        F.max("p1").alias("p1"), F.count(F.lit(1)).alias("n"),
+    )
 
 
 def benchmark(pages: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +184,11 @@ def benchmark(pages: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFra
     means = [F.round(F.avg(c), 5).alias(c) for c in ("char_acc", "char_recall", "num_recall")]
     engines = pages.groupBy("degradation", "engine").agg(*means)
     ok = F.col("status") == "ok"
-    whole = outcomes.groupBy("degradation").agg(F.count(F.lit(1)).alias("pages"), F.count_if(ok).alias("accepted"), F.min(F.when(ok, F.col("published_acc"))).alias("worst_accepted"))
+    whole = outcomes.groupBy("degradation").agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.count_if(ok).alias("accepted"),
+        F.min(F.when(ok, F.col("published_acc"))).alias("worst_accepted"),
+    )
     summary = engines.join(whole, "degradation", "left")
     score = engines.groupBy("engine").agg(F.round(F.avg("char_acc"), 5).alias("mean_char_acc"), F.avg("char_acc").alias("__exact"))
     rank = F.row_number().over(Window.orderBy(F.desc("__exact"), "engine"))  # a row an engine

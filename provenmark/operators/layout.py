@@ -20,7 +20,14 @@ def running_form(c: str) -> Column:
 def _banded(lines: DataFrame) -> DataFrame:
     """lines(doc, page, n, y0, y1, height, text) with key, y (whole), and whether they lie in the top or bottom band."""
     low = F.col("y1") > F.col("height") * (1 - BAND)
-    return lines.withColumns({"key": running_form("text"), "y": F.bround("y0").cast("int"), "bottom": low, "banded": (F.col("y0") < F.col("height") * BAND) | low})
+    return lines.withColumns(
+        {
+            "key": running_form("text"),
+            "y": F.bround("y0").cast("int"),
+            "bottom": low,
+            "banded": (F.col("y0") < F.col("height") * BAND) | low,
+        }
+    )
 
 
 def running_lines(lines: DataFrame) -> DataFrame:
@@ -30,13 +37,19 @@ def running_lines(lines: DataFrame) -> DataFrame:
     near = Window.partitionBy("doc", "page").orderBy("y").rangeBetween(-1, 1)  # a page's band
     alone = band.withColumn("fragments", F.count(F.lit(1)).over(near)).where(F.col("fragments") < FRAGMENTS)
     worded = alone.where(F.length(F.regexp_replace("key", r"\P{L}", "")) >= LEAST_LETTERS)
-    return worded.select("doc", "key", "y", "page").distinct().groupBy("doc", "key", "y").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    return worded.select("doc", "key", "y", "page").distinct().groupBy("doc", "key", "y").agg(
+        F.count(F.lit(1)).alias("pages")
+    ).where(F.col("pages") >= LEAST_PAGES)
 
 
 def body_and_labels(lines: DataFrame) -> DataFrame:
     """Lines with `kept`, false for running lines at their height or one unit beside it and for the page's bare number in the bottom
     band, and `label`, the printed label that a removed line of the bottom band gives."""
-    running = running_lines(lines).select("doc", "key", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y")).distinct().withColumn("runs", F.lit(True))
+    running = running_lines(lines).select(
+        "doc",
+        "key",
+        F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"),
+    ).distinct().withColumn("runs", F.lit(True))
     told = _banded(lines).join(running, ["doc", "key", "y"], "left")
     plain = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     runs = F.col("banded") & F.coalesce("runs", F.lit(False))

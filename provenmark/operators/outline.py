@@ -25,7 +25,10 @@ def contents_usable(entries: DataFrame, documents: DataFrame) -> DataFrame:
     """documents(doc, pages) with the number of entries(doc, i, level, title, page), of steps back to an earlier page, and whether the
     list can be used: five entries and one for 40 pages at least, steps back in 2 % of the entries at most."""
     step = F.col("page") < F.lag("page").over(Window.partitionBy("doc").orderBy("i"))  # a document's contents
-    counted = entries.withColumn("back", F.coalesce(step, F.lit(False))).groupBy("doc").agg(F.count(F.lit(1)).alias("entries"), F.count_if("back").alias("back_steps"))
+    counted = entries.withColumn("back", F.coalesce(step, F.lit(False))).groupBy("doc").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count_if("back").alias("back_steps"),
+    )
     all_ = documents.join(counted, "doc", "left").fillna(0, ["entries", "back_steps"])
     usable = (F.col("entries") >= F.greatest(F.lit(LEAST_ENTRIES), F.col("pages") / PAGES_AN_ENTRY)) & (F.col("back_steps") <= F.col("entries") * BACK_STEPS)
     return all_.select("doc", "entries", "back_steps", usable.alias("usable"))
@@ -47,7 +50,11 @@ def section_carry(items: DataFrame) -> DataFrame:
         "l1": F.last(F.when(one, F.col("title")), True).over(order),
         "__l2": F.last(F.when(opens, F.struct(F.when(two, F.col("title")).when(F.coalesce(one, F.lit(False)), F.lit(None)).otherwise(F.col("part_break")).alias("l2"))), True).over(order),
     })
-    sections = begun.groupBy("doc", "seq").agg(F.max("__at").alias("__at"), F.min_by(F.coalesce(one, F.lit(False)), "n").alias("head"), F.max("__l2.l2").alias("l2"))
+    sections = begun.groupBy("doc", "seq").agg(
+        F.max("__at").alias("__at"),
+        F.min_by(F.coalesce(one, F.lit(False)), "n").alias("head"),
+        F.max("__l2.l2").alias("l2"),
+    )
     after = Window.partitionBy("doc").orderBy("seq")
     intro = F.col("head") & F.coalesce((F.lead("__at").over(after) == F.col("__at")) & F.lead("l2").over(after).isNotNull(), F.lit(False))
     flags = sections.select("doc", "seq", intro.alias("intro"))
@@ -97,19 +104,34 @@ def tree_of(parts: DataFrame, documents: DataFrame, one_file: int = ONE_FILE) ->
     sizes = parts.groupBy("doc").agg(F.sum("size").alias("total"))
     met = parts.join(sizes, "doc").join(documents, "doc")
     safe = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("Front")), r'[\\/:*?"<>|\x00-\x1f]+', " ")), r"(?U)\s+", " ")
-    title = F.concat_ws(" ", F.lpad("seq", 2, "0"), F.substring(safe(F.coalesce("l2", "l1")), 1, 80), F.when(F.col("parts") > 1, F.concat(F.lit("part "), F.col("part"), F.lit(" of "), F.col("parts"))))
-    path = F.when(F.col("total") <= one_file, F.concat("doc", F.lit(".md"))).otherwise(F.concat("doc", F.lit("/"), F.substring(safe(F.col("l1")), 1, 80), F.lit("/"), title, F.lit(".md")))
+    title = F.concat_ws(
+        " ",
+        F.lpad("seq", 2, "0"),
+        F.substring(safe(F.coalesce("l2", "l1")), 1, 80),
+        F.when(F.col("parts") > 1, F.concat(F.lit("part "), F.col("part"), F.lit(" of "), F.col("parts"))),
+    )
+    path = F.when(F.col("total") <= one_file, F.concat("doc", F.lit(".md"))).otherwise(
+        F.concat("doc", F.lit("/"), F.substring(safe(F.col("l1")), 1, 80), F.lit("/"), title, F.lit(".md"))
+    )
     full = F.concat_ws("/", F.when(~F.col("trusted"), "_pending"), F.nullif("folder", F.lit("")), path)
     whole = met.select(full.alias("path"), F.col("trusted"), F.struct("seq", "part", "text").alias("t"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
-    return whole.groupBy("path", "trusted").agg(texts.alias("text")).select(F.when(F.col("trusted"), "auto_verified").otherwise("pending_review").alias("status"), "path", "text")
+    return whole.groupBy("path", "trusted").agg(texts.alias("text")).select(
+        F.when(F.col("trusted"), "auto_verified").otherwise("pending_review").alias("status"),
+        "path",
+        "text",
+    )
 
 
 def write_tree(files: DataFrame, folder: str) -> DataFrame:
     """Write files(status, path, text) below a folder, one folder of Spark's for each path, and compare what is there with what was meant:
     (path, problem), no rows if all is well. Paths are encoded in folder names, so any character may stand in them."""
     spark = files.sparkSession
-    files.select("text", "status", F.hex(F.encode("path", "UTF-8")).alias("at")).repartition("status", "at").write.option("lineSep", "\n").partitionBy("status", "at").text(folder)
+    files.select(
+        "text",
+        "status",
+        F.hex(F.encode("path", "UTF-8")).alias("at"),
+    ).repartition("status", "at").write.option("lineSep", "\n").partitionBy("status", "at").text(folder)
     meant = files.select("path", (F.octet_length("text") + 1).cast("long").alias("bytes"))
     there = listing(spark, folder).groupBy("path").agg(F.sum("length").alias("length"))
     both = meant.join(there, "path", "full")
@@ -132,12 +154,19 @@ def page_scope(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     behind the last page are unmapped like those without a match.
     """
     ends = pages.select("doc", F.col("lines").alias("at"), F.lit(1).alias("kind"), "page", F.lit(None).cast("long").alias("n"))
-    asked = lines.where("source_line IS NOT NULL").select("doc", (F.col("source_line") + 1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page"), F.col("n").cast("long").alias("n"))
+    asked = lines.where("source_line IS NOT NULL").select(
+        "doc", (F.col("source_line") + 1).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page"),
+        F.col("n").cast("long").alias("n"),
+    )
     ahead = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)  # a document's lines
     met = asked.unionByName(ends.withColumn("page", F.col("page").cast("long"))).withColumn("on", F.min("page").over(ahead)).where("kind = 0")
     placed = lines.join(met.select("doc", "n", "on"), ["doc", "n"], "left")
     by_page = placed.where("on IS NOT NULL").groupBy("doc", F.col("on").alias("page")).agg(F.count(F.lit(1)).alias("c"))
-    full = pages.select("doc", F.col("page").cast("long").alias("page")).join(by_page, ["doc", "page"], "left").select("doc", "page", F.coalesce("c", F.lit(0)).cast("long").alias("md_lines"))
+    full = pages.select("doc", F.col("page").cast("long").alias("page")).join(by_page, ["doc", "page"], "left").select(
+        "doc",
+        "page",
+        F.coalesce("c", F.lit(0)).cast("long").alias("md_lines"),
+    )
     empty = full.groupBy("doc").agg(F.count_if(F.col("md_lines") == 0).alias("empty_pages"))
     share = F.round(100 * F.count("on") / F.count(F.lit(1)), 1)
     told = placed.groupBy("doc").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("on").isNull()).alias("unmapped"), share.alias("in_scope"))

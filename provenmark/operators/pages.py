@@ -18,7 +18,14 @@ BLIND_CHARS, BLIND_RECALL, AGREE_PAGE, AGREE = 50, 0.5, 0.98, 0.99
 
 def _both(src: DataFrame, md: DataFrame, counted) -> DataFrame:
     """(rel, page, token, a, b): how often a token stands on each side; counted in each text, then before the shuffle."""
-    sides = [d.select("rel", "page", F.inline(counted("text"))).select("rel", "page", "token", *[(F.col("times") if i == k else F.lit(0).cast("long")).alias(c) for k, c in enumerate("xy")]) for i, d in enumerate((src, md))]
+    sides = [
+        d.select("rel", "page", F.inline(counted("text"))).select(
+            "rel",
+            "page",
+            "token",
+            *[(F.col("times") if i == k else F.lit(0).cast("long")).alias(c) for k, c in enumerate("xy")]
+        ) for i, d in enumerate((src, md))
+    ]
     return sides[0].unionByName(sides[1]).groupBy("rel", "page", "token").agg(F.sum("x").alias("a"), F.sum("y").alias("b"))
 
 
@@ -63,15 +70,32 @@ def unexplained(missing: pd.Series, spare: pd.Series) -> pd.Series:
 
 def check_pages(src: DataFrame, md: DataFrame) -> DataFrame:
     """src, md(rel, page, text) to a row for each source page: n, lost, extra characters, numbers, missing numbers, in_md."""
-    chars = _both(src, md, characters).groupBy("rel", "page").agg(F.sum("a").alias("n"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra"))
+    chars = _both(src, md, characters).groupBy("rel", "page").agg(
+        F.sum("a").alias("n"),
+        F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"),
+        F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra"),
+    )
     gap = F.col("a") - F.col("b")
     repeated = lambda n: F.array_repeat(F.col("token"), F.greatest(n, F.lit(0)).cast("int"))
-    nums = _both(src, md, numbers).groupBy("rel", "page").agg(F.sum("a").alias("numbers"), F.flatten(F.collect_list(repeated(gap))).alias("gone"), F.flatten(F.collect_list(repeated(-gap))).alias("spare"))
-    told = nums.withColumn("missing", F.when(F.size("gone") > 0, unexplained("gone", "spare")).otherwise(F.array().cast("array<string>"))).select("rel", "page", "numbers", "missing")
+    nums = _both(src, md, numbers).groupBy("rel", "page").agg(
+        F.sum("a").alias("numbers"),
+        F.flatten(F.collect_list(repeated(gap))).alias("gone"),
+        F.flatten(F.collect_list(repeated(-gap))).alias("spare"),
+    )
+    told = nums.withColumn(
+        "missing",
+        F.when(F.size("gone") > 0, unexplained("gone", "spare")).otherwise(F.array().cast("array<string>")),
+    ).select("rel", "page", "numbers", "missing")
     there = md.select("rel", "page", F.lit(True).alias("in_md"))
     pages = src.select("rel", "page").join(there, ["rel", "page"], "left").join(chars, ["rel", "page"], "left").join(told, ["rel", "page"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return pages.select("rel", "page", F.coalesce("in_md", F.lit(False)).alias("in_md"), *map(zero, ("n", "lost", "extra", "numbers")), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    return pages.select(
+        "rel",
+        "page",
+        F.coalesce("in_md", F.lit(False)).alias("in_md"),
+        *map(zero, ("n", "lost", "extra", "numbers")),
+        F.coalesce("missing", F.array().cast("array<string>")).alias("missing"),
+    )
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -101,7 +125,12 @@ def agreement(src: DataFrame, second: DataFrame) -> DataFrame:
     blind = (F.col("n") > BLIND_CHARS) & (rate < BLIND_RECALL)
     seen = chars.withColumn("blind", F.coalesce(blind, F.lit(False)))
     low = ~F.col("blind") & (F.col("n") > BLIND_CHARS) & (rate < AGREE_PAGE)
-    total = seen.groupBy("rel").agg(F.sum(F.when(~F.col("blind"), F.col("hit"))).alias("h"), F.sum(F.when(~F.col("blind"), F.col("n"))).alias("t"), F.count_if("blind").alias("blind_pages"), F.count_if(low).alias("low_pages"))
+    total = seen.groupBy("rel").agg(
+        F.sum(F.when(~F.col("blind"), F.col("hit"))).alias("h"),
+        F.sum(F.when(~F.col("blind"), F.col("n"))).alias("t"),
+        F.count_if("blind").alias("blind_pages"),
+        F.count_if(low).alias("low_pages"),
+    )
     rated = total.withColumn("agreement", F.coalesce(F.round(F.col("h") / F.nullif("t", F.lit(0)), 6), F.lit(1.0)))
     return rated.select("rel", "agreement", "blind_pages", "low_pages", (F.col("agreement") >= AGREE).alias("ok"))
 

@@ -60,7 +60,9 @@ def _numbered(word: str) -> list[str]:
 
 def _keys(words: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
     """words(word) to (word, key): two words that can be similar enough share a key."""
-    ordered = _letters(words).join(ranks, "letter").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "letter"))), lambda x: x["letter"]).alias("letters"))
+    ordered = _letters(words).join(ranks, "letter").groupBy("word").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "letter"))), lambda x: x["letter"]).alias("letters")
+    )
 
     @F.pandas_udf("array<string>")
     def keyed(sets: pd.Series) -> pd.Series:
@@ -126,7 +128,10 @@ def picks(asked: DataFrame, answers: DataFrame) -> DataFrame:
 
 def picked_texts(pairs: DataFrame, log: DataFrame) -> DataFrame:
     """pairs(rel, page, a, b) with picked words in place on both sides; white space stays as it is."""
-    done = log.where("outcome = 'picked'").groupBy("rel", "page").agg(F.map_from_entries(F.collect_list(F.struct("at_a", "pick"))).alias("__a"), F.map_from_entries(F.collect_list(F.struct("at_b", "pick"))).alias("__b"))
+    done = log.where("outcome = 'picked'").groupBy("rel", "page").agg(
+        F.map_from_entries(F.collect_list(F.struct("at_a", "pick"))).alias("__a"),
+        F.map_from_entries(F.collect_list(F.struct("at_b", "pick"))).alias("__b"),
+    )
 
     def put(c: str, new: str) -> Column:
         words, gaps = F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), F.split(c, r"\S+", -1)

@@ -27,7 +27,13 @@ def rollback(publications: DataFrame, ledger: DataFrame, run, rolled_back: DataF
     now = _last(publications, rolled_back).where(F.col("run") == run).select("path", "document", F.col("hash").alias("was"))
     then = live_tree(publications, without).select("path", "run", "hash")
     met = now.join(then, "path", "left").where("was IS NOT NULL OR hash IS NOT NULL")
-    return met.select("path", "document", F.when(F.col("hash").isNull(), "remove").otherwise("restore").alias("action"), "run", "hash"), ledger.where(F.col("run") != run)
+    return met.select(
+        "path",
+        "document",
+        F.when(F.col("hash").isNull(), "remove").otherwise("restore").alias("action"),
+        "run",
+        "hash",
+    ), ledger.where(F.col("run") != run)
 
 
 def folders(paths: DataFrame) -> DataFrame:

@@ -27,7 +27,11 @@ CORRECTIONS = (
 
 def engine_summary(rows: DataFrame, engine: str, conf: str, size: str) -> DataFrame:
     """Mean, worst and length-weighted confidence of each engine."""
-    return rows.groupBy(engine).agg(F.round(F.avg(conf), 9).alias("mean_conf"), F.min(conf).alias("worst"), F.round(F.sum(F.col(conf) * F.col(size)) / F.sum(size), 9).alias("weighted"))
+    return rows.groupBy(engine).agg(
+        F.round(F.avg(conf), 9).alias("mean_conf"),
+        F.min(conf).alias("worst"),
+        F.round(F.sum(F.col(conf) * F.col(size)) / F.sum(size), 9).alias("weighted"),
+    )
 
 
 def page_confidence(lines: DataFrame) -> DataFrame:
@@ -39,7 +43,9 @@ def page_confidence(lines: DataFrame) -> DataFrame:
     mean = lambda total, n: F.expr(f"CASE WHEN {n} > 0 THEN ((2 * {total} + {n}) DIV (2 * {n})) / 1e6D END")
     page = page.select("rel", "sum", "size", mean("sum", "size").alias("conf"))
     low, none = F.count_if(F.col("conf") < CONFIDENT).alias("low_pages"), (F.count_if(F.col("size") == 0) > 0).alias("partial")
-    return page.groupBy("rel").agg(F.sum("sum").alias("sum"), F.sum("size").alias("size"), low, none).select("rel", mean("sum", "size").alias("conf"), "low_pages", "partial")
+    return page.groupBy("rel").agg(
+        F.sum("sum").alias("sum"), F.sum("size").alias("size"), low, none,
+    ).select("rel", mean("sum", "size").alias("conf"), "low_pages", "partial")
 
 
 def correct_text(c: str) -> Column:
@@ -48,7 +54,13 @@ def correct_text(c: str) -> Column:
     log = F.array().cast(LOG)
     now = F.coalesce(F.col(c), F.lit(""))
     for one, two in LIGATURES:
-        log = F.concat(log, F.when(F.contains(now, F.lit(one)), F.array(F.struct(F.lit("ligature").alias("rule"), F.lit(one).alias("from"), F.lit(two).alias("to")))).otherwise(F.array().cast(LOG)))
+        log = F.concat(
+            log,
+            F.when(
+                F.contains(now, F.lit(one)),
+                F.array(F.struct(F.lit("ligature").alias("rule"), F.lit(one).alias("from"), F.lit(two).alias("to"))),
+            ).otherwise(F.array().cast(LOG)),
+        )
         now = F.replace(now, F.lit(one), F.lit(two))
     state = F.struct(now.alias("text"), log.alias("log"))
     for rule, pattern, change in CORRECTIONS:
@@ -61,7 +73,10 @@ def _correction(rule: str, pattern: str, change):
         was = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
         pairs = F.transform(was, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("from"), change(m).alias("to")))
         text = F.array_join(F.zip_with(F.split(s["text"], pattern, -1), pairs, lambda p, x: F.concat(p, F.coalesce(x["to"], F.lit("")))), "")
-        return F.struct(F.when(F.size(was) == 0, s["text"]).otherwise(text).alias("text"), F.concat(s["log"], F.filter(pairs, lambda x: x["from"] != x["to"])).alias("log"))
+        return F.struct(
+            F.when(F.size(was) == 0, s["text"]).otherwise(text).alias("text"),
+            F.concat(s["log"], F.filter(pairs, lambda x: x["from"] != x["to"])).alias("log"),
+        )
 
     return step
 
@@ -97,7 +112,10 @@ def agreement(a: Column, b: Column) -> Column:
             diffs.append(other)
         return pd.DataFrame({"same": same, "diffs": diffs})
 
-    return F.when(a == b, F.struct(F.size(a).cast("long").alias("same"), F.array().cast("array<struct<a:string,b:string>>").alias("diffs"))).otherwise(compared(a, b))
+    return F.when(
+        a == b,
+        F.struct(F.size(a).cast("long").alias("same"), F.array().cast("array<struct<a:string,b:string>>").alias("diffs")),
+    ).otherwise(compared(a, b))
 
 
 def vote(pairs: DataFrame) -> DataFrame:
@@ -105,10 +123,18 @@ def vote(pairs: DataFrame) -> DataFrame:
     differ, and the decision."""
     rated = pairs.withColumns({"__a": words(F.col("a")), "__b": words(F.col("b"))})
     rated = rated.withColumn("__r", agreement(F.col("__a"), F.col("__b")))
-    share = F.when((F.size("__a") == 0) & (F.size("__b") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("__r.same") / F.greatest(F.size("__a"), F.size("__b"))))
+    share = F.when((F.size("__a") == 0) & (F.size("__b") == 0), 1.0).otherwise(
+        F.least(F.lit(1.0), F.col("__r.same") / F.greatest(F.size("__a"), F.size("__b")))
+    )
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     good = both & (share >= ACCEPT) & (F.col("conf") >= CONFIDENT) & (F.size("__a") > 0)
-    return rated.select("rel", "page", F.when(both, F.round(share, 4)).alias("agreement"), F.size("__r.diffs").alias("spans"), F.when(good, "ok").otherwise("review").alias("decision"))
+    return rated.select(
+        "rel",
+        "page",
+        F.when(both, F.round(share, 4)).alias("agreement"),
+        F.size("__r.diffs").alias("spans"),
+        F.when(good, "ok").otherwise("review").alias("decision"),
+    )
 
 
 def core(c: Column) -> Column:
@@ -122,11 +148,20 @@ def replaced_words(pairs: DataFrame) -> DataFrame:
     @F.pandas_udf("array<struct<at_a:int,at_b:int,a:string,b:string>>")
     def swapped(left: pd.Series, right: pd.Series) -> pd.Series:
         def one(x, y):
-            return [{"at_a": i + d, "at_b": k + d, "a": x[i + d], "b": y[k + d]} for op, i, j, k, m in _blocks(list(x), list(y)) if op == "replace" and j - i == m - k for d in range(j - i)]
+            return [
+                {
+                    "at_a": i + d, "at_b": k + d, "a": x[i + d], "b": y[k + d],
+                } for op, i, j, k, m in _blocks(list(x), list(y)) if op == "replace" and j - i == m - k for d in range(j - i)
+            ]
 
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="object")
 
-    split = pairs.select("rel", "page", F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0)).alias("x"), F.regexp_extract_all("b", F.lit(r"\S+"), F.lit(0)).alias("y"))
+    split = pairs.select(
+        "rel",
+        "page",
+        F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0)).alias("x"),
+        F.regexp_extract_all("b", F.lit(r"\S+"), F.lit(0)).alias("y"),
+    )
     return split.where("x <> y").select("rel", "page", F.inline(swapped("x", "y")))
 
 
@@ -137,7 +172,9 @@ def by_glossary(pairs: DataFrame, known: DataFrame) -> DataFrame:
     two edits apart at most. The glossary is a table: words meet it by a join, whatever its size.
     """
     met = replaced_words(pairs).withColumns({"ca": core(F.col("a")), "cb": core(F.col("b"))})
-    near = (F.col("ca") != F.col("cb")) & (F.least(F.length("ca"), F.length("cb")) >= 3) & ~F.concat("ca", "cb").rlike(r"\d") & (F.levenshtein("ca", "cb") <= MOST_EDITS)
+    near = (F.col("ca") != F.col("cb")) & (
+        F.least(F.length("ca"), F.length("cb")) >= 3
+    ) & ~F.concat("ca", "cb").rlike(r"\d") & (F.levenshtein("ca", "cb") <= MOST_EDITS)
     one = lambda c, name: known.select(F.col("word").alias(c), F.lit(True).alias(name))
     told = met.where(near).join(one("ca", "ka"), "ca", "left").join(one("cb", "kb"), "cb", "left")
     ka, kb = F.coalesce("ka", F.lit(False)), F.coalesce("kb", F.lit(False))
@@ -150,9 +187,15 @@ def by_glossary(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def adoptable(answers: DataFrame, known: DataFrame) -> DataFrame:
     """V5: answers(…, candidates, in_text, choice, confidence, needs_human) that may be taken over without a person: two readings of plain
     text, a sure choice, and the glossary knows the chosen word and not the other one."""
-    two = answers.where((F.size("candidates") == 2) & F.col("choice").isin(0, 1) & ~F.coalesce("needs_human", F.lit(False)) & (F.col("confidence") >= SURE) & F.col("in_text").isNotNull() & ~F.array_join("candidates", "").rlike(r"\d"))
+    two = answers.where(
+        (F.size("candidates") == 2) & F.col("choice").isin(0, 1) & ~F.coalesce("needs_human", F.lit(False)) & (F.col("confidence") >= SURE) & F.col("in_text").isNotNull() & ~F.array_join("candidates", "").rlike(r"\d")
+    )
     words_ = two.withColumns({"chosen": core(F.get("candidates", F.col("choice"))), "other": core(F.get("candidates", 1 - F.col("choice")))})
-    return words_.join(known.select(F.col("word").alias("chosen")), "chosen", "left_semi").join(known.select(F.col("word").alias("other")), "other", "left_anti").drop("other")
+    return words_.join(
+        known.select(F.col("word").alias("chosen")),
+        "chosen",
+        "left_semi",
+    ).join(known.select(F.col("word").alias("other")), "other", "left_anti").drop("other")
 
 
 def context_of(text: Column, candidates: list[Column]) -> Column:

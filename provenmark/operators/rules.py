@@ -27,7 +27,11 @@ def _literal(c: Column) -> Column:
 
 def pattern_of(r: Column) -> Column:
     """The pattern of a rule: text with word edges where it has word characters, numbers with their exact context, patterns as they are."""
-    edged = F.concat(F.when(r["find"].rlike(r"(?U)^\w"), r"(?<!\w)").otherwise(""), _literal(r["find"]), F.when(r["find"].rlike(r"(?U)\w$"), r"(?!\w)").otherwise(""))
+    edged = F.concat(
+        F.when(r["find"].rlike(r"(?U)^\w"), r"(?<!\w)").otherwise(""),
+        _literal(r["find"]),
+        F.when(r["find"].rlike(r"(?U)\w$"), r"(?!\w)").otherwise(""),
+    )
     number = F.concat(F.lit("(?<="), _literal(r["before"]), F.lit(")"), _literal(r["find"]), F.lit("(?="), _literal(r["after"]), F.lit(")"))
     return F.concat(F.lit("(?U)"), F.when(r["kind"] == "pattern", r["find"]).when(r["kind"] == "number", number).otherwise(edged))
 
@@ -47,8 +51,14 @@ def _put(text: Column, r: Column) -> Column:
     safe = F.zip_with(was, now, lambda a, b: F.when(F.concat(a, b).rlike(r"(?U)\d"), a).otherwise(b))
     pieces = F.split(text, pattern, -1)
     joined = F.array_join(F.zip_with(pieces, safe, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    folded = F.struct(joined.alias("text"), F.aggregate(F.zip_with(was, safe, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
-    return F.when(~F.contains(text, r["find"]) & (r["kind"] != "pattern"), F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))).when(r["kind"] == "pattern", folded).otherwise(simple)
+    folded = F.struct(
+        joined.alias("text"),
+        F.aggregate(F.zip_with(was, safe, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("n"),
+    )
+    return F.when(
+        ~F.contains(text, r["find"]) & (r["kind"] != "pattern"),
+        F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")),
+    ).when(r["kind"] == "pattern", folded).otherwise(simple)
 
 
 def places(docs: DataFrame, c: str, find: Column) -> DataFrame:
@@ -63,7 +73,10 @@ def holding(docs: DataFrame, rules: DataFrame, exempt: DataFrame | None = None)
     """
     keys = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("series "), "series"), F.concat(F.lit("document "), "doc")))
     wanted = docs.select("rel", F.explode(keys).alias("key"))
-    of = F.when(F.col("scope") == "all", "all").when(F.col("scope") == "series", F.concat(F.lit("series "), "series")).otherwise(F.concat(F.lit("document "), "doc"))
+    of = F.when(F.col("scope") == "all", "all").when(
+        F.col("scope") == "series",
+        F.concat(F.lit("series "), "series"),
+    ).otherwise(F.concat(F.lit("document "), "doc"))
     met = wanted.join(rules.where("enabled").withColumn("key", of), "key").drop("key")
     return met if exempt is None else met.join(exempt.select("num", "rel"), ["num", "rel"], "left_anti")
 
@@ -80,11 +93,25 @@ def apply_rules(docs: DataFrame, rules: DataFrame, c: str, exempt: DataFrame | N
 
     def step(acc, r):
         # one-row arrays hold what a step computes, so it is computed once
-        return F.get(F.transform(F.array(_put(acc["text"], r)), lambda x: F.struct(x["text"].alias("text"), F.when(x["n"] > 0, F.array_append(acc["done"], F.struct(r["num"].alias("num"), x["n"].alias("n")))).otherwise(acc["done"]).alias("done"))), F.lit(0))
+        return F.get(
+            F.transform(
+                F.array(_put(acc["text"], r)),
+                lambda x: F.struct(
+                    x["text"].alias("text"),
+                    F.when(
+                        x["n"] > 0,
+                        F.array_append(acc["done"], F.struct(r["num"].alias("num"), x["n"].alias("n"))),
+                    ).otherwise(acc["done"]).alias("done"),
+                ),
+            ),
+            F.lit(0),
+        )
 
     done = joined.withColumn("__done", F.when(F.col("__book").isNull(), start).otherwise(F.aggregate("__book", start, step)))
     front = F.substring(F.col(c), F.lit(1), F.length(c) - F.length("__body"))
-    return done.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(front, F.col("__done.text"))), "done": F.col("__done.done")}).drop("__book", "__done", "__body")
+    return done.withColumns(
+        {c: F.when(F.col(c).isNotNull(), F.concat(front, F.col("__done.text"))), "done": F.col("__done.done")}
+    ).drop("__book", "__done", "__body")
 
 
 @F.pandas_udf(StringType())
@@ -105,7 +132,10 @@ def rule_error(kind: Column, find: Column, replace: Column, scope: Column) -> Co
     """The first reason why a rule may not be saved, null where it may."""
     digits = r"\d|\\d|\[[^\]]*0-9"
     nested = r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)\s*[+*{]"
-    text = F.when(F.trim(F.coalesce(find, F.lit(""))) == "", "no text").when(F.contains(find, F.lit("\n")) | F.contains(replace, F.lit("\n")), "more than a line").when((F.length(find) > LONGEST) | (F.length(replace) > LONGEST), "too long").when(find == replace, "no change")
+    text = F.when(F.trim(F.coalesce(find, F.lit(""))) == "", "no text").when(
+        F.contains(find, F.lit("\n")) | F.contains(replace, F.lit("\n")),
+        "more than a line",
+    ).when((F.length(find) > LONGEST) | (F.length(replace) > LONGEST), "too long").when(find == replace, "no change")
     pattern = (
         F.when((F.coalesce(find, F.lit("")) == "") | (F.length(find) > LONGEST_PATTERN), "length")
         .when((F.length(replace) > LONGEST) | F.contains(F.concat(find, replace), F.lit("\n")), "more than a line")
@@ -145,14 +175,23 @@ def preview(docs: DataFrame, rule: dict[str, str], c: str, samples: int = 8) ->
     pattern = pattern_of(r)
     found = docs.withColumn("n", F.regexp_count(c, pattern).cast("long")).where("n > 0")
     shown = F.regexp_substr(c, F.concat(F.lit(r"((?:\S+\s+){0,5})("), pattern, F.lit(r")((?:\s+\S+){0,5})")))
-    return found.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("places")), found.select("rel", shown.alias("sample")).orderBy("rel").limit(samples)
+    return found.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("places"),
+    ), found.select("rel", shown.alias("sample")).orderBy("rel").limit(samples)
 
 
 def reapplied(state: DataFrame, corrected: DataFrame) -> DataFrame:
     """M6: state(rel, text_hash, confirmed) and corrected(rel, text_hash, checks): a result that changed loses its confirmation."""
     new = corrected.withColumnRenamed("text_hash", "__new")
     changed = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("text_hash"))
-    return state.join(new, "rel", "left").select("rel", F.coalesce("__new", "text_hash").alias("text_hash"), changed.alias("changed"), (F.col("confirmed") & ~changed).alias("confirmed"), F.coalesce("checks", F.lit(0)).cast("long").alias("checks"))
+    return state.join(new, "rel", "left").select(
+        "rel",
+        F.coalesce("__new", "text_hash").alias("text_hash"),
+        changed.alias("changed"),
+        (F.col("confirmed") & ~changed).alias("confirmed"),
+        F.coalesce("checks", F.lit(0)).cast("long").alias("checks"),
+    )
 
 
 def lifecycle(log: DataFrame) -> DataFrame:
@@ -193,4 +232,9 @@ def pattern_suggestions(fixes: DataFrame, least: int = 3) -> DataFrame:
 def library(done: DataFrame, log: DataFrame, share: float = 0.2) -> DataFrame:
     """A10: results of apply_rules (done) and log(num, undone, acts) to a row a rule: documents, hits, and whether it is often taken back."""
     hits = done.select(F.explode("done").alias("x")).groupBy(F.col("x.num").alias("num")).agg(F.count(F.lit(1)).alias("documents"), F.sum("x.n").alias("hits"))
-    return hits.join(log, "num", "left").select("num", "documents", "hits", F.coalesce(F.col("undone") > share * F.col("acts"), F.lit(False)).alias("often_undone"))
+    return hits.join(log, "num", "left").select(
+        "num",
+        "documents",
+        "hits",
+        F.coalesce(F.col("undone") > share * F.col("acts"), F.lit(False)).alias("often_undone"),
+    )

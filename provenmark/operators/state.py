@@ -37,7 +37,10 @@ def exclusive_quantiles(rows: DataFrame, group: str, value: str, at: list[float]
     q = upto.join(total, group).withColumn("p", F.explode(F.array(*map(F.lit, at)))).withColumn("pos", F.col("p") * (F.col("n") + 1))
     q = q.withColumn("lo", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor("pos"))))
     holds = lambda rank: (F.col("cum") - F.col("c") < rank) & (rank <= F.col("cum"))
-    part = F.when(holds(F.col("lo")), F.col(value) * (1 - (F.col("pos") - F.col("lo")))).otherwise(0) + F.when(holds(F.col("lo") + 1), F.col(value) * (F.col("pos") - F.col("lo"))).otherwise(0)
+    part = F.when(
+        holds(F.col("lo")),
+        F.col(value) * (1 - (F.col("pos") - F.col("lo"))),
+    ).otherwise(0) + F.when(holds(F.col("lo") + 1), F.col(value) * (F.col("pos") - F.col("lo"))).otherwise(0)
     return q.groupBy(group, "p").agg(F.round(F.sum(part), 6).alias(value))
 
 
@@ -45,7 +48,11 @@ def verdicts(log: DataFrame) -> DataFrame:
     """M2: log(rel, seq, to_state, reviewer) to the standing verdicts: none after an undo; rev_no counts rows since the last undo."""
     undo = log.groupBy("rel").agg(F.max(F.when(F.col("to_state").isNull(), F.col("seq"))).alias("undone"))
     since = log.join(undo, "rel").where(F.col("undone").isNull() | (F.col("seq") > F.col("undone")))
-    return since.groupBy("rel").agg(F.max_by("to_state", "seq").alias("trust_state"), F.max_by("reviewer", "seq").alias("reviewer"), F.count(F.lit(1)).alias("rev_no"))
+    return since.groupBy("rel").agg(
+        F.max_by("to_state", "seq").alias("trust_state"),
+        F.max_by("reviewer", "seq").alias("reviewer"),
+        F.count(F.lit(1)).alias("rev_no"),
+    )
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, fields: list[str], key: str = "rel") -> DataFrame:
@@ -95,14 +102,20 @@ def failures_in_window(log: DataFrame, limit: int = 5, seconds: int = 300) -> Da
     runs = Window.partitionBy("address").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     since = log.withColumn("run", F.coalesce(F.sum((F.col("type") == "login").cast("int")).over(runs), F.lit(0)))
     before = Window.partitionBy("address", "run").orderBy("t").rangeBetween(-seconds, -1)
-    return since.withColumn("recent", F.coalesce(F.sum((F.col("type") == "login_failed").cast("int")).over(before), F.lit(0))).withColumn("blocked", F.col("recent") >= limit)
+    return since.withColumn(
+        "recent",
+        F.coalesce(F.sum((F.col("type") == "login_failed").cast("int")).over(before), F.lit(0)),
+    ).withColumn("blocked", F.col("recent") >= limit)
 
 
 def breaker(calls: DataFrame, seconds: float = 600.0) -> DataFrame:
     """Calls after which a skill pauses: the third error in a row within the time."""
     w = Window.partitionBy("skill").orderBy("t", "id")
     bad = (F.col("status") == "error").cast("int")
-    return calls.withColumn("paused", (F.sum(bad).over(w.rowsBetween(-2, 0)) == 3) & (F.col("t") - F.lag("t", 2).over(w) <= seconds)).withColumn("until", F.when(F.col("paused"), F.col("t") + seconds))
+    return calls.withColumn(
+        "paused",
+        (F.sum(bad).over(w.rowsBetween(-2, 0)) == 3) & (F.col("t") - F.lag("t", 2).over(w) <= seconds),
+    ).withColumn("until", F.when(F.col("paused"), F.col("t") + seconds))
 
 
 def tree(files: DataFrame, states: tuple[str, ...]) -> DataFrame:

@@ -53,7 +53,24 @@ def unmatched_headings(entries: DataFrame, rows: DataFrame) -> DataFrame:
     # a row begins with an entry if its first letters, as many as the entry has, equal it; few lengths are asked for on a page
     lengths = spread.groupBy("rel", "page").agg(F.collect_set(F.length("key")).alias("lengths"))
     heads = near.join(lengths, ["rel", "page"]).select("rel", "page", "k1", "k2", "k3", F.explode("lengths").alias("n"))
-    heads = heads.select("rel", "page", F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(F.length(k) >= F.col("n") if k == "k1" else F.length(k) == F.col("n"), F.substring(k, F.lit(1), F.col("n"))) for k in ("k1", "k2", "k3")])))).alias("key"))
+    heads = heads.select(
+        "rel",
+        "page",
+        F.explode(
+            F.array_distinct(
+                F.array_compact(
+                    F.array(
+                        *[
+                            F.when(
+                                F.length(k) >= F.col("n") if k == "k1" else F.length(k) == F.col("n"),
+                                F.substring(k, F.lit(1), F.col("n")),
+                            ) for k in ("k1", "k2", "k3")
+                        ]
+                    )
+                )
+            )
+        ).alias("key")
+    )
     found = spread.join(heads, ["rel", "page", "key"]).select("rel", "seq").distinct()
     return asked.join(found, ["rel", "seq"], "left_anti").select("rel", "seq", "title", "page")
 
@@ -88,18 +105,39 @@ def events(lines: DataFrame, c: str = "value") -> DataFrame:
 
 def latest_reports(reports: DataFrame, schema: str) -> DataFrame:
     """reports(sid, rel, at, raw) to the latest readable one of each file."""
-    read = reports.withColumn("report", F.from_json("raw", schema)).where(F.col("report").isNotNull() & F.coalesce(F.col("raw").rlike(r"^\s*\{.*\}\s*$"), F.lit(False)))
+    read = reports.withColumn("report", F.from_json("raw", schema)).where(
+        F.col("report").isNotNull() & F.coalesce(F.col("raw").rlike(r"^\s*\{.*\}\s*$"), F.lit(False))
+    )
     return read.groupBy("sid", "rel").agg(F.max("at").alias("at"), F.max_by("report", "at").alias("report"))
 
 
 def run_status(log: DataFrame) -> DataFrame:
     """log(run, n, line) to a row a run: total, index, file, verdict counts, skipped, percent done."""
     first = lambda pattern, group: F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
-    seen = log.select("run", "n", first(TOTAL, 1).cast("int").alias("total"), first(ITEM, 1).cast("int").alias("idx"), first(ITEM, 2).alias("file"), first(SCAN_PAGE, 1).cast("int").alias("page"), first(SCAN_PAGE, 2).alias("of"), first(VERDICT, 1).alias("verdict"), F.startswith("line", F.lit("unchanged since last run")).alias("skip"))
+    seen = log.select(
+        "run",
+        "n",
+        first(TOTAL, 1).cast("int").alias("total"),
+        first(ITEM, 1).cast("int").alias("idx"),
+        first(ITEM, 2).alias("file"),
+        first(SCAN_PAGE, 1).cast("int").alias("page"),
+        first(SCAN_PAGE, 2).alias("of"),
+        first(VERDICT, 1).alias("verdict"),
+        F.startswith("line", F.lit("unchanged since last run")).alias("skip"),
+    )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
     at = F.max(F.when(F.col("idx").isNotNull(), F.col("n")))
     page_at = F.max(F.when(F.col("page").isNotNull(), F.col("n")))
-    rolled = seen.groupBy("run").agg(last("total").alias("total"), last("idx").alias("idx"), last("file").alias("file"), F.count_if(F.col("verdict") == "PASS").alias("passed"), F.count_if(F.col("verdict") == "FAIL").alias("failed"), F.count_if("skip").alias("skipped"), F.when(page_at > at, last("page")).alias("page"), F.when(page_at > at, last("of")).alias("of"))
+    rolled = seen.groupBy("run").agg(
+        last("total").alias("total"),
+        last("idx").alias("idx"),
+        last("file").alias("file"),
+        F.count_if(F.col("verdict") == "PASS").alias("passed"),
+        F.count_if(F.col("verdict") == "FAIL").alias("failed"),
+        F.count_if("skip").alias("skipped"),
+        F.when(page_at > at, last("page")).alias("page"),
+        F.when(page_at > at, last("of")).alias("of"),
+    )
     within = F.coalesce(F.col("page") / F.nullif(F.col("of").try_cast("int"), F.lit(0)), F.lit(0.0))
     done = F.greatest(F.coalesce("idx", F.lit(0)) - 1, F.lit(0)) + within + F.col("skipped")
     percent = F.when(F.coalesce("total", F.lit(0)) == 0, 3.0).otherwise(F.round(F.least(5 + 90 * done / F.col("total"), F.lit(98.0)), 1))
@@ -129,8 +167,15 @@ def files_from_events(log: DataFrame) -> DataFrame:
     A listing adds its files; a file that the last listing lacks and that has no outcome is gone. A result takes back the confirmation,
     a publication gives it. One aggregate a file: no state is read back.
     """
-    listed = log.where("type = 'listing'").select("room", "seq", F.explode("files").alias("f")).select("room", "seq", F.lit("listing").alias("type"), F.col("f.rel").alias("rel"), F.col("f.size").alias("size"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("double").alias("accuracy"))
-    rows = listed.unionByName(log.where("type <> 'listing' AND rel IS NOT NULL").select("room", "seq", "type", "rel", F.lit(None).cast("bigint").alias("size"), "outcome", "accuracy"))
+    listed = log.where("type = 'listing'").select("room", "seq", F.explode("files").alias("f")).select(
+        "room", "seq", F.lit("listing").alias("type"), F.col("f.rel").alias("rel"), F.col("f.size").alias("size"),
+        F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("double").alias("accuracy"),
+    )
+    rows = listed.unionByName(
+        log.where("type <> 'listing' AND rel IS NOT NULL").select(
+            "room", "seq", "type", "rel", F.lit(None).cast("bigint").alias("size"), "outcome", "accuracy",
+        )
+    )
     kind = F.col("type")
     at = lambda *kinds: F.when(kind.isin(*kinds), F.col("seq"))
     folded = rows.groupBy("room", "rel").agg(
@@ -146,7 +191,16 @@ def accept_plan(files: DataFrame, asked: DataFrame) -> DataFrame:
     """M8: files(rel, state, out_dir, content_hash) and asked(rel, force) to (rel, decision): publish, force publish, or why not."""
     joined = asked.groupBy("rel").agg(F.max("force").alias("force")).join(files, "rel", "left")
     take = (F.col("state") == "ok") | ((F.col("state") == "below") & F.col("force"))
-    return joined.select("rel", F.when(F.col("state").isNull(), "no such file").when(take & F.col("out_dir").isNull(), "result missing").when(take, F.when(F.col("state") == "ok", "publish").otherwise("forced")).when(F.col("state") == "below", "below threshold").when(F.col("state").isin("published", "publishing"), "already sent").otherwise("no result").alias("decision"))
+    return joined.select(
+        "rel",
+        F.when(F.col("state").isNull(), "no such file").when(take & F.col("out_dir").isNull(), "result missing").when(
+            take,
+            F.when(F.col("state") == "ok", "publish").otherwise("forced"),
+        ).when(F.col("state") == "below", "below threshold").when(
+            F.col("state").isin("published", "publishing"),
+            "already sent",
+        ).otherwise("no result").alias("decision"),
+    )
 
 
 def layout(size: Column, limit: int = 100_000) -> Column:
@@ -161,9 +215,19 @@ def titled_sections(texts: DataFrame) -> DataFrame:
     lines = texts.select("rel", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     title = F.when(F.col("line").rlike(r"^#{1,2}\s+\S"), F.trim(F.regexp_replace("line", r"^#{1,2}\s+", "")))
     marked = lines.withColumn("head", title).withColumn("block", F.count("head").over(w))
-    blocks = marked.groupBy("rel", "block").agg(F.max("head").alias("head"), F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("body")).where("body <> ''")
+    blocks = marked.groupBy("rel", "block").agg(
+        F.max("head").alias("head"),
+        F.trim(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+        ).alias("body"),
+    ).where("body <> ''")
     number = F.row_number().over(Window.partitionBy("rel").orderBy("block"))
-    return blocks.select("rel", number.alias("section"), F.concat(F.lit("section "), number, F.lit(": "), F.substring(F.coalesce("head", F.lit("Start")), 1, 60)).alias("title"), "body")
+    return blocks.select(
+        "rel",
+        number.alias("section"),
+        F.concat(F.lit("section "), number, F.lit(": "), F.substring(F.coalesce("head", F.lit("Start")), 1, 60)).alias("title"),
+        "body",
+    )
 
 
 def pages_of_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -172,7 +236,9 @@ def pages_of_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     Both kinds of rows are sorted together by document, so no line is held against more than one page.
     """
     ends = pages.select("rel", (F.col("lines") - 1).alias("n"), F.lit(1).alias("__kind"), "page")
-    both = lines.select("rel", F.col("n").cast("long").alias("n"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("page")).unionByName(ends.withColumn("page", F.col("page").cast("long")))
+    both = lines.select(
+        "rel", F.col("n").cast("long").alias("n"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("page"),
+    ).unionByName(ends.withColumn("page", F.col("page").cast("long")))
     later = Window.partitionBy("rel").orderBy("n", "__kind", "page").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return both.withColumn("page", F.first("page", ignorenulls=True).over(later)).where("__kind = 0").select("rel", "n", "page")
 
@@ -180,19 +246,50 @@ def pages_of_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def promotion_plan(wanted: DataFrame, staged: DataFrame, live: DataFrame) -> DataFrame:
     """wanted(document, path, size) and staged(path, size) to documents: promoted only if every file is there in its size; `archived` is
     how many live(path) keys give way: the same path, or its twin as a folder of chapters or as one file."""
-    there = wanted.join(staged.select("path", F.col("size").alias("got")), "path", "left").withColumn("good", F.coalesce(F.col("got") == F.col("size"), F.lit(False)))
+    there = wanted.join(
+        staged.select("path", F.col("size").alias("got")),
+        "path",
+        "left",
+    ).withColumn("good", F.coalesce(F.col("got") == F.col("size"), F.lit(False)))
     plan = there.groupBy("document").agg(F.bool_and("good").alias("promote"), F.count(F.lit(1)).alias("files"))
-    twins = wanted.select("document", F.explode(F.array_distinct(F.array(F.col("path"), F.regexp_replace("path", r"\.md$", "/index.md"), F.regexp_replace("path", r"/index\.md$", ".md")))).alias("path")).distinct()
+    twins = wanted.select(
+        "document",
+        F.explode(
+            F.array_distinct(
+                F.array(
+                    F.col("path"),
+                    F.regexp_replace("path", r"\.md$", "/index.md"),
+                    F.regexp_replace("path", r"/index\.md$", ".md"),
+                )
+            )
+        ).alias("path"),
+    ).distinct()
     gone = twins.join(live.select("path").distinct(), "path").groupBy("document").agg(F.count_distinct("path").alias("archived"))
-    return plan.join(gone, "document", "left").select("document", "promote", "files", F.when(F.col("promote"), F.coalesce("archived", F.lit(0))).otherwise(0).cast("long").alias("archived"))
+    return plan.join(gone, "document", "left").select(
+        "document",
+        "promote",
+        "files",
+        F.when(F.col("promote"), F.coalesce("archived", F.lit(0))).otherwise(0).cast("long").alias("archived"),
+    )
 
 
 def accept_preview(files: DataFrame, running: DataFrame) -> DataFrame:
     """files(room, state, rule_checks, out_dir) to a row a room: what would go, what needs a person, and the reasons why a room may
     not be archived."""
-    per = files.groupBy("room").agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "below").alias("below"), F.count_if(F.col("state").isin("pending", "processing")).alias("open"), F.count_if(F.col("state") == "publishing").alias("sending"), F.sum(F.coalesce("rule_checks", F.lit(0))).alias("checks"))
+    per = files.groupBy("room").agg(
+        F.count_if(F.col("state") == "ok").alias("ok"),
+        F.count_if(F.col("state") == "below").alias("below"),
+        F.count_if(F.col("state").isin("pending", "processing")).alias("open"),
+        F.count_if(F.col("state") == "publishing").alias("sending"),
+        F.sum(F.coalesce("rule_checks", F.lit(0))).alias("checks"),
+    )
     busy = per.join(running.select("room", F.lit(True).alias("busy")).distinct(), "room", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("busy"), "running"), F.when(F.col("sending") > 0, "sending"), F.when(F.col("ok") > 0, "not accepted yet"), F.when(F.col("checks") > 0, "checks open")))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("busy"), "running"), F.when(F.col("sending") > 0, "sending"), F.when(F.col("ok") > 0, "not accepted yet"),
+            F.when(F.col("checks") > 0, "checks open"),
+        )
+    )
     return busy.select("room", "ok", "below", "open", F.array_join(reasons, ", ").alias("blockers"))
 
 
@@ -227,7 +324,14 @@ def similar_examples(questions: DataFrame, examples: DataFrame) -> DataFrame:
         return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
     newest = Window.partitionBy("skill").orderBy(F.desc("at"), "example")
-    kept = examples.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= LATEST_EXAMPLES).select("skill", "example", F.col("text").alias("__text"), "__r")
-    met = questions.join(kept, "skill").where(F.col("text") != F.col("__text")).withColumn("similarity", ratio("text", "__text")).where(F.col("similarity") >= NEAR)
+    kept = examples.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= LATEST_EXAMPLES).select(
+        "skill", "example", F.col("text").alias("__text"), "__r",
+    )
+    met = questions.join(kept, "skill").where(F.col("text") != F.col("__text")).withColumn(
+        "similarity",
+        ratio("text", "__text"),
+    ).where(F.col("similarity") >= NEAR)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "__r")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHOWN).select("id", "example", "rank", F.round("similarity", 6).alias("similarity"))
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHOWN).select(
+        "id", "example", "rank", F.round("similarity", 6).alias("similarity"),
+    )

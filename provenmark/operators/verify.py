@@ -57,7 +57,10 @@ def pack(units: Column, limit: int) -> Column:
 
     def step(acc, u):
         fits = (F.size(acc["starts"]) > 0) & (acc["size"] + u["size"] <= limit)
-        return F.struct(F.when(fits, acc["size"] + u["size"]).otherwise(u["size"]).alias("size"), F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], u["i"])).alias("starts"))
+        return F.struct(
+            F.when(fits, acc["size"] + u["size"]).otherwise(u["size"]).alias("size"),
+            F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], u["i"])).alias("starts"),
+        )
 
     starts = F.aggregate(numbered_units, begin, step)["starts"]
 

@@ -10,7 +10,8 @@ from . import fixtures as X
 from .registry import register
 
 NORM = r"lower(trim(regexp_replace(line, '\s+', ' ', 'g')))"
-MATCH = rf"""a AS (SELECT rel, n AS src_no, line AS src, {NORM} AS norm, row_number() OVER (PARTITION BY rel, {NORM} ORDER BY n) AS k FROM s WHERE {NORM} <> ''),
+MATCH = rf"""a AS (SELECT rel, n AS src_no, line AS src, {NORM} AS norm, row_number() OVER (PARTITION BY rel, {NORM}
+ORDER BY n) AS k FROM s WHERE {NORM} <> ''),
 b AS (SELECT rel, n AS md_no, line AS md, {NORM} AS norm, row_number() OVER (PARTITION BY rel, {NORM} ORDER BY n) AS k FROM m WHERE {NORM} <> ''),
 j AS (SELECT coalesce(a.rel, b.rel) AS rel, src_no, md_no, src, md FROM a FULL JOIN b ON a.rel = b.rel AND a.norm = b.norm AND a.k = b.k)"""
 
@@ -31,12 +32,25 @@ def p2(spark, sf):
     return d.select("doc_id", text.strip_md_artifacts("md_raw").alias("body"))
 
 
-@register("p3_salvage", "SELECT doc_id, contains(substr(coalesce(text, ''), 1, 2000), 'parser: salvage') OR contains(substr(text, 1, 2000), 'salvage:001') OR contains(substr(text, 1, 2000), '字符串打捞') OR contains(substr(text, 1, 2000), 'low_confidence,salvage') AS salvage FROM documents")
+@register(
+    "p3_salvage",
+    "SELECT doc_id, contains(substr(coalesce(text, ''), 1, 2000), 'parser: salvage') OR contains(substr(text, 1, 2000), "
+    "'salvage:001') OR contains(substr(text, 1, 2000), '字符串打捞') OR contains(substr(text, 1, 2000), 'low_confidence,salvage') AS "
+    "salvage FROM documents",
+)
 def p3(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", text.md_is_salvage("text").alias("salvage"))
 
 
-@register("p4_numbers_with_units", X.with_("numtext", r"""SELECT tok, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(src_text, '(?i)[-+]?\d+(?:[.,]\d+)*\s*(?:mm|cm|m|km|kPa|MPa|Pa|°C|C|kW|MW|V|A|mA|mL|L/s|L|Hz|kHz|MHz|%|s|ms|N|kN|Nm|kg|t)?'), lambda x: lower(regexp_replace(x, '\s+', '', 'g')))) AS tok FROM numtext) GROUP BY tok"""))
+@register(
+    "p4_numbers_with_units",
+    X.with_(
+        "numtext",
+        r"""SELECT tok, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(src_text,
+'(?i)[-+]?\d+(?:[.,]\d+)*\s*(?:mm|cm|m|km|kPa|MPa|Pa|°C|C|kW|MW|V|A|mA|mL|L/s|L|Hz|kHz|MHz|%|s|ms|N|kN|Nm|kg|t)?'),
+lambda x: lower(regexp_replace(x, '\s+', '', 'g')))) AS tok FROM numtext) GROUP BY tok""",
+    ),
+)
 def p4(spark, sf):
     d = X.numtext(spark, sf)
     return d.select(F.explode(text.extract_numbers("src_text")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
@@ -58,13 +72,18 @@ def p7(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.length(text.letters("text")).cast("long").alias("n_letters"))
 
 
-@register("p8_count_text", r"SELECT doc_id, length(trim(text)) AS chars, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[.,''\-][A-Za-z0-9]+)*')) AS words FROM documents")
+@register(
+    "p8_count_text",
+    r"SELECT doc_id, length(trim(text)) AS chars, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[.,''\-][A-Za-z0-9]+)*')) AS words "
+    r"FROM documents",
+)
 def p8(spark, sf):
     d = X.table(spark, sf, "documents").select("doc_id", text.count_text("text").alias("c"))
     return d.select("doc_id", F.col("c.chars").cast("long").alias("chars"), F.col("c.words").cast("long").alias("words"))
 
 
-@register("p9_dup_ratio", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), t AS (SELECT doc_id, regexp_split_to_array(line, '\s+') AS toks FROM l WHERE line <> ''),
+@register("p9_dup_ratio", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line
+FROM documents), t AS (SELECT doc_id, regexp_split_to_array(line, '\s+') AS toks FROM l WHERE line <> ''),
 r AS (SELECT doc_id, len(toks) > 6 AND list_max(list_transform(list_distinct(toks), lambda x: len(list_filter(toks, lambda y: y = x)))) >= 4 AS bad FROM t)
 SELECT doc_id, round(avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END), 9) AS dup FROM r GROUP BY doc_id""")
 def p9(spark, sf):
@@ -75,7 +94,17 @@ AUDIT = r"lower(regexp_replace(regexp_replace({0}, '[|`*_>#-]+', ' ', 'g'), '\s+
 LABELLED = "CASE WHEN n % 3 = 0 THEN 'Sub-ject: ' || line ELSE line END"
 
 
-@register("p16_audit_variants", X.with_("docs s", f", l AS (SELECT rel, n, trim({LABELLED}) AS t, {LABELLED} AS raw FROM s) SELECT rel, n, array_to_string(list_filter([{AUDIT.format('raw')}, CASE WHEN n % 3 = 0 AND length(t) > 9 THEN {AUDIT.format('substr(t, 10)')} ELSE '' END, CASE WHEN n % 3 = 0 AND length(t) > 9 THEN 'subject' ELSE '' END], lambda x: x <> ''), chr(10)) AS variants, length(t) < 12 OR regexp_matches(t, '^[0-9 .-]*$') AS noise FROM l").replace("\n, l AS", ",\nl AS"))
+@register(
+    "p16_audit_variants",
+    X.with_(
+        "docs s",
+        f", l AS (SELECT rel, n, trim({LABELLED}) AS t, {LABELLED} AS raw FROM s) "
+        f"SELECT rel, n, array_to_string(list_filter([{AUDIT.format('raw')}, "
+        f"CASE WHEN n % 3 = 0 AND length(t) > 9 THEN {AUDIT.format('substr(t, 10)')} ELSE '' END, "
+        f"CASE WHEN n % 3 = 0 AND length(t) > 9 THEN 'subject' ELSE '' END], lambda x: x <> ''), chr(10)) AS variants, length(t) "
+        f"< 12 OR regexp_matches(t, '^[0-9 .-]*$') AS noise FROM l",
+    ).replace("\n, l AS", ",\nl AS"),
+)
 def p16(spark, sf):
     """Every third line has a label in front."""
     src, _ = X.conv(spark, sf)
@@ -126,12 +155,23 @@ def a1(spark, sf):
     return align.segment_counts(*X.conv(spark, sf))
 
 
-@register("w2_anchor", X.with_("docs s m", f", {MATCH}, w AS (SELECT *, coalesce(last_value(src_no IGNORE NULLS) OVER (PARTITION BY rel ORDER BY md_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM j WHERE md_no IS NOT NULL) SELECT rel, md_no, anchor FROM w WHERE src_no IS NULL").replace("\n, a AS", ",\na AS"))
+@register(
+    "w2_anchor",
+    X.with_(
+        "docs s m",
+        f", {MATCH}, w AS (SELECT *, coalesce(last_value(src_no IGNORE NULLS) OVER (PARTITION BY rel "
+        f"ORDER BY md_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM j WHERE md_no IS NOT NULL) "
+        f"SELECT rel, md_no, anchor FROM w WHERE src_no IS NULL",
+    ).replace("\n, a AS", ",\na AS"),
+)
 def w2(spark, sf):
     from pyspark.sql import Window
 
     order = Window.partitionBy("rel").orderBy("md_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = align.exact_match(*X.conv(spark, sf), texts=False).where("md_no IS NOT NULL").withColumn("anchor", F.coalesce(F.last("src_no", ignorenulls=True).over(order), F.lit(-1)).cast("long"))
+    rows = align.exact_match(*X.conv(spark, sf), texts=False).where("md_no IS NOT NULL").withColumn(
+        "anchor",
+        F.coalesce(F.last("src_no", ignorenulls=True).over(order), F.lit(-1)).cast("long"),
+    )
     return rows.where("src_no IS NULL").select("rel", "md_no", "anchor")
 
 
@@ -145,42 +185,86 @@ r_{name} AS (SELECT rel, sum(least(n, coalesce(m, 0))) / sum(n) AS {name} FROM t
 
 
 NUMS = r"list_transform(regexp_extract_all({0}, '(?i)[-+]?\d+(?:[.,]\d+)*\s*(?:mm|cm|m|km|kPa|MPa|Pa|°C|C|kW|MW|V|A|mA|mL|L/s|L|Hz|kHz|MHz|%|s|ms|N|kN|Nm|kg|t)?'), lambda x: CASE WHEN regexp_matches(lower(regexp_replace(x, '\s+', '', 'g')), '^\d{{1,3}}(,\d{{3}})+([^\d,.]|$)') THEN replace(lower(regexp_replace(x, '\s+', '', 'g')), ',', '') ELSE replace(lower(regexp_replace(x, '\s+', '', 'g')), ',', '.') END)"
-EVALUATE = X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'coverage')}, {_recall('pairs', NUMS, 'number_recall')}, ev AS (SELECT pairs.rel, coverage, number_recall FROM pairs LEFT JOIN r_coverage USING (rel) LEFT JOIN r_number_recall USING (rel))").replace("\n, ta_", ",\nta_")
+EVALUATE = X.with_(
+    "docs s m pairs",
+    f", {_recall('pairs', WORDS, 'coverage')}, {_recall('pairs', NUMS, 'number_recall')}, ev AS (SELECT pairs.rel, coverage, "
+    f"number_recall FROM pairs LEFT JOIN r_coverage USING (rel) LEFT JOIN r_number_recall USING (rel))",
+).replace("\n, ta_", ",\nta_")
 
 
 @register("j4_word_coverage", EVALUATE + " SELECT rel, round(coverage, 9) AS recall FROM ev WHERE coverage IS NOT NULL")
 def j4(spark, sf):
     p = X.pairs(spark, sf)
-    return align.recall(align.counted(p, text.word_tokens("src_text")), align.counted(p, text.word_tokens("md_text"))).withColumn("recall", F.round("recall", 9))
-
-
-@register("j4_number_recall", X.with_("numtext", f", {_recall('numtext', NUMS, 'recall')} SELECT rel, round(recall, 9) AS recall FROM r_recall").replace("\n, ta_", ",\nta_"))
+    return align.recall(
+        align.counted(p, text.word_tokens("src_text")),
+        align.counted(p, text.word_tokens("md_text")),
+    ).withColumn("recall", F.round("recall", 9))
+
+
+@register(
+    "j4_number_recall",
+    X.with_(
+        "numtext",
+        f", {_recall('numtext', NUMS, 'recall')} SELECT rel, round(recall, 9) AS recall FROM r_recall",
+    ).replace("\n, ta_", ",\nta_"),
+)
 def j4n(spark, sf):
     p = X.numtext(spark, sf)
-    return align.recall(align.counted(p, text.extract_numbers("src_text")), align.counted(p, text.extract_numbers("md_text"))).withColumn("recall", F.round("recall", 9))
-
-
-@register("j5_evaluate", EVALUATE + " SELECT rel, round(coverage, 9) AS coverage, round(number_recall, 9) AS number_recall, CASE WHEN coverage IS NULL AND number_recall IS NULL THEN NULL ELSE round(100.0 * (0.5 * coalesce(coverage, 0) + 0.5 * coalesce(number_recall, coverage, 0)), 1) END AS auto_score FROM ev")
+    return align.recall(
+        align.counted(p, text.extract_numbers("src_text")),
+        align.counted(p, text.extract_numbers("md_text")),
+    ).withColumn("recall", F.round("recall", 9))
+
+
+@register(
+    "j5_evaluate",
+    EVALUATE + " SELECT rel, round(coverage, 9) AS coverage, round(number_recall, 9) AS number_recall, "
+    "CASE WHEN coverage IS NULL AND number_recall IS NULL THEN NULL ELSE round(100.0 * (0.5 * coalesce(coverage, 0) + 0.5 * "
+    "coalesce(number_recall, coverage, 0)), 1) END AS auto_score FROM ev",
+)
 def j5(spark, sf):
     e = align.evaluate(X.pairs(spark, sf))
     return e.select("rel", F.round("coverage", 9).alias("coverage"), F.round("number_recall", 9).alias("number_recall"), "auto_score")
 
 
-@register("u1_missing_words", X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'x')} SELECT rel, token, n - coalesce(m, 0) AS missing FROM ta_x LEFT JOIN tb_x USING (rel, token) WHERE n > coalesce(m, 0)").replace("\n, ta_", ",\nta_"))
+@register(
+    "u1_missing_words",
+    X.with_(
+        "docs s m pairs",
+        f", {_recall('pairs', WORDS, 'x')} SELECT rel, token, n - coalesce(m, 0) AS missing FROM ta_x LEFT "
+        f"JOIN tb_x USING (rel, token) WHERE n > coalesce(m, 0)",
+    ).replace("\n, ta_", ",\nta_"),
+)
 def u1(spark, sf):
     p = X.pairs(spark, sf)
     a, b = align.counted(p, text.word_tokens("src_text")), align.counted(p, text.word_tokens("md_text")).withColumnRenamed("n", "m")
     return a.join(b, ["rel", "token"], "left").select("rel", "token", (F.col("n") - F.coalesce("m", F.lit(0))).alias("missing")).where("missing > 0")
 
 
-@register("u2_common_words", X.with_("docs s m pairs", f", {_recall('pairs', WORDS, 'x')} SELECT rel, sum(least(n, m)) AS common FROM ta_x JOIN tb_x USING (rel, token) GROUP BY rel").replace("\n, ta_", ",\nta_"))
+@register(
+    "u2_common_words",
+    X.with_(
+        "docs s m pairs",
+        f", {_recall('pairs', WORDS, 'x')} SELECT rel, sum(least(n, m)) AS common FROM ta_x JOIN tb_x USING (rel, token) "
+        f"GROUP BY rel",
+    ).replace("\n, ta_", ",\nta_"),
+)
 def u2(spark, sf):
     p = X.pairs(spark, sf)
     a, b = align.counted(p, text.word_tokens("src_text")), align.counted(p, text.word_tokens("md_text")).withColumnRenamed("n", "m")
     return a.join(b, ["rel", "token"]).groupBy("rel").agg(F.sum(F.least("n", "m")).alias("common"))
 
 
-@register("j18_lost_lines", X.with_("docs s m", f", {MATCH} SELECT j.rel, src_no FROM j LEFT JOIN (SELECT rel, lower(regexp_replace(string_agg(line, chr(10) ORDER BY n), '\\s+', ' ', 'g')) AS body FROM m GROUP BY rel) x ON x.rel = j.rel WHERE md_no IS NULL AND length(trim(src)) >= 20 AND NOT contains(coalesce(body, ''), lower(trim(regexp_replace(src, '\\s+', ' ', 'g'))))").replace("\n, a AS", ",\na AS"))
+@register(
+    "j18_lost_lines",
+    X.with_(
+        "docs s m",
+        f", {MATCH} SELECT j.rel, src_no FROM j LEFT JOIN (SELECT rel, lower(regexp_replace(string_agg(line, chr(10) "
+        f"ORDER BY n), '\\s+', ' ', 'g')) AS body FROM m GROUP BY rel) x ON x.rel = j.rel "
+        f"WHERE md_no IS NULL AND length(trim(src)) >= 20 AND NOT contains(coalesce(body, ''), lower(trim(regexp_replace(src, "
+        f"'\\s+', ' ', 'g'))))",
+    ).replace("\n, a AS", ",\na AS"),
+)
 def j18(spark, sf):
     """Lines without an equal one are searched in the whole Markdown, the others never."""
     open_ = matched(spark, sf).where("md_no IS NULL AND length(trim(src)) >= 20")

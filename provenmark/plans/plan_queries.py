@@ -11,10 +11,15 @@ from . import rule_queries, verify_queries
 from .registry import register
 
 
-@register("s10_sections", X.with_("docs s", r""", l AS (SELECT rel, n, unnest(CASE n % 6 WHEN 2 THEN ['# Head ' || n, line] WHEN 4 THEN ['### Sub', line] WHEN 5 THEN ['## Part', line] ELSE [line] END) AS line, generate_subscripts(CASE n % 6 WHEN 2 THEN ['# Head ' || n, line] WHEN 4 THEN ['### Sub', line] WHEN 5 THEN ['## Part', line] ELSE [line] END, 1) AS k FROM s),
-h AS (SELECT rel, n, k, line, CASE WHEN regexp_matches(line, '^#{1,2}\s+\S') THEN trim(regexp_replace(line, '^#{1,2}\s+', '')) END AS head FROM l), b AS (SELECT *, count(head) OVER (PARTITION BY rel ORDER BY n, k) AS block FROM h),
-g AS (SELECT rel, block, max(head) AS head, trim(string_agg(line, chr(10) ORDER BY n, k)) AS body FROM b GROUP BY ALL HAVING trim(string_agg(line, chr(10) ORDER BY n, k)) <> '')
-SELECT rel, row_number() OVER w AS section, 'section ' || row_number() OVER w || ': ' || left(coalesce(head, 'Start'), 60) AS title, md5(body) AS body_hash FROM g WINDOW w AS (PARTITION BY rel ORDER BY block)""").replace("\n, l AS", ",\nl AS"))
+@register("s10_sections", X.with_("docs s", r""", l AS (SELECT rel, n, unnest(CASE n % 6 WHEN 2 THEN ['# Head ' || n, line]
+WHEN 4 THEN ['### Sub', line] WHEN 5 THEN ['## Part', line] ELSE [line] END) AS line, generate_subscripts(CASE n % 6
+WHEN 2 THEN ['# Head ' || n, line] WHEN 4 THEN ['### Sub', line] WHEN 5 THEN ['## Part', line] ELSE [line] END, 1) AS k FROM s),
+h AS (SELECT rel, n, k, line, CASE WHEN regexp_matches(line, '^#{1,2}\s+\S') THEN trim(regexp_replace(line, '^#{1,2}\s+',
+'')) END AS head FROM l), b AS (SELECT *, count(head) OVER (PARTITION BY rel ORDER BY n, k) AS block FROM h),
+g AS (SELECT rel, block, max(head) AS head, trim(string_agg(line, chr(10) ORDER BY n, k)) AS body FROM b GROUP BY ALL
+HAVING trim(string_agg(line, chr(10) ORDER BY n, k)) <> '')
+SELECT rel, row_number() OVER w AS section, 'section ' || row_number() OVER w || ': ' || left(coalesce(head, 'Start'), 60) AS title,
+md5(body) AS body_hash FROM g WINDOW w AS (PARTITION BY rel ORDER BY block)""").replace("\n, l AS", ",\nl AS"))
 def s10(spark, sf):
     """Headings of three levels between the lines; those of level three begin nothing."""
     line = lambda x, i: F.when(i % 6 == 2, F.array(F.concat(F.lit("# Head "), i), x)).when(i % 6 == 4, F.array(F.lit("### Sub"), x)).when(i % 6 == 5, F.array(F.lit("## Part"), x)).otherwise(F.array(x))
@@ -22,58 +27,137 @@ def s10(spark, sf):
     return structure.titled_sections(d).select("rel", F.col("section").cast("long").alias("section"), "title", F.md5("body").alias("body_hash"))
 
 
-@register("j20_line_to_page", X.with_("docs s", ", m AS (SELECT rel, max(n) AS m FROM s GROUP BY rel) SELECT s.rel, n, CASE WHEN 4 * (n // 4) + 3 <= m THEN n // 4 END AS page FROM s JOIN m USING (rel)"))
+@register(
+    "j20_line_to_page",
+    X.with_(
+        "docs s",
+        ", m AS (SELECT rel, max(n) AS m FROM s GROUP BY rel) SELECT s.rel, n, "
+        "CASE WHEN 4 * (n // 4) + 3 <= m THEN n // 4 END AS page FROM s JOIN m USING (rel)",
+    ),
+)
 def j20(spark, sf):
     """Pages of four lines by their cumulative counts; a last page that is not full is missing from the page table."""
     src, _ = X.conv(spark, sf)
-    full = src.groupBy("rel", F.floor(F.col("n") / 4).alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.lit("x").alias("x")))), lambda x: x["x"]), "\n").alias("text"), F.count(F.lit(1)).alias("c"))
+    full = src.groupBy("rel", F.floor(F.col("n") / 4).alias("page")).agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("n", F.lit("x").alias("x")))), lambda x: x["x"]),
+            "\n",
+        ).alias("text"),
+        F.count(F.lit(1)).alias("c"),
+    )
     counts = structure.cumulative_lines(full.where("c = 4").select("rel", "page", "text"))
     return structure.pages_of_lines(src.select("rel", "n"), counts)
 
 
-@register("j12_promotion_plan", "SELECT p_partkey // 4 AS document, bool_and(p_partkey % 9 <> 0 AND p_partkey % 11 <> 0) AS promote, count(*) AS files, CASE WHEN bool_and(p_partkey % 9 <> 0 AND p_partkey % 11 <> 0) THEN count(*) FILTER (p_partkey % 2 = 0) ELSE 0 END AS archived FROM part GROUP BY 1")
+@register(
+    "j12_promotion_plan",
+    "SELECT p_partkey // 4 AS document, bool_and(p_partkey % 9 <> 0 AND p_partkey % 11 <> 0) AS promote, count(*) AS files, "
+    "CASE WHEN bool_and(p_partkey % 9 <> 0 AND p_partkey % 11 <> 0) THEN count(*) FILTER (p_partkey % 2 = 0) ELSE 0 END AS "
+    "archived FROM part GROUP BY 1",
+)
 def j12(spark, sf):
     """Some staged files are missing or short; half of the live keys are twins of another layout."""
     k = F.col("p_partkey")
-    p = X.table(spark, sf, "part").select(k, F.floor(k / 4).alias("document"), F.concat(F.lit("lib/"), k, F.lit(".md")).alias("path"), F.col("p_size").cast("long").alias("size"))
+    p = X.table(spark, sf, "part").select(
+        k,
+        F.floor(k / 4).alias("document"),
+        F.concat(F.lit("lib/"), k, F.lit(".md")).alias("path"),
+        F.col("p_size").cast("long").alias("size"),
+    )
     staged = p.where("p_partkey % 9 <> 0").select("path", F.when(k % 11 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
     live = p.where("p_partkey % 2 = 0").select(F.when(k % 4 == 0, F.regexp_replace("path", r"\.md$", "/index.md")).otherwise(F.col("path")).alias("path"))
     return structure.promotion_plan(p.select("document", "path", "size"), staged, live)
 
 
-@register("a30_accept_preview", X.with_("docs evals", "SELECT source AS room, count(*) FILTER (auto_score >= 70) AS ok, count(*) FILTER (auto_score < 70) AS below, count(*) FILTER (status IN ('deferred', 'error')) AS open, array_to_string(list_filter([CASE WHEN source IN ('src1', 'src3') THEN 'running' END, CASE WHEN count(*) FILTER (status = 'human_decide') > 0 THEN 'sending' END, CASE WHEN count(*) FILTER (auto_score >= 70) > 0 THEN 'not accepted yet' END, CASE WHEN sum(doc_id % 3) > 0 THEN 'checks open' END], lambda x: x IS NOT NULL), ', ') AS blockers FROM evals GROUP BY source"))
+@register(
+    "a30_accept_preview",
+    X.with_(
+        "docs evals",
+        "SELECT source AS room, count(*) FILTER (auto_score >= 70) AS ok, count(*) FILTER (auto_score < 70) AS below, count(*) "
+        "FILTER (status IN ('deferred', 'error')) AS open, array_to_string(list_filter([CASE WHEN source IN ('src1', 'src3') THEN "
+        "'running' END, CASE WHEN count(*) FILTER (status = 'human_decide') > 0 THEN 'sending' END, "
+        "CASE WHEN count(*) FILTER (auto_score >= 70) > 0 THEN 'not accepted yet' END, "
+        "CASE WHEN sum(doc_id % 3) > 0 THEN 'checks open' END], lambda x: x IS NOT NULL), ', ') AS blockers FROM evals "
+        "GROUP BY source",
+    ),
+)
 def a30(spark, sf):
     e = X.evals(spark, sf)
-    state = F.when(F.col("auto_score") >= 70, "ok").when(F.col("auto_score") < 70, "below").when(F.col("status").isin("deferred", "error"), "pending").when(F.col("status") == "human_decide", "publishing")
+    state = F.when(F.col("auto_score") >= 70, "ok").when(F.col("auto_score") < 70, "below").when(
+        F.col("status").isin("deferred", "error"),
+        "pending",
+    ).when(F.col("status") == "human_decide", "publishing")
     files = e.select(F.col("source").alias("room"), state.alias("state"), (F.col("doc_id") % 3).alias("rule_checks"))
     return structure.accept_preview(files, e.where("source IN ('src1', 'src3')").select(F.col("source").alias("room")))
 
 
-@register("a3_unit_verification", verify_queries.sql("SELECT rel, page_count AS units, chars_recall, missing, coalesce(chars_recall, 1) >= 0.995 AND missing = 0 AND page_count > 0 AS ok FROM (SELECT rel, count(*) AS page_count, round((sum(n) - sum(lost)) / nullif(sum(n), 0), 6) AS chars_recall, sum(gone) AS missing FROM p GROUP BY rel)"))
+@register(
+    "a3_unit_verification",
+    verify_queries.sql(
+        "SELECT rel, page_count AS units, chars_recall, missing, coalesce(chars_recall, 1) >= 0.995 AND missing = 0 AND "
+        "page_count > 0 AS ok FROM (SELECT rel, count(*) AS page_count, round((sum(n) - sum(lost)) / nullif(sum(n), 0), 6) AS "
+        "chars_recall, sum(gone) AS missing FROM p GROUP BY rel)"
+    ),
+)
 def a3(spark, sf):
     """Formats without pages: all units of a document together."""
     checked = pages.check_pages(*verify_queries.sides(spark, sf))
-    total = checked.groupBy("rel").agg(F.count(F.lit(1)).alias("units"), F.round((F.sum("n") - F.sum("lost")) / F.nullif(F.sum("n"), F.lit(0)), 6).alias("chars_recall"), F.sum(F.size("missing")).alias("missing"))
+    total = checked.groupBy("rel").agg(
+        F.count(F.lit(1)).alias("units"),
+        F.round((F.sum("n") - F.sum("lost")) / F.nullif(F.sum("n"), F.lit(0)), 6).alias("chars_recall"),
+        F.sum(F.size("missing")).alias("missing"),
+    )
     return total.withColumn("ok", (F.coalesce("chars_recall", F.lit(1.0)) >= pages.RECALL) & (F.col("missing") == 0) & (F.col("units") > 0))
 
 
-@register("v7_visual_check", verify_queries.sql("SELECT rel, count(*) AS pages, count(*) FILTER (n > 0 AND (n - lost) / n < 0.8) AS low_pages FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY rel) AS c FROM p) WHERE i % greatest(1, c // 3) = 0 AND i // greatest(1, c // 3) < 3 GROUP BY rel"))
+@register(
+    "v7_visual_check",
+    verify_queries.sql(
+        "SELECT rel, count(*) AS pages, count(*) FILTER (n > 0 AND (n - lost) / n < 0.8) AS low_pages "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY rel) AS c "
+        "FROM p) WHERE i % greatest(1, c // 3) = 0 AND i // greatest(1, c // 3) < 3 GROUP BY rel"
+    ),
+)
 def v7(spark, sf):
     """Three sampled pages of each document against the other side; low ones have under 80 % of the characters."""
     checked = pages.check_pages(*verify_queries.sides(spark, sf))
     seen = verify.even_sample(checked.select("rel", "page", "n", "lost"), "rel", "page", 3)
-    return seen.groupBy("rel").agg(F.count(F.lit(1)).alias("pages"), F.count_if((F.col("n") > 0) & ((F.col("n") - F.col("lost")) / F.col("n") < 0.8)).alias("low_pages"))
-
-
-@register("a10_rule_library", X.with_("docs", f", {rule_queries.CORRECTED}, u AS (SELECT user_id % 9 AS num, count(*) FILTER (event_type = 'error') AS undone, count(*) AS acts FROM events GROUP BY 1) SELECT 1 AS num, count(*) AS documents, sum(n1) AS hits, any_value(undone * 5 > acts) AS often_undone FROM corrected JOIN u ON u.num = 1 WHERE n1 > 0").replace("\n, r1", ",\nr1"))
+    return seen.groupBy("rel").agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.count_if((F.col("n") > 0) & ((F.col("n") - F.col("lost")) / F.col("n") < 0.8)).alias("low_pages"),
+    )
+
+
+@register(
+    "a10_rule_library",
+    X.with_(
+        "docs",
+        f", {rule_queries.CORRECTED}, u AS (SELECT user_id % 9 AS num, count(*) FILTER (event_type = 'error') AS undone, count(*) "
+        f"AS acts FROM events GROUP BY 1) SELECT 1 AS num, count(*) AS documents, sum(n1) AS hits, any_value(undone * 5 > acts) "
+        f"AS often_undone FROM corrected JOIN u ON u.num = 1 WHERE n1 > 0",
+    ).replace("\n, r1", ",\nr1"),
+)
 def a10(spark, sf):
     """Where the first rule has changed something, and how often people took it back."""
     done = rules.apply_rules(rule_queries.bodies(spark, sf), rule_queries.book(spark), "text", rule_queries.exempt(spark, sf))
-    log = X.table(spark, sf, "events").groupBy((F.col("user_id") % 9).cast("int").alias("num")).agg(F.count_if(F.col("event_type") == "error").alias("undone"), F.count(F.lit(1)).alias("acts"))
+    log = X.table(spark, sf, "events").groupBy((F.col("user_id") % 9).cast("int").alias("num")).agg(
+        F.count_if(F.col("event_type") == "error").alias("undone"),
+        F.count(F.lit(1)).alias("acts"),
+    )
     return rules.library(done, log).where("num = 1")
 
 
-@register("v8_audit_report", X.with_("docs s m", f", {verify_queries.SIDES}, a AS (SELECT rel, sum(lost) AS lost FROM p GROUP BY rel), g AS (SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id) SELECT 'lost content' AS report, rel AS subject, CAST(lost AS BIGINT) AS n FROM a WHERE lost > 0 UNION ALL SELECT 'not grounded', CAST(item_id AS VARCHAR), documents FROM g WHERE documents = 0").replace("\n, sp AS", ",\nsp AS"))
+@register(
+    "v8_audit_report",
+    X.with_(
+        "docs s m",
+        f", {verify_queries.SIDES}, a AS (SELECT rel, sum(lost) AS lost FROM p "
+        f"GROUP BY rel), g AS (SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT "
+        f"JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id) "
+        f"SELECT 'lost content' AS report, rel AS subject, CAST(lost AS BIGINT) AS n FROM a WHERE lost > 0 UNION ALL "
+        f"SELECT 'not grounded', CAST(item_id AS VARCHAR), documents FROM g WHERE documents = 0",
+    ).replace("\n, sp AS", ",\nsp AS"),
+)
 def v8(spark, sf):
     """The audit of lost content and the grounding of the bank's texts as one report, written as JSON and read again."""
     from ..sources.tables import new_folder
@@ -82,25 +166,49 @@ def v8(spark, sf):
     bank = X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("find"))
     hold = contained(X.table(spark, sf, "documents").select("doc_id", "text"), bank, ["doc_id"], ["item_id"]).select("item_id").distinct()
     bare = bank.join(hold, "item_id", "left_anti")
-    report = lost.select(F.lit("lost content").alias("report"), F.col("rel").alias("subject"), F.col("n").cast("long").alias("n")).unionByName(bare.select(F.lit("not grounded").alias("report"), F.col("item_id").cast("string").alias("subject"), F.lit(0).cast("long").alias("n")))
+    report = lost.select(
+        F.lit("lost content").alias("report"),
+        F.col("rel").alias("subject"),
+        F.col("n").cast("long").alias("n"),
+    ).unionByName(
+        bare.select(
+            F.lit("not grounded").alias("report"),
+            F.col("item_id").cast("string").alias("subject"),
+            F.lit(0).cast("long").alias("n"),
+        )
+    )
     folder = new_folder(spark, "reports")
     report.write.partitionBy("report").json(folder)
     return spark.read.schema("subject string, n long, report string").json(folder)
 
 
-@register("p37_table_grid", "SELECT p_partkey // 20 AS t, 'Part — Name;Part — Brand;Size — Brand' AS head, count(*) + 1 AS rows, min(CASE WHEN p_partkey % 2 = 0 THEN p_name || ';' || p_brand || ';120/120/120' ELSE p_name || ';' || p_brand || ';50 40 40' END) AS first, 1 AS notes FROM part GROUP BY 1 HAVING count(*) > 1")
+@register(
+    "p37_table_grid",
+    "SELECT p_partkey // 20 AS t, 'Part — Name;Part — Brand;Size — Brand' AS head, count(*) + 1 AS rows, min(CASE WHEN p_partkey "
+    "% 2 = 0 THEN p_name || ';' || p_brand || ';120/120/120' ELSE p_name || ';' || p_brand || ';50 40 40' END) AS first, 1 AS "
+    "notes FROM part GROUP BY 1 HAVING count(*) > 1",
+)
 def p37(spark, sf):
     """Grids with a head of two rows, a note over the whole width, empty rows, and cells in which numbers wrap or stack."""
     from ..functions import markdown as M
 
     none = F.lit(None).cast("string")
-    p = X.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("t"), F.array("p_name", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "120/120/1\n20").otherwise("50\n40\n40")).alias("cells"))
+    p = X.table(spark, sf, "part").select(
+        F.floor(F.col("p_partkey") / 20).alias("t"),
+        F.array("p_name", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "120/120/1\n20").otherwise("50\n40\n40")).alias("cells"),
+    )
     body = p.groupBy("t").agg(F.collect_list("cells").alias("body")).where("size(body) > 1")
     head = F.array(F.array(F.lit("Part"), none, F.lit("Size")), F.array(F.lit("Name"), F.lit("Brand"), none))
     extra = F.array(F.array(F.lit(" "), none, none), F.array(F.lit("A note that runs over the whole width of the table and says a lot."), none, none))
     grid = body.select("t", M.grid(F.concat(head, "body", extra)).alias("g"))
     row = lambda i: F.array_join(F.get("g.grid", F.lit(i)), ";")
-    return grid.select("t", row(0).alias("head"), F.size("g.grid").alias("rows"), F.array_min(F.transform(F.slice("g.grid", 2, 10_000), lambda r: F.array_join(r, ";"))).alias("first"), F.size("g.notes").alias("notes"))
+    return grid.select(
+        "t",
+        row(0).alias("head"),
+        F.size("g.grid").alias("rows"),
+        F.array_min(F.transform(F.slice("g.grid", 2, 10_000), lambda r: F.array_join(r, ";"))).alias("first"),
+        F.size("g.notes").alias("notes"),
+    )
 
 
 @register("v6_line_diff")

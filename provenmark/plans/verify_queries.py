@@ -14,22 +14,40 @@ def sides(spark, sf):
     """Pages of five lines: the source, and Markdown that has lost every 23rd page of a document's run."""
     d = X.docs(spark, sf).select("rel", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     h, n = (F.col("doc_id") * 31 + F.col("n")) % 10, F.floor(F.col("n") / 5) + 1
-    md = F.when(h == 0, F.array().cast("array<string>")).when(h == 1, F.array(F.regexp_replace("line", r"\s*\S+$", ""))).when(h == 2, F.array("line", "line")).otherwise(F.array("line"))
+    md = F.when(h == 0, F.array().cast("array<string>")).when(
+        h == 1,
+        F.array(F.regexp_replace("line", r"\s*\S+$", "")),
+    ).when(h == 2, F.array("line", "line")).otherwise(F.array("line"))
     joined = lambda rows: rows.groupBy("rel", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
     lost = d.withColumn("page", n).where("(doc_id + page) % 23 <> 0")
     return joined(d.withColumn("page", n).select("rel", "page", "n", "line")), joined(lost.select("rel", "page", "n", F.explode(md).alias("line")))
 
 
 SIDES = r"""sp AS (SELECT rel, doc_id, n // 5 + 1 AS page, string_agg(line, chr(10) ORDER BY n) AS text FROM s GROUP BY ALL),
-ml AS (SELECT rel, n // 5 + 1 AS page, n, CASE (doc_id * 31 + n) % 10 WHEN 1 THEN regexp_replace(line, '\s*\S+$', '') WHEN 2 THEN line || chr(10) || line ELSE line END AS line FROM s WHERE (doc_id * 31 + n) % 10 <> 0 AND (doc_id + n // 5 + 1) % 23 <> 0),
+ml AS (SELECT rel, n // 5 + 1 AS page, n, CASE (doc_id * 31 + n) % 10 WHEN 1 THEN regexp_replace(line, '\s*\S+$', '')
+WHEN 2 THEN line || chr(10) || line ELSE line END AS line FROM s WHERE (doc_id * 31 + n) % 10 <> 0
+AND (doc_id + n // 5 + 1) % 23 <> 0),
 mp AS (SELECT rel, page, string_agg(line, chr(10) ORDER BY n) AS text FROM ml GROUP BY ALL),
-ca AS (SELECT rel, page, t, sum(x) AS a, sum(y) AS b FROM (SELECT rel, page, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '')) AS t, 1 AS x, 0 AS y FROM sp UNION ALL SELECT rel, page, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '')), 0, 1 FROM mp) WHERE t <> '' GROUP BY ALL),
+ca AS (SELECT rel, page, t, sum(x) AS a, sum(y) AS b FROM (SELECT rel, page, unnest(string_split(regexp_replace(lower(text),
+'[^\p{L}\p{N}]', '', 'g'), '')) AS t, 1 AS x, 0 AS y FROM sp UNION ALL
+SELECT rel, page, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '')), 0, 1 FROM mp) WHERE t <> ''
+GROUP BY ALL),
 c AS (SELECT rel, page, sum(a) AS n, sum(greatest(a - b, 0)) AS lost, sum(greatest(b - a, 0)) AS extra FROM ca GROUP BY ALL),
-na AS (SELECT rel, page, t, sum(x) AS a, sum(y) AS b FROM (SELECT rel, page, unnest(regexp_extract_all(text, '\d+(?:[.,]\d+)*')) AS t, 1 AS x, 0 AS y FROM sp UNION ALL SELECT rel, page, unnest(regexp_extract_all(text, '\d+(?:[.,]\d+)*')), 0, 1 FROM mp) GROUP BY ALL),
-nm AS (SELECT rel, page, sum(a) AS numbers, sum(greatest(a - b, 0)) AS gone, list_sort(flatten(list(list_transform(range(CAST(greatest(a - b, 0) AS BIGINT)), lambda i: t)))) AS missing FROM na GROUP BY ALL),
-p AS (SELECT sp.rel, doc_id, sp.page, mp.page IS NOT NULL AS in_md, coalesce(n, 0) AS n, coalesce(lost, 0) AS lost, coalesce(extra, 0) AS extra, coalesce(numbers, 0) AS numbers, coalesce(gone, 0) AS gone, coalesce(missing, []) AS missing FROM sp LEFT JOIN mp USING (rel, page) LEFT JOIN c USING (rel, page) LEFT JOIN nm USING (rel, page)),
-r AS (SELECT rel, doc_id, count(*) AS page_count, count(*) FILTER (NOT in_md) AS lost_pages, round((sum(n) - sum(lost)) / nullif(sum(n), 0), 6) AS chars_recall, least(30, count(*) FILTER (n > 0 AND (n - lost) / n < 0.995)) AS low_pages, least(30, count(*) FILTER (extra > greatest(40, 0.03 * n))) AS extra_pages, round((sum(numbers) - sum(gone)) / nullif(sum(numbers), 0), 6) AS numbers_recall, least(30, count(*) FILTER (gone > 0)) AS number_pages FROM p GROUP BY ALL),
-r2 AS (SELECT *, CASE WHEN lost_pages = 0 AND coalesce(chars_recall, 1) >= 0.995 AND extra_pages = 0 AND number_pages = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r)"""
+na AS (SELECT rel, page, t, sum(x) AS a, sum(y) AS b FROM (SELECT rel, page, unnest(regexp_extract_all(text,
+'\d+(?:[.,]\d+)*')) AS t, 1 AS x, 0 AS y FROM sp UNION ALL
+SELECT rel, page, unnest(regexp_extract_all(text, '\d+(?:[.,]\d+)*')), 0, 1 FROM mp) GROUP BY ALL),
+nm AS (SELECT rel, page, sum(a) AS numbers, sum(greatest(a - b, 0)) AS gone,
+list_sort(flatten(list(list_transform(range(CAST(greatest(a - b, 0) AS BIGINT)), lambda i: t)))) AS missing FROM na GROUP BY ALL),
+p AS (SELECT sp.rel, doc_id, sp.page, mp.page IS NOT NULL AS in_md, coalesce(n, 0) AS n, coalesce(lost, 0) AS lost, coalesce(extra,
+0) AS extra, coalesce(numbers, 0) AS numbers, coalesce(gone, 0) AS gone, coalesce(missing, []) AS missing FROM sp LEFT
+JOIN mp USING (rel, page) LEFT JOIN c USING (rel, page) LEFT JOIN nm USING (rel, page)),
+r AS (SELECT rel, doc_id, count(*) AS page_count, count(*) FILTER (NOT in_md) AS lost_pages,
+round((sum(n) - sum(lost)) / nullif(sum(n), 0), 6) AS chars_recall, least(30, count(*) FILTER (n > 0
+AND (n - lost) / n < 0.995)) AS low_pages, least(30, count(*) FILTER (extra > greatest(40, 0.03 * n))) AS extra_pages,
+round((sum(numbers) - sum(gone)) / nullif(sum(numbers), 0), 6) AS numbers_recall, least(30,
+count(*) FILTER (gone > 0)) AS number_pages FROM p GROUP BY ALL),
+r2 AS (SELECT *, CASE WHEN lost_pages = 0 AND coalesce(chars_recall, 1) >= 0.995 AND extra_pages = 0
+AND number_pages = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r)"""
 
 
 def sql(body: str, more: str = "") -> str:
@@ -40,7 +58,10 @@ def sql(body: str, more: str = "") -> str:
 def a2(spark, sf):
     r = pages.report(pages.check_pages(*sides(spark, sf))).select("rel", "report.*")
     size = lambda c, to: F.size(c).cast("long").alias(to)
-    return r.select("rel", "page_count", size("missing", "lost_pages"), "chars_recall", size("low", "low_pages"), size("extra", "extra_pages"), "numbers_recall", size("number_pages", "number_pages"), "status")
+    return r.select(
+        "rel", "page_count", size("missing", "lost_pages"), "chars_recall", size("low", "low_pages"), size("extra", "extra_pages"),
+        "numbers_recall", size("number_pages", "number_pages"), "status",
+    )
 
 
 def filed(spark, sf):
@@ -57,37 +78,89 @@ def filed(spark, sf):
         "cells": F.when(i % 3 == 0, 10 * x["page_count"]), "mismatches": F.when(i % 3 == 0, F.size(x["extra"]).cast("long")), "table_examples": empty("array<struct<page:bigint,detail:string>>"), "unreadable": F.when(i % 7 == 0, F.array(F.lit(2), F.lit(1), F.lit(2)).cast("array<bigint>")),
         "readings": F.when(scan, F.array(F.struct(F.lit(1).cast("long").alias("page"), F.lit(0.9).alias("agreement"), pairs.alias("pairs")))), "review_pages": F.when(scan, F.array(F.lit(1), F.lit(3)).cast("array<bigint>")), "source_ok": i % 19 != 0,
     }
-    return r.select("rel", "doc_id", F.struct(*[v.alias(k) for k, v in full.items()]).alias("report"), F.when(i % 17 == 0, "SKIP").otherwise("PASS").alias("verdict"), F.when(i % 2 == 0, "protected").otherwise("drawing").alias("triage"), F.when(i % 13 == 0, "SSLError: no route").alias("error"))
-
-
-FILED = """parts AS (SELECT r2.*, CASE WHEN doc_id % 5 = 0 THEN 0.9 WHEN chars_recall IS NOT NULL THEN greatest(0.0, chars_recall - (lost_pages + extra_pages) / page_count) END AS p_text, CASE WHEN doc_id % 5 <> 0 THEN numbers_recall END AS p_numbers, CASE WHEN doc_id % 5 <> 0 THEN 1 - lost_pages / page_count END AS p_headings, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN greatest(0.0, 1 - extra_pages / (10 * page_count)) END AS p_tables FROM r2),
-acc AS (SELECT *, (coalesce(0.4 * p_text, 0) + coalesce(0.3 * p_numbers, 0) + coalesce(0.2 * p_headings, 0) + coalesce(0.1 * p_tables, 0)) / nullif(CASE WHEN p_text IS NULL THEN 0 ELSE 0.4 END + CASE WHEN p_numbers IS NULL THEN 0 ELSE 0.3 END + CASE WHEN p_headings IS NULL THEN 0 ELSE 0.2 END + CASE WHEN p_tables IS NULL THEN 0 ELSE 0.1 END, 0) AS w,
-number_pages + low_pages + extra_pages + lost_pages + CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS diffs FROM parts),
-outc AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unprocessable' WHEN doc_id % 17 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'unprocessable' ELSE 'skipped' END WHEN doc_id % 19 = 0 THEN 'unprocessable' ELSE 'result' END AS outcome, CASE WHEN doc_id % 13 = 0 THEN 'download' WHEN doc_id % 17 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'protected' ELSE 'unsupported' END WHEN doc_id % 19 = 0 THEN 'source_changed' ELSE '' END AS reason FROM acc)"""
-
-
-@register("p26_report_parts", sql("SELECT rel, round(p_text, 6) AS text, round(p_numbers, 6) AS numbers, round(p_headings, 6) AS headings, round(p_tables, 6) AS tables FROM parts", FILED))
+    return r.select(
+        "rel",
+        "doc_id",
+        F.struct(*[v.alias(k) for k, v in full.items()]).alias("report"),
+        F.when(i % 17 == 0, "SKIP").otherwise("PASS").alias("verdict"),
+        F.when(i % 2 == 0, "protected").otherwise("drawing").alias("triage"),
+        F.when(i % 13 == 0, "SSLError: no route").alias("error")
+    )
+
+
+FILED = """parts AS (SELECT r2.*, CASE WHEN doc_id % 5 = 0 THEN 0.9
+WHEN chars_recall IS NOT NULL THEN greatest(0.0, chars_recall - (lost_pages + extra_pages) / page_count) END AS p_text, CASE
+WHEN doc_id % 5 <> 0 THEN numbers_recall END AS p_numbers, CASE
+WHEN doc_id % 5 <> 0 THEN 1 - lost_pages / page_count END AS p_headings, CASE WHEN doc_id % 5 <> 0
+AND doc_id % 3 = 0 THEN greatest(0.0, 1 - extra_pages / (10 * page_count)) END AS p_tables FROM r2),
+acc AS (SELECT *, (coalesce(0.4 * p_text, 0) + coalesce(0.3 * p_numbers, 0) + coalesce(0.2 * p_headings,
+0) + coalesce(0.1 * p_tables, 0)) / nullif(CASE WHEN p_text IS NULL THEN 0 ELSE 0.4 END + CASE
+WHEN p_numbers IS NULL THEN 0 ELSE 0.3 END + CASE WHEN p_headings IS NULL THEN 0 ELSE 0.2 END + CASE
+WHEN p_tables IS NULL THEN 0 ELSE 0.1 END, 0) AS w,
+number_pages + low_pages + extra_pages + lost_pages + CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END + CASE
+WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS diffs FROM parts),
+outc AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unprocessable' WHEN doc_id % 17 = 0 THEN CASE
+WHEN doc_id % 2 = 0 THEN 'unprocessable' ELSE 'skipped' END WHEN doc_id % 19 = 0 THEN 'unprocessable' ELSE 'result' END AS outcome,
+CASE WHEN doc_id % 13 = 0 THEN 'download' WHEN doc_id % 17 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'protected' ELSE 'unsupported' END
+WHEN doc_id % 19 = 0 THEN 'source_changed' ELSE '' END AS reason FROM acc)"""
+
+
+@register(
+    "p26_report_parts",
+    sql(
+        "SELECT rel, round(p_text, 6) AS text, round(p_numbers, 6) AS numbers, round(p_headings, 6) AS headings, round(p_tables, "
+        "6) AS tables FROM parts",
+        FILED,
+    ),
+)
 def p26(spark, sf):
     f = filed(spark, sf)
     return f.select("rel", *[F.round(c, 6).alias(k) for k, c in reports.parts(F.col("report")).items()])
 
 
-@register("p27_outcomes", sql("SELECT rel, outcome, reason, CASE WHEN outcome = 'result' THEN round(100 * w + 1e-9, 1) END AS accuracy, CASE WHEN outcome = 'result' THEN least(200, diffs) ELSE 0 END AS diffs, CASE WHEN outcome = 'result' THEN number_pages ELSE 0 END AS number_diffs FROM outc", FILED))
+@register(
+    "p27_outcomes",
+    sql(
+        "SELECT rel, outcome, reason, CASE WHEN outcome = 'result' THEN round(100 * w + 1e-9, 1) END AS accuracy, "
+        "CASE WHEN outcome = 'result' THEN least(200, diffs) ELSE 0 END AS diffs, "
+        "CASE WHEN outcome = 'result' THEN number_pages ELSE 0 END AS number_diffs FROM outc",
+        FILED,
+    ),
+)
 def p27(spark, sf):
     c = F.col
     return filed(spark, sf).select("rel", reports.outcome(c("report"), c("verdict"), c("triage"), c("error")).alias("o")).select("rel", "o.*")
 
 
-@register("p29_file_states", sql("SELECT rel, CASE WHEN doc_id % 29 = 0 THEN 'processing' WHEN doc_id % 31 = 0 THEN 'pending' WHEN outcome <> 'result' THEN 'unprocessable' WHEN doc_id % 11 = 0 THEN 'published' WHEN w IS NULL OR (doc_id % 2 = 0 AND number_pages + doc_id % 3 > 0) OR round(100 * w + 1e-9, 1) < 90 THEN 'below' ELSE 'ok' END AS state FROM outc", FILED))
+@register(
+    "p29_file_states",
+    sql(
+        "SELECT rel, CASE WHEN doc_id % 29 = 0 THEN 'processing' WHEN doc_id % 31 = 0 THEN 'pending' WHEN outcome <> 'result' "
+        "THEN 'unprocessable' WHEN doc_id % 11 = 0 THEN 'published' WHEN w IS NULL OR (doc_id % 2 = 0 AND number_pages + doc_id % "
+        "3 > 0) OR round(100 * w + 1e-9, 1) < 90 THEN 'below' ELSE 'ok' END AS state FROM outc",
+        FILED,
+    ),
+)
 def p29(spark, sf):
     c, i = F.col, F.col("doc_id")
     f = filed(spark, sf).withColumn("o", reports.outcome(c("report"), c("verdict"), c("triage"), c("error")))
-    return f.select("rel", reports.file_state(F.when(i % 29 == 0, "processing"), F.when(i % 31 != 0, c("o.outcome")), i % 11 == 0, c("o.accuracy"), c("o.number_diffs"), i % 3, F.lit(90.0), i % 2 == 0).alias("state"))
+    return f.select(
+        "rel",
+        reports.file_state(
+            F.when(i % 29 == 0, "processing"), F.when(i % 31 != 0, c("o.outcome")), i % 11 == 0, c("o.accuracy"),
+            c("o.number_diffs"), i % 3, F.lit(90.0), i % 2 == 0,
+        ).alias("state"),
+    )
 
 
 FOUND = """found AS (SELECT rel, page, 'numbers' AS kind, 'missing: ' || array_to_string(missing[1:6], ', ') AS detail FROM p WHERE gone > 0
-UNION ALL SELECT rel, page, 'text', CAST(lost AS BIGINT) || ' characters missing' FROM p WHERE n > 0 AND (n - lost) / n < 0.995 UNION ALL SELECT rel, page, 'text', CAST(extra AS BIGINT) || ' characters not on the source page' FROM p WHERE extra > greatest(40, 0.03 * n)
-UNION ALL SELECT rel, page, 'headings', 'Scope' FROM p WHERE NOT in_md UNION ALL SELECT DISTINCT rel, unnest([1, 2]), 'formula', 'text layer cannot be decoded' FROM p WHERE doc_id % 7 = 0 UNION ALL SELECT DISTINCT rel, 1, 'reading', '2S mm / 25 mm' FROM p WHERE doc_id % 5 = 0 UNION ALL SELECT DISTINCT rel, 3, 'text', 'the two readers disagree' FROM p WHERE doc_id % 5 = 0)"""
+UNION ALL SELECT rel, page, 'text', CAST(lost AS BIGINT) || ' characters missing' FROM p WHERE n > 0 AND (n - lost) / n < 0.995
+UNION ALL SELECT rel, page, 'text', CAST(extra AS BIGINT) || ' characters not on the source page' FROM p
+WHERE extra > greatest(40, 0.03 * n)
+UNION ALL SELECT rel, page, 'headings', 'Scope' FROM p WHERE NOT in_md UNION ALL
+SELECT DISTINCT rel, unnest([1, 2]), 'formula', 'text layer cannot be decoded' FROM p WHERE doc_id % 7 = 0 UNION ALL
+SELECT DISTINCT rel, 1, 'reading', '2S mm / 25 mm' FROM p WHERE doc_id % 5 = 0 UNION ALL
+SELECT DISTINCT rel, 3, 'text', 'the two readers disagree' FROM p WHERE doc_id % 5 = 0)"""
 
 
 @register("p30_findings", sql("SELECT rel, page, kind, detail FROM found", FOUND))
@@ -97,20 +170,37 @@ def p30(spark, sf):
     return rows.select("rel", "page", "kind", F.regexp_replace("detail", r"^recall [0-9.E-]+, ", "").alias("detail"))
 
 
-@register("a2_reader_agreement", X.with_("docs s", r""", sp AS (SELECT rel, doc_id, n // 5 + 1 AS page, string_agg(line, chr(10) ORDER BY n) AS text FROM s GROUP BY ALL),
-ca AS (SELECT rel, doc_id, page, t, count(*) AS a FROM (SELECT rel, doc_id, page, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '')) AS t FROM sp) WHERE t <> '' GROUP BY ALL),
-pg AS (SELECT rel, page, sum(a) AS n, sum(CASE WHEN (doc_id + page) % 6 = 0 THEN 0 WHEN t = 'e' AND (doc_id + page) % 4 = 0 THEN 0 ELSE a END) AS hit FROM ca GROUP BY ALL)
-SELECT rel, coalesce(round(sum(hit) FILTER (NOT blind) / nullif(sum(n) FILTER (NOT blind), 0), 6), 1.0) AS agreement, count(*) FILTER (blind) AS blind_pages, count(*) FILTER (NOT blind AND n > 50 AND hit / n < 0.98) AS low_pages, coalesce(round(sum(hit) FILTER (NOT blind) / nullif(sum(n) FILTER (NOT blind), 0), 6), 1.0) >= 0.99 AS ok FROM (SELECT *, n > 50 AND hit / n < 0.5 AS blind FROM pg) GROUP BY rel""").replace("\n, sp AS", ",\nsp AS"))
+@register("a2_reader_agreement", X.with_("docs s", r""", sp AS (SELECT rel, doc_id, n // 5 + 1 AS page, string_agg(line, chr(10)
+ORDER BY n) AS text FROM s GROUP BY ALL),
+ca AS (SELECT rel, doc_id, page, t, count(*) AS a FROM (SELECT rel, doc_id, page, unnest(string_split(regexp_replace(lower(text),
+'[^\p{L}\p{N}]', '', 'g'), '')) AS t FROM sp) WHERE t <> '' GROUP BY ALL),
+pg AS (SELECT rel, page, sum(a) AS n, sum(CASE WHEN (doc_id + page) % 6 = 0 THEN 0 WHEN t = 'e'
+AND (doc_id + page) % 4 = 0 THEN 0 ELSE a END) AS hit FROM ca GROUP BY ALL)
+SELECT rel, coalesce(round(sum(hit) FILTER (NOT blind) / nullif(sum(n) FILTER (NOT blind), 0), 6), 1.0) AS agreement,
+count(*) FILTER (blind) AS blind_pages, count(*) FILTER (NOT blind AND n > 50
+AND hit / n < 0.98) AS low_pages, coalesce(round(sum(hit) FILTER (NOT blind) / nullif(sum(n) FILTER (NOT blind), 0), 6),
+1.0) >= 0.99 AS ok FROM (SELECT *, n > 50 AND hit / n < 0.5 AS blind FROM pg) GROUP BY rel""").replace("\n, sp AS", ",\nsp AS"))
 def a2_agreement(spark, sf):
     """A second reader that sees nothing of some pages and no letter e on others."""
     src, _ = sides(spark, sf)
     d = src.join(X.docs(spark, sf).select("rel", "doc_id"), "rel")
     k = F.col("doc_id") + F.col("page")
-    second = d.select("rel", "page", F.when(k % 6 == 0, "").when(k % 4 == 0, F.replace(F.lower("text"), F.lit("e"), F.lit(""))).otherwise(F.col("text")).alias("text"))
+    second = d.select(
+        "rel",
+        "page",
+        F.when(k % 6 == 0, "").when(
+            k % 4 == 0,
+            F.replace(F.lower("text"), F.lit("e"), F.lit("")),
+        ).otherwise(F.col("text")).alias("text"),
+    )
     return pages.agreement(src, second)
 
 
-@register("j24_unexplained_numbers", "SELECT rel, CASE ln % 4 WHEN 2 THEN CAST(ok AS VARCHAR) END AS missing FROM (SELECT l_orderkey || '-' || l_linenumber AS rel, l_orderkey AS ok, l_linenumber AS ln FROM lineitem)")
+@register(
+    "j24_unexplained_numbers",
+    "SELECT rel, CASE ln % 4 WHEN 2 THEN CAST(ok AS VARCHAR) END AS missing "
+    "FROM (SELECT l_orderkey || '-' || l_linenumber AS rel, l_orderkey AS ok, l_linenumber AS ln FROM lineitem)",
+)
 def j24(spark, sf):
     """Numbers wrapped in a cell, parts of a decimal, a number that is really gone, and none."""
     li = X.table(spark, sf, "lineitem")

@@ -13,7 +13,10 @@ OWN_LINE = (
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main nav ol option p pre section summary table tbody tfoot thead title tr ul"
 ).split()
-NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "euro": "€", "amp": "&"}
+NAMED = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "middot": "·", "ndash": "–", "mdash": "—",
+    "hellip": "…", "euro": "€", "amp": "&",
+}
 
 _UNSEEN = "|".join(rf"<{name}\b.*?</{name}\s*>" for name in UNSEEN)
 #: What is taken out of a page, in this order: (pattern, what comes in its place). RE2 reads the patterns as Java does.

@@ -51,7 +51,9 @@ def latest_state(rows: DataFrame, keys: list[str], order: str, name: str | None
     folder = _folder(spark, name)
     versions = Versions(spark, f"{folder}/state")
     last = lambda both: latest(both, keys, [F.col(order)])
-    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, epoch: versions.advance(epoch, {"rows": (df, keys, last)})).start().awaitTermination()
+    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(
+        lambda df, epoch: versions.advance(epoch, {"rows": (df, keys, last)})
+    ).start().awaitTermination()
     return versions.read("rows", rows.schema)
 
 
@@ -69,11 +71,16 @@ def bursts(rows: DataFrame, limit: int = 5) -> DataFrame:
 
 def stale(beats: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """T4: sessions of heartbeats(run, ts) that have ended: the run was interrupted after its last beat."""
-    return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("s"), "run").agg(F.max("ts").alias("last_beat"), F.count(F.lit(1)).alias("beats"))
+    return beats.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("s"), "run").agg(
+        F.max("ts").alias("last_beat"),
+        F.count(F.lit(1)).alias("beats"),
+    )
 
 
 def corrected(results: DataFrame, apply, folder: str) -> DataFrame:
     """Each batch of new results goes through apply(df), the rules as they are then, to the table of corrected ones."""
     spark = results.sparkSession
-    results.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, epoch: apply(df).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")).start().awaitTermination()
+    results.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(
+        lambda df, epoch: apply(df).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+    ).start().awaitTermination()
     return spark.read.parquet(f"{folder}/rows")

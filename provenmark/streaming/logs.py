@@ -28,7 +28,13 @@ def new_lines(spark: SparkSession, logs: str, offsets: DataFrame) -> DataFrame:
     grown = [r[0] for r in there.join(offsets, "file", "left").where("length > coalesce(at, 0)").select("file").collect()]
     if not grown:
         return spark.createDataFrame([], "file string, at long, value string")
-    lines = spark.read.option("lineSep", "\n").text(grown).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.option("lineSep", "\n").text(grown).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+    )
     bytes_ = (F.octet_length("value") + 1).cast("long")
     splits = lines.groupBy("file", "split").agg(F.sum(bytes_).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -43,12 +49,18 @@ def states_of(events: DataFrame) -> DataFrame:
     """events(room, seq, type, rel, size, outcome, accuracy, files) to what they say of each file; the room itself is the file without a name."""
     kind, seq = F.col("type"), F.col("seq")
     listing = events.where("type = 'listing'")
-    listed = listing.select("room", "seq", F.explode("files").alias("f")).select("room", F.col("f.rel").alias("rel"), F.struct("seq", F.col("f.size").alias("size")).alias("listed"))
+    listed = listing.select("room", "seq", F.explode("files").alias("f")).select(
+        "room",
+        F.col("f.rel").alias("rel"),
+        F.struct("seq", F.col("f.size").alias("size")).alias("listed"),
+    )
     listed = listed.unionByName(listing.select("room", F.lit("").alias("rel"), F.struct("seq", F.lit(None).cast("bigint").alias("size")).alias("listed")))
     said = events.where("type <> 'listing' AND rel IS NOT NULL").select(
         "room", "rel", F.when(kind == "file", F.struct("seq", "outcome", "accuracy")).alias("result"), F.when(kind == "published", seq).alias("published"), F.struct("seq", "type").alias("act")
     )
-    return merged(listed.unionByName(said, allowMissingColumns=True)).select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in STATE.split(", "))])
+    return merged(listed.unionByName(said, allowMissingColumns=True)).select(
+        *[F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in STATE.split(", "))]
+    )
 
 
 def merged(states: DataFrame) -> DataFrame:
@@ -59,9 +71,19 @@ def merged(states: DataFrame) -> DataFrame:
 def files_of(states: DataFrame) -> DataFrame:
     """States to the files of each room, as structure.files_from_events() has them from the whole log."""
     last = states.where("rel = ''").select("room", F.col("listed.seq").alias("last"))
-    files = states.where("rel <> '' AND (listed IS NOT NULL OR result IS NOT NULL)").join(last, "room", "left").where("result.outcome IS NOT NULL OR listed.seq = last")
+    files = states.where(
+        "rel <> '' AND (listed IS NOT NULL OR result IS NOT NULL)"
+    ).join(last, "room", "left").where("result.outcome IS NOT NULL OR listed.seq = last")
     confirmed = F.coalesce((F.col("published") > F.col("result.seq")) | (F.col("published").isNotNull() & F.col("result").isNull()), F.lit(False))
-    return files.select("room", "rel", "listed.size", F.when(F.col("act.type") == "start", "processing").alias("activity"), "result.outcome", "result.accuracy", confirmed.alias("confirmed"))
+    return files.select(
+        "room",
+        "rel",
+        "listed.size",
+        F.when(F.col("act.type") == "start", "processing").alias("activity"),
+        "result.outcome",
+        "result.accuracy",
+        confirmed.alias("confirmed"),
+    )
 
 
 class Follower:
@@ -81,10 +103,16 @@ class Follower:
             if lines.isEmpty():
                 return False
             room = F.regexp_extract("file", self.room, 1)
-            events = structure.events(lines.select(room.alias("room"), "at", "value")).withColumn("seq", F.struct("t", F.when(F.col("type") == "listing", F.lit(0).cast("long")).otherwise(F.col("at")).alias("at")))
+            events = structure.events(lines.select(room.alias("room"), "at", "value")).withColumn(
+                "seq",
+                F.struct("t", F.when(F.col("type") == "listing", F.lit(0).cast("long")).otherwise(F.col("at")).alias("at")),
+            )
             stands = lines.groupBy("file").agg(F.max("at").alias("at"))
             last = lambda rows: rows.groupBy("file").agg(F.max("at").alias("at"))
-            return self.versions.advance((have[-1] if have else -1) + 1, {"files": (states_of(events), ["room", "rel"], merged), "offsets": (stands, ["file"], last)})
+            return self.versions.advance(
+                (have[-1] if have else -1) + 1,
+                {"files": (states_of(events), ["room", "rel"], merged), "offsets": (stands, ["file"], last)},
+            )
         finally:
             lines.unpersist()
 

@@ -116,7 +116,11 @@ def test_glossary_choice(spark, sides):
                         x, y = core(a[i + d]), core(b[k + d])
                         edits = sum(p != q for p, q in zip(x, y, strict=False))
                         if x != y and min(len(x), len(y)) >= 3 and len(x) == len(y) and edits <= 2 and not re.search(r"\d", x + y) and (x in known) != (y in known):
-                            want[(rel, n, "b", k + d, b[k + d], b[k + d].replace(y, x, 1)) if x in known else (rel, n, "a", i + d, a[i + d], a[i + d].replace(x, y, 1))] += 1
+                            want[
+                                (
+                                    rel, n, "b", k + d, b[k + d], b[k + d].replace(y, x, 1),
+                                ) if x in known else (rel, n, "a", i + d, a[i + d], a[i + d].replace(x, y, 1))
+                            ] += 1
     assert Counter((r.rel, r.page, r.engine, r["at"], r.was, r.now) for r in registry.queries()["v2_glossary_choice"](spark, FOLDER).collect()) == want
     assert len(want) > 100
 
@@ -170,4 +174,7 @@ def test_similar_examples(spark):
 
 def test_every_query_without_sql_is_tested_here():
     bare = set(registry.queries()) - set(registry.oracle_sql())
-    assert bare == {"p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w12_cut_sections", "w14_sampled_checks", "v2_glossary_choice", "v4_constrained_pick", "v6_line_diff", "j25_similar_examples"}
+    assert bare == {
+        "p2_strip_markdown", "j3_assignment", "o1_segments", "a1_segment_counts", "w12_packing", "w12_cut_sections",
+        "w14_sampled_checks", "v2_glossary_choice", "v4_constrained_pick", "v6_line_diff", "j25_similar_examples",
+    }

@@ -11,7 +11,9 @@ def test_equals_a_search_of_every_text(spark):
     rng = random.Random(8)
     syllables = ["fo", "x", "quick", "ü", "a", "1.2", "be", "(", "."]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
-    texts = [(i, i % 3, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(12)))) for i in range(150)] + [(200, 0, None), (201, 1, ""), (202, 2, " ")]
+    texts = [
+        (i, i % 3, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(12)))) for i in range(150)
+    ] + [(200, 0, None), (201, 1, ""), (202, 2, " ")]
     wants = [(900 + i, s, f) for i, (s, f) in enumerate(((0, None), (1, ""), (2, " "), (0, "\n"), (1, " a"), (2, "a ")))]
     for k in range(300):
         t = rng.choice(texts)[2] or "none"
@@ -27,15 +29,27 @@ def test_equals_a_search_of_every_text(spark):
 
 
 def test_no_product_of_both_sides(spark):
-    a, b = spark.createDataFrame([(1, "quick foxes ran far")], "id int, text string"), spark.createDataFrame([(1, "quick fox"), (2, "k foxes r"), (3, "")], "ask int, find string")
+    a, b = spark.createDataFrame([(1, "quick foxes ran far")], "id int, text string"), spark.createDataFrame(
+        [(1, "quick fox"), (2, "k foxes r"), (3, "")],
+        "ask int, find string",
+    )
     plan = contained(a, b, ["id"], ["ask"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_headings_that_are_short_or_in_pieces(spark):
-    rows = [("a", 1, 1, "Aim of this part"), ("a", 1, 2, "1.2 Scope"), ("a", 2, 1, "Fir"), ("a", 2, 2, "e safety"), ("a", 3, 1, "Ge"), ("a", 3, 2, "ner"), ("a", 3, 3, "al")]
-    entries = [("a", 1, "Aim", 1), ("a", 2, "1.2", 2), ("a", 3, "Fire safety", 2), ("a", 4, "General", 3), ("a", 5, "Gene", 3), ("a", 6, "Aim", 3), ("a", 7, "--", 1), ("a", 8, "Fire saf", 2)]
-    out = structure.unmatched_headings(spark.createDataFrame(entries, "rel string, seq int, title string, page int"), spark.createDataFrame(rows, "rel string, page int, y int, text string"))
+    rows = [
+        ("a", 1, 1, "Aim of this part"), ("a", 1, 2, "1.2 Scope"), ("a", 2, 1, "Fir"), ("a", 2, 2, "e safety"), ("a", 3, 1, "Ge"),
+        ("a", 3, 2, "ner"), ("a", 3, 3, "al"),
+    ]
+    entries = [
+        ("a", 1, "Aim", 1), ("a", 2, "1.2", 2), ("a", 3, "Fire safety", 2), ("a", 4, "General", 3), ("a", 5, "Gene", 3),
+        ("a", 6, "Aim", 3), ("a", 7, "--", 1), ("a", 8, "Fire saf", 2),
+    ]
+    out = structure.unmatched_headings(
+        spark.createDataFrame(entries, "rel string, seq int, title string, page int"),
+        spark.createDataFrame(rows, "rel string, page int, y int, text string"),
+    )
     assert sorted(r.seq for r in out.collect()) == [5, 6, 7, 8]
 
 
@@ -53,10 +67,20 @@ def test_audit_report_finds_texts_that_go_on(spark, tmp_path):
 
 
 def _bank(spark, published, *grounds):
-    grounds = spark.createDataFrame([(1, *g) for g in grounds], "question int, doc string, page int, contains array<string>, clause string, unreadable boolean, absent string, edition string")
-    pages = spark.createDataFrame([("Vol.pdf", 1, "Cover"), ("Vol.pdf", 2, "D3D14 maximum  riser 190 mm and minimum\n115 mm, the ﬁnal ‘size’")], "doc string, page int, text string")
+    grounds = spark.createDataFrame(
+        [(1, *g) for g in grounds],
+        "question int, doc string, page int, contains array<string>, clause string, unreadable boolean, absent string, edition "
+        "string"
+    )
+    pages = spark.createDataFrame(
+        [("Vol.pdf", 1, "Cover"), ("Vol.pdf", 2, "D3D14 maximum  riser 190 mm and minimum\n115 mm, the ﬁnal ‘size’")],
+        "doc string, page int, text string",
+    )
     units = spark.createDataFrame([("Vol.pdf", 2, published)], "doc string, page int, text string")
-    files = spark.createDataFrame([("Vol/Vol · 01 Part D3 [D3D14] p2.md", "Vol.pdf", ["D3D14"], "published")], "path string, doc string, clauses array<string>, edition string")
+    files = spark.createDataFrame(
+        [("Vol/Vol · 01 Part D3 [D3D14] p2.md", "Vol.pdf", ["D3D14"], "published")],
+        "path string, doc string, clauses array<string>, edition string",
+    )
     questions = spark.createDataFrame([(1,)], "question int")
     return sorted((r.problem, r.subject) for r in check_grounds(questions, grounds, pages, units, files).collect())
 
@@ -64,8 +88,15 @@ def _bank(spark, published, *grounds):
 def test_bank_on_both_sides(spark):
     md = "D3D14 maximum riser **190 mm** | and minimum 115 mm, the final 'size'"
     assert _bank(spark, md, ("Vol.pdf", 2, ["190 mm", "115 mm", "FINAL 'size'"], "D3D14", False, None, None)) == []
-    assert _bank(spark, "D3D14 maximum riser 190 mm and minimum", ("Vol.pdf", 2, ["115 mm"], None, None, None, None)) == [("not in the published text", "115 mm")]
-    assert _bank(spark, "anything", ("Vol.pdf", 2, ["200 mm"], None, None, None, None)) == [("not in the published text", "200 mm"), ("not on the source page", "200 mm")]
+    assert _bank(
+        spark,
+        "D3D14 maximum riser 190 mm and minimum",
+        ("Vol.pdf", 2, ["115 mm"], None, None, None, None),
+    ) == [("not in the published text", "115 mm")]
+    assert _bank(spark, "anything", ("Vol.pdf", 2, ["200 mm"], None, None, None, None)) == [
+        ("not in the published text", "200 mm"),
+        ("not on the source page", "200 mm"),
+    ]
     assert _bank(spark, md, ("Vol.pdf", 1, ["cover"], "D9", True, None, None)) == [("clause not listed", "D9"), ("no marker", None), ("no unit", None)]
     assert _bank(spark, "The formula is not readable", ("Vol.pdf", 2, [], None, True, None, None)) == []
 

@@ -31,7 +31,13 @@ def test_strip_markdown(spark, raw, want):
     assert one(spark, text.strip_md_artifacts, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("1,000 L", ["1000l"]), ("1.000 L", ["1.000l"]), ("0,25", ["0.25"]), ("25 mm and 300 mm", ["25mm", "300mm"]), ("12,345,678", ["12345678"]), ("3 valves", ["3v"]), ("none", [])])
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("1,000 L", ["1000l"]), ("1.000 L", ["1.000l"]), ("0,25", ["0.25"]), ("25 mm and 300 mm", ["25mm", "300mm"]),
+        ("12,345,678", ["12345678"]), ("3 valves", ["3v"]), ("none", []),
+    ],
+)
 def test_numbers(spark, raw, want):
     assert one(spark, text.extract_numbers, raw) == want
 
@@ -45,11 +51,17 @@ def test_counts_and_lines(spark):
 
 def test_scores(spark):
     df = spark.createDataFrame([("ok", 80.0), ("ok", 79.9), ("ok", None), ("rejected", 99.0), (None, 99.0)], "v string, s double")
-    assert [r.x for r in df.select(score.trust_state(F.col("v"), F.col("s")).alias("x")).collect()] == ["trusted", "need_review", "need_review", "rejected", "unreviewed"]
+    assert [
+        r.x for r in df.select(score.trust_state(F.col("v"), F.col("s")).alias("x")).collect()
+    ] == ["trusted", "need_review", "need_review", "rejected", "unreviewed"]
     parts = spark.createDataFrame([(1.0, 0.9, None, None)], "t double, n double, h double, b double")
     cols = dict(zip(("text", "numbers", "headings", "tables"), map(F.col, "tnhb"), strict=True))
     assert parts.select(score.accuracy(cols).alias("x")).first().x == pytest.approx(95.7)
-    assert one(spark, score.reason_code, "MemoryError in worker") == "resources" and one(spark, score.reason_code, "SSLError") == "download" and one(spark, score.reason_code, None) == "other"
+    assert one(
+        spark,
+        score.reason_code,
+        "MemoryError in worker",
+    ) == "resources" and one(spark, score.reason_code, "SSLError") == "download" and one(spark, score.reason_code, None) == "other"
 
 
 def test_names(spark):
@@ -60,15 +72,24 @@ def test_names(spark):
 
 
 def test_alignment(spark):
-    src = spark.createDataFrame([("d", i, x) for i, x in enumerate(["One line", "", "Pipes shall be 25 mm diameter", "same", "same"])], "rel string, n int, line string")
-    md = spark.createDataFrame([("d", i, x) for i, x in enumerate(["one  LINE", "extra here", "Pipes shall be 2S mm diameter", "same"])], "rel string, n int, line string")
+    src = spark.createDataFrame(
+        [("d", i, x) for i, x in enumerate(["One line", "", "Pipes shall be 25 mm diameter", "same", "same"])],
+        "rel string, n int, line string"
+    )
+    md = spark.createDataFrame(
+        [("d", i, x) for i, x in enumerate(["one  LINE", "extra here", "Pipes shall be 2S mm diameter", "same"])],
+        "rel string, n int, line string"
+    )
     found = align.exact_match(src, md)
     segs = align.segments(found, align.assign(align.candidates(found))).orderBy("seq").collect()
     assert [(r.status, r.src_no, r.md_no) for r in segs] == [("md_only", None, 1), ("match", 0, 0), ("changed", 2, 2), ("match", 3, 3), ("src_only", 4, None)]
 
 
 def test_state(spark):
-    log = spark.createDataFrame([("a", 1, "ok", "x"), ("a", 2, None, "x"), ("a", 3, "rejected", "y"), ("b", 4, "ok", "x"), ("b", 5, None, "x")], "rel string, seq int, to_state string, reviewer string")
+    log = spark.createDataFrame(
+        [("a", 1, "ok", "x"), ("a", 2, None, "x"), ("a", 3, "rejected", "y"), ("b", 4, "ok", "x"), ("b", 5, None, "x")],
+        "rel string, seq int, to_state string, reviewer string",
+    )
     assert [tuple(r) for r in state.verdicts(log).collect()] == [("a", "rejected", "y", 1)]
 
 
@@ -81,7 +102,14 @@ def corrected(spark, text, *book, series=None, doc=None):
 
 def test_rules(spark):
     everywhere = (None, None, "all", None, None)
-    assert corrected(spark, "Watre and watres, $5", ("text", "Watre", "Water", *everywhere), ("text", "Water and", "W$1\\ &", *everywhere), ("text", "$5", "five", None, None, "series", "AS 1", None), series="AS 1") == ("W$1\\ & watres, five", {1: 1, 2: 1, 3: 1})
+    assert corrected(
+        spark,
+        "Watre and watres, $5",
+        ("text", "Watre", "Water", *everywhere),
+        ("text", "Water and", "W$1\\ &", *everywhere),
+        ("text", "$5", "five", None, None, "series", "AS 1", None),
+        series="AS 1",
+    ) == ("W$1\\ & watres, five", {1: 1, 2: 1, 3: 1})
     assert corrected(spark, "---\nwas: Watre\n---\nWatre", ("text", "Watre", "Water", *everywhere)) == ("---\nwas: Watre\n---\nWater", {1: 1})
     assert corrected(spark, "bore l50 mm, weight l50 kg", ("number", "l50", "150", "bore ", " mm", "all", None, None)) == ("bore 150 mm, weight l50 kg", {1: 1})
     assert corrected(spark, "fittcd and connectcd, x2cd", ("pattern", r"(\w+)cd", r"\1ed", *everywhere)) == ("fitted and connected, x2cd", {1: 2})
@@ -89,7 +117,10 @@ def test_rules(spark):
 
 
 def test_readings(spark):
-    got = spark.createDataFrame([("l50 mm and 1O0 kPa, ISO 9001, 3D model, Class 2S building, 2S mm",)], "t string").select(readings.correct_text("t").alias("x")).first().x
+    got = spark.createDataFrame(
+        [("l50 mm and 1O0 kPa, ISO 9001, 3D model, Class 2S building, 2S mm",)],
+        "t string",
+    ).select(readings.correct_text("t").alias("x")).first().x
     assert got.text == "150 mm and 100 kPa, ISO 9001, 3D model, Class 2S building, 25 mm" and len(got.log) == 3
 
 

@@ -5,7 +5,10 @@ from .oracle import compare, connect
 
 def test_first_and_last_words_go_on_in_the_page(spark, tmp_path):
     grounds = ["hello world", "extraordinary tale of it", "it was an extraordinary", "single", "no such text here", "", None]
-    texts = ["He wrote (hello   World) there", "An (extraordinary tale of it!) was told", "so it was an extraordinary-looking day", "singled out", "other", "", None]
+    texts = [
+        "He wrote (hello   World) there", "An (extraordinary tale of it!) was told", "so it was an extraordinary-looking day",
+        "singled out", "other", "", None,
+    ]
     spark.createDataFrame(list(enumerate(grounds)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     query, sql = registry.queries()["j16_grounding"], registry.oracle_sql()["j16_grounding"]

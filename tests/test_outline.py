@@ -13,10 +13,19 @@ from provenmark.sources.tables import new_folder
 def test_running_lines_and_labels(spark):
     rows = []
     for page in range(1, 9):
-        rows += [(page, 0, 30.4 + page % 2 * 0.2, "NCC  2025 Volume One"), (page, 1, 50.0, "Part D3"), (page, 90, 960.0, f"Page {page + 10}" if page < 7 else str(page)), (page, 91, 975.0, "xiv"), (page, 50, 500.0, "NCC 2025 Volume One")]
+        rows += [
+            (page, 0, 30.4 + page % 2 * 0.2, "NCC  2025 Volume One"),
+            (page, 1, 50.0, "Part D3"),
+            (page, 90, 960.0, f"Page {page + 10}" if page < 7 else str(page)),
+            (page, 91, 975.0, "xiv"),
+            (page, 50, 500.0, "NCC 2025 Volume One"),
+        ]
         rows += [(page, 2 + k, 40.0 + k / 3, f"Head {k}") for k in range(3)]
         rows += [(page, 95, 980.0, "1a")]
-    lines = spark.createDataFrame([("d", p, n, y, y + 8, 1000.0, t) for p, n, y, t in rows], "doc string, page int, n int, y0 double, y1 double, height double, text string")
+    lines = spark.createDataFrame(
+        [("d", p, n, y, y + 8, 1000.0, t) for p, n, y, t in rows],
+        "doc string, page int, n int, y0 double, y1 double, height double, text string"
+    )
     found = {(r.key, r.y): r.pages for r in layout.running_lines(lines).collect()}
     assert found == {("ncc # volume one", 30): 4, ("ncc # volume one", 31): 4, ("part d#", 50): 8, ("page #", 960): 6, ("xiv", 975): 8}
     told = layout.body_and_labels(lines)
@@ -38,7 +47,10 @@ def test_wrapper_levels(spark):
     assert of(4) == [(0, 1)] and of(3, 4) == [(1, 1)]
 
 
-@pytest.mark.parametrize(("pages", "steps", "usable"), [([1, 2, 3, 4], 0, False), ([1, 2, 3, 4, 5], 0, True), ([1, 2, 3, 2, 5], 1, False), ([*range(60), 3], 1, True)])
+@pytest.mark.parametrize(
+    ("pages", "steps", "usable"),
+    [([1, 2, 3, 4], 0, False), ([1, 2, 3, 4, 5], 0, True), ([1, 2, 3, 2, 5], 1, False), ([*range(60), 3], 1, True)],
+)
 def test_contents_usable(spark, pages, steps, usable):
     entries = spark.createDataFrame([("d", i, 1, "t", p) for i, p in enumerate(pages)], "doc string, i int, level int, title string, page int")
     docs = spark.createDataFrame([("d", 200), ("none", 3)], "doc string, pages int")
@@ -76,7 +88,18 @@ def outline_rows(seed=1, docs=6):
     for d in range(docs):
         for n in range(rng.randrange(1, 160)):
             level = rng.choices([None, 1, 2, 3, 4], [20, 1, 1, 2 * (d % 2), d % 2])[0]
-            rows.append((f"d{d}", n, level, f"{level}: a/b {n}" if level else None, f"Part {n}" if level is None and rng.random() < 0.03 else None, rng.randrange(40), n // 6, f"line {n}"))
+            rows.append(
+                (
+                    f"d{d}",
+                    n,
+                    level,
+                    f"{level}: a/b {n}" if level else None,
+                    f"Part {n}" if level is None and rng.random() < 0.03 else None,
+                    rng.randrange(40),
+                    n // 6,
+                    f"line {n}",
+                )
+            )
     return rows
 
 
@@ -142,7 +165,17 @@ def test_hash_by_blocks(spark, tmp_path):
 
 
 def test_decoding(spark):
-    raws = [b"", "füñ €".encode(), "café €–Ÿ".encode("cp1252"), b"\xe9\x81", bytes(range(256)), bytes(i for i in range(256) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), b"\xed\xa0\x80", b"\xc0\x80", None]
+    raws = [
+        b"",
+        "füñ €".encode(),
+        "café €–Ÿ".encode("cp1252"),
+        b"\xe9\x81",
+        bytes(range(256)),
+        bytes(i for i in range(256) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)),
+        b"\xed\xa0\x80",
+        b"\xc0\x80",
+        None
+    ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, c binary")
 
     def want(raw):
@@ -152,7 +185,9 @@ def test_decoding(spark):
             except UnicodeDecodeError:
                 continue
 
-    assert [r.d and tuple(r.d) for r in df.orderBy("i").select(files.decoded(F.col("c")).alias("d")).collect()] == [None if r is None else want(r) for r in raws]
+    assert [
+        r.d and tuple(r.d) for r in df.orderBy("i").select(files.decoded(F.col("c")).alias("d")).collect()
+    ] == [None if r is None else want(r) for r in raws]
 
 
 @pytest.mark.parametrize(("text", "kinds"), [
@@ -167,7 +202,10 @@ def test_located(spark, text, kinds):
 
 
 def test_a_run_taken_out(spark):
-    rows = [("r1", 1, "a", "a.md", "1"), ("r1", 2, "b", "b.md", "1"), ("r2", 3, "a", "a.md", "2"), ("r2", 4, "c", "c.md", "2"), ("r2", 5, "b", "b.md", None), ("r3", 6, "a", "a.md", "3"), ("r2", 7, "d", "d.md", None)]
+    rows = [
+        ("r1", 1, "a", "a.md", "1"), ("r1", 2, "b", "b.md", "1"), ("r2", 3, "a", "a.md", "2"), ("r2", 4, "c", "c.md", "2"),
+        ("r2", 5, "b", "b.md", None), ("r3", 6, "a", "a.md", "3"), ("r2", 7, "d", "d.md", None),
+    ]
     p = spark.createDataFrame(rows, "run string, seq int, document string, path string, hash string")
     ledger = spark.createDataFrame([("a", "r3"), ("b", "r2"), ("c", "r2")], "document string, run string")
     moved, kept = published.rollback(p, ledger, "r2")

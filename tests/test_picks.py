@@ -27,7 +27,13 @@ def test_no_similar_word_is_lost(spark, least):
     base = ["".join(rng.choice("aeiounrstlmd") for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 12, 13, 20, 24, 25, 30, 44]))) for _ in range(60)]
     known = sorted({changed(w) for w in base for _ in range(3)} | {"😀x", "x😀"})
     words = sorted({changed(w) for w in base} | {"", "x😀", "a"})
-    got = {(r.word, r.near) for r in picks.similar_words(spark.createDataFrame([(w,) for w in words], WORDS), spark.createDataFrame([(w,) for w in known], WORDS), least).collect()}
+    got = {
+        (r.word, r.near) for r in picks.similar_words(
+            spark.createDataFrame([(w,) for w in words], WORDS),
+            spark.createDataFrame([(w,) for w in known], WORDS),
+            least
+        ).collect()
+    }
     assert got == {(w, k) for w in words for k in known if w and k and ratio(w, k) >= least} and len(got) > 50
 
 
@@ -52,7 +58,12 @@ def test_an_invented_word_is_rejected_and_a_failure_skipped(spark):
     pairs, asked = ask(spark, "the Ioad here", "the lcad here")
     assert answer(spark, pairs, asked, "road") == ("the Ioad here", "the lcad here", [("rejected", "road")])
     assert answer(spark, pairs, asked, None, "refused") == ("the Ioad here", "the lcad here", [("skipped", "refused")])
-    assert [r.outcome for r in picks.picks(asked, spark.createDataFrame([], "rel string, page int, at_a int, pick string, error string")).collect()] == ["skipped"]
+    assert [
+        r.outcome for r in picks.picks(
+            asked,
+            spark.createDataFrame([], "rel string, page int, at_a int, pick string, error string"),
+        ).collect()
+    ] == ["skipped"]
 
 
 def test_numbers_are_never_asked(spark):

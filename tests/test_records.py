@@ -23,10 +23,26 @@ def test_clauses_with_states(spark):
 
 
 def test_triage(spark):
-    docs = spark.createDataFrame([("text", True, False, True), ("scan", True, False, True), ("drawing", True, False, True), ("locked", True, True, True), ("kept", True, False, False), ("broken", False, False, True), ("empty", True, False, True)], "doc string, opens boolean, locked boolean, may_copy boolean")
-    pages = [("text", i, 500, 2, 600, 800) for i in range(3)] + [("scan", i, 10, 2, 600, 800) for i in range(3)] + [("drawing", i, 50, 400, 1200 if i < 25 else 10, 800) for i in range(50)] + [("locked", 0, 500, 0, 1, 1)]
-    got = {r.doc: (r["class"], r.pages, r.chars) for r in records.triage(docs, spark.createDataFrame(pages, "doc string, i int, chars int, vectors int, width int, height int")).collect()}
-    assert got == {"text": ("text", 3, 500.0), "scan": ("scan", 3, 10.0), "drawing": ("drawing", 50, 50.0), "locked": ("protected", 1, None), "kept": ("protected", 0, None), "broken": ("unsupported", 0, None), "empty": ("unsupported", 0, None)}
+    docs = spark.createDataFrame(
+        [
+            ("text", True, False, True), ("scan", True, False, True), ("drawing", True, False, True), ("locked", True, True, True),
+            ("kept", True, False, False), ("broken", False, False, True), ("empty", True, False, True),
+        ],
+        "doc string, opens boolean, locked boolean, may_copy boolean",
+    )
+    pages = [("text", i, 500, 2, 600, 800) for i in range(3)] + [("scan", i, 10, 2, 600, 800) for i in range(3)] + [
+        ("drawing", i, 50, 400, 1200 if i < 25 else 10, 800) for i in range(50)
+    ] + [("locked", 0, 500, 0, 1, 1)]
+    got = {
+        r.doc: (r["class"], r.pages, r.chars) for r in records.triage(
+            docs,
+            spark.createDataFrame(pages, "doc string, i int, chars int, vectors int, width int, height int"),
+        ).collect()
+    }
+    assert got == {
+        "text": ("text", 3, 500.0), "scan": ("scan", 3, 10.0), "drawing": ("drawing", 50, 50.0), "locked": ("protected", 1, None),
+        "kept": ("protected", 0, None), "broken": ("unsupported", 0, None), "empty": ("unsupported", 0, None),
+    }
 
 
 RULE = "id int, num int, kind string, find string, replace string, before string, after string, scope string, series string, doc string, enabled boolean, reverts int"
@@ -57,7 +73,15 @@ def test_pattern_scores(spark):
 
 def test_score_sheet(spark):
     rows = [(i, "A" if i else "F", True, True, True, None if i == 5 else True, float(i)) for i in range(100)]
-    got = {r.category: (r.questions, r.passed, r.median_s, r.enough) for r in records.score_sheet(spark.createDataFrame(rows, "id int, category string, answer_ok boolean, citation_ok boolean, status_ok boolean, honesty_ok boolean, seconds double")).collect()}
+    got = {
+        r.category: (r.questions, r.passed, r.median_s, r.enough) for r in records.score_sheet(
+            spark.createDataFrame(
+                rows,
+                "id int, category string, answer_ok boolean, citation_ok boolean, status_ok boolean, honesty_ok boolean, seconds "
+                "double",
+            )
+        ).collect()
+    }
     assert got == {None: (100, 99, 49.5, True), "A": (99, 98, 50.0, None), "F": (1, 1, 0.0, True)}
 
 
@@ -69,6 +93,11 @@ def test_affected(spark):
 
 
 def test_backfill(spark):
-    counts = spark.createDataFrame([("a", None, 7, None, 8), ("b", 1, 2, 3, 4), ("c", None, None, None, None)], "rel string, src_chars long, md_chars long, src_words long, md_words long")
+    counts = spark.createDataFrame(
+        [("a", None, 7, None, 8), ("b", 1, 2, 3, 4), ("c", None, None, None, None)],
+        "rel string, src_chars long, md_chars long, src_words long, md_words long",
+    )
     texts = spark.createDataFrame([("a", "two words ", "x"), ("b", "more words here", "x")], "rel string, src string, md string")
-    assert {r.rel: (r.src_chars, r.md_chars, r.src_words, r.md_words) for r in records.backfill(counts, texts).collect()} == {"a": (9, 7, 2, 8), "b": (1, 2, 3, 4), "c": (None,) * 4}
+    assert {
+        r.rel: (r.src_chars, r.md_chars, r.src_words, r.md_words) for r in records.backfill(counts, texts).collect()
+    } == {"a": (9, 7, 2, 8), "b": (1, 2, 3, 4), "c": (None,) * 4}

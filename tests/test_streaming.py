@@ -80,11 +80,23 @@ def test_whole_lines_only_and_a_new_driver_goes_on(spark, tmp_path):
     follower = logs.Follower(spark, str(path), folder)
     follower.poll()
     # a file without a result goes with the listing; one with a result stays and has to be confirmed anew
-    assert files(follower) == {("a", "/a.pdf"): (None, "result", 50.0, False), ("a", "/new.pdf"): (None, None, None, False), ("b", "/x.pdf"): (None, "unprocessable", None, False)}
+    assert files(follower) == {
+        ("a", "/a.pdf"): (None, "result", 50.0, False),
+        ("a", "/new.pdf"): (None, None, None, False),
+        ("b", "/x.pdf"): (None, "unprocessable", None, False),
+    }
 
 
 def test_many_polls_over_many_splits_equal_the_whole_log(spark, tmp_path):
-    said = "".join(event(["start", "file", "published", "publish_failed", "unchanged"][i * 7 % 5], i, rel=f"/{i % 17}.pdf", outcome="result", accuracy=float(i)) + (listing(i, *(f"/{j}.pdf" for j in range(i % 13))) if i % 40 == 0 else "") for i in range(400)).encode()
+    said = "".join(
+        event(
+            ["start", "file", "published", "publish_failed", "unchanged"][i * 7 % 5],
+            i,
+            rel=f"/{i % 17}.pdf",
+            outcome="result",
+            accuracy=float(i),
+        ) + (listing(i, *(f"/{j}.pdf" for j in range(i % 13))) if i % 40 == 0 else "") for i in range(400)
+    ).encode()
     path, folder = tmp_path / "logs", new_folder(spark, "tests")
     path.mkdir()
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -113,5 +125,7 @@ def test_streams_go_on_by_name(spark, tmp_path):
     assert jobs.drained(jobs.progress(stream()), "complete", f"{name}-n").agg(F.sum("n")).first()[0] == 50
     rows(50, 53).write.parquet(f"{path}2")
     assert {r.k: r.id for r in jobs.latest_state(stream(), ["k"], "id", name).collect()} == {k: max(i for i in range(53) if i % 7 == k) for k in range(7)}
-    assert {r.event_type: (r.n, r.last_id) for r in jobs.drained(jobs.progress(stream()), "complete", f"{name}-n").collect()} == {str(t): (len(range(t, 53, 3)), max(range(t, 53, 3))) for t in range(3)}
+    assert {
+        r.event_type: (r.n, r.last_id) for r in jobs.drained(jobs.progress(stream()), "complete", f"{name}-n").collect()
+    } == {str(t): (len(range(t, 53, 3)), max(range(t, 53, 3))) for t in range(3)}
     assert jobs.latest_state(stream(), ["k"], "id", name).count() == 7  # nothing new
