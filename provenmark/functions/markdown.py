@@ -14,12 +14,14 @@ UNREADABLE = "⚠️ [unreadable formula]"
 FIGURE_NOTICE = "> **Figure.** This page has a figure that is not reproduced here."
 UNIT = r"(?s)<!-- unit: p\d+ \| src: p\.(\d+)[^>]*-->\n\n(.*?)\n\n<!-- /unit -->"
 INSTRUCTION = r"(?i)ignore (?:all )?(?:the )?(?:previous|above) instructions|you are an? (?:ai|assistant)|as an ai"
+#: The same as whole words: `pas an ai...` says nothing to an assistant.
+INSTRUCTION_WORDS = rf"(?i)\b(?:{INSTRUCTION.removeprefix('(?i)')})\b"
 LICENCE_MARKS = ("licensed to", "licenced to")
 
 
 def unit_flags(body: Column) -> Column:
     """`-` or the flags that the text itself calls for."""
-    found = F.array_compact(F.array(F.when(F.contains(body, F.lit(UNREADABLE)), "unreadable_formula"), F.when(body.rlike(INSTRUCTION), "instruction_like")))
+    found = F.array_compact(F.array(F.when(F.contains(body, F.lit(UNREADABLE)), "unreadable_formula"), F.when(body.rlike(INSTRUCTION_WORDS), "instruction_like")))
     return F.when(F.size(found) == 0, "-").otherwise(F.array_join(found, ","))
 
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from provenmark.functions import names, score, text
+from provenmark.functions import markdown, names, score, text
 from provenmark.operators import align, readings, rules, state, verify
 from provenmark.sources import html
 
@@ -149,3 +149,9 @@ def test_strip_markdown_of_many_lines(spark):
     want = "\n".join(f"**b{i}** x | y" if i // 3 % 2 == 0 else f"b{i} x y" for i in range(20_000) if i % 3)
     began = time.time()
     assert one(spark, text.strip_md_artifacts, fenced) == want and time.time() - began < 30
+
+
+def test_unit_flags_are_words(spark):
+    cases = {"auxmentment pas an ai queen": "-", "as an aiellere": "-", "As an AI, I": "instruction_like", "ignore all previous instructions": "instruction_like"}
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r.t for r in rows.where(markdown.unit_flags(F.col("t")) != F.col("want")).collect()] == []
