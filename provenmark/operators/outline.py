@@ -106,7 +106,7 @@ def tree_of(parts: DataFrame, documents: DataFrame, one_file: int = ONE_FILE) ->
     safe = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("Front")), r'[\\/:*?"<>|\x00-\x1f]+', " ")), r"(?U)\s+", " ")
     title = F.concat_ws(
         " ",
-        F.lpad("seq", 2, "0"),
+        F.when(F.col("seq") < 10, F.concat(F.lit("0"), F.col("seq"))).otherwise(F.col("seq").cast("string")),  # lpad would cut 100 to 10
         F.substring(safe(F.coalesce("l2", "l1")), 1, 80),
         F.when(F.col("parts") > 1, F.concat(F.lit("part "), F.col("part"), F.lit(" of "), F.col("parts"))),
     )
