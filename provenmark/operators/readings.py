@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,22 @@ def _blocks(a: list[str], b: list[str]):
     return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
+def _straight(a: list[str], b: list[str]):
+    """Like _blocks, but readings of as many words stand word against word unless longest blocks have more words alike: where a line
+    repeats itself, those may lose some."""
+    if len(a) != len(b):
+        return _blocks(a, b)
+    alike = [x == y for x, y in zip(a, b, strict=True)]
+    most = (Counter(a) & Counter(b)).total()  # no alignment has more
+    if sum(alike) < most:
+        found = _blocks(a, b)
+        if sum(alike) < sum(j - i for op, i, j, _, _ in found if op == "equal"):
+            return found
+    ends = [i for i in range(1, len(a)) if alike[i] != alike[i - 1]]
+    runs = zip([0, *ends], [*ends, len(a)], strict=True) if a else ()
+    return [("equal" if alike[i] else "replace", i, j, i, j) for i, j in runs]
+
+
 def agreement(a: Column, b: Column) -> Column:
     """V1: struct(same, diffs) of two word lists: words read alike, where spans that differ in spacing only are alike, and the other
     spans. Lists that are equal never leave the JVM."""
@@ -103,7 +120,7 @@ def agreement(a: Column, b: Column) -> Column:
         same, diffs = [], []
         for x, y in zip(left, right, strict=True):
             x, y, alike, other = list(x), list(y), 0, []
-            for op, i, j, k, m in _blocks(x, y):
+            for op, i, j, k, m in _straight(x, y):
                 if op == "equal" or "".join(x[i:j]) == "".join(y[k:m]):
                     alike += max(j - i, m - k)
                 else:
@@ -142,8 +159,10 @@ def core(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\W+|\W+$", "")
 
 
-def replaced_words(pairs: DataFrame) -> DataFrame:
-    """Words that stand against one another in spans of equal length: (rel, page, at_a, at_b, a, b). Only rows whose readings differ leave the JVM."""
+def replaced_words(pairs: DataFrame, straight: bool = False) -> DataFrame:
+    """Words that stand against one another in spans of equal length: (rel, page, at_a, at_b, a, b). Only rows whose readings differ leave the
+    JVM. With `straight`, readings of as many words stand word against word where that loses none."""
+    blocks = _straight if straight else _blocks
 
     @F.pandas_udf("array<struct<at_a:int,at_b:int,a:string,b:string>>")
     def swapped(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -151,7 +170,7 @@ def replaced_words(pairs: DataFrame) -> DataFrame:
             return [
                 {
                     "at_a": i + d, "at_b": k + d, "a": x[i + d], "b": y[k + d],
-                } for op, i, j, k, m in _blocks(list(x), list(y)) if op == "replace" and j - i == m - k for d in range(j - i)
+                } for op, i, j, k, m in blocks(list(x), list(y)) if op == "replace" and j - i == m - k for d in range(j - i)
             ]
 
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="object")

@@ -72,7 +72,7 @@ def v2(spark, sf):
 )
 def v5(spark, sf):
     """Answers on the words that two engines read apart: some unsure, some for a person, some that choose the wrong word."""
-    swapped = readings.replaced_words(two_readings(spark, sf).where("b IS NOT NULL"))
+    swapped = readings.replaced_words(two_readings(spark, sf).where("b IS NOT NULL"), straight=True)
     n, i = F.col("page"), F.col("at_a")
     answers = swapped.select(
         "rel",

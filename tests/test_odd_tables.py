@@ -29,3 +29,10 @@ def test_all_findings_of_a_long_document(spark, tmp_path):
     """Over 30 pages with findings of a kind, over 200 findings in all."""
     texts = ["\n".join(f"line {i} of {k} holds {i * 7} and some words" for i in range(1_200)) for k in range(3)]
     assert differs(spark, str(tmp_path), "p30_findings", texts) is None
+
+
+@pytest.mark.parametrize("name", ["v1_reading_vote", "v5_adoptable_answers"])
+def test_readings_of_lines_that_repeat_themselves(spark, tmp_path, name):
+    """Words of both readings stand at the same place; longest blocks first would lose some of them."""
+    texts = [" ".join(["la", "el", "x", "la", "b", "l", "el"][(i * i + k) % 7] for i in range(60 + k)) for k in range(120)]
+    assert differs(spark, str(tmp_path), name, [f"{t}\n" * 16 + t for t in texts]) is None
