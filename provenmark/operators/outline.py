@@ -77,23 +77,28 @@ def _fold(rows: list[tuple], most: float, boundary) -> list[list[tuple]]:
 def split_sections(items: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     """items(doc, seq, n, size, level, page) with `part` and `parts`: sections over `most` characters are cut before clause headings
     (level 3 or more) once a part is 60 % full, and parts that are still too long at page ends. Sections without clause headings are
-    cut at a third of that size. Only numbers of long sections leave the JVM, a section at a time."""
+    cut at a third of that size. Only numbers of long sections leave the JVM, many sections in a batch."""
     clause = F.coalesce(F.col("level") >= 3, F.lit(False))
     sizes = items.groupBy("doc", "seq").agg(F.sum("size").alias("total"), F.max(clause).alias("clauses"))
     sizes = sizes.withColumn("most", F.when(F.col("clauses"), F.lit(float(most))).otherwise(F.lit(float(most // 3)))).where("total > most")
-    long = items.join(sizes.select("doc", "seq", "most"), ["doc", "seq"]).select("doc", "seq", "n", "size", clause.alias("clause"), "page", "most")
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        most = float(rows["most"].iloc[0])
-        parts: list[list[tuple]] = []
-        for part in _fold(list(zip(rows["n"], rows["size"], rows["clause"], rows["page"], strict=True)), most, lambda row, _: row[2]):
-            parts += _fold(part, most, lambda row, before: row[3] != before[3]) if sum(r[1] for r in part) > most else [part]
-        said = [(r[0], i, len(parts)) for i, part in enumerate(parts, 1) for r in part]
-        return pd.DataFrame(said, columns=["n", "part", "parts"]).assign(doc=rows["doc"].iloc[0], seq=rows["seq"].iloc[0])[["doc", "seq", "n", "part", "parts"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    done = long.groupBy("doc", "seq").applyInPandas(cut, f"doc {kinds['doc']}, seq {kinds['seq']}, n {kinds['n']}, part int, parts int")
+    rows = F.sort_array(F.collect_list(F.struct("n", "size", clause.alias("clause"), "page")))
+    long = items.join(sizes.select("doc", "seq", "most"), ["doc", "seq"]).groupBy("doc", "seq", "most").agg(
+        *[rows.getField(c).alias(c) for c in ("n", "size", "clause", "page")]
+    )
+
+    @F.pandas_udf("array<int>")
+    def cut(sizes: pd.Series, clauses: pd.Series, pages: pd.Series, mosts: pd.Series) -> pd.Series:
+        def one(size, clause, page, most):
+            parts: list[list[tuple]] = []
+            for part in _fold(list(zip(range(len(size)), size, clause, page, strict=True)), most, lambda row, _: row[2]):
+                parts += _fold(part, most, lambda row, before: row[3] != before[3]) if sum(r[1] for r in part) > most else [part]
+            return [i for i, part in enumerate(parts, 1) for _ in part]
+
+        return pd.Series([one(list(s), list(c), list(p), float(m)) for s, c, p, m in zip(sizes, clauses, pages, mosts, strict=True)], dtype="object")
+
+    done = long.withColumn("cut", cut("size", "clause", "page", "most")).select(
+        "doc", "seq", F.inline(F.arrays_zip("n", F.col("cut").alias("part"))).alias("n", "part"), F.element_at("cut", -1).alias("parts"),
+    )
     return items.join(done, ["doc", "seq", "n"], "left").fillna(1, ["part", "parts"])
 
 
