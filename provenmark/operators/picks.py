@@ -8,15 +8,19 @@ import functools
 import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import readings
 
 LEAST, MOST = 0.7, 3
 #: Words up to this length meet by three of their rare letters, longer ones by one.
 SHORT, TOGETHER = 24, 3
+#: Known words in a block, words that meet it in one row, and rows to make at least where there are enough words.
+BLOCK, TOGETHER_ASKED, TASKS = 20_000, 4000, 64
 
 
 def ratio(a: str, b: str) -> float:
@@ -97,6 +101,64 @@ def similar_words(words: DataFrame, known: DataFrame, least: float = LEAST) -> D
     return met.where(alike("word", "near"))
 
 
+def _first_alike(asked: list[str], block: list[str], most: int, least: float) -> list[dict]:
+    """For each asked word the first `most` words of a sorted block with ratio() >= least, as (word, near). Letters in common are counted
+    for the whole block at once; only words that pass that bound are compared, in their order, until `most` are found."""
+    size = np.array([len(w) for w in block], dtype=np.int32)
+    held = collections.defaultdict(lambda: np.zeros(len(block), dtype=np.int32))
+    for k, w in enumerate(block):
+        for x in w:
+            held[x][k] += 1
+    matchers, found = {}, []
+    for word in asked:
+        common = np.zeros(len(block), dtype=np.int32)
+        for x, n in collections.Counter(word).items():
+            if x in held:
+                common += np.minimum(held[x], n)
+        left = most
+        for k in np.flatnonzero(2 * common >= least * (size + len(word)) - 1e-9).tolist():
+            if k not in matchers:
+                matchers[k] = difflib.SequenceMatcher(None, "", block[k])
+            matchers[k].set_seq1(word)
+            if matchers[k].ratio() >= least:
+                found.append({"word": word, "near": block[k]})
+                left -= 1
+                if left == 0:
+                    break
+    return found
+
+
+def first_similar_words(words: DataFrame, known: DataFrame, most: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """words(word) and known(word) to (word, near): of each word the first `most` known ones with ratio(word, near) >= least, in their order.
+
+    Where a vocabulary is dense, a word has hundreds of such words and meets many more, but its first few stand near the beginning. So
+    the known words are dealt into sorted blocks, and words meet the first block, then the next four, then sixteen; those that
+    have enough go on no further. Both sides stay tables: a row holds one block and some words.
+    """
+    words, known = (written(d.select("word").where("word <> ''").distinct()) for d in (words, known))
+    n = max(1, math.ceil(known.count() / block))
+    blocks = written(known.repartitionByRange(n, "word").select("word", F.spark_partition_id().alias("__block")))
+    blocks = written(blocks.groupBy("__block").agg(F.array_sort(F.collect_list("word")).alias("__known")))
+    last = blocks.agg(F.max("__block")).first()[0]
+
+    @F.pandas_udf("array<struct<word:string,near:string>>")
+    def alike(asked: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([_first_alike(list(a), list(b), most, least) for a, b in zip(asked, held, strict=True)], dtype="object")
+
+    found, start, wide = words.select("word", F.col("word").alias("near")).limit(0), 0, 1
+    while last is not None and start <= last:
+        enough = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        open_ = words.join(enough, "word", "left_anti")
+        parts = max(math.ceil(open_.count() / TOGETHER_ASKED), math.ceil(TASKS / wide))
+        lists = open_.groupBy(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("__part")).agg(F.collect_list("word").alias("__asked"))
+        ids = F.explode(F.sequence(F.lit(start), F.lit(min(last, start + wide - 1))))
+        met = lists.select("__part", "__asked", ids.alias("__block")).join(blocks, "__block").repartition(max(TASKS, parts), "__part", "__block")
+        found = found.unionByName(written(met.select(F.inline(alike("__asked", "__known")))))
+        start, wide = start + wide, 4 * wide
+    first = Window.partitionBy("word").orderBy("near")
+    return found.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).select("word", "near")
+
+
 def questions(pairs: DataFrame, known: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
     """pairs(rel, page, a, b) to the words to pick: (rel, page, at_a, at_b, a, b, candidates, context).
 
@@ -104,9 +166,8 @@ def questions(pairs: DataFrame, known: DataFrame, least: float = LEAST, most: in
     reading without the marks around it, in their order; the context has eight words on each side.
     """
     met = readings.replaced_words(pairs.where("a IS NOT NULL AND b IS NOT NULL")).where(~F.concat("a", "b").rlike(r"(?U)\d") & (F.col("a") != F.col("b")))
-    met = met.withColumn("word", readings.core(F.col("a")))
-    first = Window.partitionBy("word").orderBy("near")
-    near = similar_words(met.select("word"), known, least).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most + 2)
+    met = written(met.withColumn("word", readings.core(F.col("a"))))  # words and questions both read it
+    near = first_similar_words(met.select("word"), known, most + 2, least)
     near = near.groupBy("word").agg(F.array_sort(F.collect_list("near")).alias("near"))
     other = F.filter(F.coalesce("near", F.array().cast("array<string>")), lambda w: (w != F.col("a")) & (w != F.col("b")))
     asked = met.join(near, "word", "left").withColumn("candidates", F.concat(F.array("a", "b"), F.slice(other, 1, most)))

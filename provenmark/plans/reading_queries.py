@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import picks, readings
+from ..sources.tables import written
 from . import fixtures as X
 from .registry import register
 
@@ -141,7 +142,7 @@ def p11(spark, sf):
 def picked(spark, sf):
     """Words that two engines read apart with glossary candidates, and answers to them: most take a candidate, some invent one, some fail."""
     pairs = two_readings(spark, sf).select("rel", "page", "a", "b")
-    asked = picks.questions(pairs, known(spark, sf))
+    asked = written(picks.questions(pairs, known(spark, sf)))  # questions, answers and the log all read it
     k = F.pmod(F.col("page") + F.col("at_a"), F.lit(7))
     answers = asked.select(
         "rel",

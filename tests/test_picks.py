@@ -37,6 +37,23 @@ def test_no_similar_word_is_lost(spark, least):
     assert got == {(w, k) for w in words for k in known if w and k and ratio(w, k) >= least} and len(got) > 50
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_first_similar_words_by_brute_force(spark, block):
+    """Blocks of a few words and one of all find the same first words, whatever order they are in."""
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choice("abcdeü😀") for _ in range(rng.choice([1, 3, 4, 5, 9, 30]))) for _ in range(150)} | {""})
+    words = sorted({"".join(rng.choice("abcdeü😀") for _ in range(rng.choice([1, 3, 4, 5, 9, 30]))) for _ in range(60)} | {"", "zzz"})
+    want = {(w, k) for w in words if w for k in [k for k in known if k and ratio(w, k) >= 0.7][:3]}
+    got = picks.first_similar_words(spark.createDataFrame([(w,) for w in words], WORDS), spark.createDataFrame([(w,) for w in known], WORDS), 3, block=block)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 30
+
+
+def test_words_are_compared_until_enough_are_found(monkeypatch):
+    calls, real = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or real(self))
+    assert picks._first_alike(["abcdefgh"], [f"abcdefg{x:05}"[:9] for x in range(5000)], 5, 0.7) and len(calls) == 5
+
+
 def ask(spark, a, b, known=()):
     pairs = spark.createDataFrame([("r", 1, a, b)], "rel string, page int, a string, b string")
     return pairs, picks.questions(pairs, spark.createDataFrame([(w,) for w in known], WORDS))
