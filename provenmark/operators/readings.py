@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ LETTERS, DIGITS = "OolISBZ", "0011582"
 UNIT = r"(?:mm|cm|km|kg|kN|kPa|MPa|Pa|kW|Hz|mL|m|N|W|V|L|%)"
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 TYPED, PLAIN = "“”„‘’–", "\"\"\"''—"
+#: Places of a word in the other reading, on average, from which all of them are looked at together.
+DENSE = 40
 LOG = "array<struct<rule:string,from:string,to:string>>"
 #: Corrections in their order: (rule, pattern, what a match becomes).
 CORRECTIONS = (
@@ -91,8 +95,61 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(typed(F.coalesce(c, F.lit(""))), F.lit(r"\S+"), F.lit(0))
 
 
+class _Aligned(difflib.SequenceMatcher):
+    """SequenceMatcher without junk, with the same blocks. A search within a stretch of b begins at that stretch, and no block in a stretch is
+    longer than the one that the stretch was cut off by, so the first of that length ends it. The library's own goes through all
+    places of all words each time, which takes seconds on a line of thousands of words that repeat themselves."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        self._longest: dict[tuple, int] = {}
+        super().__init__(None, a, b, autojunk=False)
+        self._dense = sum(len(self.b2j.get(x, ())) for x in a) > DENSE * len(a)
+        self._places = {x: np.array(at, dtype=np.int64) for x, at in self.b2j.items()} if self._dense else {}
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        i, j, k = (self._by_rows if self._dense else self._first_longest)(alo, ahi, blo, bhi, min(ahi - alo, bhi - blo, self._longest.pop((alo, ahi, blo, bhi), ahi)))
+        self._longest[alo, i, blo, j] = self._longest[i + k, ahi, j + k, bhi] = k
+        return difflib.Match(i, j, k)
+
+    def _first_longest(self, alo: int, ahi: int, blo: int, bhi: int, longest: int) -> tuple[int, int, int]:
+        best_i, best_j, best, runs = alo, blo, 0, {}
+        for i in range(alo, ahi if longest else alo):
+            now, places = {}, self.b2j.get(self.a[i], ())
+            for at in range(bisect.bisect_left(places, blo), len(places)):
+                j = places[at]
+                if j >= bhi:
+                    break
+                k = now[j] = runs.get(j - 1, 0) + 1
+                if k > best:
+                    best_i, best_j, best = i - k + 1, j - k + 1, k
+                    if k == longest:
+                        return best_i, best_j, best
+            runs = now
+        return best_i, best_j, best
+
+    def _by_rows(self, alo: int, ahi: int, blo: int, bhi: int, longest: int) -> tuple[int, int, int]:
+        """The same, where a word has many places: all places of a word of a at once."""
+        best_i, best_j, best = alo, blo, 0
+        runs, now, was, none = np.zeros(bhi - blo + 1, np.int64), np.zeros(bhi - blo + 1, np.int64), (), np.zeros(0, np.int64)
+        for i in range(alo, ahi if longest else alo):
+            at = self._places.get(self.a[i], none)
+            at = at[np.searchsorted(at, blo) : np.searchsorted(at, bhi)] - blo
+            size = runs[at] + 1  # the run that ends at j stands at j + 1
+            now[at + 1] = size
+            if len(at) and (k := int(size.max())) > best:
+                j = int(at[size.argmax()]) + blo
+                best_i, best_j, best = i - k + 1, j - k + 1, k
+                if k == longest:
+                    break
+            if len(was):
+                runs[was] = 0
+            runs, now, was = now, runs, at + 1
+        return best_i, best_j, best
+
+
 def _blocks(a: list[str], b: list[str]):
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    return _Aligned(a, b).get_opcodes()
 
 
 def _straight(a: list[str], b: list[str]):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from provenmark.operators import picks
+from provenmark.operators import picks, readings
 from provenmark.plans import registry
 
 WORDS = "word string"
@@ -54,6 +54,37 @@ def test_words_are_compared_until_enough_are_found(monkeypatch):
     assert picks._first_alike(["abcdefgh"], [f"abcdefg{x:05}"[:9] for x in range(5000)], 5, 0.7) and len(calls) == 5
 
 
+def test_words_align_as_the_library_does_in_less_time(monkeypatch):
+    """The same opcodes on random lists; a long line that repeats itself takes few steps."""
+    rng = random.Random(5)
+    for dense in [40] * 400 + [0] * 400:
+        monkeypatch.setattr(readings, "DENSE", dense)
+        a = rng.choices("abcdefg"[: rng.randrange(1, 8)], k=rng.randrange(30))
+        b = [rng.choice("abx") if rng.random() < 0.2 else w for w in a][rng.randrange(3) :] + rng.choices("ab", k=rng.randrange(4))
+        assert readings._blocks(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    a = "one two three four five two six".split() * 60
+    b = [w + "x" if k % 13 == 0 else w for k, w in enumerate(a)]
+
+    class Places(list):
+        steps = 0
+
+        def __iter__(self):
+            for x in super().__iter__():
+                Places.steps += 1
+                yield x
+
+        def __getitem__(self, k):
+            Places.steps += 1
+            return super().__getitem__(k)
+
+    found = []
+    for kind in (readings._Aligned, lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False)):
+        matcher, Places.steps = kind(a, b), 0
+        matcher.b2j = {w: Places(at) for w, at in matcher.b2j.items()}
+        found.append((matcher.get_opcodes(), Places.steps))
+    assert found[0][0] == found[1][0] and found[0][1] < found[1][1] / 4, [x for _, x in found]
+
+
 def ask(spark, a, b, known=()):
     pairs = spark.createDataFrame([("r", 1, a, b)], "rel string, page int, a string, b string")
     return pairs, picks.questions(pairs, spark.createDataFrame([(w,) for w in known], WORDS))
