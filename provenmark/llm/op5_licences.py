@@ -3,14 +3,15 @@ r"""License scans by a trained paragraph classifier [native].
 A paragraph (a line) falls into statements at the ends of its sentences, a long statement into windows of `WINDOW` words that overlap by
 half; so a notice counts wherever it stands. A statement becomes sparse counts of its word 1- and 2-grams; a multinomial logistic
 regression (Spark's own, in the JVM) gives probabilities of licence families and of an unknown class. It is trained on the statements
-of the templates below, on parts of them, alone and among background words, and on background statements of the corpus itself: at most `background` distinct
-statements without a template gram from the `DOCUMENTS` texts whose hash is lowest. The unknown class is calibrated on background
-statements kept aside: a family must be likelier than the 99 % quantile of what those reach (0.5 at least, 0.9 at most). A
+of the templates below, on parts of them, alone and among background words, and on background statements of the corpus itself: all
+different statements that the model can be asked about (below) and that have no telling gram. The unknown class is calibrated on all of
+these, each by a model that has learnt from the other half: a family must be likelier than the 99 % quantile of what they reach (0.5
+at least, 0.9 at most). A
 prediction counts only if the family's templates confirm it: at least half of the statement's word 3-grams must be telling 3-grams
 of the family, or half of the telling 3-grams of one template must be in the statement. A 3-gram (a whole statement of one or two
 words) is telling if it has a word of four letters or one of NAMES.
 
-Scoring is one projection over all statements of all texts: no shuffle, no Python. A text, line or statement without any word of
+Texts are read once; what can be asked about is written, trained on and scored, without Python. A text, line or statement without any word of
 `cover()` has no telling gram, so nothing could confirm it; it is left out before its words are counted, which changes no result.
 
 Defined cases: null and empty texts have no paragraphs and give no rows; repeated rows give repeated rows; a null doc_id stays
@@ -86,7 +87,7 @@ NEAR_MISSES = (
 # Short words that name a licence.
 NAMES = ("bsd", "cc", "gnu", "gpl", "isc", "mit", "mpl", "nc", "sa")
 FAMILIES = tuple(sorted(TEMPLATES))
-FEATURES, BACKGROUND, DOCUMENTS, CONFIRM, WINDOW = 1 << 14, 4000, 400, 0.5, 24
+FEATURES, CONFIRM, WINDOW = 1 << 14, 0.5, 24
 SENTENCE = r"(?<=[.!?;:])[\x20\x09-\x0D]+"
 _WORD = r"[^\W_]+"
 
@@ -167,39 +168,43 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def background_of(docs: DataFrame, background: int, documents: int = DOCUMENTS) -> DataFrame:
-    """At most `background` distinct statements (__w) without a telling gram, of the `documents` texts with the lowest hashes."""
-    key = F.xxhash64("doc_id", F.col("text").cast("string"))
-    last = docs.select(key.alias("h")).orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    drawn = statements(docs.where(key <= (0 if last is None else last)), tested=False)
+def background_of(said: DataFrame) -> DataFrame:
+    """(h, __w): all different statements of statements() that have no telling gram."""
     every = _strings(sorted({g for texts in TEMPLATES.values() for t in texts for g in telling(t)}))
-    plain = drawn.where(~F.arrays_overlap(F.expr(threes("__w")), every)).select("__w", F.xxhash64("__w").alias("h"))
-    return cut(plain.groupBy("h").agg(F.min("__w").alias("__w")).orderBy("h").limit(background))
+    plain = said.where(~F.arrays_overlap(F.expr(threes("__w")), every)).select("__w", F.xxhash64("__w").alias("h"))
+    return cut(plain.distinct())
 
 
-def train(spark: SparkSession, background: DataFrame):
-    """(model, threshold) from the templates, the near misses and background(h, __w)."""
+def _fitted(spark: SparkSession, background: DataFrame):
+    """The model that the templates, the near misses and background(h, __w) give."""
     known = [(t, float(i)) for i, f in enumerate(FAMILIES) for whole in TEMPLATES[f] for t in parts_of(whole)]
     unknown = float(len(FAMILIES))
-    aside = F.pmod("h", F.lit(4)) == 0
     given = known + [(t, unknown) for t in NEAR_MISSES]
-    ours, pads = _literal(spark, given * 4), background.where(~aside).groupBy(F.pmod("h", F.lit(4 * len(given))).cast("int").alias("id")).agg(F.min("__w").alias("pad"))
+    ours, pads = _literal(spark, given * 4), background.groupBy(F.pmod("h", F.lit(4 * len(given))).cast("int").alias("id")).agg(F.min("__w").alias("pad"))
     # of each statement two copies as it is, two with background words around it
     k = F.greatest(F.floor(F.col("id") / len(given)).cast("int") - 1, F.lit(0)) * 10
     around = F.concat(F.slice("pad", F.lit(1), k), F.col("__w"), F.slice("pad", k + 1, k))
     ours = ours.join(F.broadcast(pads), "id", "left").select(F.coalesce(around, F.col("__w")).alias("__w"), "label")  # at most 4 rows a statement above
-    rows = ours.unionByName(background.where(~aside).select("__w", F.lit(unknown).alias("label")))
-    fit = LogisticRegression(featuresCol="__features", labelCol="label", maxIter=40, regParam=1e-4, family="multinomial").fit(_featured(cut(rows.coalesce(1))))
+    rows = ours.coalesce(1).unionByName(background.select("__w", F.lit(unknown).alias("label")))
+    return LogisticRegression(featuresCol="__features", labelCol="label", maxIter=40, regParam=1e-4, family="multinomial").fit(_featured(cut(rows)))
+
+
+def train(spark: SparkSession, background: DataFrame):
+    """(model, threshold). The model learns from all of background(h, __w); the threshold is the 99 % quantile of what all of it reaches in
+    models that have learnt from the other half."""
     best = F.array_max(F.slice(vector_to_array("probability"), 1, len(FAMILIES)))
-    reached = fit.transform(_featured(background.where(aside))).agg(F.percentile(best, F.lit(0.99))).first()[0]
-    return fit, min(0.9, max(0.5, reached or 0.0))
+    halves = [background.where(F.pmod("h", F.lit(2)) == i) for i in (0, 1)]
+    reached = [_fitted(spark, halves[1 - i]).transform(_featured(halves[i])).select(F.round(best, 4).alias("p")) for i in (0, 1)]
+    quantile = reached[0].unionByName(reached[1]).groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("p", F.lit(0.99), F.col("n"))).first()[0]
+    return _fitted(spark, background), min(0.9, max(0.5, quantile or 0.0))
 
 
-def scan(docs: DataFrame, background: int = BACKGROUND, tested: bool = True) -> DataFrame:
+def scan(docs: DataFrame, tested: bool = True) -> DataFrame:
     """docs(doc_id, text) to licence statements: doc_id, paragraph_no, statement_no, window_no, family, probability, similarity."""
-    model, threshold = train(docs.sparkSession, background_of(docs, background))
+    said = cut(statements(docs))  # few of a corpus; training and scoring both read them
+    model, threshold = train(docs.sparkSession, background_of(said))
     place = ["doc_id", "paragraph_no", "statement_no", "window_no"]
-    scored = model.transform(_featured(statements(docs, tested))).select(*place, "__w", vector_to_array("probability").alias("__p"))
+    scored = model.transform(_featured(said if tested else statements(docs, tested=False))).select(*place, "__w", vector_to_array("probability").alias("__p"))
     known = F.slice("__p", 1, len(FAMILIES))
     scored = scored.withColumn("probability", F.array_max(known)).withColumn("__at", F.array_position(known, F.array_max(known)).cast("int"))
     likely = scored.where((F.col("probability") >= threshold) & (F.col("probability") > F.element_at("__p", len(FAMILIES) + 1)))

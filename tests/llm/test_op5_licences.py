@@ -86,3 +86,19 @@ def test_variants_are_found_and_prose_is_left_alone(spark):
     got = {(r.doc_id, r.family) for r in L.scan(frame(spark, rows)).collect()}
     assert len(got & {(i, f) for i, (f, _) in enumerate(notices)}) >= 7
     assert not {d for d, _ in got if d >= 100}
+
+
+def test_background_is_all_that_can_be_asked_about(spark):
+    """Every text counts, however many there are: 900 texts of one statement each, all of them different."""
+    rows = [(i, f"Stones of the river number {i} have no warranty here", "en", "s", 0) for i in range(900)] + [(1000, "Released under the MIT License.", "en", "s", 0)]
+    found = {" ".join(r["__w"]) for r in L.background_of(L.statements(frame(spark, rows + rows))).collect()}
+    assert found == {f"stones of the river number {i} have no warranty here" for i in range(900)}
+
+
+def test_the_threshold_comes_from_both_halves(spark, monkeypatch):
+    fitted, seen = L._fitted, []
+    monkeypatch.setattr(L, "_fitted", lambda s, b: seen.append({r.h for r in b.collect()}) or fitted(s, b))
+    background = L.background_of(L.statements(frame(spark, [(i, f"No warranty for stone {i}", "en", "s", 0) for i in range(60)])))
+    assert 0.5 <= L.train(spark, background)[1] <= 0.9
+    other, one, every = seen
+    assert one | other == every and not one & other and len(every) == 60
