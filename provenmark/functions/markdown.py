@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .names import body_of, front_lines
+from .text import once
 
 # Marks whose text must match.
 UNIT_CLOSE = "<!-- /unit -->"
@@ -203,21 +204,30 @@ def grid(rows: Column, note_chars: int = 60) -> Column:
     spans filled, and what is left of null is empty.
     """
     wrapped = r"(\d+(?:/\d+)+)\n(\d{1,3})(?=\s|$)"
-    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, wrapped, "$1$2"), wrapped, "$1$2"), r"\n", " "))
-    filled = lambda r: F.filter(r, lambda c: F.coalesce(c, F.lit("")) != "")
-    clean = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.size(filled(r)) > 0)
-    width = F.array_max(F.transform(clean, lambda r: F.size(r)))
-    padded = F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r))))
+    none = F.lit(None).cast("string")
+    cell = lambda c: F.when(~F.contains(c, F.lit("\n")), F.trim(c)).otherwise(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, wrapped, "$1$2"), wrapped, "$1$2"), r"\n", " ")))
     is_note = lambda r: (F.size(F.filter(r, lambda c: c.isNotNull())) == 1) & (F.length(F.coalesce(F.get(r, F.lit(0)), F.lit(""))) > note_chars)
-    notes, body = F.transform(F.filter(padded, is_note), lambda r: F.get(r, F.lit(0))), F.filter(padded, lambda r: ~is_note(r))
-    two = (F.size(body) > 2) & F.exists(F.slice(F.get(body, F.lit(0)), 2, 10_000), lambda c: c.isNull())
     # a merged head cell reads as the last one before it
     spread = lambda r: F.transform(r, lambda c, j: F.coalesce(c, F.element_at(F.concat(F.array(F.lit("")), F.filter(F.slice(r, F.lit(1), j), lambda x: x.isNotNull())), -1)))
-    first, second = spread(F.get(body, F.lit(0))), F.when(two, spread(F.get(body, F.lit(1))))
     join = lambda a, b: F.array_join(F.array_distinct(F.filter(F.array(a, b), lambda x: F.coalesce(x, F.lit("")) != "")), " — ")
-    head = F.when(two, F.zip_with(first, second, join)).otherwise(first)
-    rest = F.transform(F.slice(body, F.when(two, 3).otherwise(2), F.lit(1_000_000)), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
-    return F.struct(
-        F.when(F.size(body) > 0, F.concat(F.array(head), rest)).otherwise(F.array().cast("array<array<string>>")).alias("grid"),
-        notes.alias("notes"),
-    )
+
+    # each step names what stands above several times, so it is worked out once, not once a row and a name
+    def padded(clean):
+        return once(F.array_max(F.transform(clean, lambda r: F.size(r))), lambda width: F.transform(clean, lambda r: F.concat(r, F.array_repeat(none, width - F.size(r)))))
+
+    def parted(rows_):
+        return F.struct(F.filter(rows_, lambda r: ~is_note(r)).alias("body"), F.transform(F.filter(rows_, is_note), lambda r: F.get(r, F.lit(0))).alias("notes"))
+
+    def headed(x):
+        body = x["body"]
+        two = (F.size(body) > 2) & F.exists(F.slice(F.get(body, F.lit(0)), 2, 10_000), lambda c: c.isNull())
+        head = once(F.get(body, F.lit(0)), spread)
+        whole = once(two, lambda t: F.struct(
+            F.when(t, F.zip_with(head, once(F.get(body, F.lit(1)), spread), join)).otherwise(head).alias("head"),
+            F.transform(F.slice(body, F.when(t, 3).otherwise(2), F.lit(1_000_000)), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))).alias("rest"),
+        ))
+        grid_ = once(whole, lambda w: F.concat(F.array(w["head"]), w["rest"]))
+        return F.struct(F.when(F.size(body) > 0, grid_).otherwise(F.array().cast("array<array<string>>")).alias("grid"), x["notes"].alias("notes"))
+
+    clean = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
+    return once(once(once(clean, padded), parted), headed)
