@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 ACCEPT, CONFIDENT, SURE, MOST_EDITS, CONTEXT_WORDS = 0.995, 0.90, 0.9, 2, 8
 # Letters mistaken for digits, units that may follow a number, ligatures, marks that compare equal.
 LETTERS, DIGITS = "OolISBZ", "0011582"
@@ -77,11 +79,11 @@ def _correction(rule: str, pattern: str, change):
     def step(s: Column) -> Column:
         was = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
         pairs = F.transform(was, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("from"), change(m).alias("to")))
-        text = F.array_join(F.zip_with(F.split(s["text"], pattern, -1), pairs, lambda p, x: F.concat(p, F.coalesce(x["to"], F.lit("")))), "")
-        return F.struct(
-            F.when(F.size(was) == 0, s["text"]).otherwise(text).alias("text"),
-            F.concat(s["log"], F.filter(pairs, lambda x: x["from"] != x["to"])).alias("log"),
-        )
+        return F.when(~s["text"].rlike(pattern), s).otherwise(text.once(pairs, lambda found: changed(s, found)))
+
+    def changed(s: Column, found: Column) -> Column:
+        now = F.array_join(F.zip_with(F.split(s["text"], pattern, -1), found, lambda p, x: F.concat(p, F.coalesce(x["to"], F.lit("")))), "")
+        return F.struct(now.alias("text"), F.concat(s["log"], F.filter(found, lambda x: x["from"] != x["to"])).alias("log"))
 
     return step
 
