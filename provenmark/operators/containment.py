@@ -3,24 +3,25 @@ bank that rests on it."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import written
 
 _BLANK = r"\s"
+#: Lengths of the stretches by which words are looked up: a part of a want has the longest that fits.
+STRETCHES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Texts of a scope that asks for no more than this many strings are searched for each of them.
+FEW = 256
 
 
-def _grams(c: Column, sizes) -> Column:
-    """The different stretches of these lengths in a word."""
-
-    def some(g: int) -> Column:
-        return F.when(
-            F.length(c) >= g,
-            F.transform(F.sequence(F.lit(1), F.length(c) - g + 1), lambda i: F.substring(c, i, F.lit(g))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*map(some, sizes)))
+def _grams(c: Column, size: Column) -> Column:
+    """The different stretches of this length in a word."""
+    some = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
+    return F.when(F.length(c) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
 
 def _through_inner_words(words: DataFrame, wants: DataFrame, scope: list[str], ask: list[str]) -> DataFrame:
@@ -34,7 +35,8 @@ def _through_inner_words(words: DataFrame, wants: DataFrame, scope: list[str], a
 
 
 def _through_ends(words: DataFrame, wants: DataFrame, scope: list[str], ask: list[str]) -> DataFrame:
-    """Wants without an inner word, each with all words of the texts that can hold its longer end, found by the rarest of its stretches."""
+    """Wants without an inner word, each with all words of the texts that can hold its longer end, found by the rarest of its stretches. Short
+    stretches are in a share of all words, so their hits would grow with the product of both sides; stretches are as long as the part allows."""
     first, last, one = F.get("__parts", F.lit(0)), F.element_at("__parts", -1), F.size("__parts") == 1
     longer = F.length(first) >= F.length(last)
     ends = wants.select(
@@ -45,11 +47,12 @@ def _through_ends(words: DataFrame, wants: DataFrame, scope: list[str], ask: lis
         F.when(one, "anywhere").when(longer, "end").otherwise("start").alias("__place"),
     )
     nothing = ends.where("__part = ''").select(*scope, *ask, "find", F.lit("").alias("__word"))
-    parts = ends.where("__part <> ''").select("__part").distinct()
-    asked = parts.select("__part", F.explode(_grams(F.col("__part"), (3,))).alias("__gram")).unionByName(
-        parts.where("length(__part) < 3").select("__part", F.col("__part").alias("__gram"))
-    )
-    vocabulary = words.select("__word").distinct().select("__word", F.explode(_grams(F.col("__word"), (1, 2, 3))).alias("__gram"))
+    size = F.greatest(*[F.when(F.length("__part") >= n, F.lit(n)) for n in STRETCHES])
+    parts = ends.where("__part <> ''").select("__part").distinct().withColumn("__size", size)
+    asked = parts.select("__part", F.explode(_grams(F.col("__part"), F.col("__size"))).alias("__gram"))
+    sizes = sorted(r[0] for r in parts.select("__size").distinct().collect())  # eight at most
+    stretches = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *[_grams(F.col("__word"), F.lit(n)) for n in sizes])))
+    vocabulary = words.select("__word").distinct().select("__word", F.explode(stretches).alias("__gram"))
     vocabulary = vocabulary.join(asked.select("__gram").distinct(), "__gram", "left_semi")
     rare = asked.join(
         vocabulary.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n")),
@@ -62,22 +65,44 @@ def _through_ends(words: DataFrame, wants: DataFrame, scope: list[str], ask: lis
     return ends.join(met, "__part").where(fits).select(*scope, *ask, "find", "__word").unionByName(nothing)
 
 
+def _by_words(known: DataFrame, asked: DataFrame, key: list[str], ask: list[str], scope: list[str]) -> DataFrame:
+    """(scope, ask, key, text, find) of containment by the index of words."""
+    words = known.select(*scope, *key, F.explode(F.array_distinct(F.concat(F.split("text", _BLANK), F.array(F.lit(""))))).alias("__word"))
+    asked = asked.withColumn("__parts", F.split("find", _BLANK))
+    asked = asked.withColumn("__inner", F.filter(F.slice("__parts", 2, F.greatest(F.size("__parts") - 2, F.lit(0))), lambda x: x != ""))
+    long, short = asked.where("size(__inner) > 0"), asked.where("size(__inner) = 0")
+    there = {r[0] for r in asked.select(F.size("__inner") > 0).distinct().collect()}  # words that no want needs are not told apart
+    through = [_through_inner_words(words, long, scope, ask)] if True in there else []
+    through += [_through_ends(words, short, scope, ask)] if False in there or not through else []
+    ids = words.join(functools.reduce(DataFrame.unionByName, through), [*scope, "__word"]).select(*scope, *ask, *key, "find").distinct()
+    met = ids.join(known.select(*scope, *key, "text"), [*scope, *key])
+    return met.where(F.contains("text", F.col("find"))).select(*scope, *ask, *key, "text", "find")
+
+
+def holding(texts: DataFrame, wants: DataFrame, key: list[str], ask: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
+    """contained(), with the text and what was found in it: (scope, ask, key, text, find).
+
+    In a scope that asks for few strings each of its texts is searched for them, which takes one join by the scope; the rest goes by words.
+    """
+    scope, known = list(scope), texts.where("text IS NOT NULL")
+    asked = wants.where("find IS NOT NULL").select(*scope, *ask, "find").distinct()
+    if not scope:
+        return _by_words(known, asked, key, ask, scope)
+    many = written(asked.groupBy(*scope).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > FEW).select(*scope))
+    near = known.select(*scope, *key, "text").join(asked.join(many, scope, "left_anti"), scope)
+    near = near.where(F.contains("text", F.col("find"))).select(*scope, *ask, *key, "text", "find")
+    if many.isEmpty():
+        return near
+    return near.unionByName(_by_words(known.join(many, scope, "left_semi"), asked.join(many, scope, "left_semi"), key, ask, scope))
+
+
 def contained(texts: DataFrame, wants: DataFrame, key: list[str], ask: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
     """texts(scope, key, text) and wants(scope, ask, find) to (scope, ask, key): each text that contains each wanted string, as it stands.
 
     A wanted string meets texts by one of its words (the rarest inner one) or, where it has none, by the words that hold its longer end.
     Only ids go through that join; texts come in once, to be searched. An empty string is in every text that is not null.
     """
-    scope, known = list(scope), texts.where("text IS NOT NULL")
-    words = known.select(*scope, *key, F.explode(F.array_distinct(F.concat(F.split("text", _BLANK), F.array(F.lit(""))))).alias("__word"))
-    asked = wants.where("find IS NOT NULL").select(*scope, *ask, "find").distinct().withColumn("__parts", F.split("find", _BLANK))
-    asked = asked.withColumn("__inner", F.filter(F.slice("__parts", 2, F.greatest(F.size("__parts") - 2, F.lit(0))), lambda x: x != ""))
-    through = _through_inner_words(words, asked.where("size(__inner) > 0"), scope, ask)
-    short = asked.where("size(__inner) = 0")
-    if not short.isEmpty():  # else the words of all texts need not be told apart
-        through = through.unionByName(_through_ends(words, short, scope, ask))
-    ids = words.join(through, [*scope, "__word"]).select(*scope, *ask, *key, "find").distinct()
-    return ids.join(known.select(*scope, *key, "text"), [*scope, *key]).where(F.contains("text", F.col("find"))).select(*scope, *ask, *key)
+    return holding(texts, wants, key, ask, scope).select(*scope, *ask, *key)
 
 
 def ground_form(c) -> Column:
