@@ -18,10 +18,10 @@ STRETCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 FEW = 256
 
 
-def _grams(c: Column, size: Column) -> Column:
-    """The different stretches of this length in a word."""
-    some = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
-    return F.when(F.length(c) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+def _stretches(rows: DataFrame, c: str, size: str) -> DataFrame:
+    """Rows with each stretch of `size` letters of c as __gram."""
+    at = rows.where(F.length(c) >= F.col(size)).withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(c) - F.col(size) + 1)))
+    return at.withColumn("__gram", F.substring(F.col(c), F.col("__at"), F.col(size))).drop("__at")
 
 
 def _through_inner_words(words: DataFrame, wants: DataFrame, scope: list[str], ask: list[str]) -> DataFrame:
@@ -49,11 +49,11 @@ def _through_ends(words: DataFrame, wants: DataFrame, scope: list[str], ask: lis
     nothing = ends.where("__part = ''").select(*scope, *ask, "find", F.lit("").alias("__word"))
     size = F.greatest(*[F.when(F.length("__part") >= n, F.lit(n)) for n in STRETCHES])
     parts = ends.where("__part <> ''").select("__part").distinct().withColumn("__size", size)
-    asked = parts.select("__part", F.explode(_grams(F.col("__part"), F.col("__size"))).alias("__gram"))
+    asked = _stretches(parts, "__part", "__size").select("__part", "__gram").distinct()
     sizes = sorted(r[0] for r in parts.select("__size").distinct().collect())  # eight at most
-    stretches = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *[_grams(F.col("__word"), F.lit(n)) for n in sizes])))
-    vocabulary = words.select("__word").distinct().select("__word", F.explode(stretches).alias("__gram"))
-    vocabulary = vocabulary.join(asked.select("__gram").distinct(), "__gram", "left_semi")
+    sized = words.select("__word").distinct().withColumn("__size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+    vocabulary = _stretches(sized, "__word", "__size").select("__word", "__gram")
+    vocabulary = written(vocabulary.join(asked.select("__gram").distinct(), "__gram", "left_semi"))
     rare = asked.join(
         vocabulary.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n")),
         "__gram",
@@ -74,9 +74,10 @@ def _by_words(known: DataFrame, asked: DataFrame, key: list[str], ask: list[str]
     there = {r[0] for r in asked.select(F.size("__inner") > 0).distinct().collect()}  # words that no want needs are not told apart
     through = [_through_inner_words(words, long, scope, ask)] if True in there else []
     through += [_through_ends(words, short, scope, ask)] if False in there or not through else []
-    ids = words.join(functools.reduce(DataFrame.unionByName, through), [*scope, "__word"]).select(*scope, *ask, *key, "find").distinct()
-    met = ids.join(known.select(*scope, *key, "text"), [*scope, *key])
-    return met.where(F.contains("text", F.col("find"))).select(*scope, *ask, *key, "text", "find")
+    met = written(functools.reduce(DataFrame.unionByName, through))  # where it is small, words meet it without a shuffle
+    ids = words.join(met, [*scope, "__word"]).select(*scope, *ask, *key, "find").distinct()
+    texts = ids.join(known.select(*scope, *key, "text"), [*scope, *key])
+    return texts.where(F.contains("text", F.col("find"))).select(*scope, *ask, *key, "text", "find")
 
 
 def holding(texts: DataFrame, wants: DataFrame, key: list[str], ask: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
@@ -108,10 +109,12 @@ def contained(texts: DataFrame, wants: DataFrame, key: list[str], ask: list[str]
 def ground_form(c) -> Column:
     """Texts of a bank and of pages compare in this form: dashes, blanks and quotes in their plain kind, ligatures and full-width letters
     as letters, without Markdown emphasis and table bars, in lower case."""
+    c = F.col(c) if isinstance(c, str) else c
     plain = F.translate(text.clean_text(c), "–—‑−’‘“”", "----''\"\"")
     wide = "".join(chr(i) for i in range(0xFF01, 0xFF5F))
     plain = F.translate(plain, wide, "".join(chr(ord(x) - 0xFEE0) for x in wide))
-    return text.normalize_line(F.regexp_replace(plain, r"[*_|`]", " "))
+    plain = F.when(c.rlike(r"[^\x00-\x7f]"), plain).otherwise(c)  # none of these is in ASCII
+    return text.once(F.regexp_replace(plain, r"[*_|`]", " "), text.normalize_line)
 
 
 #: What a ground can lack.
@@ -156,10 +159,19 @@ def check_grounds(questions: DataFrame, grounds: DataFrame, pages: DataFrame, un
     met = paged.join(source, ["doc", "page"], "left").join(published, ["doc", "page"], "left").withColumns(
         {"source": F.coalesce("source", F.lit("")), "published": F.coalesce("published", F.lit(""))}
     )
-    out = out.unionByName(told(met.where("published = ''"), NO_UNIT, F.lit(None)))
-    strings = met.withColumn("subject", F.explode("contains")).withColumn("find", ground_form("subject"))
-    out = out.unionByName(told(strings.where(~F.contains("source", F.col("find"))), NOT_IN_SOURCE, F.col("subject")))
-    out = out.unionByName(told(strings.where((F.col("published") != "") & ~F.contains("published", F.col("find"))), NOT_PUBLISHED, F.col("subject")))
-    out = out.unionByName(told(met.where(F.coalesce("unreadable", F.lit(False)) & ~F.contains("published", F.lit("not readable"))), NO_MARKER, F.lit(None)))
+    lack = lambda cond, problem, subject: F.when(cond, F.struct(F.lit(problem).alias("problem"), subject.cast("string").alias("subject")))
+    here, none = F.col("published") != "", F.lit(None)
+
+    def missing(subject):
+        out_of = lambda find: F.array(
+            lack(~F.contains("source", find), NOT_IN_SOURCE, subject), lack(here & ~F.contains("published", find), NOT_PUBLISHED, subject)
+        )
+        return text.once(ground_form(subject), out_of)
+
+    # a ground is told all that it lacks in its row, so pages are joined and brought into their form once
+    own = F.array(lack(~here, NO_UNIT, none), lack(F.coalesce("unreadable", F.lit(False)) & ~F.contains("published", F.lit("not readable")), NO_MARKER, none))
+    strings = F.flatten(F.transform(F.coalesce("contains", F.array().cast("array<string>")), missing))
+    lacks = met.select("question", "doc", "page", F.inline(F.array_compact(F.concat(own, strings))))
+    out = out.unionByName(lacks.select("question", "problem", "doc", F.col("page").cast("long").alias("page"), "subject"))
     listed = files.select("doc", F.explode("clauses").alias("clause")).distinct()
     return out.unionByName(told(paged.where("clause IS NOT NULL").join(listed, ["doc", "clause"], "left_anti"), NO_CLAUSE, F.col("clause")))

@@ -553,9 +553,8 @@ def j16_bank(spark, sf):
     """A question a document: the first words of two lines on their pages, the clause of the second page (documents divisible by three do not
     list it), the edition, and a document that must not be in the library. The published text has lost a tenth of the lines, every
     fifth document its second page; no published page says that it is not readable."""
-    src, _ = X.conv(spark, sf)
-    d = X.docs(spark, sf).select("rel", "doc_id")
-    rows, n, i = src.join(d, "rel"), F.col("n"), F.col("doc_id")
+    d, n, i = X.docs(spark, sf).select("rel", "doc_id"), F.col("n"), F.col("doc_id")
+    rows = X.docs(spark, sf).select("rel", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     page = (F.floor(n / 5) + 1).cast("long").alias("page")
     joined = lambda df: df.groupBy(F.col("rel").alias("doc"), page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("text"))
     lost = ((i * 31 + n) % 10 == 0) | ((i % 5 == 4) & (F.floor(n / 5) == 1))
