@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..sources.tables import written
+from .containment import holding
 
 # How files are told apart by their pages, and when a fix may be suggested or a bank of questions is passed.
 SAMPLED, SCAN_CHARS, LARGE_SIDE, MANY_VECTORS = 24, 25, 1000, 300
@@ -117,12 +119,9 @@ def affected(results: DataFrame, rules: DataFrame, applied: DataFrame) -> DataFr
 
     Rules meet texts by the containment index, so there is no product of rules and documents.
     """
-    from .containment import contained
-
-    holds = contained(results.select("rel", "text"), rules, ["rel"], ["id"])
-    counted = holds.join(rules.select("id", "find"), "id").join(results.select("rel", "text"), "rel")
+    holds = holding(results.select("rel", "text"), rules, ["rel"], ["id"])
     places = F.floor((F.length("text") - F.length(F.replace("text", F.col("find"), F.lit("")))) / F.length("find"))
-    found = counted.select("id", "rel", places.cast("long").alias("places"))
+    found = written(holds.select("id", "rel", places.cast("long").alias("places")))  # counted where it is found, and read twice
     return found.unionByName(applied.select("id", "rel").distinct().join(found, ["id", "rel"], "left_anti").withColumn("places", F.lit(0).cast("long")))
 
 
