@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 AROUND = 30
+#: Stands around matches while a text is cut at them.
+MARK = "\u0001"
 # Text that is aimed at an assistant instead of a reader.
 INSTRUCTIONS = (
     r"ignore\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|prompts?|rules?|context)",
@@ -25,20 +29,24 @@ INSTRUCTIONS = (
 def located(c: str, patterns: tuple[str, ...] = INSTRUCTIONS, around: int = AROUND) -> Column:
     """array of struct(pattern, at, found, snippet) of all matches of any pattern, first come first served, in order: the pattern's number
     (from 1), the characters before the match, the match, and it with up to 30 characters on each side, blanks folded."""
-    text = F.coalesce(F.col(c), F.lit(""))
     any_of = "(?iuU)" + "|".join(f"(?:{p})" for p in patterns)
-    found, gaps = F.regexp_extract_all(text, F.lit(any_of), F.lit(0)), F.split(text, any_of, -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.struct(f.alias("found"), (F.length(f) + F.length(g)).alias("upto")))
 
-    def place(acc, p):
-        at = acc["at"] + p["upto"]
-        return F.struct(at.alias("at"), F.array_append(acc["done"], F.struct((at - F.length(p["found"])).alias("at"), p["found"].alias("found"))).alias("done"))
+    def pieces(text):
+        """What is before, in and after matches by turns, from one search; a text that holds the mark itself is searched twice."""
+        marked = F.split(F.regexp_replace(text, any_of, f"{MARK}$0{MARK}"), MARK, -1)
+        found, gaps = F.regexp_extract_all(text, F.lit(any_of), F.lit(0)), F.split(text, any_of, -1)
+        twice = once(found, lambda fs: F.flatten(F.zip_with(F.slice(gaps, 1, F.size(fs)), fs, lambda g, f: F.array(g, f))))
+        return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(marked)
+
+    def place(acc, piece):
+        match = F.struct(acc["at"].alias("at"), piece.alias("found"))
+        done = F.when(acc["match"], F.array_append(acc["done"], match)).otherwise(acc["done"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), (~acc["match"]).alias("match"), done.alias("done"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,found:string>>").alias("done"))
-    placed = F.aggregate(pairs, start, place)["done"]
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast("array<struct<at:int,found:string>>").alias("done"))
     which = lambda f: F.coalesce(*[F.when(f.rlike(f"(?iuU)^(?:{p})$"), F.lit(i)) for i, p in enumerate(patterns, 1)], F.lit(0))
 
-    def told(m):
+    def told(text, m):
         first = F.greatest(m["at"] - around, F.lit(0))
         snippet = F.substring(text, first + 1, m["at"] + F.length(m["found"]) + around - first)
         return F.struct(
@@ -48,4 +56,4 @@ def located(c: str, patterns: tuple[str, ...] = INSTRUCTIONS, around: int = AROU
             F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")).alias("snippet"),
         )
 
-    return F.when(text.rlike(any_of), F.transform(placed, told)).otherwise(F.array().cast("array<struct<pattern:int,at:int,found:string,snippet:string>>"))
+    return once(F.coalesce(F.col(c), F.lit("")), lambda text: F.transform(F.aggregate(pieces(text), start, place)["done"], lambda m: told(text, m)))
