@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote, urlsplit
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CHARS, FULL = 120_000, 0.6
 LEAST_ENTRIES, PAGES_AN_ENTRY, BACK_STEPS = 5, 40, 0.02
 ONE_FILE = 100_000
+#: Folders that the files of a tree are dealt over, and letters of a path (two a byte) in one name.
+SHARDS, NAME = 1024, 200
 
 
 def nested(entries: DataFrame) -> DataFrame:
@@ -129,14 +136,35 @@ def tree_of(parts: DataFrame, documents: DataFrame, one_file: int = ONE_FILE) ->
 
 
 def write_tree(files: DataFrame, folder: str) -> DataFrame:
-    """Write files(status, path, text) below a folder, one folder of Spark's for each path, and compare what is there with what was meant:
-    (path, problem), no rows if all is well. Paths are encoded in folder names, so any character may stand in them."""
+    """Write files(status, path, text) below a folder, a file for each path, and compare what is there with what was meant:
+    (path, problem), no rows if all is well. Paths are encoded in file names, so any character may stand in them.
+
+    Tasks write their files themselves, through Arrow (mounted folders, HDFS, S3 and their like): one commit for all files would move
+    each of them in the driver, one after the other. A file appears in one piece, so a task may run twice. Files are dealt over SHARDS folders, which tasks
+    list.
+    """
     spark = files.sparkSession
-    files.select(
-        "text",
-        "status",
-        F.hex(F.encode("path", "UTF-8")).alias("at"),
-    ).repartition("status", "at").write.option("lineSep", "\n").partitionBy("status", "at").text(folder)
+    root = _uri(spark, folder)
+
+    def put(batches):
+        store, base = FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for shard, status, at, content in zip(*(batch.column(c) for c in ("shard", "status", "at", "content")), strict=True):
+                at = at.as_py()
+                *above, name = [at[i : i + NAME] for i in range(0, len(at), NAME)]  # a file's name has 255 letters at most
+                within = "/".join([base, f"{shard}", f"status={quote(status.as_py(), safe='')}", *above])
+                if within not in made:
+                    store.create_dir(within, recursive=True)
+                    made.add(within)
+                with store.open_output_stream(draft := f"{within}/.{name}.{uuid.uuid4().hex}") as out:
+                    out.write((content.as_py() or b"") + b"\n")
+                store.move(draft, f"{within}/{name}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    shard = F.pmod(F.xxhash64("status", "path"), F.lit(SHARDS)).alias("shard")
+    rows = files.select(shard, "status", F.hex(F.encode("path", "UTF-8")).alias("at"), F.col("text").cast("binary").alias("content"))
+    rows.repartition(_tasks(spark), "shard").mapInArrow(put, "files long").agg(F.sum("files")).first()
     meant = files.select("path", (F.octet_length("text") + 1).cast("long").alias("bytes"))
     there = listing(spark, folder).groupBy("path").agg(F.sum("length").alias("length"))
     both = meant.join(there, "path", "full")
@@ -146,9 +174,32 @@ def write_tree(files: DataFrame, folder: str) -> DataFrame:
 
 def listing(spark, folder: str) -> DataFrame:
     """(path, length) of a written tree; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    at = F.regexp_extract("path", r"/at=([0-9A-F]+)/", 1)
-    return found.where(at != "").select(F.decode(F.unhex(at), "UTF-8").alias("path"), "length")
+    root = _uri(spark, folder)
+
+    def there(batches):
+        store, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                found = store.get_file_info(FileSelector(f"{base}/{shard}", allow_not_found=True, recursive=True))
+                found = [x for x in found if x.type == FileType.File and not x.base_name.startswith(".")]
+                at = ["".join(x.path[len(base) :].split("/")[3:]).removesuffix(".txt") for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array([x.size for x in found], pa.int64())], names=["at", "length"])
+
+    found = spark.range(0, SHARDS, 1, _tasks(spark)).mapInArrow(there, "at string, length long")
+    return found.select(F.decode(F.unhex("at"), "UTF-8").alias("path"), "length")
+
+
+def _tasks(spark) -> int:
+    """Tasks that write or list a tree: some for each core, since files take unlike time."""
+    return min(SHARDS, 4 * spark.sparkContext.defaultParallelism)
+
+
+def _uri(spark, folder: str) -> str:
+    """A folder as all executors find it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = urlsplit(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString())
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(found.scheme, found.scheme)
+    return f"{scheme}://{found.netloc}{found.path}"
 
 
 def page_scope(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
