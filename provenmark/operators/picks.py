@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ LEAST, MOST = 0.7, 3
 SHORT, TOGETHER = 24, 3
 #: Known words in a block, words that meet it in one row, and rows to make at least where there are enough words.
 BLOCK, TOGETHER_ASKED, TASKS = 20_000, 4000, 64
+#: Letters of a word that is aligned in one number, and words that are aligned together.
+WIDTH, ALIGNED = 64, 32
 
 
 def ratio(a: str, b: str) -> float:
@@ -101,39 +104,125 @@ def similar_words(words: DataFrame, known: DataFrame, least: float = LEAST) -> D
     return met.where(alike("word", "near"))
 
 
+class _Block:
+    """A block of words, to be searched for words with ratio() >= least to another.
+
+    Letters in common are never fewer than letters that match, and so is the longest common subsequence. Both are counted for many words
+    at once, as bits: the numbered letters of a word are bits of a row, and a word of up to WIDTH letters is aligned in one number. What passes
+    both is compared. Longer words meet those of a fitting length one by one.
+    """
+
+    def __init__(self, words: list[str], least: float):
+        self.words, self.least, self.matchers, self.counters, self.needs = words, least, {}, {}, {}
+        self.size = np.array([len(w) for w in words], dtype=np.int64)
+        self.fits = self.size <= int(WIDTH * (2 - least) / least + 1e-9)  # what a word of WIDTH letters can be like
+        size = np.where(self.fits, self.size, 0)
+        flat = np.frombuffer("".join(w for w, fits in zip(words, self.fits, strict=True) if fits).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters, self.code = np.unique(flat, return_inverse=True)
+        self.letters = {chr(x): i for i, x in enumerate(letters.tolist())}
+        self.start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        by_letter = np.argsort(word * len(letters) + self.code, kind="stable")
+        same = (word * len(letters) + self.code)[by_letter]
+        first = np.searchsorted(same, same)
+        numbered = (np.arange(len(same)) - first) * len(letters) + self.code[by_letter]
+        kinds, at, times = np.unique(numbered, return_inverse=True, return_counts=True)
+        rank = np.empty(len(kinds), dtype=np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(kinds))  # common ones share few rows
+        self.place = dict(zip(kinds.tolist(), rank.tolist(), strict=True))
+        self.bits = np.zeros((len(kinds) // 64 + 1, len(words)), dtype=np.uint64)
+        np.bitwise_or.at(self.bits, (rank[at] >> 6, word[by_letter]), np.left_shift(np.uint64(1), (rank[at] & 63).astype(np.uint64)))
+
+    def _needed(self, n: int) -> np.ndarray:
+        """How many letters each word must have in common with one of n; 255 where it is too long."""
+        if n not in self.needs:
+            need = np.ceil((self.least * (self.size + n) - 1e-9) / 2)
+            self.needs[n] = np.where(self.fits, np.minimum(need, 255), 255).astype(np.uint8)
+        return self.needs[n]
+
+    def _sharing(self, word: str) -> np.ndarray:
+        """The words with enough letters in common with one of up to WIDTH letters, wherever they stand."""
+        seen: collections.Counter = collections.Counter()
+        rows: dict[int, int] = {}
+        for x in word:
+            if (code := self.letters.get(x)) is not None:
+                if (rank := self.place.get(seen[x] * len(self.letters) + code)) is not None:
+                    rows[rank >> 6] = rows.get(rank >> 6, 0) | 1 << (rank & 63)
+                seen[x] += 1
+        common = np.zeros(len(self.words), dtype=np.uint8)
+        for row, bits in rows.items():
+            common += np.bitwise_count(self.bits[row] & np.uint64(bits))
+        return np.flatnonzero(common >= self._needed(len(word))) if rows else np.zeros(0, dtype=np.int64)
+
+    def _aligned(self, asked: list[str]) -> list[list[int]]:
+        """For each asked word of up to WIDTH letters the words that have a common subsequence of the length that ratio() needs."""
+        shared = [self._sharing(w) for w in asked]
+        which, at = np.repeat(np.arange(len(asked)), [len(x) for x in shared]), np.concatenate(shared)
+        stands = np.zeros((len(asked), len(self.letters)), dtype=np.uint64)
+        for i, w in enumerate(asked):
+            for j, x in enumerate(w):
+                if x in self.letters:
+                    stands[i, self.letters[x]] |= np.uint64(1 << j)
+        size, start = self.size[at], self.start[at]
+        open_ = np.full(len(at), ~np.uint64(0))
+        for j in range(size.max(initial=0)):
+            live = np.flatnonzero(size > j)
+            met, v = stands[which[live], self.code[start[live] + j]], open_[live]
+            open_[live] = (v + (v & met)) | (v & ~met)
+        n = np.array([len(w) for w in asked], dtype=np.int64)
+        whole = np.array([(1 << len(w)) - 1 for w in asked], dtype=np.uint64)
+        common = np.bitwise_count(~open_ & whole[which]).astype(np.int64)
+        kept = 2 * common >= self.least * (size + n[which]) - 1e-9
+        which, at = which[kept], at[kept]
+        return [x.tolist() for x in np.split(at, np.searchsorted(which, np.arange(1, len(asked))))]
+
+    def _long(self, word: str) -> list[int]:
+        """The same for a longer word, by letters in common alone."""
+        mine = collections.Counter(word)
+        out = []
+        for k in np.flatnonzero(2 * np.minimum(self.size, len(word)) >= self.least * (self.size + len(word)) - 1e-9).tolist():
+            if k not in self.counters:
+                self.counters[k] = collections.Counter(self.words[k])
+            if 2 * (mine & self.counters[k]).total() >= self.least * (len(self.words[k]) + len(word)) - 1e-9:
+                out.append(k)
+        return out
+
+    def first(self, asked: dict[str, int]) -> list[tuple[str, str]]:
+        """(word, near): for each asked word, in order, as many first words of the block with ratio() >= least as it still asks for."""
+        short, found = [w for w in asked if len(w) <= WIDTH], []
+        for some in range(0, len(short), ALIGNED):
+            part = short[some : some + ALIGNED]
+            for word, at in zip(part, self._aligned(part), strict=True):
+                found += self._compared(word, at, asked[word])
+        for word in asked:
+            if len(word) > WIDTH:
+                found += self._compared(word, self._long(word), asked[word])
+        return found
+
+    def _compared(self, word: str, at: list[int], left: int) -> list[tuple[str, str]]:
+        out = []
+        for k in at:
+            if len(out) == left:
+                break
+            if k not in self.matchers:
+                self.matchers[k] = difflib.SequenceMatcher(None, "", self.words[k])
+            self.matchers[k].set_seq1(word)
+            if self.matchers[k].ratio() >= self.least:
+                out.append((word, self.words[k]))
+        return out
+
+
 def _first_alike(asked: list[str], block: list[str], most: int, least: float) -> list[dict]:
-    """For each asked word the first `most` words of a sorted block with ratio() >= least, as (word, near). Letters in common are counted
-    for the whole block at once; only words that pass that bound are compared, in their order, until `most` are found."""
-    size = np.array([len(w) for w in block], dtype=np.int32)
-    held = collections.defaultdict(lambda: np.zeros(len(block), dtype=np.int32))
-    for k, w in enumerate(block):
-        for x in w:
-            held[x][k] += 1
-    matchers, found = {}, []
-    for word in asked:
-        common = np.zeros(len(block), dtype=np.int32)
-        for x, n in collections.Counter(word).items():
-            if x in held:
-                common += np.minimum(held[x], n)
-        left = most
-        for k in np.flatnonzero(2 * common >= least * (size + len(word)) - 1e-9).tolist():
-            if k not in matchers:
-                matchers[k] = difflib.SequenceMatcher(None, "", block[k])
-            matchers[k].set_seq1(word)
-            if matchers[k].ratio() >= least:
-                found.append({"word": word, "near": block[k]})
-                left -= 1
-                if left == 0:
-                    break
-    return found
+    """For each asked word the first `most` words of a sorted block with ratio() >= least, as (word, near)."""
+    return [{"word": word, "near": near} for word, near in _Block(block, least).first(dict.fromkeys(asked, most))]
 
 
 def first_similar_words(words: DataFrame, known: DataFrame, most: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """words(word) and known(word) to (word, near): of each word the first `most` known ones with ratio(word, near) >= least, in their order.
 
     Where a vocabulary is dense, a word has hundreds of such words and meets many more, but its first few stand near the beginning. So
-    the known words are dealt into sorted blocks, and words meet the first block, then the next four, then sixteen; those that
-    have enough go on no further. Both sides stay tables: a row holds one block and some words.
+    the known words are dealt into sorted blocks, and words meet the first block, then the next four, then sixteen, one after the other;
+    those that have enough go on no further. Both sides stay tables: a row holds one block and some words.
     """
     words, known = (written(d.select("word").where("word <> ''").distinct()) for d in (words, known))
     n = max(1, math.ceil(known.count() / block))
@@ -141,19 +230,34 @@ def first_similar_words(words: DataFrame, known: DataFrame, most: int, least: fl
     blocks = written(blocks.groupBy("__block").agg(F.array_sort(F.collect_list("word")).alias("__known")))
     last = blocks.agg(F.max("__block")).first()[0]
 
-    @F.pandas_udf("array<struct<word:string,near:string>>")
-    def alike(asked: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series([_first_alike(list(a), list(b), most, least) for a, b in zip(asked, held, strict=True)], dtype="object")
+    def alike(batches):
+        index, of, left = None, None, {}  # rows come by block; the words of a part that still ask for some
+        for batch in batches:
+            for at, part, asked, held in zip(*(batch.column(c) for c in ("__block", "__part", "__asked", "__known")), strict=True):
+                open_ = left.setdefault(part.as_py(), None)
+                if open_ is None:
+                    open_ = left[part.as_py()] = dict.fromkeys(asked.as_py(), most)
+                if not open_:
+                    continue
+                if index is None or of != at.as_py():
+                    index, of = _Block(held.as_py(), least), at.as_py()
+                found = index.first(open_)
+                for word, n in collections.Counter(word for word, _ in found).items():
+                    open_[word] -= n
+                    if not open_[word]:
+                        del open_[word]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], []))], names=["word", "near"])
 
     found, start, wide = words.select("word", F.col("word").alias("near")).limit(0), 0, 1
     while last is not None and start <= last:
         enough = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
         open_ = words.join(enough, "word", "left_anti")
-        parts = max(math.ceil(open_.count() / TOGETHER_ASKED), math.ceil(TASKS / wide))
+        parts = max(math.ceil(open_.count() / TOGETHER_ASKED), TASKS)
         lists = open_.groupBy(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("__part")).agg(F.collect_list("word").alias("__asked"))
         ids = F.explode(F.sequence(F.lit(start), F.lit(min(last, start + wide - 1))))
-        met = lists.select("__part", "__asked", ids.alias("__block")).join(blocks, "__block").repartition(max(TASKS, parts), "__part", "__block")
-        found = found.unionByName(written(met.select(F.inline(alike("__asked", "__known")))))
+        met = lists.select("__part", "__asked", ids.alias("__block")).join(blocks, "__block")
+        met = met.repartition(parts, "__part").sortWithinPartitions("__block", "__part")
+        found = found.unionByName(written(met.mapInArrow(alike, "word string, near string")))
         start, wide = start + wide, 4 * wide
     first = Window.partitionBy("word").orderBy("near")
     return found.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).select("word", "near")
